@@ -1,12 +1,18 @@
 """The opN_ queries over the training-data tables, and SQL for those that SQL can express."""
 
+from lodeflow.llm.lm_scoring import op5_lm_scoring
 from lodeflow.llm.ngram_jaccard import op3_ngram_jaccard_join
+from lodeflow.llm.packing import op8_packing
+from lodeflow.llm.piece_encoding import op6_sentencepiece
 from lodeflow.llm.quality_classifier import op7_quality_classifier
 from lodeflow.llm.quality_rules import op10_quality_rules
 
 QUERIES = {
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op5_lm_scoring": op5_lm_scoring,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_packing": op8_packing,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {}
