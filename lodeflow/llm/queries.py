@@ -1,5 +1,7 @@
 """The opN_ queries over the training-data tables, and SQL for those that SQL can express."""
 
+from lodeflow.llm.chat_format import OP1_SQL, op1_chat_formatting
+from lodeflow.llm.html_text import op9_html_extraction
 from lodeflow.llm.lm_scoring import op5_lm_scoring
 from lodeflow.llm.ngram_jaccard import op3_ngram_jaccard_join
 from lodeflow.llm.packing import op8_packing
@@ -8,11 +10,13 @@ from lodeflow.llm.quality_classifier import op7_quality_classifier
 from lodeflow.llm.quality_rules import op10_quality_rules
 
 QUERIES = {
+    "op1_chat_formatting": op1_chat_formatting,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op5_lm_scoring": op5_lm_scoring,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_packing": op8_packing,
+    "op9_html_extraction": op9_html_extraction,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": OP1_SQL}
