@@ -23,12 +23,14 @@ from pyspark.sql import functions as F
 
 from lodeflow.llm.words import U, Texts, Words, mix, running, signed, slices, window_starts, windows
 from lodeflow.operators.components import connected_components
-from lodeflow.session import materialize, shuffle_width
+from lodeflow.session import materialize
 
 SHINGLE_WORDS = 4
 PERCENT = 85
 #: Text gathered before its n-grams are dealt to the shards.
 DEAL_BYTES = 16 << 20
+#: N-grams of a shard, about: what one task sorts at once.
+SHARD_GRAMS = 2_000_000
 
 
 def shingle_sets(texts: Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,8 +60,9 @@ def signatures(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return mix((sums[bounds[1:]] - sums[bounds[:-1]]) ^ np.diff(bounds).astype(U))
 
 
-def _bits(shards: int) -> int:
-    return max(4, int(np.ceil(np.log2(shards))))
+def _bits(n_grams: int) -> int:
+    """Bits that name a shard: 64 shards at least, more for more n-grams, so that one holds a bounded number of them."""
+    return max(6, int(np.ceil(np.log2(max(n_grams, 1) / SHARD_GRAMS))))
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -204,7 +207,7 @@ def _overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.withColumn("linked", 100 * F.col("common") >= percent * (F.col("nx") + F.col("ny") - F.col("common")))
 
 
-def jaccard_components(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT, shards: int | None = None) -> DataFrame:
+def jaccard_components(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) for each row of docs.
 
     Two documents link when 100 * |a & b| >= percent * |a | b|. Null and empty texts have empty sets, link with
@@ -212,9 +215,8 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int
     carries links on, and its component_id is the smallest id reached, null if there is none. Other columns are
     not read, and an empty table gives an empty one.
     """
-    spark = docs.sparkSession
-    bits = _bits(shards or 2 * shuffle_width(spark))
     met = materialize(_sets(docs, size))
+    bits = _bits(met.agg(F.sum("n_shingles")).first()[0] or 0)
     sets = materialize(_candidates(_shared(_deal(docs, size, bits), bits), percent))
     reach = F.expr(f"n - ({percent} * n + 99) div 100 + 1 - lone").cast("int")
     index = sets.select("sig", "n", "lone", F.posexplode(F.slice("grams", F.lit(1), reach)).alias("place", "gram"))
