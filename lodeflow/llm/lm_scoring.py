@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lodeflow.llm.ngram_jaccard import _bits, _unpack
 from lodeflow.llm.words import _ORDER, U, Texts, Words, mix, running, signed, slices
-from lodeflow.session import materialize, shuffle_width
+from lodeflow.session import materialize
 
 #: Base of the logarithmic count scale.
 QUANTUM = 1.5
@@ -176,8 +176,9 @@ class Model:
     n_bytes: int
 
 
-def fit(train: DataFrame, shards: int | None = None) -> Model:
-    bits = _bits(shards or 2 * shuffle_width(train.sparkSession))
+def fit(train: DataFrame) -> Model:
+    # a token is about six bytes, and each is counted by itself and with the one before it
+    bits = _bits((train.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6)
     pieces = materialize(_counted(train, bits))
     totals = {r.kind: r for r in pieces.groupBy("kind").agg(F.sum("n_keys").alias("keys"), F.sum("n_tokens").alias("tokens"), F.sum("n_again").alias("again"), F.sum(F.length("data") + F.length("counts")).alias("size")).collect()}
 
