@@ -71,16 +71,16 @@ class HashedLinear:
         return 1 / (1 + np.exp(-(self.slope * self.scores(texts) + self.shift)))
 
 
-def _matrix(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, feature and value of every nonzero mean count."""
-    rows, columns, values = [], [], []
-    for kind, (grams, bounds) in enumerate(_gram_features(texts)):
-        n = np.diff(bounds)
-        key, count = np.unique(np.repeat(np.arange(len(n)), n) << BITS | grams, return_counts=True)
-        rows.append(key >> BITS)
-        columns.append((key & (_SIZE - 1)) + kind * _SIZE)
-        values.append(_SCALE * count / n[key >> BITS])
-    return np.concatenate(rows), np.concatenate(columns), np.concatenate(values)
+def _matrix(texts: list[str], some: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, feature and value of every nonzero mean count, worked out for some texts at a time."""
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for at in range(0, len(texts), some):
+        for kind, (grams, bounds) in enumerate(_gram_features(Texts.of(pa.array(texts[at : at + some], pa.large_string())))):
+            n = np.diff(bounds)
+            key, count = np.unique(np.repeat(np.arange(len(n)), n) << BITS | grams, return_counts=True)
+            row = key >> BITS
+            found.append(((row + at).astype(np.int32), ((key & (_SIZE - 1)) + kind * _SIZE).astype(np.int32), (_SCALE * count / n[row]).astype(np.float32)))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def train(texts: list[str], target: np.ndarray, weight: np.ndarray, steps: int = 150, decay: float = 1e-4) -> HashedLinear:
@@ -92,22 +92,22 @@ def train(texts: list[str], target: np.ndarray, weight: np.ndarray, steps: int =
     weights = np.zeros(len(KINDS) * _SIZE)
     if not len(texts):
         return HashedLinear(weights.reshape(len(KINDS), -1), 0.0)
-    row, column, value = _matrix(Texts.of(pa.array(texts, pa.large_string())))
+    row, column, value = _matrix(texts)
     held = np.arange(len(texts)) % 5 == 4
     use = np.where(held, 0.0, weight)
     use = use / max(use.sum(), 1e-12)
     bias = 0.0
     first, second = np.zeros(len(weights) + 1), np.zeros(len(weights) + 1)
     for step in range(1, steps + 1):
-        score = bias + np.bincount(row, value * weights[column], len(texts))
+        score = bias + np.bincount(row, value * weights[column].astype(np.float32), len(texts))
         error = use * (1 / (1 + np.exp(-score)) - target)
-        slope = np.append(np.bincount(column, value * error[row], len(weights)) + decay * weights, error.sum())
+        slope = np.append(np.bincount(column, value * error[row].astype(np.float32), len(weights)) + decay * weights, error.sum())
         first += 0.1 * (slope - first)
         second += 0.001 * (slope * slope - second)
         move = 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)
         weights -= move[:-1]
         bias -= move[-1]
-    score = bias + np.bincount(row, value * weights[column], len(texts))
+    score = bias + np.bincount(row, value * weights[column].astype(np.float32), len(texts))
     fitted = HashedLinear(weights.reshape(len(KINDS), -1).astype(np.float32), float(bias))
     if not held.any() or weight[held].sum() == 0:
         return fitted

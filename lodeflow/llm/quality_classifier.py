@@ -22,7 +22,7 @@ from lodeflow.llm.quality_rules import keep_rows
 from lodeflow.llm.words import Texts, Words, running, slices
 
 #: Documents on either side of an even posterior that the scorer is trained on at most.
-SAMPLE_PER_SIDE = 1500
+SAMPLE_PER_SIDE = 1000
 KEEP_AT = 0.5
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True

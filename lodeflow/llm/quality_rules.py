@@ -16,7 +16,7 @@ from lodeflow.llm.words import Texts, Words, slices
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 #: Rows of each class that the classifier is fitted on at most.
-SAMPLE_PER_CLASS = 1500
+SAMPLE_PER_CLASS = 1000
 #: A text stays if the calibrated probability that it is good is at least this.
 KEEP_AT = 0.5
 SCHEMA = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, p_good double"
