@@ -13,13 +13,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeflow.llm import text_stats
 from lodeflow.llm.hashed_linear import HashedLinear, train
 from lodeflow.llm.quality_rules import keep_rows
 from lodeflow.llm.words import Texts, Words, running, slices
+from lodeflow.session import materialize
 
 #: Documents on either side of an even posterior that the scorer is trained on at most.
 SAMPLE_PER_SIDE = 1000
@@ -106,11 +107,17 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
 
 
 def _patterns(docs: DataFrame) -> DataFrame:
+    """The vote pattern of every text, by the text's hash."""
+
     def cast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column("text"), pa.array(pattern_of(Texts.of(batch.column("text"))).astype(np.int64))], names=["text", "pattern"])
+            yield pa.RecordBatch.from_arrays([batch.column("rank"), pa.array(pattern_of(Texts.of(batch.column("text"))).astype(np.int64))], names=["rank", "pattern"])
+
+    return docs.select(_rank(), "text").mapInArrow(cast, "rank bigint, pattern bigint")
+
 
-    return docs.select("text").mapInArrow(cast, "text string, pattern bigint")
+def _rank() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("rank")
 
 
 @dataclass(frozen=True)
@@ -121,18 +128,18 @@ class WeakClassifier:
 
 def fit(docs: DataFrame, per_side: int = SAMPLE_PER_SIDE) -> WeakClassifier:
     """Vote statistics over all documents; the scorer on at most 2 * per_side of them, chosen by their texts' hash."""
-    cast = _patterns(docs)
+    cast = materialize(_patterns(docs))
     table = cast.groupBy("pattern").count().collect()  # at most 3 ** N_LABELLERS rows
     table.sort(key=lambda r: r.pattern)
     patterns = np.array([r.pattern for r in table], np.int64)
     labels = expectation_maximisation(patterns, np.array([r["count"] for r in table], float))
     good = patterns[labels.posterior(patterns) >= 0.5].tolist() if len(patterns) else []
-    rows = []
-    for side in (True, False):
-        is_good = F.col("pattern").isin(good) if good else F.lit(False)
-        part = cast.where(is_good if side else ~is_good).select(F.xxhash64("text").alias("rank"), "pattern", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["rank"])
-        rows += part.orderBy("rank").limit(per_side).collect()
-    rows.sort(key=lambda r: (r.rank, r.text))
+    is_good = F.col("pattern").isin(good) if good else F.lit(False)
+    distinct = cast.groupBy("rank").agg(F.min("pattern").alias("pattern"))
+    chosen = distinct.where(is_good).orderBy("rank").limit(per_side).unionByName(distinct.where(~is_good).orderBy("rank").limit(per_side))
+    texts = docs.select(_rank(), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "rank")
+    rows = texts.groupBy("rank").agg(F.min("pattern").alias("pattern"), F.min("text").alias("text")).collect()  # at most 2 * per_side
+    rows.sort(key=lambda r: r.rank)
     target = labels.posterior(np.array([r.pattern for r in rows], np.int64)) if rows else np.zeros(0)
     share = target.mean() if len(target) else 0.5
     weight = np.where(target >= 0.5, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9))
