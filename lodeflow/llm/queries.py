@@ -4,6 +4,7 @@ from lodeflow.llm.chat_format import OP1_SQL, op1_chat_formatting
 from lodeflow.llm.html_text import op9_html_extraction
 from lodeflow.llm.license_scan import op4_license_scans
 from lodeflow.llm.lm_scoring import op5_lm_scoring
+from lodeflow.llm.media_columns import op2_media_columns
 from lodeflow.llm.ngram_jaccard import op3_ngram_jaccard_join
 from lodeflow.llm.packing import op8_packing
 from lodeflow.llm.piece_encoding import op6_sentencepiece
@@ -12,6 +13,7 @@ from lodeflow.llm.quality_rules import op10_quality_rules
 
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op2_media_columns": op2_media_columns,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_license_scans": op4_license_scans,
     "op5_lm_scoring": op5_lm_scoring,
