@@ -34,7 +34,7 @@ QUANTUM = 1.5
 BITS_PER_ITEM = 12
 MAX_LEVEL = 64
 MAX_BROADCAST_BYTES = 512 << 20
-COUNT_BYTES = 16 << 20
+COUNT_BYTES = 12 << 20
 END = U(0x2545F4914F6CDD1D)
 WORD, PAIR = 0, 1
 
@@ -268,7 +268,7 @@ def score(docs: DataFrame, model: Model, max_broadcast_bytes: int = MAX_BROADCAS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = lookup.value
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             tokens, bounds = tokens_of(Texts.of(batch.column("text")))
             distinct, back = np.unique(tokens, return_inverse=True)
             c_word = table.count(distinct)[back]
