@@ -24,8 +24,10 @@ END_ID = 2
 GROUP_DOCS = 2048
 _CACHE_WORDS = 400_000
 # The tokenizer's own split of a word, written for printable ASCII and Latin-1 letters; other words go to it whole.
-_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*")
-_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+_OTHER = re.compile("[^\n!-~À-ÖØ-öø-ÿ]|<[|]")
+_PARTS = re.compile("\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\na-z0-9ß-öø-ÿ]+")
+_NO_ID = 0xFFFFFFFF
+_BREAK = np.array([_NO_ID], np.uint32).tobytes()
 
 
 class WordTokenizer:
@@ -49,37 +51,40 @@ class WordTokenizer:
         for at in range(0, len(parts), 1000):
             some = parts[at : at + 1000]
             ids = np.array(self.inner.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.flatnonzero(self.closes[ids]) + 1
+            ends = (4 * np.flatnonzero(self.closes[ids]) + 4).tolist()
             if len(ends) == len(some):
-                self.parts.update(zip(some, (x.tobytes() for x in np.split(ids, ends)), strict=False))
+                data = ids.tobytes()
+                self.parts.update(zip(some, (data[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
             else:
                 self.parts.update(zip(some, self._encode(some), strict=True))
 
-    def _learn(self, words: set[bytes]) -> None:
+    def _learn(self, words: list[bytes]) -> None:
         if len(self.words) + len(words) > _CACHE_WORDS:
             self.words.clear()
         if len(self.parts) > _CACHE_WORDS:
             self.parts.clear()
-        split, whole = {}, []
-        for word in words:
-            text = word.decode("utf-8", "replace")
-            if _PLAIN.fullmatch(text) and "<|" not in text:
-                split[word] = _PARTS.findall(text.lower())
-            else:
-                whole.append(word)
-        self._learn_parts(list({p for parts in split.values() for p in parts if p not in self.parts}))
-        known = self.parts
-        for word, parts in split.items():
-            self.words[word] = b"".join([known[p] for p in parts])
-        if whole:
-            self.words.update(zip(whole, self._encode([w.decode("utf-8", "replace") for w in whole]), strict=True))
+        text = b"\n".join(words).decode("utf-8", "replace")
+        if _OTHER.search(text):
+            odd = [w for w in words if _OTHER.search(w.decode("utf-8", "replace"))]
+            self.words.update(zip(odd, self._encode([w.decode("utf-8", "replace") for w in odd]), strict=True))
+            words = list(set(words).difference(odd))
+            text = b"\n".join(words).decode()
+        parts = _PARTS.findall(text.lower())  # a new line between words is a part of its own
+        self._learn_parts(list(set(parts).difference(self.parts, "\n")))
+        self.parts["\n"] = _BREAK
+        ids = b"".join(map(self.parts.__getitem__, parts))
+        ends = np.append(np.flatnonzero(np.frombuffer(ids, np.uint32) == _NO_ID) * 4, len(ids)).tolist()
+        at = 0
+        for word, end in zip(words, ends, strict=True):
+            self.words[word] = ids[at:end]
+            at = end + 4
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]  # at ASCII white space
         fresh = set().union(*split).difference(self.words)
         if fresh:
-            kept = set().union(*split) if len(self.words) + len(fresh) > _CACHE_WORDS else fresh
-            self._learn(kept)
+            every = len(self.words) + len(fresh) > _CACHE_WORDS  # the cache starts anew
+            self._learn(list(set().union(*split) if every else fresh))
         known = self.words.__getitem__
         return [b"".join(map(known, words)) for words in split]
 
