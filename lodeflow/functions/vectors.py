@@ -5,6 +5,8 @@ Null vectors give nulls; vectors of different lengths give null, as zip_with pad
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,26 +25,31 @@ def dot(a: Column, b: Column) -> Column:
     return total(F.zip_with(a, b, lambda x, y: x * y))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is worked out once: an expression that stands inside a lambda is otherwise repeated for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def norm(v: Column) -> Column:
-    return F.sqrt(dot(v, v))
+    return let(v, lambda u: F.sqrt(dot(u, u)))
 
 
 def l2_normalize(v: Column, eps: float = EPSILON) -> Column:
     """v / (|v| + eps); a zero vector stays zero."""
-    length = norm(v) + F.lit(eps)
-    return F.transform(v, lambda x: x / length)
+    return let(v, lambda u: let(F.sqrt(dot(u, u)) + F.lit(eps), lambda n: F.transform(u, lambda x: x / n)))
 
 
 def softmax(v: Column) -> Column:
     """Stable softmax with 1e-8 in the denominator."""
-    high = F.array_max(v)
-    exps = F.transform(v, lambda x: F.exp(x - high))
-    return F.transform(exps, lambda e: e / (total(exps) + EPSILON))
+    exps = lambda u: let(F.array_max(u), lambda high: F.transform(u, lambda x: F.exp(x - high)))
+    return let(v, lambda u: let(exps(u), lambda e: let(total(e) + F.lit(EPSILON), lambda t: F.transform(e, lambda x: x / t))))
 
 
 def log_softmax(v: Column) -> Column:
-    high = F.array_max(v)
-    return F.transform(v, lambda x: x - high - F.ln(total(F.transform(v, lambda u: F.exp(u - high)))))
+    def shifted(u: Column) -> Column:
+        return let(F.array_max(u), lambda high: F.transform(u, lambda x: x - high))
+
+    return let(v, lambda u: let(shifted(u), lambda d: let(F.ln(total(F.transform(d, lambda x: F.exp(x)))), lambda t: F.transform(d, lambda x: x - t))))
 
 
 def argmax(v: Column) -> Column:
@@ -53,8 +60,7 @@ def argmax(v: Column) -> Column:
 def variance(v: Column) -> Column:
     """Population variance of the non-null values."""
     known = F.filter(v, lambda x: x.isNotNull())
-    mean = total(known) / F.size(known)
-    return total(F.transform(known, lambda x: (x - mean) * (x - mean))) / F.size(known)
+    return let(known, lambda u: let(total(u) / F.size(u), lambda m: total(F.transform(u, lambda x: (x - m) * (x - m))) / F.size(u)))
 
 
 def one_hot(c: Column, classes: int) -> Column:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeflow.functions.vectors import argmax, dot, l2_normalize, softmax, variance
+from lodeflow.functions.vectors import argmax, dot, l2_normalize, let, softmax, variance
 
 PLACES = 6
 
@@ -41,10 +41,8 @@ def class_prototypes(df: DataFrame) -> DataFrame:
 def cosine_logits(df: DataFrame, protos: DataFrame, scale: float = 20.0) -> DataFrame:
     """df with classes and logits, arrays in the order of the class. A row for each class, so the table of prototypes is broadcast as one row."""
     packed = protos.agg(F.array_sort(F.collect_list(F.struct("y", "proto"))).alias("protos"))
-    unit = l2_normalize(F.col("z"))
-    return df.join(F.broadcast(packed)).select(
-        "*", F.transform("protos", lambda p: p["y"]).alias("classes"), F.transform("protos", lambda p: dot(unit, p["proto"]) * scale).alias("logits")
-    ).drop("protos")
+    logits = let(l2_normalize(F.col("z")), lambda unit: F.transform("protos", lambda p: dot(unit, p["proto"]) * scale))
+    return df.join(F.broadcast(packed)).select("*", F.transform("protos", lambda p: p["y"]).alias("classes"), logits.alias("logits")).drop("protos")
 
 
 def predicted(df: DataFrame) -> DataFrame:
@@ -67,9 +65,10 @@ def oof_signal(df: DataFrame, folds: int = 3, fold: str = "fold_no", scale: floa
         F.when(F.col("tn") - F.coalesce("n", F.lit(0)) > 0, l2_normalize(F.transform(_minus(F.col("t"), F.col("s")), lambda x: x / (F.col("tn") - F.coalesce("n", F.lit(0)))))).otherwise(_zeros(F.col("t"))).alias("proto"),
     )
     packed = rest.groupBy(fold).agg(F.array_sort(F.collect_list(F.struct("y", "proto"))).alias("protos"))
-    unit = l2_normalize(F.col("z"))
-    met = df.join(F.broadcast(packed), fold).withColumn("p", softmax(F.transform("protos", lambda p: dot(unit, p["proto"]) * scale)))
-    own = F.get("p", (F.array_position(F.transform("protos", lambda p: p["y"]), F.col("y")) - 1).cast("int"))
+    logits = let(l2_normalize(F.col("z")), lambda unit: F.transform("protos", lambda p: dot(unit, p["proto"]) * scale))
+    place = (F.array_position(F.transform("protos", lambda p: p["y"]), F.col("y")) - 1).cast("int")
+    met = df.join(F.broadcast(packed), fold).select("id", F.get(softmax(logits), place).alias("own"))
+    own = F.col("own")
     return met.select("id", F.round(own, PLACES).alias("cls"), F.round(-F.ln(own + 1e-8), PLACES).alias("loss"))
 
 
@@ -85,15 +84,15 @@ def prototype_signal(df: DataFrame, tau: float = 10.0) -> DataFrame:
     ratio = F.col("tn") / (F.col("tn") + tau)
 
     def shrunk(s: Column) -> Column:
-        return l2_normalize(F.zip_with(l2_normalize(s), F.col("g0"), lambda a, b: ratio * a + (1 - ratio) * b))
+        return l2_normalize(let(ratio, lambda r: F.zip_with(l2_normalize(s), F.col("g0"), lambda a, b: r * a + (1 - r) * b)))
 
     classes = total.join(F.broadcast(mean)).withColumn("own", shrunk(F.col("t")))
     packed = classes.agg(F.array_sort(F.collect_list(F.struct("y", "own"))).alias("protos"))
     met = df.join(F.broadcast(classes.drop("own")), "y").join(grouped, ["g", "y"]).join(F.broadcast(packed))
-    unit = l2_normalize(F.col("z"))
     left = F.when(F.col("tn") - F.col("gn") > 0, shrunk(_minus(F.col("t"), F.col("s")))).otherwise(F.col("g0"))
-    rivals = F.array_max(F.transform(F.filter("protos", lambda p: p["y"] != F.col("y")), lambda p: dot(unit, p["own"])))
-    return met.select("id", F.round(dot(unit, left) - F.coalesce(rivals, F.lit(0.0)), PLACES).alias("proto"))
+    others = F.filter("protos", lambda p: p["y"] != F.col("y"))
+    margin = let(l2_normalize(F.col("z")), lambda unit: dot(unit, left) - F.coalesce(F.array_max(F.transform(others, lambda p: dot(unit, p["own"]))), F.lit(0.0)))
+    return met.select("id", F.round(margin, PLACES).alias("proto"))
 
 
 #: Rows that one block of the neighbour search holds, about.
@@ -209,7 +208,7 @@ def gmm_signal(df: DataFrame, value: str = "loss", least: int = 100, gain: float
     means = [r.mean[0] for r in model.gaussiansDF.collect()]
     low = int(means[1] < means[0])
     scored = model.transform(rows).select("id", "v", F.get(vector_to_array("probability"), F.lit(low)).alias("gmm"))
-    check = scored.crossJoin(F.broadcast(rows.agg(F.median("v").alias("m")))).agg(F.count_if("gmm >= 0.5").alias("a"), F.avg(((F.col("gmm") >= 0.5) == (F.col("v") <= F.col("m"))).cast("int")).alias("same")).first()
+    check = scored.crossJoin(F.broadcast(rows.agg(F.median("v").alias("m")))).agg(F.count_if(F.col("gmm") >= 0.5).alias("a"), F.avg(((F.col("gmm") >= 0.5) == (F.col("v") <= F.col("m"))).cast("int")).alias("same")).first()
     if min(check.a, n - check.a) < least or check.same <= 0.5 + gain:
         return None
     return scored.select("id", "gmm")
