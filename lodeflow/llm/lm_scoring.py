@@ -31,7 +31,7 @@ from lodeflow.session import materialize
 
 #: Base of the logarithmic count scale.
 QUANTUM = 1.5
-BITS_PER_ITEM = 12
+BITS_PER_ITEM = 10
 MAX_LEVEL = 64
 MAX_BROADCAST_BYTES = 512 << 20
 COUNT_BYTES = 12 << 20
@@ -129,6 +129,7 @@ def _counted(train: DataFrame, bits: int) -> DataFrame:
             yield from pack(held)
 
     def gather(table: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()
         kind = table.column("kind")[0].as_py()
         keys, counts = _summed(np.concatenate(_unpack(table, "keys", U)), np.concatenate(_unpack(table, "counts", np.uint32)).astype(np.int64))
         again = int(counts[counts > 1].sum())
@@ -267,6 +268,7 @@ def score(docs: DataFrame, model: Model, max_broadcast_bytes: int = MAX_BROADCAS
     totals, train_tokens = (model.n_tokens, model.n_words, model.k), model.n_tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # what earlier tasks of this worker have left
         table = lookup.value
         for batch in slices(batches, "text", 1 << 20):
             tokens, bounds = tokens_of(Texts.of(batch.column("text")))
