@@ -230,7 +230,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int
     known = materialize(connected_components(star, "x", "y"))
 
     # block skipping
-    block = F.struct(F.floor(F.log("n") / float(np.log(100 / percent))).alias("size"), F.shiftright("pos", 3).alias("place"))
+    block = F.struct(F.floor(F.log("n") / max(0.01, float(np.log(100 / percent)))).alias("size"), F.shiftright("pos", 3).alias("place"))
     entry = index.join(known.withColumnRenamed("node", "sig"), "sig", "left").select("gram", "sig", "n", "pos", F.coalesce("component", "sig").alias("component"), block.alias("block"))
     lists = entry.groupBy("gram", "block").agg(
         F.min("pos").alias("pos"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("component").alias("low"), F.max("component").alias("high")
