@@ -70,9 +70,11 @@ def levels_of(counts: np.ndarray) -> np.ndarray:
     return np.minimum(1 + np.floor(np.log(counts) / np.log(QUANTUM) + 1e-9).astype(np.int64), MAX_LEVEL)
 
 
-def least_count(level: np.ndarray) -> np.ndarray:
-    """The smallest count on each level, 0 on level 0."""
-    return np.where(level > 0, np.ceil(QUANTUM ** (np.maximum(level, 1) - 1.0) - 1e-6), 0.0)
+def count_at(level: np.ndarray) -> np.ndarray:
+    """The middle of the counts on each level, 0 on level 0."""
+    low = np.ceil(QUANTUM ** (np.maximum(level, 1) - 1.0) - 1e-6)
+    high = np.ceil(QUANTUM ** np.maximum(level, 1).astype(float) - 1e-6) - 1
+    return np.where(level > 0, (low + np.maximum(high, low)) / 2, 0.0)
 
 
 def _piece(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -248,7 +250,7 @@ def log_probabilities(model: tuple[int, int, float], c_word: np.ndarray, c_befor
     """log10 of each token's base and model probability."""
     n_tokens, n_words, k = model
     base = (c_word + 0.5) / (n_tokens + 0.5 * (n_words + 1))
-    seen = np.minimum(np.minimum(least_count(level), c_word), c_before)
+    seen = np.minimum(np.minimum(count_at(level), c_word), c_before)
     return np.log10(base), np.log10((seen + k * base) / (c_before + k))
 
 
@@ -346,7 +348,9 @@ def _score_by_joins(docs: DataFrame, model: Model) -> DataFrame:
         .select("row", "doc_id", "held_out", "times", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("c_word", "c_before", "level")))
     )
     base = (F.col("c_word") + 0.5) / F.lit(model.n_tokens + 0.5 * (model.n_words + 1))
-    seen = F.when(F.col("level") > 0, F.least(F.ceil(F.pow(F.lit(QUANTUM), F.col("level") - 1.0) - 1e-6).cast("double"), F.col("c_word").cast("double"), F.col("c_before").cast("double"))).otherwise(0.0)
+    low, high = F.ceil(F.pow(F.lit(QUANTUM), F.col("level") - 1.0) - 1e-6), F.ceil(F.pow(F.lit(QUANTUM), F.col("level")) - 1e-6) - 1
+    middle = (low + F.greatest(low, high)) / 2
+    seen = F.when(F.col("level") > 0, F.least(middle, F.col("c_word").cast("double"), F.col("c_before").cast("double"))).otherwise(0.0)
     own = (seen + F.lit(k) * base) / (F.col("c_before") + F.lit(k))
     return (
         met.groupBy("row")
