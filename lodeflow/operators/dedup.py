@@ -101,18 +101,18 @@ def build_groups(df: DataFrame, radius: int = 8) -> DataFrame:
 
     Groups are numbered from 0 in the order of their smallest id. Rows without hash and fingerprint stand alone.
     """
-    by_hash = Window.partitionBy("file_hash")
-    with_first = df.withColumn("first", F.when(F.col("file_hash").isNotNull(), F.min("id").over(by_hash)).otherwise(F.col("id")))
-    heads = df.where("h IS NOT NULL").groupBy("h").agg(F.min("id").alias("head"))
-    near = hamming_pairs(df, radius).join(heads.select(F.col("h").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("h").alias("b"), F.col("head").alias("y")), "b")
+    rows = materialize(df.select("id", "file_hash", "h"))  # a fingerprint may be dear to make again
+    first = rows.where("file_hash IS NOT NULL").groupBy("file_hash").agg(F.min("id").alias("first"))
+    heads = rows.where("h IS NOT NULL").groupBy("h").agg(F.min("id").alias("head"))
+    near = hamming_pairs(rows, radius).join(heads.select(F.col("h").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("h").alias("b"), F.col("head").alias("y")), "b")
     links = (
-        with_first.select(F.col("id").alias("x"), F.col("first").alias("y"))
-        .unionByName(df.join(heads, "h").select(F.col("id").alias("x"), F.col("head").alias("y")))
+        rows.join(first, "file_hash").select(F.col("id").alias("x"), F.col("first").alias("y"))
+        .unionByName(rows.join(heads, "h").select(F.col("id").alias("x"), F.col("head").alias("y")))
         .unionByName(near.select("x", "y"))
     )
     components = connected_components(links, "x", "y").withColumnRenamed("node", "id")
-    rooted = df.join(components, "id", "left").withColumn("root", F.coalesce("component", "id")).drop("component")
-    return dense_ids(rooted, "root", "group_id").drop("root")
+    rooted = rows.join(components, "id", "left").select("id", F.coalesce("component", "id").alias("root"))
+    return df.join(dense_ids(rooted, "root", "group_id").select("id", "group_id"), "id")
 
 
 def dense_ids(df: DataFrame, key: str, name: str) -> DataFrame:
