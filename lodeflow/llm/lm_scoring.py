@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lodeflow.llm.ngram_jaccard import _bits, _unpack
 from lodeflow.llm.words import _ORDER, U, Texts, Words, mix, running, signed, slices
-from lodeflow.session import materialize
+from lodeflow.session import bound_batches, materialize
 
 #: Base of the logarithmic count scale.
 QUANTUM = 1.5
@@ -180,6 +180,7 @@ class Model:
 
 
 def fit(train: DataFrame) -> Model:
+    bound_batches(train.sparkSession)
     # a token is about six bytes, and each is counted by itself and with the one before it
     bits = _bits((train.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6)
     pieces = materialize(_counted(train, bits))
@@ -266,6 +267,7 @@ def score(docs: DataFrame, model: Model, max_broadcast_bytes: int = MAX_BROADCAS
     """
     if model.n_bytes > max_broadcast_bytes:
         return _score_by_joins(docs, model)
+    bound_batches(docs.sparkSession)
     lookup = docs.sparkSession.sparkContext.broadcast(Lookup.of(model))
     totals, train_tokens = (model.n_tokens, model.n_words, model.k), model.n_tokens
 
