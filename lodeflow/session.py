@@ -45,7 +45,7 @@ def materialize(df: DataFrame) -> DataFrame:
 def bound_batches(spark: SparkSession, most: int = 8 << 20) -> None:
     """Let no Arrow batch hold more than most bytes, however long its texts are; a lower bound of the session stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    text = str(spark.conf.get(key, "-1")).lower().rstrip("b")
+    text = spark.conf.get(key).lower().rstrip("b")
     if not text.isdigit() or int(text) > most:
         spark.conf.set(key, str(most))
 
