@@ -3,7 +3,8 @@
 1. Every document becomes the set of its hashed n-grams. Equal sets share one signature and stay one member.
 2. An inverted index over all n-grams is built in packed shards. It gives each n-gram's number of sets; those of
    a single set can never be common to two and only count towards its size. A set's n-grams are ordered from
-   rare to frequent, the lone ones first, and two sets that link share one within the prefixes of both.
+   rare to frequent, the lone ones first, and two sets that link share one within the prefixes of both. Any order
+   will do for that, so n-grams of very many sets need no count: they are dealt by set and come last.
 3. Each index list links its members with its most central one (the star), and what is linked needs no further
    comparison: members of one component skip each other.
 4. The rest of a list is split into blocks by size and position. Pairs of blocks that sizes or positions rule
@@ -31,6 +32,9 @@ PERCENT = 85
 DEAL_BYTES = 16 << 20
 #: N-grams of a shard, about: what one task sorts at once.
 SHARD_GRAMS = 2_000_000
+#: Share of all n-grams from which one is frequent (so at most the inverse of it are), and in how many sets it is then at least.
+FREQUENT_SHARE, FREQUENT_SETS = 1e-5, 1000
+_MANY = 0xFFFFFFFF
 
 
 def shingle_sets(texts: Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,19 +70,66 @@ def _bits(n_grams: int) -> int:
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, n_shingles and sig of each row; and rows without n_shingles, each for a share of the rows.
+
+    Those hold in frequent the n-grams of at least FREQUENT_SHARE of their share's entries, with their number of
+    sets. An n-gram with twice that share of all entries is found with half of its sets at least.
+    """
+
+    def tally(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        sig = np.concatenate([h[2] for h in held])
+        fresh = np.zeros(len(sig), bool)
+        fresh[np.unique(sig, return_index=True)[1]] = True
+        grams = np.concatenate([h[0] for h in held])[np.repeat(fresh, np.concatenate([np.diff(h[1]) for h in held]))]
+        found, count = np.unique(grams, return_counts=True)
+        often = (count > 1) & (count >= FREQUENT_SHARE * len(grams))
+        packed = np.stack([found[often], count[often].astype(U)], axis=1).tobytes()
+        none = pa.nulls(1, pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, none, pa.array([packed], pa.binary())], names=["doc_id", "n_shingles", "sig", "frequent"])
+
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, seen = [], 0
         for batch in slices(batches, "text"):
-            grams, bounds = shingle_sets(Texts.of(batch.column("text")), size)
+            texts = Texts.of(batch.column("text"))
+            grams, bounds = shingle_sets(texts, size)
+            sig = signatures(grams, bounds)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(bounds).astype(np.int64)), pa.array(signed(signatures(grams, bounds)))],
-                names=["doc_id", "n_shingles", "sig"],
+                [batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(bounds).astype(np.int64)), pa.array(signed(sig)), pa.nulls(batch.num_rows, pa.binary())],
+                names=["doc_id", "n_shingles", "sig", "frequent"],
             )
+            held.append((grams, bounds, sig))
+            seen += len(texts.data)
+            if seen >= DEAL_BYTES:
+                yield tally(held)
+                held, seen = [], 0
+        if held:
+            yield tally(held)
+
+    return docs.select("doc_id", "text").mapInArrow(measure, "doc_id bigint, n_shingles bigint, sig bigint, frequent binary")
+
+
+def _frequent(met: DataFrame, n_grams: int, least: int) -> np.ndarray:
+    """The n-grams in very many sets, in order: 1 / FREQUENT_SHARE of them at most."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column("frequent").to_pylist():
+                pairs = np.frombuffer(x, np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["gram", "sets"])
+
+    found = met.where("n_shingles IS NULL").select("frequent").mapInArrow(unpack, "gram bigint, sets bigint")
+    found = found.groupBy("gram").agg(F.sum("sets").alias("sets")).where(F.col("sets") >= max(least, FREQUENT_SHARE * n_grams))
+    return np.sort(np.array([r.gram for r in found.select("gram").collect()], np.int64).view(U))
+
 
-    return docs.select("doc_id", "text").mapInArrow(measure, "doc_id bigint, n_shingles bigint, sig bigint")
+def _among(grams: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    if not len(frequent):
+        return np.zeros(len(grams), bool)
+    return frequent[np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)] == grams
 
 
-def _deal(docs: DataFrame, size: int, bits: int) -> DataFrame:
-    """Every n-gram of every distinct set of a share of the documents, packed by the n-gram's shard."""
+def _deal(docs: DataFrame, size: int, bits: int, frequent: np.ndarray) -> DataFrame:
+    """Every n-gram of every distinct set of a share of the documents, packed by the n-gram's shard; frequent ones by their set's."""
 
     def pack(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         sig = np.concatenate([h[2] for h in held])
@@ -88,7 +139,8 @@ def _deal(docs: DataFrame, size: int, bits: int) -> DataFrame:
         fresh[np.unique(sig, return_index=True)[1]] = True
         owner = np.repeat(np.arange(len(sig)), count)
         grams, owner = grams[fresh[owner]], owner[fresh[owner]]
-        shard = (grams >> U(64 - bits)).astype(np.uint16)
+        by = np.where(_among(grams, frequent), sig[owner], grams)
+        shard = (by >> U(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
         order = np.argsort(shard, kind="stable")
         grams, owner, shard = grams[order], owner[order], shard[order]
         edge = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else np.zeros(0, np.int64)
@@ -125,8 +177,8 @@ def _unpack(table: pa.Table, name: str, kind: type) -> list[np.ndarray]:
     return [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
 
 
-def _shared(dealt: DataFrame, bits: int) -> DataFrame:
-    """For each shard of sets: their n-grams that other sets have too, and how many sets have each."""
+def _shared(dealt: DataFrame, bits: int, frequent: np.ndarray) -> DataFrame:
+    """For each shard of sets: their n-grams that other sets have too, and how many sets have each (_MANY if it is frequent)."""
 
     def count(table: pa.Table) -> pa.Table:
         sigs, sizes, place = _unpack(table, "sigs", U), _unpack(table, "sizes", np.uint32), _unpack(table, "place", np.uint32)
@@ -136,7 +188,7 @@ def _shared(dealt: DataFrame, bits: int) -> DataFrame:
         order = np.argsort(grams)
         ordered = grams[order]
         same = ordered[1:] == ordered[:-1]
-        order = order[np.append(same, False) | np.append(False, same)] if len(ordered) else order
+        order = order[np.append(same, False) | np.append(False, same) | _among(ordered, frequent)] if len(ordered) else order
         grams, at = grams[order], at[order]
         order = np.lexsort((sigs[at], grams))
         grams, at = grams[order], at[order]
@@ -144,7 +196,7 @@ def _shared(dealt: DataFrame, bits: int) -> DataFrame:
             once = np.append(True, (grams[1:] != grams[:-1]) | (sigs[at][1:] != sigs[at][:-1]))
             grams, at = grams[once], at[once]
             _, back, df = np.unique(grams, return_inverse=True, return_counts=True)
-            df = df[back]
+            df = np.where(_among(grams, frequent), _MANY, df[back])
             grams, at, df = grams[df > 1], at[df > 1], df[df > 1]
         else:
             df = np.zeros(0, np.int64)
@@ -207,7 +259,7 @@ def _overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.withColumn("linked", 100 * F.col("common") >= percent * (F.col("nx") + F.col("ny") - F.col("common")))
 
 
-def jaccard_components(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
+def jaccard_components(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT, frequent_sets: int = FREQUENT_SETS) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) for each row of docs.
 
     Two documents link when 100 * |a & b| >= percent * |a | b|. Null and empty texts have empty sets, link with
@@ -216,8 +268,10 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int
     not read, and an empty table gives an empty one.
     """
     met = materialize(_sets(docs, size))
-    bits = _bits(met.agg(F.sum("n_shingles")).first()[0] or 0)
-    sets = materialize(_candidates(_shared(_deal(docs, size, bits), bits), percent))
+    n_grams = met.agg(F.sum("n_shingles")).first()[0] or 0
+    bits, frequent = _bits(n_grams), _frequent(met, n_grams, frequent_sets)
+    met = met.where("n_shingles IS NOT NULL").drop("frequent")
+    sets = materialize(_candidates(_shared(_deal(docs, size, bits, frequent), bits, frequent), percent))
     reach = F.expr(f"n - ({percent} * n + 99) div 100 + 1 - lone").cast("int")
     index = sets.select("sig", "n", "lone", F.posexplode(F.slice("grams", F.lit(1), reach)).alias("place", "gram"))
     index = index.select("gram", "sig", "n", (F.col("lone") + F.col("place")).alias("pos"))

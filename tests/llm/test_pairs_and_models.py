@@ -71,11 +71,13 @@ def corpus(seed):
     return [*found, found[3], (None, found[5][1]), (None, "alone by itself it stands here")]
 
 
-@pytest.mark.parametrize(("seed", "size", "percent"), [(0, 4, 85), (1, 4, 85), (2, 5, 80), (3, 2, 60), (4, 4, 100)])
-def test_components_match_all_pairs(spark, seed, size, percent):
+@pytest.mark.parametrize(
+    ("seed", "size", "percent", "frequent_sets"), [(0, 4, 85, 1000), (1, 4, 85, 2), (2, 5, 80, 3), (2, 5, 80, 1000), (3, 2, 60, 4), (4, 4, 100, 1000)]
+)
+def test_components_match_all_pairs(spark, seed, size, percent, frequent_sets):
     rows = corpus(seed)
     df = spark.createDataFrame([(i, t, 0, "x") for i, t in rows], "doc_id long, text string, n_shingles int, component_id string")
-    found = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(df, size, percent).collect()), key=str)
+    found = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(df, size, percent, frequent_sets).collect()), key=str)
     assert found == brute_components(rows, size, percent)
 
 
