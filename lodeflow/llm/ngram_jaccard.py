@@ -143,8 +143,7 @@ def _deal(docs: DataFrame, size: int, bits: int, frequent: np.ndarray) -> DataFr
         shard = (by >> U(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
         order = np.argsort(shard, kind="stable")
         grams, owner, shard = grams[order], owner[order], shard[order]
-        edge = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else np.zeros(0, np.int64)
-        for a, b in zip(edge, np.append(edge[1:], len(shard)), strict=True):
+        for a, b in _runs(shard):
             who, place = np.unique(owner[a:b], return_inverse=True)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -173,6 +172,12 @@ def _deal(docs: DataFrame, size: int, bits: int, frequent: np.ndarray) -> DataFr
     return docs.select("text").mapInArrow(deal, "shard int, grams binary, place binary, sigs binary, sizes binary")
 
 
+def _runs(key: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Starts and ends of the runs of equal neighbours."""
+    edge = np.flatnonzero(key[1:] != key[:-1]) + 1
+    yield from zip([0, *edge], [*edge, len(key)], strict=True) if len(key) else ()
+
+
 def _unpack(table: pa.Table, name: str, kind: type) -> list[np.ndarray]:
     return [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
 
@@ -204,9 +209,8 @@ def _shared(dealt: DataFrame, bits: int, frequent: np.ndarray) -> DataFrame:
         grams, at, df = grams[order], at[order], df[order]
         sig = sigs[at]
         shard = (sig >> U(64 - bits)).astype(np.int64)
-        edge = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else np.zeros(0, np.int64)
         rows: dict[str, list] = {"shard": [], "sigs": [], "sizes": [], "counts": [], "grams": [], "df": []}
-        for a, b in zip(edge, np.append(edge[1:], len(shard)), strict=True):
+        for a, b in _runs(shard):
             who, first, many = np.unique(sig[a:b], return_index=True, return_counts=True)
             for name, x in (("sigs", who), ("sizes", sizes[at[a:b][first]]), ("counts", many.astype(np.uint32)), ("grams", grams[a:b]), ("df", df[a:b].astype(np.uint32))):
                 rows[name].append(x.tobytes())

@@ -83,6 +83,10 @@ def test_components_match_all_pairs(spark, seed, size, percent, frequent_sets):
 
 def test_components_of_nothing(spark):
     assert jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    for texts in (["", None], ["a b c d e", "f g h i j k"], ["lone", None]):  # no n-gram, or none that two share
+        rows = list(enumerate(texts))
+        found = sorted((tuple(r) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+        assert found == brute_components(rows, 4, 85)
 
 
 def lm_rows(seed=1):
