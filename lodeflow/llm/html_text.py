@@ -3,9 +3,11 @@
 A page becomes blocks of text in order, each with its tag path from the root to the leaf. Text length and
 punctuation are added up for each path and divided by its number of blocks; the product of the two ratios is
 smoothed over neighbouring blocks, fused with the raw one, and held against a threshold. The blocks that pass
-show where the article is: the article or main element that holds most of their weight, or without one the
-deepest element that holds nearly all of it. Every block in there belongs to the text, but for menus, headers,
-footers, sidebars, notices, adverts, forms and readers' comments, which their elements' names and classes show.
+show where the text is. Where article and main elements hold half of their weight or more, it is all of these
+elements that hold passing blocks, and what lies between them; otherwise the lowest element that holds every
+passing block. Headings and passing blocks right before it belong to it, too. Every block in there is kept, but
+for menus, headers, footers, sidebars, notices, adverts, forms and readers' comments, which their elements' names
+and classes show.
 """
 
 from __future__ import annotations
@@ -50,7 +52,9 @@ _LANDMARK = frozenset(("article", "main"))
 _PUNCTUATION = re.compile(r"[,.;:!?…。，、！？]")
 _SMOOTH = (1, 2, 3, 2, 1)
 _THRESHOLD = 0.5
-_MOST = 0.8
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that hold a text and not only one block of it.
+_CONTAINERS = frozenset("article body center details dialog div dl fieldset form header hgroup html main ol section table ul".split())
 
 
 class _Element:
@@ -133,6 +137,24 @@ def _blocks(page: str) -> list[tuple[_Element, str]]:
     return found
 
 
+def _way(element: _Element | None) -> list[_Element]:
+    """An element and all above it."""
+    way = []
+    while element:
+        way.append(element)
+        element = element.parent
+    return way
+
+
+def _common(elements: list[_Element]) -> _Element:
+    """The lowest element that holds all the given ones."""
+    way = _way(elements[0])
+    for element in elements[1:]:
+        above = set(_way(element))
+        way = [e for e in way if e in above]
+    return way[0]
+
+
 def main_text(page: str | None) -> str:
     """The main text of a page, its blocks in order on a line each; empty for a null or empty page or one without any."""
     blocks = _blocks(page or "")
@@ -151,37 +173,27 @@ def main_text(page: str | None) -> str:
     if not kept:
         return ""
     least = min(_THRESHOLD * sum(kept) / len(kept), max(kept))
-    by_landmark: dict[_Element, float] = defaultdict(float)
-    by_element: dict[_Element, float] = defaultdict(float)
-    depth: dict[_Element, int] = {}
-    total = 0.0
-    for (element, text), score in zip(blocks, fused, strict=True):
-        if element.skip or score < least:
-            continue
-        weight = score * len(text)
-        total += weight
-        if element.landmark:
-            by_landmark[element.landmark] += weight
-        up, way = element, []
-        while up:
-            way.append(up)
-            by_element[up] += weight
-            up = up.parent
-        for k, up in enumerate(reversed(way)):
-            depth[up] = k
-    if by_landmark:
-        root = max(by_landmark, key=by_landmark.__getitem__)
+    passing = [not e.skip and f >= least for (e, _), f in zip(blocks, fused, strict=True)]
+    weights: dict[_Element | None, float] = defaultdict(float)
+    for (element, text), score, good in zip(blocks, fused, passing, strict=True):
+        if good:
+            weights[element.landmark] += score * len(text)
+    landmarks = [e for e in weights if e]
+    if 2 * sum(weights[e] for e in landmarks) >= sum(weights.values()):
+        within = [e.landmark in landmarks for e, _ in blocks]
+        root = _common(landmarks)
+        first, last = within.index(True), len(within) - within[::-1].index(True)
+        chosen = [w or (first < i < last and root in _way(e)) for i, (w, (e, _)) in enumerate(zip(within, blocks, strict=True))]
     else:
-        root = max((e for e, w in by_element.items() if w >= _MOST * total and (e.tag in _BLOCK or not e.parent)), key=depth.__getitem__)
-
-    def inside(element: _Element | None) -> bool:
-        while element:
-            if element is root:
-                return True
-            element = element.parent
-        return False
-
-    return "\n".join(text for element, text in blocks if not element.skip and inside(element))
+        root = _common([e for (e, _), good in zip(blocks, passing, strict=True) if good])
+        while root.parent and root.tag not in _CONTAINERS:
+            root = root.parent
+        chosen = [root in _way(e) for e, _ in blocks]
+    chosen = [c and not e.skip for c, (e, _) in zip(chosen, blocks, strict=True)]
+    before = [i for i in range(chosen.index(True)) if not blocks[i][0].skip]
+    while before and (passing[before[-1]] or _HEADINGS.intersection(e.tag for e in _way(blocks[before[-1]][0]))):
+        chosen[before.pop()] = True
+    return "\n".join(text for (_, text), c in zip(blocks, chosen, strict=True) if c)
 
 
 def extract(pages: DataFrame) -> DataFrame:

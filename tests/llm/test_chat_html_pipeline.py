@@ -92,6 +92,22 @@ def test_pages(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+LONG = "A sentence of the text, with commas, and more words. "
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<body><div><h1>Title</h1><div class=intro>{LONG * 2}</div><div class=body>{LONG * 12}</div></div><div>foot</div></body>", ["Title", LONG * 2, LONG * 12]),
+        (f"<body><h1>Title</h1><div class=body><p>{LONG * 4}</p><h2>Part</h2><p>{LONG * 5}</p></div><div>foot</div></body>", ["Title", LONG * 4, "Part", LONG * 5]),
+        (f"<div><article><p>{LONG * 3}</p></article><h2>Between</h2><article><p>{LONG * 9}</p><ul><li>a</ul></article></div><div>foot</div>", [LONG * 3, "Between", LONG * 9, "a"]),
+        (f"<article><p>Teaser, a short one.</p></article><div class=body><p>{LONG * 9}</p><p>{LONG}</p></div>", [LONG * 9, LONG]),
+    ],
+)
+def test_whole_text_of_a_page(page, want):
+    assert html_text.main_text(page) == "\n".join(x.strip() for x in want)
+
+
 def test_real_pages(spark, sf):
     """The tables' pages hold their text in one article element."""
     import html
