@@ -7,7 +7,7 @@ show where the text is. Where article and main elements hold half of their weigh
 elements that hold passing blocks, and what lies between them; otherwise the lowest element that holds every
 passing block. Headings and passing blocks right before it belong to it, too. Every block in there is kept, but
 for menus, headers, footers, sidebars, notices, adverts, forms and readers' comments, which their elements' names
-and classes show.
+and classes show where the weights do not speak against them.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import html
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +26,7 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"""(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head "
@@ -42,35 +43,71 @@ _CLOSED_BY = {
     "th": (("td", "th"), ("tr", "table")),
     "option": (("option",), ("select",)),
 }
-_FURNITURE = frozenset("head nav footer aside form button select menu dialog script style noscript template iframe textarea svg title label input".split())
+_HIDDEN = frozenset("head select script style noscript template iframe textarea svg title input".split())
+_LINKS = frozenset("nav footer button menu".split())
+_FURNITURE = frozenset("aside form dialog label".split())
 _FURNITURE_NAMES = frozenset(
-    "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies disqus footer "
-    "menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted promotion related replies respond search share sharing "
+    "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs complementary contentinfo cookie cookies footer "
+    "menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted promotion related search share sharing "
     "sidebar skyscraper social sponsor sponsored subscribe toolbar widget widgets".split()
 )
+_READER_NAMES = frozenset("comment comments disqus replies respond".split())
+#: Last parts of a name that say nothing themselves, so that the part before them counts; names with one of the others name what is elsewhere.
+_CARRIERS = frozenset("area articles bar block body box button buttons container form inner item left links list posts right section signup slot unit wrap wrapper".split())
+_ELSEWHERE = frozenset("has hide is no non show with without".split())
+_OPEN, _NAMED, _READERS, _LINK, _HID = range(5)
 _LANDMARK = frozenset(("article", "main"))
+_MAIN_NAMES = frozenset("main main-content maincontent content-main site-main main_content".split())
 _PUNCTUATION = re.compile(r"[,.;:!?…。，、！？]")
 _SMOOTH = (1, 2, 3, 2, 1)
 _THRESHOLD = 0.5
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that are no furniture whatever their names.
+_OWN_TEXT = _HEADINGS | {"html", "body", "p"}
 #: Elements that hold a text and not only one block of it.
 _CONTAINERS = frozenset("article body center details dialog div dl fieldset form header hgroup html main ol section table ul".split())
 
 
+@lru_cache(4096)
+def _kind(name: str) -> int:
+    """What a whole name, or its last part that says something, makes of an element."""
+    parts = [x for x in re.split(r"[\s_-]+", name) if x]
+    if not _ELSEWHERE.isdisjoint(parts):
+        return _OPEN
+    while len(parts) > 1 and (parts[-1] in _CARRIERS or parts[-1].isdigit()):
+        parts.pop()
+    last = parts[-1] if parts else ""
+    return _READERS if last in _READER_NAMES else _NAMED if last in _FURNITURE_NAMES else _OPEN
+
+
 class _Element:
-    __slots__ = ("landmark", "parent", "path", "skip", "tag")
+    """kind: what the element's own tag and names make of it; apart: whether it or an element above is furniture by them."""
+
+    __slots__ = ("apart", "kind", "landmark", "parent", "path", "tag")
 
     def __init__(self, tag: str, attributes: str, parent: _Element | None) -> None:
         names: list[str] = []
-        for groups in _ATTRIBUTE.findall(attributes) if attributes else ():
-            names += re.split(r"[\s_-]+", "".join(groups).lower())
+        for key, *values in _ATTRIBUTE.findall(attributes) if attributes else ():
+            key, value = key.lower(), "".join(values).lower()
+            if key in ("class", "id", "role"):
+                names += value.split()
+            elif key == "aria-label":
+                names.append(value)
         self.tag, self.parent = tag, parent
         self.path = f"{parent.path if parent else ''}/{tag}{'.' + '.'.join(names) if names else ''}"
         above = parent.landmark if parent else None
-        self.landmark = above or (self if tag in _LANDMARK or "main" in names else None)
-        banner = tag == "header" and above is None
-        named = tag not in ("html", "body") and tag not in _LANDMARK and not _FURNITURE_NAMES.isdisjoint(names)
-        self.skip = bool(parent and parent.skip) or tag in _FURNITURE or banner or named
+        kind = _OPEN
+        if tag in _HIDDEN:
+            kind = _HID
+        elif tag in _LINKS:
+            kind = _LINK
+        elif tag in _FURNITURE or (tag == "header" and above is None):
+            kind = _NAMED
+        elif names and tag not in _OWN_TEXT and tag not in _LANDMARK:
+            kind = max(map(_kind, names))
+        self.kind = kind
+        self.landmark = above or (self if tag in _LANDMARK or (kind == _OPEN and not _MAIN_NAMES.isdisjoint(names)) else None)
+        self.apart = kind != _OPEN or bool(parent and parent.apart)
 
 
 def _blocks(page: str) -> list[tuple[_Element, str]]:
@@ -114,7 +151,7 @@ def _blocks(page: str) -> list[tuple[_Element, str]]:
                 flush()
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
-                    if stack[k].skip != stack[k].parent.skip:
+                    if stack[k].apart != stack[k].parent.apart:
                         flush()
                     del stack[k:]
                     break
@@ -129,7 +166,7 @@ def _blocks(page: str) -> list[tuple[_Element, str]]:
             parts.append(" ")
         elif tag not in _VOID:
             element = _Element(tag, token[4] or token[7] or "", stack[-1])
-            if element.skip != stack[-1].skip:
+            if element.apart != stack[-1].apart:
                 flush()
             stack.append(element)
     write(page[at:])
@@ -155,6 +192,48 @@ def _common(elements: list[_Element]) -> _Element:
     return way[0]
 
 
+def _least(scores: list[float]) -> float:
+    """The score that a block must reach to pass."""
+    return min(_THRESHOLD * sum(scores) / len(scores), max(scores))
+
+
+def _skipped(blocks: list[tuple[_Element, str]], fused: list[float]) -> list[bool]:
+    """Whether each block is in furniture. An element is none, whatever its tag and names, if it holds a main
+    element, most of the landmarks' weight or, but for lists of links and readers' comments, most of the passing
+    weight there; if that leaves no block, names do not count at all.
+    """
+    if not any(e.apart for e, _ in blocks):
+        return [False] * len(blocks)
+    ways = [_way(e) for e, _ in blocks]
+    shown = [i for i, way in enumerate(ways) if all(e.kind != _HID for e in way)]
+    weight = [f * len(t) for f, (_, t) in zip(fused, blocks, strict=True)]
+    rescued: set[_Element] = set()
+
+    def out(way: list[_Element], kinds: tuple[int, ...]) -> bool:
+        return any(e.kind in kinds and e not in rescued for e in way)
+
+    def rescue(some: list[int], kinds: tuple[int, ...], above: bool) -> None:
+        held: dict[_Element, float] = defaultdict(float)
+        for i in some:
+            for e in _way(blocks[i][0].landmark) if above else ways[i]:
+                held[e] += weight[i]
+        most = 0.5 * sum(weight[i] for i in some)
+        rescued.update(e for e, w in held.items() if e.kind in kinds and w > most)
+
+    marked = [i for i in shown if blocks[i][0].landmark]
+    for i in marked:
+        if blocks[i][0].landmark.tag == "main":
+            rescued.update(_way(blocks[i][0].landmark))
+    rescue(marked, (_NAMED, _READERS, _LINK), True)
+    inside = [i for i in marked if not out(_way(blocks[i][0].landmark), (_NAMED, _READERS, _LINK))]
+    some = [i for i in inside or shown if not out(ways[i], (_READERS, _LINK))]
+    if some:
+        least = _least([fused[i] for i in some])
+        rescue([i for i in some if fused[i] >= least], (_NAMED,), False)
+    found = [out(way, (_NAMED, _READERS, _LINK, _HID)) for way in ways]
+    return found if not all(found) else [out(way, (_LINK, _HID)) for way in ways]
+
+
 def main_text(page: str | None) -> str:
     """The main text of a page, its blocks in order on a line each; empty for a null or empty page or one without any."""
     blocks = _blocks(page or "")
@@ -169,11 +248,12 @@ def main_text(page: str | None) -> str:
     for i, own in enumerate(ratio):
         near = [(w, ratio[i + k - half]) for k, w in enumerate(_SMOOTH) if 0 <= i + k - half < len(ratio)]
         fused.append((own * sum(w * r for w, r in near) / sum(w for w, _ in near)) ** 0.5)
-    kept = [f for (e, _), f in zip(blocks, fused, strict=True) if not e.skip]
+    skip = _skipped(blocks, fused)
+    kept = [f for f, s in zip(fused, skip, strict=True) if not s]
     if not kept:
         return ""
-    least = min(_THRESHOLD * sum(kept) / len(kept), max(kept))
-    passing = [not e.skip and f >= least for (e, _), f in zip(blocks, fused, strict=True)]
+    least = _least(kept)
+    passing = [not s and f >= least for f, s in zip(fused, skip, strict=True)]
     weights: dict[_Element | None, float] = defaultdict(float)
     for (element, text), score, good in zip(blocks, fused, passing, strict=True):
         if good:
@@ -189,8 +269,8 @@ def main_text(page: str | None) -> str:
         while root.parent and root.tag not in _CONTAINERS:
             root = root.parent
         chosen = [root in _way(e) for e, _ in blocks]
-    chosen = [c and not e.skip for c, (e, _) in zip(chosen, blocks, strict=True)]
-    before = [i for i in range(chosen.index(True)) if not blocks[i][0].skip]
+    chosen = [c and not s for c, s in zip(chosen, skip, strict=True)]
+    before = [i for i in range(chosen.index(True)) if not skip[i]]
     while before and (passing[before[-1]] or _HEADINGS.intersection(e.tag for e in _way(blocks[before[-1]][0]))):
         chosen[before.pop()] = True
     return "\n".join(text for (_, text), c in zip(blocks, chosen, strict=True) if c)

@@ -108,6 +108,24 @@ def test_whole_text_of_a_page(page, want):
     assert html_text.main_text(page) == "\n".join(x.strip() for x in want)
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<div class='page has-sidebar'><article><p>{LONG}</p></article></div>", [LONG]),
+        (f"<div class='no-ads'><div class=content-with-comments><p>{LONG}</p></div></div>", [LONG]),
+        (f"<div class=related><main><p>{LONG}</p></main></div>", [LONG]),
+        (f"<form id=aspnetForm><div class=menu>x</div><h1>T</h1><p>{LONG * 3}</p></form>", ["T", LONG * 3]),
+        (f"<article><h1>T</h1><div class=widget><p>{LONG * 3}</p></div><div class=related-posts>More</div></article>", ["T", LONG * 3]),
+        (f"<article><p>{LONG}</p><h2 id='related-work'>R</h2><section id='notice-periods'>n</section><p class='comment'>c</p><div data-id='share-3'>d</div><div title='a class=ad'>e</div></article>", [LONG, "R", "n", "c", "d", "e"]),
+        (f"<article><p>{LONG}</p><div id='share-3'>no</div><div class='ad-slot'>no</div></article><div class=sidebar><p>{LONG * 20}</p></div>", [LONG]),
+        (f"<article><p>{LONG}</p></article><aside><article>Teaser</article></aside>", [LONG]),
+        (f"<div class=comments><p>{LONG}</p></div>", [LONG]),
+    ],
+)
+def test_names_do_not_outweigh_scores(page, want):
+    assert html_text.main_text(page) == "\n".join(x.strip() for x in want)
+
+
 def test_real_pages(spark, sf):
     """The tables' pages hold their text in one article element."""
     import html
