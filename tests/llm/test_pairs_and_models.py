@@ -228,6 +228,29 @@ def test_licences(spark):
     assert license_scan.license_scan(df.limit(0), license_scan.fit(df.limit(0))).count() == 0
 
 
+WRAPPED = {
+    "mit": "MIT License\n\nCopyright (c) 2020 A B\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n",
+    "bsd": "BSD 3-Clause License\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n",
+    "apache": "Licensed under the Apache License, Version 2.0\n(the \"License\"); you may not use this file except\nin compliance with the License.\n",
+    "gpl": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n",
+    "lgpl": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.\n",
+    "isc": "Permission to use, copy, modify, and/or distribute this\nsoftware for any purpose with or without fee is hereby\ngranted, provided that the above copyright notice and this\npermission notice appear in all copies.\n",
+    "cc": "Licensed under\nCC BY-NC 4.0.",
+    "zlib": "words\nThe text is licensed under the\nzlib License.",
+    "epl": "Eclipse Public License\n",
+}
+
+
+def test_wrapped_licences(spark):
+    prose = ["the river runs over stones and", "you may not copy this, any person", "license plates are yellow here under", "permission to walk in the park", "copyright is a word"]
+    rows = [(f"plain{i}", "\n".join(prose[(i + k) % 5] for k in range(4))) for i in range(20)]
+    rows += [(k, "before it, prose\n" + t + "after it, prose") for k, t in WRAPPED.items() if k not in ("cc", "epl")] + [(k, WRAPPED[k]) for k in ("cc", "epl")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    found = {r.doc_id: r for r in license_scan.license_scan(df, license_scan.fit(df)).collect()}
+    assert {k: found[k].families for k in WRAPPED} == {k: k for k in WRAPPED}
+    assert all(r.n_license == 0 for k, r in found.items() if k.startswith("plain"))
+
+
 def test_licence_plan_is_native(spark):
     df = spark.createDataFrame([(1, "Released under the MIT License.")], "doc_id long, text string")
     plan = license_scan.license_scan(df, license_scan.LicenseModel(["mit", "unknown"], [0.0, 0.0], [[0.1] * license_scan.BUCKETS, [0.0] * license_scan.BUCKETS], 0.5))
