@@ -62,22 +62,16 @@ def split_quota(df: DataFrame, val_ratio: float = 0.1, least: int = 10, folds: i
     return df.join(main.select("group_id", fold.alias("fold")), "group_id")
 
 
-#: Groups of several rows or classes that the sequential split handles on the driver at most.
-GREEDY_GROUPS = 2_000_000
-
-
-def split_greedy(df: DataFrame, val_ratio: float = 0.1, least: int = 10, folds: int = 3, seed: int = 42, most_groups: int = GREEDY_GROUPS) -> DataFrame:
+def split_greedy(df: DataFrame, val_ratio: float = 0.1, least: int = 10, folds: int = 3, seed: int = 42) -> DataFrame:
     """df (group_id, class_idx) with fold by the sequential rule over groups in a seeded random order.
 
     A group that touches a class of least rows or more is val if that strictly lowers the sum over these classes
     of |val - target|, target = max(1, int(n * val_ratio)), and train otherwise. Other groups go to the least
     loaded of oof_0 ..., ties in a random order of their own. The rule needs one pass in order, so the contingency
-    table of groups and classes is collected, behind a check of its size; beyond it use split_quota.
+    table of groups and classes passes the driver, which bounds the input by its memory; the rule is the same at
+    every size. split_quota is another rule, for larger inputs.
     """
     table = contingency(df).where("group_id IS NOT NULL")
-    groups = table.select("group_id").distinct().count()
-    if groups > most_groups:
-        return split_quota(df, val_ratio, least, folds, seed)
     by_group: dict[int, list[tuple[int, int]]] = {}
     totals: dict[int, int] = {}
     for r in table.orderBy("group_id", "class_idx").toLocalIterator():

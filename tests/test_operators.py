@@ -1,5 +1,6 @@
 """Hand-made cases for the operators: boundaries, nulls, ties, empty tables."""
 
+import inspect
 import random
 import zipfile
 
@@ -163,6 +164,23 @@ def test_groups_never_span_folds(spark, how):
     assert {r.fold[:3] for r in found.where("class_idx = 9").collect()} == {"oof"}
 
 
+def test_greedy_split_keeps_its_rule(spark):
+    rng = random.Random(5)
+    rows = [(rng.randrange(40), rng.choice([0, 0, 1, 2])) for _ in range(300)]
+    df = spark.createDataFrame(rows, "group_id long, class_idx int")
+    bound = {"most_groups": 1} if "most_groups" in inspect.signature(split.split_greedy).parameters else {}
+    goal, held, want = {c: max(1, int(sum(k == c for _, k in rows) * 0.1)) for c in range(3)}, dict.fromkeys(range(3), 0), {}
+    order = sorted({g for g, _ in rows})
+    random.Random(42).shuffle(order)
+    for g in order:
+        own = {c: rows.count((g, c)) for c in range(3)}
+        gain = sum(abs(held[c] + n - goal[c]) - abs(held[c] - goal[c]) for c, n in own.items())
+        want[g] = "val" if gain < 0 else "train"
+        for c, n in own.items():
+            held[c] += n * (gain < 0)
+    assert {r.group_id: r.fold for r in split.split_greedy(df, **bound).collect()} == want
+
+
 def test_weighted_sample_follows_weights(spark):
     df = spark.createDataFrame([(0, 1.0), (1, 3.0), (2, 0.0), (3, None)], "id long, w double")
     n = {r.id: r["count"] for r in split.weighted_sample(df, "w", 4000).groupBy("id").count().collect()}
