@@ -376,6 +376,19 @@ def early_stop_scan(spark, sf):
     return report.early_stopping(history, 5).select("epoch", "improved", _round(F.col("best")).alias("best"), "stale", "stopped")
 
 
+@_query(
+    """WITH h AS (SELECT p_brand || '-' || CAST(p_size AS VARCHAR) AS history, p_partkey AS epoch, p_retailprice / 1e4 AS acc FROM part),
+    b AS (SELECT *, greatest(coalesce(max(acc) OVER (PARTITION BY history ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS before FROM h),
+    i AS (SELECT *, acc > before AS improved, greatest(acc, before) AS best FROM b),
+    s AS (SELECT *, epoch - coalesce(max(CASE WHEN improved THEN epoch END) OVER (PARTITION BY history ORDER BY epoch), min(epoch) OVER (PARTITION BY history) - 1) AS stale FROM i)
+    SELECT history, epoch, improved, round(best, 6) AS best, CAST(stale AS BIGINT) AS stale, stale >= 5 AS stopped FROM s"""
+)
+def early_stop_histories(spark, sf):
+    history = F.concat_ws("-", "p_brand", F.col("p_size").cast("string")).alias("history")
+    rows = _read(spark, sf, "part").select(history, F.col("p_partkey").alias("epoch"), (F.col("p_retailprice") / F.lit(1e4)).alias("acc"))
+    return report.early_stopping(rows, 5, "history").select("history", "epoch", "improved", _round(F.col("best")).alias("best"), "stale", "stopped")
+
+
 @_query("SELECT conv_id, turn, " + BUCKET.format(seed=42, key="conv_id", n=5) + " AS fold_no FROM conversations")
 def group_kfold(spark, sf):
     return split.group_kfold(_read(spark, sf, "conversations"), 5, group="conv_id").select("conv_id", "turn", "fold_no")

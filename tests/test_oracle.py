@@ -40,6 +40,12 @@ def test_weighted_sample_draws_all(spark, sf):
     assert found.equals(core.QUERIES["weighted_sample"](spark, sf).toPandas()) or set(map(tuple, found.values)) == set(map(tuple, core.QUERIES["weighted_sample"](spark, sf).toPandas().values))
 
 
+def test_early_stopping_reads_all_of_part(spark, sf):
+    found = core.QUERIES["early_stop_histories"](spark, sf)
+    assert found.count() == spark.read.parquet(f"{sf}/part.parquet").count()
+    assert found.select("history").distinct().count() > 1
+
+
 def test_entry(spark):
     import __spark_entry__
 
