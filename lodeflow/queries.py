@@ -45,6 +45,12 @@ def _manifest(spark: SparkSession, sf: str) -> DataFrame:
     return audit.class_index(docs)
 
 
+def _join_hash(rows: DataFrame, first: DataFrame) -> DataFrame:
+    """rows with the columns of first for their file_hash, null ones among them."""
+    first = first.withColumnRenamed("file_hash", "first_hash")
+    return rows.join(first, F.col("file_hash").eqNullSafe(F.col("first_hash"))).drop("first_hash")
+
+
 def _features(spark: SparkSession, sf: str, folds: int = 3) -> DataFrame:
     emb = _read(spark, sf, "embeddings")
     z = emb.select(F.col("vec_id").alias("id"), F.col("label").cast("int").alias("y"), F.expr("vec_id div 2").alias("g"), V.doubles(F.col("embedding")).alias("z"))
@@ -356,7 +362,7 @@ def assign_parts(spark, sf):
 def dense_group_ids(spark, sf):
     rows = _manifest(spark, sf)
     first = rows.groupBy("file_hash").agg(F.min("id").alias("first"))
-    return dedup.dense_ids(rows.join(first, "file_hash"), "first", "group_id").select("id", "group_id")
+    return dedup.dense_ids(_join_hash(rows, first), "first", "group_id").select("id", "group_id")
 
 
 @_query(f"WITH {MANIFEST} SELECT id, label, class_idx FROM manifest")
@@ -412,14 +418,14 @@ def stratified_kfold(spark, sf):
 def split_quota(spark, sf):
     rows = _manifest(spark, sf)
     first = rows.groupBy("file_hash").agg(F.min("id").alias("group_id"))
-    return split.split_quota(rows.join(first, "file_hash").select("id", "group_id", "class_idx")).select("id", "group_id", "fold")
+    return split.split_quota(_join_hash(rows, first).select("id", "group_id", "class_idx")).select("id", "group_id", "fold")
 
 
 @_query()
 def split_greedy(spark, sf):
     rows = _manifest(spark, sf)
     first = rows.groupBy("file_hash").agg(F.min("id").alias("group_id"))
-    return split.split_greedy(rows.join(first, "file_hash").select("id", "group_id", "class_idx")).select("id", "group_id", "fold")
+    return split.split_greedy(_join_hash(rows, first).select("id", "group_id", "class_idx")).select("id", "group_id", "fold")
 
 
 @_query()

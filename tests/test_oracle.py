@@ -40,6 +40,17 @@ def test_weighted_sample_draws_all(spark, sf):
     assert found.equals(core.QUERIES["weighted_sample"](spark, sf).toPandas()) or set(map(tuple, found.values)) == set(map(tuple, core.QUERIES["weighted_sample"](spark, sf).toPandas().values))
 
 
+def test_null_texts_keep_their_rows(spark, tmp_path):
+    rows = [(i, None if i % 7 == 0 else f"text {i % 20}", "en", f"s{i % 2}", 6) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("split_quota", "dense_group_ids"):
+        ours, theirs = core.QUERIES[name](spark, str(tmp_path)).toPandas(), con.execute(core.ORACLE_SQL[name]).df()
+        assert len(ours) == 60 and sorted(map(str, ours[sorted(ours)].values.tolist())) == sorted(map(str, theirs[sorted(ours)].values.tolist()))
+    assert core.QUERIES["split_greedy"](spark, str(tmp_path)).count() == 60
+
+
 def test_early_stopping_reads_all_of_part(spark, sf):
     found = core.QUERIES["early_stop_histories"](spark, sf)
     assert found.count() == spark.read.parquet(f"{sf}/part.parquet").count()
