@@ -60,6 +60,10 @@ class HashedLinear:
     slope: float = 1.0
     shift: float = 0.0
 
+    @classmethod
+    def of(cls, weights: bytes, bias: float, slope: float, shift: float) -> HashedLinear:
+        return cls(np.frombuffer(weights, np.float32).reshape(len(KINDS), -1), bias, slope, shift)
+
     def scores(self, texts: Texts) -> np.ndarray:
         total = np.full(len(texts), self.bias)
         for table, (grams, bounds) in zip(self.weights, _gram_features(texts), strict=True):

@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeflow.llm import text_stats
-from lodeflow.llm.hashed_linear import HashedLinear, train
+from lodeflow.llm.hashed_linear import HashedLinear
+from lodeflow.llm.labelled import fit_in_task, short_enough
 from lodeflow.llm.quality_rules import keep_rows
 from lodeflow.llm.words import Texts, Words, running, slices
 from lodeflow.session import materialize
@@ -137,13 +138,11 @@ def fit(docs: DataFrame, per_side: int = SAMPLE_PER_SIDE) -> WeakClassifier:
     is_good = F.col("pattern").isin(good) if good else F.lit(False)
     distinct = cast.groupBy("rank").agg(F.min("pattern").alias("pattern"))
     chosen = distinct.where(is_good).orderBy("rank").limit(per_side).unionByName(distinct.where(~is_good).orderBy("rank").limit(per_side))
-    texts = docs.select(_rank(), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "rank")
-    rows = texts.groupBy("rank").agg(F.min("pattern").alias("pattern"), F.min("text").alias("text")).collect()  # at most 2 * per_side
-    rows.sort(key=lambda r: r.rank)
-    target = labels.posterior(np.array([r.pattern for r in rows], np.int64)) if rows else np.zeros(0)
-    share = target.mean() if len(target) else 0.5
-    weight = np.where(target >= 0.5, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9))
-    return WeakClassifier(labels, train([r.text for r in rows], target, weight))
+    texts = docs.where(short_enough("text")).select(_rank(), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "rank")
+    rows = texts.groupBy("rank").agg(F.min("pattern").alias("pattern"), F.min("text").alias("text"))  # at most 2 * per_side
+    chances = dict(zip(patterns.tolist(), labels.posterior(patterns).tolist(), strict=True)) if len(patterns) else {}
+    target = F.create_map(*(F.lit(x) for pair in chances.items() for x in pair))[F.col("pattern")] if chances else F.lit(0.5)
+    return WeakClassifier(labels, fit_in_task(rows.select("rank", "text", target.alias("target"))))
 
 
 SCHEMA = "doc_id bigint, votes_good int, votes_bad int, posterior double, p_good double, kept boolean"

@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from lodeflow.llm import text_stats
-from lodeflow.llm.hashed_linear import HashedLinear, train
-from lodeflow.llm.labelled import labelled_sample
+from lodeflow.llm.hashed_linear import HashedLinear
+from lodeflow.llm.labelled import fit_in_task, labelled_sample
 from lodeflow.llm.words import Texts, Words, slices
 
 MIN_WORDS = 10
@@ -23,12 +23,8 @@ SCHEMA = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> HashedLinear:
-    """Train on a bounded sample of the rows labelled 0 or 1 in labels.quality."""
-    rows = labelled_sample(docs, labels, "quality", per_class)
-    target = np.array([float(y) for _, y in rows])
-    share = target.mean() if len(target) else 0.5
-    weight = np.where(target == 1, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9))
-    return train([t for t, _ in rows], target, weight)
+    """Train on a bounded sample of the rows labelled 0 or 1 in labels.quality; see labelled_sample."""
+    return fit_in_task(labelled_sample(docs, labels, "quality", per_class))
 
 
 def judge(texts: Texts, model: HashedLinear, keep_at: float) -> dict[str, np.ndarray]:
