@@ -6,38 +6,53 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeflow.llm import packing, quality_classifier, quality_rules
-from lodeflow.llm.ngram_jaccard import jaccard_components
+from lodeflow.llm.ngram_jaccard import jaccard_rows, row_key
 from lodeflow.session import materialize
 
 #: Near duplicates share this percentage of their runs of so many words.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
+WORD = r"[^\x20\x09-\x0D]"
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep; the rules' classifier learns from the labels of these documents."""
+    """Documents that the quality rules keep; the rules' classifier learns from the labels of these documents.
+
+    A null, empty or very short text has too few words and goes. Equal texts are judged alike, repeated rows and null
+    ids stay or go with their text, and an empty table (or one without labels) gives what the base rules keep.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality_rules.keep_good(docs, quality_rules.fit(docs, labels))
 
 
 def apply_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weakly trained quality classifier keeps."""
+    """Documents that the weakly trained quality classifier keeps.
+
+    A null or empty text gets the scorer's bias only. Equal texts are judged alike, repeated rows and null ids stay or
+    go with their text; an empty table gives an empty one.
+    """
     return quality_classifier.keep_good(docs, quality_classifier.fit(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones: that with the smallest id.
+    """One row of each group of linked documents: that with the smallest id, and of these that with the least row key.
 
-    Of rows that repeat this id one stays. Rows with a null id cannot be told apart and all stay.
+    Rows are told apart by id and text, so unlike texts under one id are judged each for itself; of rows alike in both
+    one stays, with any of their other columns. A null id comes after all others. A document without words links with
+    nothing and stays; an empty table gives an empty one; other columns are handed on, whatever their names.
     """
-    found = jaccard_components(docs, NEAR_WORDS, NEAR_PERCENT).where("doc_id IS NOT NULL")
-    heads = materialize(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")))
-    single = docs.join(heads.where("rows = 1"), "doc_id", "left_semi")
-    repeated = docs.join(heads.where("rows > 1"), "doc_id", "left_semi")
-    return single.unionByName(repeated.dropDuplicates(["doc_id"])).unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    found = jaccard_rows(docs, NEAR_WORDS, NEAR_PERCENT).where("component IS NOT NULL")
+    rows = found.groupBy("component", "doc_id", "key").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key", "n")).alias("head")
+    heads = materialize(rows.groupBy("component").agg(first).select(F.col("head.key").alias("_row_key"), "head.n"))
+    marked = docs.select(row_key().alias("_row_key"), F.struct("*").alias("_row"))
+    single = marked.join(heads.where("n = 1"), "_row_key", "left_semi")
+    repeated = marked.join(heads.where("n > 1"), "_row_key", "left_semi").dropDuplicates(["_row_key"])
+    wordless = docs.where(F.col("text").isNull() | ~F.col("text").rlike(WORD))
+    return single.unionByName(repeated).select("_row.*").unionByName(wordless)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' tokens in sequences."""
+    """The documents' tokens in sequences: every row, repeated, null or long, as lodeflow.llm.packing.pack states."""
     return packing.pack(docs, packing.public_tokenizer())
 
 

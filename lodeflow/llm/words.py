@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 SLICE_BYTES = 2 << 20  # of text worked on at once; one longer text is a slice of its own
+_SEGMENT_BYTES = 4 << 20  # of a text hashed at once; a longer word or line is a segment of its own
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -102,11 +103,22 @@ class Texts:
         return np.flatnonzero(begins), np.flatnonzero(ends) + 1
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """64-bit hashes of data[starts:ends], equal for equal bytes wherever they lie."""
-        power, inverse = _power_tables(len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, U)
-        np.cumsum((self.data.astype(U) + U(1)) * power[: len(self.data)], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U) * _ORDER[0])
+        """64-bit hashes of data[starts:ends], equal for equal bytes wherever they lie; spans in order, none within another.
+
+        Works on one segment of the data after the other, so a very long text needs no arrays of its own length.
+        """
+        found, at = np.zeros(len(starts), U), 0
+        while at < len(starts):
+            low = int(starts[at])
+            to = max(at + 1, int(np.searchsorted(ends, low + _SEGMENT_BYTES, "right")))
+            part = self.data[low : int(ends[to - 1])]
+            power, inverse = _power_tables(len(part) + 1)
+            sums = np.zeros(len(part) + 1, U)
+            np.cumsum((part.astype(U) + U(1)) * power[: len(part)], out=sums[1:])
+            begin, end = starts[at:to] - low, ends[at:to] - low
+            found[at:to] = mix((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(U) * _ORDER[0])
+            at = to
+        return found
 
 
 def running(values: np.ndarray) -> np.ndarray:

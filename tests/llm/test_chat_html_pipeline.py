@@ -149,7 +149,7 @@ def test_pipeline_stages(spark, sf):
     extra = good.limit(3).unionByName(good.limit(2).withColumn("doc_id", F.lit(None).cast("bigint"))).unionByName(good.limit(1).withColumn("doc_id", F.lit(10**9)))
     alone = corpus_pipeline.drop_near_copies(spark, corpus_pipeline.materialize(good.unionByName(extra)), sf).collect()
     ids = [r.doc_id for r in alone]
-    assert len(ids) - ids.count(None) == len({i for i in ids if i is not None}) and 10**9 not in ids and ids.count(None) == 2
+    assert len(ids) == len(set(ids)) and 10**9 not in ids and None not in ids  # rows without an id are copies like others
     sets = [(r.doc_id, frozenset(zip(*(r.text.lower().split()[k:] for k in range(5)), strict=False))) for r in alone if r.doc_id is not None]
     for i, (_, a) in enumerate(sets):
         for _, b in sets[:i]:
@@ -158,6 +158,34 @@ def test_pipeline_stages(spark, sf):
     assert set(packed.doc_id) == {r.doc_id for r in good.collect()} and packed.groupby("sequence_id").length.sum().max() <= 4096
 
 
+def test_near_copies_under_repeated_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    schema = "doc_id long, text string, key string, component int"
+
+    def kept(rows):
+        docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], schema)
+        out = corpus_pipeline.drop_near_copies(spark, docs, "")
+        assert out.columns == docs.columns
+        return sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+
+    assert kept([(1, a), (5, b), (5, a)]) == [(1, a), (5, b)]
+    assert kept([(5, a), (5, b)]) == [(5, a), (5, b)]
+    assert kept([(5, a), (5, a), (None, a), (7, a + " more")]) == [(5, a)]
+    assert kept([(None, a), (None, a)]) == [(None, a)]
+    assert kept([(1, ""), (2, None), (2, None), (3, " \n")]) == sorted([(1, ""), (2, None), (2, None), (3, " \n")], key=str)
+    assert kept([]) == []
+
+
+def test_stages_on_nothing(spark, sf):
+    """Every stage, and the classifiers' fits, on an empty table and on null texts only."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for rows in ([], [(1, None), (None, None), (1, "")]):
+        some = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(None).cast(t) for c, t in docs.dtypes if c not in ("doc_id", "text")}).select(docs.columns)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, some, sf)
+            assert out.count() == (0 if name == "quality rules" else len(rows) if name == "packing" or name.startswith("n-gram") else out.count())
+
+
 def test_clean_documents_stay(spark):
     sf = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
