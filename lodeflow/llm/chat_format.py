@@ -11,7 +11,7 @@ at control strings finds the template's own ones only, and dropping each escapin
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BEGIN, END, TURN, BODY = "<s>", "</s>", "[TURN]", "[BODY]"
@@ -72,8 +72,9 @@ def format_chat(turns: DataFrame) -> DataFrame:
     turns: conv_id, turn, role, parts (PARTS); other columns are not read. Turns stand in the order of turn
     (nulls first), ties by role and written text, so repeated rows stay and stand together. A null role is an
     empty one; null parts and parts of an unknown type leave nothing. Rows with a null conv_id are one
-    conversation. loss_spans are starts and ends, in code points of formatted, of the assistant's written
-    bodies. Attachments are numbered from 0 by turn and place; nothing is dropped. No rows give no rows.
+    conversation. loss_spans are starts and ends, in code points and in UTF-8 bytes of formatted, of the
+    assistant's written bodies. A conversation is one row in the end, however many or long its turns are; the work
+    on it follows its length. Attachments are numbered from 0 by turn and place; nothing is dropped. No rows give no rows.
     """
     parts = F.coalesce(F.col("parts"), F.array().cast(PARTS))
     written = F.concat_ws("", F.transform(parts, lambda p: F.when(p["type"] == "text", escape(F.coalesce(p["text"], F.lit("")))).otherwise(_mark(p))))
@@ -83,21 +84,22 @@ def format_chat(turns: DataFrame) -> DataFrame:
     role = F.coalesce("role", F.lit(""))
     head = F.concat(F.lit(BEGIN + TURN), escape(role), F.lit(BODY))
     said = turns.select("conv_id", "turn", role.alias("role"), head.alias("head"), written.alias("body"), seen.alias("seen"))
-    item = F.struct("turn", "role", "body", "head", "seen")
-    held = said.groupBy("conv_id").agg(F.sort_array(F.collect_list(item)).alias("t"))
-    size = lambda t: F.length(t["head"]) + F.length(t["body"]) + len(END)
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,stop:bigint>>").alias("spans"))
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "body", "head", "seen").rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda size: F.coalesce(F.sum(size(F.col("head")) + size(F.col("body")) + len(END)).over(before), F.lit(0))
+    placed = said.withColumns({"at": total(F.length), "byte": total(F.octet_length)})
+    item = F.struct("at", "byte", "role", "body", "head", "seen")
+    held = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(item)).alias("t"))
 
-    def step(state: Column, t: Column) -> Column:
-        first = state["at"] + F.length(t["head"])
-        span = F.struct(first.alias("start"), (first + F.length(t["body"])).alias("stop"))
-        return F.struct((state["at"] + size(t)).alias("at"), F.when(t["role"] == "assistant", F.array_append(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
+    def span(t: Column) -> Column:
+        start, byte = t["at"] + F.length(t["head"]), t["byte"] + F.octet_length(t["head"])
+        ends = (start, start + F.length(t["body"]), byte, byte + F.octet_length(t["body"]))
+        return F.struct(*(x.cast("bigint").alias(name) for name, x in zip(("start", "stop", "byte_start", "byte_stop"), ends, strict=True)))
 
     seen_all = F.flatten(F.transform("t", lambda t, i: F.transform(t["seen"], lambda a: F.struct(i.alias("turn_no"), a["type"].alias("type"), a["ref"].alias("ref"), a["tokens"].alias("tokens")))))
     return held.select(
         "conv_id",
         F.array_join(F.transform("t", lambda t: F.concat(t["head"], t["body"], F.lit(END))), "").alias("formatted"),
-        F.aggregate("t", start, step)["spans"].alias("loss_spans"),
+        F.transform(F.filter("t", lambda t: t["role"] == "assistant"), span).alias("loss_spans"),
         seen_all.alias("attachments"),
     ).withColumn("expanded_tokens", F.aggregate("attachments", F.lit(0).cast("bigint"), lambda s, a: s + a["tokens"]))
 
@@ -114,8 +116,13 @@ def read_back(formatted: Column) -> Column:
 
 
 def loss_text(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped, nothing between."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substr(formatted, (s["start"] + 1).cast("int"), (s["stop"] - s["start"]).cast("int")))), "")
+    """All text under the loss mask, unescaped, nothing between; cut out by bytes, which need no walk from the start."""
+
+    def cut(data: Column) -> Column:
+        part = lambda s: F.substr(data, (s["byte_start"] + 1).cast("int"), (s["byte_stop"] - s["byte_start"]).cast("int"))
+        return F.array_join(F.transform(spans, lambda s: unescape(F.decode(part(s), "UTF-8"))), "")
+
+    return F.transform(F.array(F.encode(formatted, "UTF-8")), cut)[0]  # encoded once
 
 
 def digests(chats: DataFrame) -> DataFrame:
@@ -141,7 +148,7 @@ def digests(chats: DataFrame) -> DataFrame:
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     own = "</s>[INST] ok [/INST]"
-    probe = spark.createDataFrame([(-7, 0, "user", own), (-7, 1, "assistant", own)], rows.schema)
+    probe = spark.range(2).select(F.lit(-7).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(own).alias("text"))
     turns = rows.unionByName(probe).select("conv_id", "turn", "role", text_parts(F.col("text")).alias("parts"))
     return digests(format_chat(turns))
 

@@ -15,17 +15,17 @@ from __future__ import annotations
 import html
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|textarea|select|svg|title)\b[^>]*+>.*?</\1\s*+>|<[!?][^>]*+>"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>",
-    re.S | re.I,
-)
+from lodeflow.llm.words import slices
+
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
+#: Elements whose content is no markup, up to their end tag.
+_RAW = {tag: re.compile(rf"</{tag}\s*+>", re.I) for tag in "script style noscript template iframe textarea select svg title".split()}
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
@@ -80,12 +80,24 @@ def _kind(name: str) -> int:
     return _READERS if last in _READER_NAMES else _NAMED if last in _FURNITURE_NAMES else _OPEN
 
 
-class _Element:
-    """kind: what the element's own tag and names make of it; apart: whether it or an element above is furniture by them."""
+class _Page:
+    """A page's elements in document order, each after its parent, and its blocks: element and text, white space as single spaces.
 
-    __slots__ = ("apart", "kind", "landmark", "parent", "path", "tag")
+    kind: what an element's own tag and names make of it; landmark: the outermost main element that holds it, itself
+    included (-1: none); path: a number for its tag path with names; last: the last element within it.
+    """
 
-    def __init__(self, tag: str, attributes: str, parent: _Element | None) -> None:
+    def __init__(self, page: str) -> None:
+        self.tags, self.parents, self.kinds, self.landmarks, self.paths = [""], [-1], [_OPEN], [-1], [0]
+        self.apart = [False]
+        self.known: dict[tuple[int, str], int] = {}
+        self.blocks: list[tuple[int, str]] = []
+        self._read(page)
+        self.last = list(range(len(self.tags)))
+        for e in range(len(self.tags) - 1, 0, -1):
+            self.last[self.parents[e]] = max(self.last[self.parents[e]], self.last[e])
+
+    def _add(self, tag: str, attributes: str, parent: int) -> int:
         names: list[str] = []
         for key, *values in _ATTRIBUTE.findall(attributes) if attributes else ():
             key, value = key.lower(), "".join(values).lower()
@@ -93,185 +105,215 @@ class _Element:
                 names += value.split()
             elif key == "aria-label":
                 names.append(value)
-        self.tag, self.parent = tag, parent
-        self.path = f"{parent.path if parent else ''}/{tag}{'.' + '.'.join(names) if names else ''}"
-        above = parent.landmark if parent else None
-        kind = _OPEN
+        above, kind = self.landmarks[parent], _OPEN
         if tag in _HIDDEN:
             kind = _HID
         elif tag in _LINKS:
             kind = _LINK
-        elif tag in _FURNITURE or (tag == "header" and above is None):
+        elif tag in _FURNITURE or (tag == "header" and above < 0):
             kind = _NAMED
         elif names and tag not in _OWN_TEXT and tag not in _LANDMARK:
             kind = max(map(_kind, names))
-        self.kind = kind
-        self.landmark = above or (self if tag in _LANDMARK or (kind == _OPEN and not _MAIN_NAMES.isdisjoint(names)) else None)
-        self.apart = kind != _OPEN or bool(parent and parent.apart)
-
-
-def _blocks(page: str) -> list[tuple[_Element, str]]:
-    """Each block's element and text, white space as single spaces."""
-    stack = [_Element("", "", None)]
-    found: list[tuple[_Element, str]] = []
-    parts: list[str] = []
-    owner: list[_Element] = []
-
-    def flush() -> None:
-        text = " ".join(html.unescape("".join(parts)).split())
-        if text:
-            found.append((owner[0], text))
-        parts.clear()
-        owner.clear()
-
-    def close_to(kinds: tuple[str, ...], fence: tuple[str, ...]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in kinds:
+        number = len(self.tags)
+        own = tag in _LANDMARK or (kind == _OPEN and not _MAIN_NAMES.isdisjoint(names))
+        step = (self.paths[parent], ".".join([tag, *names]))
+        self.tags.append(tag)
+        self.parents.append(parent)
+        self.kinds.append(kind)
+        self.landmarks.append(above if above >= 0 else number if own else -1)
+        self.paths.append(self.known.setdefault(step, len(self.known) + 1))
+        self.apart.append(kind != _OPEN or self.apart[parent])
+        return number
+
+    def _read(self, page: str) -> None:
+        stack, parts, owner = [0], [], []
+        opened = defaultdict(list)  # by tag: the places in the stack
+        tags, apart = self.tags, self.apart
+
+        def flush() -> None:
+            text = " ".join(html.unescape("".join(parts)).split())
+            if text:
+                self.blocks.append((owner[0], text))
+            parts.clear()
+            owner.clear()
+
+        def close(k: int) -> None:
+            for e in stack[k:]:
+                opened[tags[e]].pop()
+            del stack[k:]
+
+        def place(kinds: tuple[str, ...]) -> int:
+            return max((opened[x][-1] for x in kinds if opened[x]), default=0)
+
+        def close_to(kinds: tuple[str, ...], fence: tuple[str, ...]) -> None:
+            k = place(kinds)
+            if k > place(fence):
                 flush()
-                del stack[k:]
-                return
-            if stack[k].tag in fence:
-                return
-
-    def write(text: str) -> None:
-        if text:
-            if not owner and not text.isspace():
-                owner.append(stack[-1])
-            parts.append(text)
-
-    at = 0
-    for token in _TOKEN.finditer(page):
-        write(page[at : token.start()])
-        at = token.end()
-        tag = (token[3] or token[6] or "").lower()
-        if not tag:
-            continue
-        if token[2] or token[5]:
-            if tag in _BLOCK:
-                flush()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    if stack[k].apart != stack[k].parent.apart:
+                close(k)
+
+        def write(text: str) -> None:
+            if text:
+                if not owner and not text.isspace():
+                    owner.append(stack[-1])
+                parts.append(text)
+
+        at, end = 0, page.rfind(">") + 1  # behind it there is no tag
+        unclosed: set[str] = set()
+        while token := _TOKEN.search(page, at, end):
+            write(page[at : token.start()])
+            at = token.end()
+            tag = (token[2] or token[5] or "").lower()
+            if not tag:
+                continue
+            if token[1] or token[4]:
+                if tag in _BLOCK:
+                    flush()
+                if k := place((tag,)):
+                    if apart[stack[k]] != apart[self.parents[stack[k]]]:
                         flush()
-                    del stack[k:]
-                    break
-            continue
-        if tag in _ENDS_PARAGRAPH:
-            close_to(("p",), ("table", "td", "th", "button", "caption"))
-        if tag in _CLOSED_BY:
-            close_to(*_CLOSED_BY[tag])
-        if tag in _BLOCK:
-            flush()
-        if tag == "br":
-            parts.append(" ")
-        elif tag not in _VOID:
-            element = _Element(tag, token[4] or token[7] or "", stack[-1])
-            if element.apart != stack[-1].apart:
+                    close(k)
+                continue
+            if tag in _RAW and tag not in unclosed:
+                if raw := _RAW[tag].search(page, at, end):
+                    at = raw.end()
+                    continue
+                unclosed.add(tag)
+            if tag in _ENDS_PARAGRAPH:
+                close_to(("p",), ("table", "td", "th", "button", "caption"))
+            if tag in _CLOSED_BY:
+                close_to(*_CLOSED_BY[tag])
+            if tag in _BLOCK:
                 flush()
-            stack.append(element)
-    write(page[at:])
-    flush()
-    return found
+            if tag == "br":
+                parts.append(" ")
+            elif tag not in _VOID:
+                element = self._add(tag, token[3] or token[6] or "", stack[-1])
+                if apart[element] != apart[stack[-1]]:
+                    flush()
+                opened[tag].append(len(stack))
+                stack.append(element)
+        write(page[at:])
+        flush()
+
+    def inherited(self, marked: list[bool]) -> list[bool]:
+        """Whether an element or one above it is marked."""
+        found = list(marked)
+        for e in range(1, len(found)):
+            found[e] = found[e] or found[self.parents[e]]
+        return found
+
+    def held(self, weights: dict[int, float]) -> list[float]:
+        """By element: the sum of the weights of all elements within it."""
+        found = [0.0] * len(self.tags)
+        for e, w in weights.items():
+            found[e] += w
+        for e in range(len(found) - 1, 0, -1):
+            found[self.parents[e]] += found[e]
+        return found
+
+    def common(self, elements: set[int]) -> int:
+        """The lowest element that holds all the given ones."""
+        low, high = min(elements), max(elements)
+        root = low
+        while self.last[root] < high:
+            root = self.parents[root]
+        return root
 
 
-def _way(element: _Element | None) -> list[_Element]:
-    """An element and all above it."""
-    way = []
-    while element:
-        way.append(element)
-        element = element.parent
-    return way
+def _least(scores: list[float]) -> float:
+    """The score that a block must reach to pass."""
+    return min(_THRESHOLD * sum(scores) / len(scores), max(scores))
 
 
-def _common(elements: list[_Element]) -> _Element:
-    """The lowest element that holds all the given ones."""
-    way = _way(elements[0])
-    for element in elements[1:]:
-        above = set(_way(element))
-        way = [e for e in way if e in above]
-    return way[0]
+def fused_scores(paths: list[int], texts: list[str]) -> list[float]:
+    """For each block: its path's text length and punctuation ratios multiplied, fused with their smoothed course."""
+    size, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
+    for path, text in zip(paths, texts, strict=True):
+        size[path] += len(text)
+        marks[path] += len(_PUNCTUATION.findall(text))
+        count[path] += 1
+    ratio = [size[p] / count[p] * (1 + marks[p] / count[p]) for p in paths]
+    half = len(_SMOOTH) // 2
+    fused = []
+    for i, own in enumerate(ratio):
+        near = [(w, ratio[i + k - half]) for k, w in enumerate(_SMOOTH) if 0 <= i + k - half < len(ratio)]
+        fused.append((own * sum(w * r for w, r in near) / sum(w for w, _ in near)) ** 0.5)
+    return fused
 
 
-def _least(scores: list[float]) -> float:
-    """The score that a block must reach to pass."""
-    return min(_THRESHOLD * sum(scores) / len(scores), max(scores))
+def _sums(pairs: Iterable[tuple[int, float]]) -> dict[int, float]:
+    found: dict[int, float] = defaultdict(float)
+    for key, value in pairs:
+        found[key] += value
+    return found
 
 
-def _skipped(blocks: list[tuple[_Element, str]], fused: list[float]) -> list[bool]:
+def _skipped(page: _Page, fused: list[float]) -> list[bool]:
     """Whether each block is in furniture. An element is none, whatever its tag and names, if it holds a main
     element, most of the landmarks' weight or, but for lists of links and readers' comments, most of the passing
     weight there; if that leaves no block, names do not count at all.
     """
-    if not any(e.apart for e, _ in blocks):
+    blocks, kinds, landmark = page.blocks, page.kinds, page.landmarks
+    if not any(page.apart[e] for e, _ in blocks):
         return [False] * len(blocks)
-    ways = [_way(e) for e, _ in blocks]
-    shown = [i for i, way in enumerate(ways) if all(e.kind != _HID for e in way)]
+    hidden = page.inherited([k == _HID for k in kinds])
+    shown = [i for i, (e, _) in enumerate(blocks) if not hidden[e]]
     weight = [f * len(t) for f, (_, t) in zip(fused, blocks, strict=True)]
-    rescued: set[_Element] = set()
-
-    def out(way: list[_Element], kinds: tuple[int, ...]) -> bool:
-        return any(e.kind in kinds and e not in rescued for e in way)
-
-    def rescue(some: list[int], kinds: tuple[int, ...], above: bool) -> None:
-        held: dict[_Element, float] = defaultdict(float)
-        for i in some:
-            for e in _way(blocks[i][0].landmark) if above else ways[i]:
-                held[e] += weight[i]
-        most = 0.5 * sum(weight[i] for i in some)
-        rescued.update(e for e, w in held.items() if e.kind in kinds and w > most)
-
-    marked = [i for i in shown if blocks[i][0].landmark]
-    for i in marked:
-        if blocks[i][0].landmark.tag == "main":
-            rescued.update(_way(blocks[i][0].landmark))
-    rescue(marked, (_NAMED, _READERS, _LINK), True)
-    inside = [i for i in marked if not out(_way(blocks[i][0].landmark), (_NAMED, _READERS, _LINK))]
-    some = [i for i in inside or shown if not out(ways[i], (_READERS, _LINK))]
+    rescued = [False] * len(kinds)
+
+    def out(of: tuple[int, ...]) -> list[bool]:
+        return page.inherited([k in of and not r for k, r in zip(kinds, rescued, strict=True)])
+
+    def rescue(at: list[tuple[int, float]], of: tuple[int, ...]) -> None:
+        most = 0.5 * sum(w for _, w in at)
+        for e, w in enumerate(page.held(_sums(at))):
+            if kinds[e] in of and w > most:
+                rescued[e] = True
+
+    marked = [(landmark[blocks[i][0]], i) for i in shown if landmark[blocks[i][0]] >= 0]
+    for e, w in enumerate(page.held({m: 1.0 for m, _ in marked if page.tags[m] == "main"})):
+        rescued[e] = w > 0
+    rescue([(m, weight[i]) for m, i in marked], (_NAMED, _READERS, _LINK))
+    lost = out((_NAMED, _READERS, _LINK))
+    inside = [i for m, i in marked if not lost[m]]
+    lost = out((_READERS, _LINK))
+    some = [i for i in inside or shown if not lost[blocks[i][0]]]
     if some:
         least = _least([fused[i] for i in some])
-        rescue([i for i in some if fused[i] >= least], (_NAMED,), False)
-    found = [out(way, (_NAMED, _READERS, _LINK, _HID)) for way in ways]
-    return found if not all(found) else [out(way, (_LINK, _HID)) for way in ways]
+        rescue([(blocks[i][0], weight[i]) for i in some if fused[i] >= least], (_NAMED,))
+    lost = out((_NAMED, _READERS, _LINK, _HID))
+    if all(lost[e] for e, _ in blocks):
+        lost = out((_LINK, _HID))
+    return [lost[e] for e, _ in blocks]
 
 
-def main_text(page: str | None) -> str:
+def main_text(html_page: str | None) -> str:
     """The main text of a page, its blocks in order on a line each; empty for a null or empty page or one without any."""
-    blocks = _blocks(page or "")
-    size, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
-    for element, text in blocks:
-        size[element.path] += len(text)
-        marks[element.path] += len(_PUNCTUATION.findall(text))
-        count[element.path] += 1
-    ratio = [size[e.path] / count[e.path] * (1 + marks[e.path] / count[e.path]) for e, _ in blocks]
-    half = len(_SMOOTH) // 2
-    fused = []
-    for i, own in enumerate(ratio):
-        near = [(w, ratio[i + k - half]) for k, w in enumerate(_SMOOTH) if 0 <= i + k - half < len(ratio)]
-        fused.append((own * sum(w * r for w, r in near) / sum(w for w, _ in near)) ** 0.5)
-    skip = _skipped(blocks, fused)
+    page = _Page(html_page or "")
+    blocks, landmark = page.blocks, page.landmarks
+    fused = fused_scores([page.paths[e] for e, _ in blocks], [t for _, t in blocks])
+    skip = _skipped(page, fused)
     kept = [f for f, s in zip(fused, skip, strict=True) if not s]
     if not kept:
         return ""
     least = _least(kept)
     passing = [not s and f >= least for f, s in zip(fused, skip, strict=True)]
-    weights: dict[_Element | None, float] = defaultdict(float)
-    for (element, text), score, good in zip(blocks, fused, passing, strict=True):
-        if good:
-            weights[element.landmark] += score * len(text)
-    landmarks = [e for e in weights if e]
-    if 2 * sum(weights[e] for e in landmarks) >= sum(weights.values()):
-        within = [e.landmark in landmarks for e, _ in blocks]
-        root = _common(landmarks)
+    weights = _sums((landmark[e], f * len(t)) for (e, t), f, good in zip(blocks, fused, passing, strict=True) if good)
+    marked = {e for e in weights if e >= 0}
+    if 2 * sum(weights[e] for e in marked) >= sum(weights.values()):
+        root = page.common(marked)
+        within = [landmark[e] in marked for e, _ in blocks]
         first, last = within.index(True), len(within) - within[::-1].index(True)
-        chosen = [w or (first < i < last and root in _way(e)) for i, (w, (e, _)) in enumerate(zip(within, blocks, strict=True))]
+        chosen = [w or (first < i < last and root <= e <= page.last[root]) for i, (w, (e, _)) in enumerate(zip(within, blocks, strict=True))]
     else:
-        root = _common([e for (e, _), good in zip(blocks, passing, strict=True) if good])
-        while root.parent and root.tag not in _CONTAINERS:
-            root = root.parent
-        chosen = [root in _way(e) for e, _ in blocks]
+        root = page.common({e for (e, _), good in zip(blocks, passing, strict=True) if good})
+        while root and page.tags[root] not in _CONTAINERS:
+            root = page.parents[root]
+        chosen = [root <= e <= page.last[root] for e, _ in blocks]
     chosen = [c and not s for c, s in zip(chosen, skip, strict=True)]
+    heading = page.inherited([t in _HEADINGS for t in page.tags])
     before = [i for i in range(chosen.index(True)) if not skip[i]]
-    while before and (passing[before[-1]] or _HEADINGS.intersection(e.tag for e in _way(blocks[before[-1]][0]))):
+    while before and (passing[before[-1]] or heading[blocks[before[-1]][0]]):
         chosen[before.pop()] = True
     return "\n".join(text for (_, text), c in zip(blocks, chosen, strict=True) if c)
 
@@ -280,18 +322,16 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of pages (page_id, url, html).
 
     A null, empty or textless page gives an empty text. Repeated rows and null ids stay; other columns are not
-    read; an empty table gives an empty one.
+    read; an empty table gives an empty one. A very long page is read whole, in time and memory that follow its length.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = [main_text(x) for x in part.column("html").to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("page_id").cast(pa.int64()), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-                    names=["page_id", "url", "text", "n_chars"],
-                )
+        for part in slices(batches, "html"):
+            texts = [main_text(x.as_py()) for x in part.column("html")]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("page_id").cast(pa.int64()), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+                names=["page_id", "url", "text", "n_chars"],
+            )
 
     return pages.select("page_id", "url", "html").mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
 

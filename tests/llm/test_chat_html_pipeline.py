@@ -1,6 +1,7 @@
 """Chat formatting, page texts and the pipeline."""
 
 import hashlib
+import time
 
 import duckdb
 import numpy as np
@@ -52,7 +53,19 @@ def test_typed_parts(spark):
     r = C.format_chat(spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{part}>")).first()
     assert r.formatted == "<s>[TURN]user[BODY]see [IMAGE] [\\IMAGE][AUDIO]</s><s>[TURN]assistant[BODY][DOCUMENT]read</s><s>[TURN]assistant[BODY]</s>"
     assert [(a.turn_no, a.type, a.ref, a.tokens) for a in r.attachments] == [(0, "image", "a.png", 4), (0, "audio", "b.wav", 38), (1, "document", "c.pdf", 1536)]
-    assert r.expanded_tokens == 1578 and [r.formatted[a:b] for a, b in r.loss_spans] == ["[DOCUMENT]read", ""]
+    assert r.expanded_tokens == 1578 and [r.formatted[x.start : x.stop] for x in r.loss_spans] == ["[DOCUMENT]read", ""]
+
+
+def test_long_conversation(spark):
+    """The work on a conversation follows its length: 20,000 turns of 400 characters."""
+    turns = spark.range(20_000).select(
+        F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.repeat(F.lit("é</s> x"), 50), F.col("id").cast("string")).alias("text")
+    )
+    start = time.perf_counter()
+    r = C.digests(C.format_chat(turns.select("conv_id", "turn", "role", C.text_parts(F.col("text")).alias("parts")))).first()
+    assert time.perf_counter() - start < 20
+    said = "".join("é</s> x" * 50 + str(i) for i in range(1, 20_000, 2))
+    assert r.n_turns == 20_000 and r.loss_chars == len(said) and r.loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
 
 
 def test_chat_plan_is_native(spark, sf):
@@ -126,6 +139,26 @@ def test_names_do_not_outweigh_scores(page, want):
     assert html_text.main_text(page) == "\n".join(x.strip() for x in want)
 
 
+@pytest.mark.parametrize("page", ["<script>x" * 20_000, "<b>x" * 40_000, "<div>x, y." * 40_000, '<p a="' * 30_000, "<" * 200_000, "<!--" * 50_000, "<ul><li><p>One, two." * 20_000])
+def test_time_follows_length(page):
+    start = time.perf_counter()
+    html_text.main_text(page)
+    assert time.perf_counter() - start < 10
+
+
+def test_ratios_by_hand():
+    """Each block's ratios, smoothing and fusion, counted from their definition."""
+    paths, texts = [1, 2, 2, 3, 2], ["Menu", "One, two. Three!", "Four", "x" * 7, "Five; six."]
+    ratio = []
+    for p in paths:
+        own = [t for q, t in zip(paths, texts, strict=True) if q == p]
+        marks = sum(c in ",.;:!?…。，、！？" for t in own for c in t)
+        ratio.append(sum(map(len, own)) / len(own) * (1 + marks / len(own)))
+    for i, got in enumerate(html_text.fused_scores(paths, texts)):
+        near = [(3 - abs(k - i), ratio[k]) for k in range(5) if abs(k - i) <= 2]
+        assert abs(got**2 - ratio[i] * sum(w * r for w, r in near) / sum(w for w, _ in near)) < 1e-9 * got**2
+
+
 def test_real_pages(spark, sf):
     """The tables' pages hold their text in one article element."""
     import html
