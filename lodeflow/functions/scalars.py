@@ -111,6 +111,33 @@ def duration(seconds: Column) -> Column:
     return F.printf(F.lit("%d:%02d:%02d"), F.floor(s / 3600), F.floor(F.pmod(s, F.lit(3600)) / 60), F.pmod(s, F.lit(60)))
 
 
+def block_bar(share: Column, width: int = 30) -> Column:
+    """Full and light blocks, the full ones rounded half to even."""
+    full = F.bround(clip(share, 0.0, 1.0) * width).cast("int")
+    return F.concat(F.repeat(F.lit("█"), full), F.repeat(F.lit("░"), F.lit(width) - full))
+
+
+def clock(seconds: Column) -> Column:
+    """mm:ss below an hour, h:mm:ss from there; nothing is below 0."""
+    s = F.greatest(F.floor(seconds), F.lit(0)).cast("bigint")
+    h, m = F.floor(s / 3600), F.floor(F.pmod(s, F.lit(3600)) / 60)
+    return F.when(h > 0, F.printf(F.lit("%d:%02d:%02d"), h, m, F.pmod(s, F.lit(60)))).otherwise(F.printf(F.lit("%02d:%02d"), m, F.pmod(s, F.lit(60))))
+
+
+def image_kind(content: Column) -> Column:
+    """jpeg, png, gif, bmp or webp by a file's first bytes, if it also ends as such a file must; null otherwise."""
+    head, size = F.hex(F.substring(content, 1, 12)), F.octet_length(content)
+    tail = lambda n: F.hex(F.substring(content, -n, n))
+    little = lambda text, at: F.conv(F.concat(*(F.substring(text, at + 2 * i, 2) for i in (3, 2, 1, 0))), 16, 10).cast("bigint")
+    return (
+        F.when(F.startswith(head, F.lit("FFD8FF")) & (tail(2) == "FFD9"), "jpeg")
+        .when(F.startswith(head, F.lit("89504E470D0A1A0A")) & (tail(8) == "49454E44AE426082"), "png")
+        .when((F.startswith(head, F.lit("474946383761")) | F.startswith(head, F.lit("474946383961"))) & (tail(1) == "3B"), "gif")
+        .when(F.startswith(head, F.lit("424D")) & (little(head, 5) == size), "bmp")
+        .when(F.startswith(head, F.lit("52494646")) & F.endswith(head, F.lit("57454250")) & (little(head, 9) + 8 <= size), "webp")
+    )
+
+
 def layers(spec: str | int | list[int] | None, count: int) -> list[int]:
     """Layer indices for None (none), 'all', 'last_n', a number of last layers, or a list."""
     if spec is None:

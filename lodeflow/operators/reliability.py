@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeflow.functions.vectors import argmax, dot, l2_normalize, let, softmax, variance
+from lodeflow.session import materialize
 
 PLACES = 6
 
@@ -191,11 +192,11 @@ def compute_q0(df: DataFrame, weights: dict[str, float] | None = None, folds: in
     return tail_protection(fuse_q0(wide, weights))
 
 
-def gmm_signal(df: DataFrame, value: str = "loss", least: int = 100, gain: float = 0.05, seed: int = 42) -> DataFrame | None:
+def gmm_signal(df: DataFrame, value: str = "loss", least: int = 100, gain: float = 0.05, seed: int = 42, starts: int = 3) -> DataFrame | None:
     """id and gmm, the posterior of the component of low values of a mixture of two; None where the mixture says little.
 
-    That is: fewer than 2 * least rows, a hard cluster below least, or agreement with the split at the median of
-    at most 0.5 + gain.
+    The mixture is the likeliest of starts fits. It says little with fewer than 2 * least rows, a hard cluster below
+    least, or agreement with the split at the median of at most 0.5 + gain.
     """
     from pyspark.ml.clustering import GaussianMixture
     from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -204,7 +205,9 @@ def gmm_signal(df: DataFrame, value: str = "loss", least: int = 100, gain: float
     n = rows.count()
     if n < 2 * least:
         return None
-    model = GaussianMixture(k=2, seed=seed, maxIter=100).fit(rows)
+    rows = materialize(rows)
+    fits = [GaussianMixture(k=2, seed=seed + i, maxIter=200).fit(rows) for i in range(starts)]
+    model = max(fits, key=lambda m: m.summary.logLikelihood)
     means = [r.mean[0] for r in model.gaussiansDF.collect()]
     low = int(means[1] < means[0])
     scored = model.transform(rows).select("id", "v", F.get(vector_to_array("probability"), F.lit(low)).alias("gmm"))

@@ -69,6 +69,35 @@ def progress(log: DataFrame) -> DataFrame:
     return found.groupBy("stage").agg(F.min("line_no").alias("first_line"), F.max_by("done", "line_no").alias("done"), F.max_by("total", "line_no").alias("total"), F.max_by("rate", "line_no").alias("rate"))
 
 
+# The lines that an archive audit logs, a total for each stage and its progress.
+AUDIT_TOTAL = r"\[(train|test)\]\s+.*?(\d+)\s*个文件"
+AUDIT_PROGRESS = r"\[(train|test)\]\s+(\d+)/(\d+)\s+\(([\d.]+)%\)，可用\s+(\d+)，异常\s+(\d+)，([\d.]+)\s*张/秒"
+
+
+def audit_progress(log: DataFrame) -> DataFrame:
+    """Last state of each stage in an audit's log (line_no, line): stage, first_line, announced, done, total, percent, usable,
+    anomalies and rate. announced is the last total that the log names; a stage with a total only has nulls in what follows it.
+    """
+    part = lambda shape, i: F.regexp_extract("line", shape, i)
+    total, state = F.col("line").rlike(AUDIT_TOTAL), F.col("line").rlike(AUDIT_PROGRESS)
+    names = ("done", "total", "percent", "usable", "anomalies", "rate")
+    kinds = ("bigint", "bigint", "double", "bigint", "bigint", "double")
+    values = F.struct(*(part(AUDIT_PROGRESS, i + 2).cast(k).alias(n) for i, (n, k) in enumerate(zip(names, kinds, strict=True))))
+    found = log.where(total | state).select(
+        "line_no",
+        F.when(state, part(AUDIT_PROGRESS, 1)).otherwise(part(AUDIT_TOTAL, 1)).alias("stage"),
+        F.when(total, part(AUDIT_TOTAL, 2).cast("bigint")).alias("announced"),
+        F.when(state, values).alias("state"),
+    )
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("line_no"))).alias(c)
+    return found.groupBy("stage").agg(F.min("line_no").alias("first_line"), last("announced"), last("state")).select("stage", "first_line", "announced", "state.*")
+
+
+def audit_share(states: DataFrame) -> DataFrame:
+    """One row: what is done of all announced totals; null without any."""
+    return states.agg((F.coalesce(F.sum("done"), F.lit(0)) / F.nullif(F.sum("announced"), F.lit(0))).alias("share"))
+
+
 def overall(states: DataFrame) -> DataFrame:
     """One row: done over total of all stages."""
     return states.agg(F.coalesce(F.sum("done") / F.sum("total"), F.lit(0.0)).alias("share"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeflow.functions.scalars import seeded_bucket, seeded_uniform
+from lodeflow.operators.dedup import dense_ids
 
 
 def class_parts(df: DataFrame, head: float = 0.33, tail: float = 0.33, key: str = "class_idx") -> DataFrame:
@@ -62,43 +63,68 @@ def split_quota(df: DataFrame, val_ratio: float = 0.1, least: int = 10, folds: i
     return df.join(main.select("group_id", fold.alias("fold")), "group_id")
 
 
-def split_greedy(df: DataFrame, val_ratio: float = 0.1, least: int = 10, folds: int = 3, seed: int = 42) -> DataFrame:
-    """df (group_id, class_idx) with fold by the sequential rule over groups in a seeded random order.
+#: Groups that split_greedy takes at most: its rule is one pass in order, held by the driver.
+GREEDY_GROUPS = 5_000_000
 
-    A group that touches a class of least rows or more is val if that strictly lowers the sum over these classes
-    of |val - target|, target = max(1, int(n * val_ratio)), and train otherwise. Other groups go to the least
-    loaded of oof_0 ..., ties in a random order of their own. The rule needs one pass in order, so the contingency
-    table of groups and classes passes the driver, which bounds the input by its memory; the rule is the same at
-    every size. split_quota is another rule, for larger inputs.
-    """
-    table = contingency(df).where("group_id IS NOT NULL")
-    by_group: dict[int, list[tuple[int, int]]] = {}
+
+def greedy_folds(groups: list[tuple[int, list[tuple[int, int]]]], val_ratio: float, least: int, folds: int, seed: int) -> list[tuple[int, str]]:
+    """The fold of each group (number, counts by class); groups come in the order of their numbers."""
     totals: dict[int, int] = {}
-    for r in table.orderBy("group_id", "class_idx").toLocalIterator():
-        by_group.setdefault(r.group_id, []).append((r.class_idx, r.n))
-        totals[r.class_idx] = totals.get(r.class_idx, 0) + r.n
-    goal = {c: max(1, int(n * val_ratio)) for c, n in totals.items() if n >= least}
-    held, load = dict.fromkeys(goal, 0), [0] * folds
-    order, rng = list(by_group), random.Random(seed)
+    for _, counts in groups:
+        for c, n in counts:
+            totals[c] = totals.get(c, 0) + n
+    missing = {c: max(1, int(n * val_ratio)) for c, n in totals.items() if n >= least}  # rows that val still wants of a class
+    load = {c: [0] * folds for c in totals if c not in missing}
+    rng, found = random.Random(seed), []
+    order = list(range(len(groups)))
     rng.shuffle(order)
-    found = []
     for g in order:
-        large = [(c, n) for c, n in by_group[g] if c in goal]
-        if large:
-            gain = sum(abs(held[c] + n - goal[c]) - abs(held[c] - goal[c]) for c, n in large)
-            fold = "val" if gain < 0 else "train"
-            if fold == "val":
-                for c, n in large:
-                    held[c] += n
+        number, counts = groups[g]
+        wanted = [(c, n) for c, n in counts if c in missing]
+        if wanted:
+            closer = sum(abs(missing[c]) - abs(missing[c] - n) for c, n in wanted) > 0
+            for c, n in wanted if closer else ():
+                missing[c] -= n
+            found.append((number, "val" if closer else "train"))
         else:
             ties = list(range(folds))
             rng.shuffle(ties)
-            k = min(ties, key=load.__getitem__)
-            load[k] += sum(n for _, n in by_group[g])
-            fold = f"oof_{k}"
-        found.append((g, fold))
-    folds_df = df.sparkSession.createDataFrame(found, "group_id bigint, fold string")
-    return df.join(folds_df, "group_id", "left")
+            fold = min(ties, key=lambda k: sum(load[c][k] for c, _ in counts))
+            for c, n in counts:
+                load[c][fold] += n
+            found.append((number, f"oof_{fold}"))
+    return found
+
+
+def split_greedy(df: DataFrame, val_ratio: float = 0.1, least: int = 10, folds: int = 3, seed: int = 42, groups_at_most: int = GREEDY_GROUPS) -> DataFrame:
+    """df (group_id, class_idx) with fold by the sequential rule over groups in a seeded random order.
+
+    A group that touches a class of least rows or more is val if that strictly lowers the sum over these classes
+    of |val - target|, target = max(1, int(n * val_ratio)), and train otherwise. Other groups go to the one of
+    oof_0 ... that holds the fewest rows of the group's own classes, ties in a random order of their own. Rows
+    without a group have no fold. The rule needs one pass in order, so the table of groups and classes passes the
+    driver: above groups_at_most groups this raises ValueError, and so do fewer than two folds. split_quota is another
+    rule without such a pass; nothing changes to it by itself.
+    """
+    if folds < 2:
+        raise ValueError("at least two folds are needed")
+    table = contingency(df).where("group_id IS NOT NULL").groupBy("group_id").agg(F.sort_array(F.collect_list(F.struct("class_idx", "n"))).alias("counts"))
+    n_groups = table.count()
+    if n_groups > groups_at_most:
+        raise ValueError(f"{n_groups} groups are more than the sequential rule takes ({groups_at_most}); split_quota has no such bound")
+    groups = [(r.group_id, [(c.class_idx, c.n) for c in r.counts]) for r in table.orderBy("group_id").toLocalIterator()]
+    found = greedy_folds(groups, val_ratio, least, folds, seed)
+    return df.join(df.sparkSession.createDataFrame(found, "group_id bigint, fold string"), "group_id", "left")
+
+
+def epoch_order(df: DataFrame, seed: int, epoch: int, key: str = "id") -> DataFrame:
+    """df with position: its rows' order from 0 in one epoch, a shuffle that the seed, the epoch and the key decide.
+
+    Positions are counted in ranges of the shuffle's hash, so no task holds all rows. Equal keys get one position.
+    """
+    mixed = F.md5(F.concat(F.lit(f"{seed}:{epoch}:"), F.col(key).cast("string")))
+    ranked = dense_ids(df.select(key).distinct().withColumn("_mixed", F.struct(mixed.alias("h"), F.col(key).alias("k"))), "_mixed", "position")
+    return df.join(ranked.select(key, "position"), key)
 
 
 def weighted_sample(df: DataFrame, weight: str, draws: int, seed: int = 42, id_col: str = "id") -> DataFrame:
@@ -115,7 +141,11 @@ def weighted_sample(df: DataFrame, weight: str, draws: int, seed: int = 42, id_c
     sums = ranged.groupBy("part").agg(F.sum("w").alias("total"))
     before = sums.withColumn("before", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
     total = sums.agg(F.sum("total")).first()[0] or 0.0
-    placed = ranged.withColumn("own", own).join(F.broadcast(before), "part").select("part", "id", (F.col("before") + F.col("own")).alias("high"), (F.col("before") + F.col("own") - F.col("w")).alias("low"))
+    placed = ranged.withColumn("own", own).join(F.broadcast(before), "part").select("part", "id", (F.col("before") + F.col("own") - F.col("w")).alias("low"))
     points = df.sparkSession.range(draws).select(F.col("id").alias("draw"), (seeded_uniform(F.col("id"), seed) * F.lit(total)).alias("at"))
-    points = points.join(F.broadcast(before), (F.col("at") >= F.col("before")) & (F.col("at") < F.col("before") + F.col("total"))).select("draw", "at", "part")
-    return points.join(placed, ["part"]).where("at >= low AND at < high").select("draw", "id")
+    points = points.join(F.broadcast(before), (F.col("at") >= F.col("before")) & (F.col("at") < F.col("before") + F.col("total")))
+    # a point belongs to the last row that begins at it or before it
+    rows = placed.select("part", F.col("low").alias("at"), F.lit(0).alias("kind"), "id", F.lit(None).cast("bigint").alias("draw"))
+    both = rows.unionByName(points.select("part", "at", F.lit(1).alias("kind"), F.lit(None).cast(rows.schema["id"].dataType).alias("id"), "draw"))
+    upto = Window.partitionBy("part").orderBy("at", "kind", "id").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("id", F.last("id", ignorenulls=True).over(upto)).where("kind = 1").select("draw", "id")

@@ -5,14 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeflow.operators import dedup, reliability, split
+from lodeflow.operators import audit, dedup, reliability, split
 from lodeflow.session import materialize
 
 
-def audit_to_split(manifest: DataFrame, radius: int = 8, val_ratio: float = 0.1, folds: int = 3, seed: int = 42) -> DataFrame:
-    """Decodable rows of manifest (id, class_idx, file_hash, h, decodable) with group_id, fold and part; groups never span folds."""
+def audit_archive(entries: DataFrame, existing: DataFrame, depth: int) -> DataFrame:
+    """What becomes of each archive entry: file_hash, label, class_idx, error, outcome and status beside its own columns.
+
+    entries: entry_no, path, encrypted, size, declared_size, decodable, content; existing: path and file_hash of what is
+    written already (path normalized, once each). outcome is accepted or quarantined, status of an accepted entry written
+    or reused. class_idx is the label's rank among the labels of all safe paths, so a class without an accepted entry
+    keeps its number. A null content has no hash and meets no conflict.
+    """
+    there = existing.select(F.col("path").alias("norm_path"), F.col("file_hash").alias("existing_hash"))
+    hashed = audit.normalized(entries.withColumn("file_hash", F.sha2("content", 256))).drop("depth", "label", "repeated")
+    told = audit.class_index(audit.validate(hashed.join(there, "norm_path", "left").drop("norm_path"), depth))
+    ok = F.col("error").isNull()
+    status = F.when(ok, F.when(F.col("existing_hash").isNull(), "written").otherwise("reused"))
+    return told.withColumn("outcome", F.when(ok, "accepted").otherwise("quarantined")).withColumn("status", status).drop("existing_hash")
+
+
+def audit_to_split(manifest: DataFrame, radius: int = 8, val_ratio: float = 0.1, folds: int = 3, seed: int = 42, rule: str = "greedy") -> DataFrame:
+    """Decodable rows of manifest (id, class_idx, file_hash, h, decodable) with group_id, fold and part; groups never span folds.
+
+    rule: greedy (split.split_greedy, bounded by the driver) or quota (split.split_quota, windows only).
+    """
     grouped = materialize(dedup.build_groups(manifest.where("decodable"), radius))
-    return split.assign_parts(split.split_greedy(grouped, val_ratio, folds=folds, seed=seed))
+    rules = {"greedy": split.split_greedy, "quota": split.split_quota}
+    return split.assign_parts(rules[rule](grouped, val_ratio, folds=folds, seed=seed))
 
 
 def features_to_q0(features: DataFrame, folds: int = 3, k: int = 20) -> DataFrame:
@@ -26,3 +46,8 @@ def training_rows(scored: DataFrame) -> DataFrame:
     """Rows outside val whose hash is not under several labels, with the weight of their duplicates."""
     kept = dedup.conflict_mask(scored).where((F.col("fold") != "val") & ~F.col("conflict"))
     return dedup.dup_weight(kept.drop("conflict"))
+
+
+def validation_rows(scored: DataFrame) -> DataFrame:
+    """Rows of the fold val, each with weight 1."""
+    return scored.where("fold = 'val'").withColumn("weight", F.lit(1.0))

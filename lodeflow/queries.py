@@ -15,6 +15,7 @@ from lodeflow.functions import losses as L
 from lodeflow.functions import scalars as S
 from lodeflow.functions import vectors as V
 from lodeflow.operators import audit, dedup, reliability, report, split
+from lodeflow.plans import curation
 from lodeflow.sources.sinks import submission
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -267,10 +268,10 @@ def submission_rows(spark, sf):
 # ---- counts and reports ------------------------------------------------------------------------------------------
 
 
-@_query(f"WITH {MANIFEST}, classes AS (SELECT range AS class_idx FROM range(25)) SELECT CAST(c.class_idx AS INTEGER) AS class_idx, count(id) AS n FROM classes c LEFT JOIN manifest m USING (class_idx) GROUP BY 1")
+@_query(f"WITH {MANIFEST} SELECT class_idx, count(id) AS n FROM manifest GROUP BY class_idx")
 def class_counts(spark, sf):
-    classes = spark.range(25).select(F.col("id").cast("int").alias("class_idx"))
-    return report.class_counts(_manifest(spark, sf), classes)
+    rows = _manifest(spark, sf)
+    return report.class_counts(rows, rows.select("class_idx").distinct())
 
 
 @_query(f"WITH {MANIFEST} SELECT id, file_hash, group_size FROM (SELECT *, count(*) OVER (PARTITION BY file_hash) AS group_size FROM manifest) WHERE group_size > 1")
@@ -371,15 +372,16 @@ def class_index(spark, sf):
 
 
 @_query(
-    """WITH h AS (SELECT p_partkey AS epoch, CAST(p_size AS DOUBLE) / 50 + p_partkey / 1e5 AS acc FROM part WHERE p_partkey <= 100),
-    b AS (SELECT *, greatest(coalesce(max(acc) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS before FROM h),
+    """WITH h AS (SELECT p_brand AS history, p_partkey AS epoch, CAST(p_size AS DOUBLE) / 50 + p_partkey / 1e5 AS acc FROM part),
+    b AS (SELECT *, greatest(coalesce(max(acc) OVER (PARTITION BY history ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS before FROM h),
     i AS (SELECT *, acc > before AS improved, greatest(acc, before) AS best FROM b),
-    s AS (SELECT *, epoch - coalesce(max(CASE WHEN improved THEN epoch END) OVER (ORDER BY epoch), min(epoch) OVER () - 1) AS stale FROM i)
-    SELECT epoch, improved, round(best, 6) AS best, CAST(stale AS BIGINT) AS stale, stale >= 5 AS stopped FROM s"""
+    s AS (SELECT *, epoch - coalesce(max(CASE WHEN improved THEN epoch END) OVER (PARTITION BY history ORDER BY epoch), min(epoch) OVER (PARTITION BY history) - 1) AS stale FROM i)
+    SELECT history, epoch, improved, round(best, 6) AS best, CAST(stale AS BIGINT) AS stale, stale >= 5 AS stopped FROM s"""
 )
 def early_stop_scan(spark, sf):
-    history = _read(spark, sf, "part").where("p_partkey <= 100").select(F.col("p_partkey").alias("epoch"), (F.col("p_size").cast("double") / 50 + F.col("p_partkey") / F.lit(1e5)).alias("acc"))
-    return report.early_stopping(history, 5).select("epoch", "improved", _round(F.col("best")).alias("best"), "stale", "stopped")
+    acc = F.col("p_size").cast("double") / 50 + F.col("p_partkey") / F.lit(1e5)
+    history = _read(spark, sf, "part").select(F.col("p_brand").alias("history"), F.col("p_partkey").alias("epoch"), acc.alias("acc"))
+    return report.early_stopping(history, 5, "history").select("history", "epoch", "improved", _round(F.col("best")).alias("best"), "stale", "stopped")
 
 
 @_query(
@@ -428,7 +430,13 @@ def split_greedy(spark, sf):
     return split.split_greedy(_join_hash(rows, first).select("id", "group_id", "class_idx")).select("id", "group_id", "fold")
 
 
-@_query()
+@_query(
+    f"""WITH {MANIFEST}, groups AS (SELECT file_hash, count(*) AS n, count(DISTINCT class_idx) AS k FROM manifest WHERE file_hash IS NOT NULL GROUP BY file_hash),
+    w AS (SELECT id, CASE WHEN n > 1 AND k = 1 THEN 1e0 / n ELSE 1e0 END AS w FROM manifest LEFT JOIN groups USING (file_hash)),
+    placed AS (SELECT id, w, sum(w) OVER (ORDER BY id ROWS UNBOUNDED PRECEDING) AS high FROM w),
+    points AS (SELECT range AS draw, CAST('0x' || substr(md5('42:' || CAST(range AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296e0 * (SELECT sum(w) FROM w) AS spot FROM range(1000))
+    SELECT draw, id FROM points JOIN placed ON spot >= high - w AND spot < high"""
+)
 def weighted_sample(spark, sf):
     return split.weighted_sample(dedup.dup_weight(_manifest(spark, sf)), "weight", 1000)
 
@@ -519,7 +527,8 @@ rv AS (SELECT f.id, max(list_dot_product(f.unit, cp.own)) AS rival FROM f JOIN c
 loo AS (SELECT lp.id, round(list_dot_product(unit, own) - coalesce(rival, 0), 6) AS proto FROM lp LEFT JOIN rv ON rv.id = lp.id)"""
 _KNN = """kc AS (SELECT a.id, b.id AS nbr, a.y, b.y AS ny, a.g, b.g AS ng, round(list_dot_product(a.unit, b.unit), 9) AS cos FROM f a, f b),
 kr AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cos DESC, nbr) AS rank FROM kc),
-ke AS (SELECT * FROM kr WHERE rank <= 21 AND id <> nbr AND g <> ng),
+kt AS MATERIALIZED (SELECT * FROM kr WHERE rank <= 21),
+ke AS (SELECT * FROM kt WHERE id <> nbr AND g <> ng),
 km AS (SELECT a.* FROM ke a JOIN ke b ON a.id = b.nbr AND a.nbr = b.id),
 ks AS (SELECT id, sum(CASE WHEN y = ny THEN greatest(cos, 0) ELSE 0 END) / (sum(greatest(cos, 0)) + 1e-8) AS knn FROM km GROUP BY id),
 agree AS (SELECT f.id, round(coalesce(knn, 0), 6) AS knn FROM f LEFT JOIN ks USING (id))"""
@@ -551,7 +560,7 @@ def knn_topk(spark, sf):
     return reliability.knn(_features(spark, sf), 21).select("id", "nbr", "cos", F.col("rank").cast("int").alias("rank"))
 
 
-@_query(f"WITH {FEATURES}, {_KNN} SELECT a.id, a.nbr, a.cos FROM kr a JOIN kr b ON a.id = b.nbr AND a.nbr = b.id WHERE a.rank <= 21 AND b.rank <= 21")
+@_query(f"WITH {FEATURES}, {_KNN} SELECT a.id, a.nbr, a.cos FROM kt a JOIN kt b ON a.id = b.nbr AND a.nbr = b.id")
 def mutual_knn(spark, sf):
     return reliability.mutual(reliability.knn(_features(spark, sf), 21)).select("id", "nbr", "cos")
 
@@ -699,3 +708,75 @@ def progress_log(spark, sf):
 )
 def progress_render(spark, sf):
     return _read(spark, sf, "events").select("event_id", S.duration(F.col("event_id")).alias("took"), S.text_bar(F.col("event_id") % 100 / 100).alias("bar"))
+
+
+_AUDIT_LOG = """log AS (SELECT event_id AS line_no, CASE WHEN event_id % 3 = 0 THEN 'test' ELSE 'train' END AS stage, event_id % 10 = 0 AS is_total, event_id % 10 = 1 AS is_other,
+    event_id AS done, event_id + user_id AS total, (event_id % 1000) / 10e0 AS percent, event_id // 2 AS usable, event_id % 7 AS anomalies, event_id % 90 + 0.5e0 AS rate FROM events)"""
+
+
+@_query(
+    f"""WITH {_AUDIT_LOG}, told AS (SELECT * FROM log WHERE NOT is_other), last AS (SELECT stage, max(line_no) AS line_no FROM told WHERE NOT is_total GROUP BY stage),
+    firsts AS (SELECT stage, min(line_no) AS first_line, arg_max(total, line_no) FILTER (WHERE is_total) AS announced FROM told GROUP BY stage)
+    SELECT stage, first_line, announced, done, total, percent, usable, anomalies, rate FROM firsts LEFT JOIN (SELECT l.* FROM told l JOIN last USING (stage, line_no)) USING (stage)"""
+)
+def audit_log(spark, sf):
+    e = F.col("event_id")
+    text = lambda c: c.cast("string")
+    stage = F.when(e % 3 == 0, "[test] ").otherwise("[train] ")
+    total = F.concat(stage, F.lit("D:/data/x1.zip："), text(e + F.col("user_id")), F.lit(" 个文件"))
+    state = F.concat(
+        stage, text(e), F.lit("/"), text(e + F.col("user_id")), F.lit(" ("), text((e % 1000) / 10), F.lit("%)，可用 "), text(F.expr("event_id div 2")), F.lit("，异常 "), text(e % 7), F.lit("，"), text(e % 90), F.lit(".5 张/秒")
+    )
+    line = F.when(e % 10 == 0, total).when(e % 10 == 1, F.concat(stage, F.lit("a line of another kind"))).otherwise(state)
+    return report.audit_progress(_read(spark, sf, "events").select(e.alias("line_no"), line.alias("line")))
+
+
+@_query(
+    """SELECT event_id, CASE WHEN event_id >= 3600 THEN CAST(event_id // 3600 AS VARCHAR) || ':' ELSE '' END || lpad(CAST(event_id % 3600 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(event_id % 60 AS VARCHAR), 2, '0') AS took,
+    repeat('█', CAST(round_even((event_id % 101) / 101e0 * 30, 0) AS BIGINT)) || repeat('░', 30 - CAST(round_even((event_id % 101) / 101e0 * 30, 0) AS BIGINT)) AS bar FROM events"""
+)
+def clock_render(spark, sf):
+    return _read(spark, sf, "events").select("event_id", S.clock(F.col("event_id")).alias("took"), S.block_bar(F.col("event_id") % 101 / 101).alias("bar"))
+
+
+@_query("SELECT doc_id AS id, CAST(row_number() OVER (ORDER BY md5('42:3:' || CAST(doc_id AS VARCHAR)), doc_id) - 1 AS BIGINT) AS position FROM documents")
+def epoch_shuffle(spark, sf):
+    return split.epoch_order(_read(spark, sf, "documents").select(F.col("doc_id").alias("id")), 42, 3).select("id", "position")
+
+
+@_query(
+    f"""WITH {FOLDED}, groups AS (SELECT file_hash, count(*) AS n, count(DISTINCT class_idx) AS k FROM manifest WHERE file_hash IS NOT NULL GROUP BY file_hash),
+    kept AS (SELECT id, class_idx, fold, file_hash FROM folded LEFT JOIN groups USING (file_hash) WHERE fold <> 'val' AND NOT coalesce(n > 1 AND k > 1, false))
+    SELECT id, class_idx, fold, CASE WHEN file_hash IS NULL THEN 1e0 ELSE round(1e0 / count(*) OVER (PARTITION BY file_hash), 9) END AS weight FROM kept
+    UNION ALL SELECT id, class_idx, fold, 1e0 FROM folded WHERE fold = 'val'"""
+)
+def training_rows(spark, sf):
+    rows = _folded(spark, sf)
+    columns = ["id", "class_idx", "fold", _round(F.col("weight"), 9).alias("weight")]
+    return curation.training_rows(rows).select(columns).unionByName(curation.validation_rows(rows).select(columns))
+
+
+@_query(
+    f"""WITH {_RAW}, {_SAFE}, hashed AS (SELECT norm.*, sha256(html) AS file_hash FROM norm JOIN (SELECT page_id, html FROM pages) USING (page_id)),
+    old AS (SELECT norm_path, min(CASE WHEN page_id % 2 = 0 THEN 'other' ELSE file_hash END) AS old_hash FROM hashed WHERE page_id % 13 = 0 AND norm_path IS NOT NULL GROUP BY norm_path),
+    ranked AS (SELECT *, norm_path IS NOT NULL AND entry_no > min(entry_no) OVER (PARTITION BY norm_path) AS repeated, CAST(CASE WHEN safe THEN len(parts) ELSE 0 END AS INTEGER) AS depth,
+        CASE WHEN norm_path IS NOT NULL AND len(parts) > 0 THEN parts[1] END AS label FROM hashed LEFT JOIN old USING (norm_path)),
+    told AS (SELECT *, CASE WHEN norm_path IS NULL THEN 'unsafe_path' WHEN repeated THEN 'duplicate_path' WHEN depth <> 2 THEN 'wrong_depth' WHEN NOT ends_with(lower(norm_path), '.png') THEN 'bad_extension'
+        WHEN page_id % 17 = 3 THEN 'encrypted' WHEN page_id % 19 = 0 THEN 'empty' WHEN page_id % 23 = 0 THEN 'length_mismatch' WHEN page_id % 29 = 0 THEN 'undecodable' WHEN old_hash <> file_hash THEN 'write_conflict' END AS error FROM ranked)
+    SELECT page_id, file_hash, label, CASE WHEN label IS NOT NULL THEN CAST(dense_rank() OVER (ORDER BY label NULLS LAST) - 1 AS INTEGER) END AS class_idx, error,
+        CASE WHEN error IS NULL THEN 'accepted' ELSE 'quarantined' END AS outcome, CASE WHEN error IS NULL THEN CASE WHEN old_hash IS NULL THEN 'written' ELSE 'reused' END END AS status FROM told"""
+)
+def archive_audit(spark, sf):
+    p = F.col("page_id")
+    entries = _entries(spark, sf).join(_read(spark, sf, "pages").select("page_id", F.encode("html", "UTF-8").alias("content")), "page_id")
+    entries = entries.withColumns(
+        {
+            "encrypted": p % 17 == 3,
+            "size": F.when(p % 19 == 0, 0).otherwise(100),
+            "declared_size": F.when(p % 23 == 0, 99).when(p % 19 == 0, 0).otherwise(100),
+            "decodable": p % 29 != 0,
+        }
+    )
+    hashed = F.when(p % 2 == 0, F.lit("other")).otherwise(F.sha2("content", 256))
+    there = audit.normalized(entries.where(p % 13 == 0)).where("norm_path IS NOT NULL").groupBy(F.col("norm_path").alias("path")).agg(F.min(hashed).alias("file_hash"))
+    return curation.audit_archive(entries, there, 2).select("page_id", "file_hash", "label", "class_idx", "error", "outcome", "status")

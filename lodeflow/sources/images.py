@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodeflow.functions.scalars import IMAGE_EXTENSIONS, PREDICT_EXTENSIONS, digest, has_extension
+from lodeflow.functions.scalars import IMAGE_EXTENSIONS, PREDICT_EXTENSIONS, digest, has_extension, image_kind
 from lodeflow.operators.audit import class_index
 
 MANIFEST = (
@@ -15,11 +15,16 @@ MANIFEST = (
 
 
 def scan_class_folders(spark: SparkSession, root: str, algorithm: str = "sha256") -> DataFrame:
-    """path, label, class_idx, size and file_hash of the image files in root/<label>/. The label is the folder, the class its rank."""
+    """path, label, class_idx, file_size, file_hash and error of the image files in root/<label>/.
+
+    The label is the folder; its class is the rank among all folders with any file, so a folder without images keeps its
+    number. error says why a file is an anomaly (its bytes are no whole image of a known kind), null where it is none.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    files = raw.withColumn("label", F.element_at(F.split("path", "/"), -2)).where(has_extension(F.col("path"), IMAGE_EXTENSIONS))
-    found = files.select("path", "label", F.col("length").alias("file_size"), digest(F.col("content"), algorithm).alias("file_hash"))
-    return class_index(found)
+    files = class_index(raw.withColumn("label", F.element_at(F.split("path", "/"), -2)))
+    files = files.where(has_extension(F.col("path"), IMAGE_EXTENSIONS))
+    error = F.when(F.col("length") == 0, "empty").when(image_kind(F.col("content")).isNull(), "undecodable")
+    return files.select("path", "label", "class_idx", F.col("length").alias("file_size"), digest(F.col("content"), algorithm).alias("file_hash"), error.alias("error"))
 
 
 def list_predict_files(spark: SparkSession, root: str) -> DataFrame:
@@ -34,9 +39,13 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """line_no and line of a text file, in order within the file."""
-    lines = spark.read.option("wholetext", True).text(path)
-    return lines.select(F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+    """line_no from 0 and line of each line of the text files at path, in order within its file.
+
+    Files are read in splits; a line's place is its split's start and its place there.
+    """
+    at = F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("place"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), at.alias("at"), F.col("value").alias("line"))
+    return lines.select((F.row_number().over(Window.partitionBy("file").orderBy("at")) - 1).alias("line_no"), "line")
 
 
 def count_lines(spark: SparkSession, path: str) -> int:

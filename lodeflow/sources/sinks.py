@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeflow.functions.scalars import class_name
+from lodeflow.operators.audit import write_status
+from lodeflow.session import materialize
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -34,3 +37,42 @@ def write_features(df: DataFrame, path: str, fingerprint: str) -> None:
 def check_fingerprint(df: DataFrame, fingerprint: str) -> DataFrame:
     """df, which fails when read if a row was made with other settings."""
     return df.where(F.assert_true(F.col("fingerprint") == fingerprint, F.lit("features were made with other settings")).isNull())
+
+
+def write_arrays(df: DataFrame, path: str, columns: list[str], key: str = "id") -> list[str]:
+    """The named number columns of df by key in one wide table; those with no value at all are left out. Returns what was written."""
+    there = df.agg(*(F.count(c).alias(c) for c in columns)).first().asDict()
+    kept = [c for c in columns if there[c]]
+    df.select(key, *kept).write.mode("overwrite").parquet(path)
+    return kept
+
+
+def place_after(df: DataFrame, name: str, after: str) -> DataFrame:
+    """df with the column name moved to right behind the column after."""
+    rest = [c for c in df.columns if c != name]
+    at = rest.index(after) + 1
+    return df.select(*rest[:at], name, *rest[at:])
+
+
+def remap_by_archive_path(df: DataFrame, root: str) -> DataFrame:
+    """df with path made of root and archive_path anew; KeyError if either column is missing."""
+    for name in ("path", "archive_path"):
+        if name not in df.columns:
+            raise KeyError(f"column {name} is missing")
+    return df.withColumn("path", F.concat_ws("/", F.lit(root.rstrip("/")), "archive_path"))
+
+
+def write_once(files: DataFrame, path: str) -> DataFrame:
+    """Append the files (path, label, file_hash, content) that path does not hold yet, by label; what is there is never overwritten.
+
+    Returns path, file_hash and status of every file (see audit.write_status); conflicts are not written.
+    """
+    spark = files.sparkSession
+    try:
+        old = spark.read.parquet(path).select("path", "file_hash")
+    except AnalysisException:  # nothing is there yet
+        old = spark.createDataFrame([], "path string, file_hash string")
+    status = materialize(write_status(files.select("path", "file_hash"), old))
+    new = files.join(status.where("status = 'written'").select("path"), "path", "left_semi")
+    new.write.mode("append").partitionBy("label").parquet(path)
+    return status

@@ -8,12 +8,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodeflow.config import load_config
 from lodeflow.functions import scalars as S
 from lodeflow.functions import vectors as V
 from lodeflow.operators import audit, dedup, reliability, report, split
 from lodeflow.operators.components import connected_components
 from lodeflow.plans import curation
-from lodeflow.sources import archive, images
+from lodeflow.sources import archive, images, sinks
 from lodeflow.streaming.progress import progress_stream
 
 
@@ -181,6 +182,45 @@ def test_greedy_split_keeps_its_rule(spark):
     assert {r.group_id: r.fold for r in split.split_greedy(df, **bound).collect()} == want
 
 
+def test_greedy_rule_against_a_plain_version():
+    """Rows kept as lists, counts made anew at each step; classes of a group's own decide its load."""
+    for seed in range(50):
+        rng = random.Random(1000 + seed)
+        rows = [(rng.randrange(60), rng.choice([0, 0, 0, 1, 1, 2, 3, 4, 5, 6])) for _ in range(rng.randrange(5, 160))]
+        groups = sorted({g for g, _ in rows})
+        size = {c: sum(k == c for _, k in rows) for _, c in rows}
+        fold, order, dice = {}, list(groups), random.Random(seed)
+        dice.shuffle(order)
+        for g in order:
+            own = [c for k, c in rows if k == g]
+            big = sorted({c for c in own if size[c] >= 10})
+            if big:
+                val = {c: sum(k == c and fold.get(h) == "val" for h, k in rows) for c in big}
+                goal = {c: max(1, int(size[c] * 0.1)) for c in big}
+                fold[g] = "val" if sum(abs(val[c] + own.count(c) - goal[c]) for c in big) < sum(abs(val[c] - goal[c]) for c in big) else "train"
+                continue
+            tries = list(range(3))
+            dice.shuffle(tries)
+            held = lambda k: sum(c in own and fold.get(h) == f"oof_{k}" for h, c in rows)  # noqa: B023, E731
+            fold[g] = f"oof_{sorted(tries, key=held)[0]}"
+        counts = [(g, sorted({c: rows.count((g, c)) for k, c in rows if k == g}.items())) for g in groups]
+        assert dict(split.greedy_folds(counts, 0.1, 10, 3, seed)) == fold
+
+
+def test_greedy_split_refuses(spark):
+    df = spark.createDataFrame([(0, 0), (1, 0)], "group_id long, class_idx int")
+    for wrong in ({"folds": 1}, {"groups_at_most": 1}):
+        with pytest.raises(ValueError):
+            split.split_greedy(df, **wrong)
+
+
+def test_epoch_order(spark):
+    df = spark.createDataFrame([(i,) for i in range(200)] + [(5,)], "id long")
+    first, again, other = ({r.id: r.position for r in split.epoch_order(df, 1, e).collect()} for e in (0, 0, 1))
+    assert first == again != other and sorted(first.values()) == list(range(200))
+    assert split.epoch_order(df.limit(0), 1, 0).count() == 0
+
+
 def test_weighted_sample_follows_weights(spark):
     df = spark.createDataFrame([(0, 1.0), (1, 3.0), (2, 0.0), (3, None)], "id long, w double")
     n = {r.id: r["count"] for r in split.weighted_sample(df, "w", 4000).groupBy("id").count().collect()}
@@ -241,6 +281,94 @@ def test_class_folders(spark, tmp_path):
     assert {(r.label, r.class_idx) for r in images.scan_class_folders(spark, str(tmp_path)).collect()} == {("a", 0), ("b", 1)}
 
 
+def test_image_kinds(spark):
+    files = {
+        b"\xff\xd8\xff\xe0data\xff\xd9": "jpeg",
+        b"\xff\xd8\xff\xe0data": None,
+        b"\x89PNG\r\n\x1a\nxIEND\xaeB`\x82": "png",
+        b"GIF89a;": "gif",
+        b"BM\x0a\x00\x00\x00xxxx": "bmp",
+        b"BM\x0b\x00\x00\x00xxxx": None,
+        b"RIFF\x04\x00\x00\x00WEBP": "webp",
+        b"": None,
+        b"text": None,
+    }
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(files)] + [(99, None)], "i int, content binary")
+    found = {r.i: r.k for r in df.select("i", S.image_kind(F.col("content")).alias("k")).collect()}
+    assert found == {**dict(enumerate(files.values())), 99: None}
+
+
+def test_folders_without_images_keep_their_class(spark, tmp_path):
+    for name, data in (("a/no.txt", b"x"), ("b/1.png", b"\x89PNG\r\n\x1a\nxIEND\xaeB`\x82"), ("c/2.png", b"no")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    assert {(r.label, r.class_idx, r.error) for r in images.scan_class_folders(spark, str(tmp_path)).collect()} == {("b", 1, None), ("c", 2, "undecodable")}
+
+
+def test_tables_and_text_files(spark, tmp_path):
+    columns = [c.split()[0] for c in images.MANIFEST.split(", ")]
+    row = ["7", "p.png", "0007/p.png", "0007", "7", "", "3", "", "RGB", "true", "12", "0a", "ff", "0f", ""]
+    sinks.write_csv(spark.createDataFrame([row], [*columns]), f"{tmp_path}/m")
+    found = images.read_manifest(spark, f"{tmp_path}/m").first()
+    assert (found.id, found.orig_label, found.width, found.height, found.decodable) == (7, "0007", None, 3, True)
+    (tmp_path / "log.txt").write_text("a\n\nb")
+    assert [(r.line_no, r.line) for r in images.read_log(spark, f"{tmp_path}/log.txt").collect()] == [(0, "a"), (1, ""), (2, "b")]
+    assert images.count_lines(spark, f"{tmp_path}/log.txt") == 3
+    for name in ("b.jpg", "a.png", "c.txt"):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / name).write_text("x")
+    assert [r.path.rsplit("/", 1)[1] for r in images.list_predict_files(spark, f"{tmp_path}/in").collect()] == ["a.png", "b.jpg"]
+
+
+def test_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(1, 0.5, None), (2, None, None)], "id long, a double, b double")
+    assert sinks.write_arrays(df, f"{tmp_path}/w", ["a", "b"]) == ["a"] and spark.read.parquet(f"{tmp_path}/w").columns == ["id", "a"]
+    sinks.write_json(df, f"{tmp_path}/j")
+    assert {r.id for r in spark.read.json(f"{tmp_path}/j").collect()} == {1, 2}
+    sinks.write_submission(spark.createDataFrame([("b.jpg", 3), ("a.jpg", 12)], "filename string, pred int"), f"{tmp_path}/s")
+    assert [tuple(r) for r in spark.read.csv(f"{tmp_path}/s").collect()] == [("a.jpg", "0012"), ("b.jpg", "0003")]
+    sinks.write_features(spark.createDataFrame([(1, [1.0, 0.0])], "id long, z array<double>"), f"{tmp_path}/f", "one")
+    assert sinks.check_fingerprint(spark.read.parquet(f"{tmp_path}/f"), "one").count() == 1
+    with pytest.raises(Exception, match="other settings"):
+        sinks.check_fingerprint(spark.read.parquet(f"{tmp_path}/f"), "two").collect()
+    assert sinks.place_after(df, "b", "id").columns == ["id", "b", "a"]
+    moved = sinks.remap_by_archive_path(spark.createDataFrame([("x", "0/a.png")], "path string, archive_path string"), "/data/")
+    assert moved.first().path == "/data/0/a.png"
+    with pytest.raises(KeyError):
+        sinks.remap_by_archive_path(df, "/data")
+
+
+def test_write_once(spark, tmp_path):
+    schema = "path string, label string, file_hash string, content binary"
+    put = lambda rows: {r.path: r.status for r in sinks.write_once(spark.createDataFrame(rows, schema), f"{tmp_path}/store").collect()}
+    assert put([("a/1", "a", "h1", b"1"), ("b/2", "b", "h2", b"2")]) == {"a/1": "written", "b/2": "written"}
+    assert put([("a/1", "a", "h1", b"1"), ("b/2", "b", "other", b"!"), ("b/3", "b", "h3", b"3")]) == {"a/1": "reused", "b/2": "conflict", "b/3": "written"}
+    assert {(r.path, r.file_hash) for r in spark.read.parquet(f"{tmp_path}/store").collect()} == {("a/1", "h1"), ("b/2", "h2"), ("b/3", "h3")}
+
+
+def test_audit_log(spark):
+    lines = ["[train] D:\\x\\train.zip：103218 个文件", "[train] 1000/103218 (1.0%)，可用 990，异常 10，65.8 张/秒", "noise", "[test] 9 个文件", "[train] 2000/103218 (1.9%)，可用 1980，异常 20，70.0 张/秒"]
+    log = spark.createDataFrame(list(enumerate(lines)), "line_no int, line string")
+    found = {r.stage: tuple(r)[1:] for r in report.audit_progress(log).collect()}
+    assert found == {"train": (0, 103218, 2000, 103218, 1.9, 1980, 20, 70.0), "test": (3, 9, None, None, None, None, None, None)}
+    assert abs(report.audit_share(report.audit_progress(log)).first().share - 2000 / 103227) < 1e-12
+    assert report.audit_share(report.audit_progress(log.limit(0))).first().share is None
+    shown = spark.createDataFrame([(0.0,), (59.9,), (3599.0,), (3600.0,), (-5.0,)], "s double").select(S.clock(F.col("s")).alias("t"))
+    assert [r.t for r in shown.collect()] == ["00:00", "00:59", "59:59", "1:00:00", "00:00"]
+
+
+def test_config(tmp_path):
+    (tmp_path / "c.json").write_text('{"data": {"train": "in/train", "far": "s3a://b/x"}, "seed": 3}')
+    config = load_config(tmp_path / "c.json")
+    assert config.data.train == "in/train" and config["seed"] == 3 and config.get("none", 1) == 1
+    assert config.path(config.data.train) == str(tmp_path / "in/train") and config.path(config.data.far) == "s3a://b/x" and config.path(None) is None
+    with pytest.raises(AttributeError):
+        config.data.nothing  # noqa: B018
+    (tmp_path / "l.json").write_text("[1]")
+    with pytest.raises(ValueError):
+        load_config(tmp_path / "l.json")
+
+
 def test_progress_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/log.txt").write_text("[x] 1/5\nnoise\n[x] 4/5\n[y] 1/2\n")
