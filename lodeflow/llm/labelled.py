@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeflow.llm.hashed_linear import HashedLinear, train
+from lodeflow.llm.words import release
 
 #: Texts above so many bytes stand in no sample, and a sample ends before it holds more than so many bytes.
 SAMPLE_TEXT_BYTES, SAMPLE_BYTES = 64 << 10, 16 << 20
@@ -58,6 +59,7 @@ def fit_in_task(sample: DataFrame) -> HashedLinear:
         model = train([t for _, t, _ in rows], target, weight)
         fitted = [[np.asarray(model.weights, np.float32).tobytes()], [model.bias], [model.slope], [model.shift]]
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in fitted], names=["weights", "bias", "slope", "shift"])
+        release()
 
     found = sample.select("rank", "text", "target").repartition(1).mapInArrow(run, "weights binary, bias double, slope double, shift double").first()
     if found is None:  # an empty sample has no task

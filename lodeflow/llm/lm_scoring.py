@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeflow.llm.ngram_jaccard import _bits, _unpack
-from lodeflow.llm.words import _ORDER, U, Texts, Words, mix, running, signed, slices
+from lodeflow.llm.words import _ORDER, U, Texts, Words, mix, release, running, signed, slices
 from lodeflow.session import bound_batches, materialize
 
 #: Base of the logarithmic count scale.
@@ -131,7 +131,7 @@ def _counted(train: DataFrame, bits: int) -> DataFrame:
             yield from pack(held)
 
     def gather(table: pa.Table) -> pa.Table:
-        pa.default_memory_pool().release_unused()
+        release()
         kind = table.column("kind")[0].as_py()
         keys, counts = _summed(np.concatenate(_unpack(table, "keys", U)), np.concatenate(_unpack(table, "counts", np.uint32)).astype(np.int64))
         again = int(counts[counts > 1].sum())
@@ -272,7 +272,7 @@ def score(docs: DataFrame, model: Model, max_broadcast_bytes: int = MAX_BROADCAS
     totals, train_tokens = (model.n_tokens, model.n_words, model.k), model.n_tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pa.default_memory_pool().release_unused()  # what earlier tasks of this worker have left
+        release()  # what earlier tasks of this worker have left
         table = lookup.value
         for batch in slices(batches, "text", 1 << 20):
             tokens, bounds = tokens_of(Texts.of(batch.column("text")))

@@ -26,14 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeflow.llm.words import U, Texts, Words, mix, running, signed, slices, window_starts, windows
+from lodeflow.llm.words import U, Texts, Words, mix, release, running, signed, slices, window_starts, windows
 from lodeflow.operators.components import connected_components
-from lodeflow.session import materialize
+from lodeflow.session import bound_batches, materialize
 
 SHINGLE_WORDS = 4
 PERCENT = 85
 #: Text, and rows at most, gathered to a chunk before its n-grams are dealt to the shards.
-DEAL_BYTES, DEAL_ROWS = 16 << 20, 1 << 16
+DEAL_BYTES, DEAL_ROWS = 8 << 20, 1 << 16
 #: N-grams of a shard, about: what one task sorts at once.
 SHARD_GRAMS = 2_000_000
 #: Share of a chunk's n-grams from which one may be frequent (so at most the inverse of it are), and in how many sets it is then at least.
@@ -101,6 +101,8 @@ def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list
             held, seen, rows = [], 0, 0
     if held:
         yield whole()
+    held.clear()
+    release()
 
 
 def _fresh(sig: np.ndarray) -> np.ndarray:
@@ -167,6 +169,7 @@ def _answers(prints: DataFrame) -> DataFrame:
     """For each shard and chunk: the places of the sets whose prints another set may have, once for each such print."""
 
     def answer(table: pa.Table) -> pa.Table:
+        release()
         asks = table.filter(table.column("single").is_valid())
         single, several = _unpack(asks, "single", np.uint32), _unpack(asks, "several", np.uint32)
         owner = _unpack(asks, "owner", np.uint16)
@@ -295,6 +298,7 @@ def _shared(dealt: DataFrame, bits: int, frequent: np.ndarray) -> DataFrame:
     """For each shard of sets: their n-grams that other sets have too, and how many sets have each (_MANY if it is frequent)."""
 
     def count(table: pa.Table) -> pa.Table:
+        release()
         sigs, sizes, many, grams = (np.concatenate(_unpack(table, k, t)) for k, t in (("sigs", U), ("sizes", np.uint32), ("many", np.uint32), ("grams", U)))
         at = np.repeat(np.arange(len(sigs)), many)
         order = np.argsort(grams)
@@ -424,6 +428,7 @@ def jaccard_rows(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERC
     key is row_key() of the row; component names the group of linked sets, also where ids are null or repeat, and is
     null for an empty set.
     """
+    bound_batches(docs.sparkSession)
     docs = docs.select("doc_id", row_key().alias("key"), "text")
     most = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     met = materialize(_met(_answers(_prints(docs, size, _bits(most // PRINT_BYTES))), percent))

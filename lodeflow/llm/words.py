@@ -6,7 +6,9 @@ ASCII characters space, tab, \\n, \\v, \\f and \\r; UTF-8 never uses their bytes
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from contextlib import suppress
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,6 +38,13 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def release() -> None:
+    """Give back to the system what earlier work of this process has left unused."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _power_tables(n: int) -> list[np.ndarray]:
     if len(_powers[0]) < n:
         for k, base in enumerate((_BASE, _BASE_INVERSE)):
