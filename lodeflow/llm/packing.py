@@ -1,14 +1,16 @@
-"""Packing token sequences: first-fit decreasing over a tournament tree, in randomised groups of pieces.
+"""Packing token sequences: first-fit decreasing over a tournament tree, in randomised groups of documents.
 
 Texts are tokenised word by word: the tokenizer drops white space and never looks across it, so a word's ids do
 not depend on its neighbours and are looked up once a worker. Documents are cut at multiples of the sequence
-length; the pieces go to random groups of bounded size, each of which one task packs by itself.
+length. A piece of full length is a sequence by itself; what is left of each document goes to a random group of a
+bounded number of documents, each of which one task packs by itself.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,16 +18,20 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeflow.llm.words import U, mix, slices
+from lodeflow.llm.words import U, mix, release, slices
+from lodeflow.session import bound_batches
 
 CAPACITY = 4096
 END_ID = 2
 #: Documents that make up a group, about.
 GROUP_DOCS = 2048
-_CACHE_WORDS = 400_000
+_FULL_BITS = 12  # full pieces of a task that travel as one group: 2 ** _FULL_BITS
+_CACHE_WORDS = 500_000
 # The tokenizer's own split of a word, written for printable ASCII and Latin-1 letters; other words go to it whole.
 _OTHER = re.compile("[^\n!-~À-ÖØ-öø-ÿ]|<[|]")
 _PARTS = re.compile("\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\na-z0-9ß-öø-ÿ]+")
+#: Byte-level models spell a byte as the Latin-1 character of its value; those not printable, in order, as the characters from 256 on.
+_SPELLING = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 _NO_ID = 0xFFFFFFFF
 _BREAK = np.array([_NO_ID], np.uint32).tobytes()
 
@@ -37,9 +43,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
-        vocabulary = self.inner.get_vocab()
-        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.model = self.inner.model
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
@@ -47,16 +51,10 @@ class WordTokenizer:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.inner.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn_parts(self, parts: list[str]) -> None:
-        """Many parts in one call; a part's last id, and no other, closes a word."""
-        for at in range(0, len(parts), 1000):
-            some = parts[at : at + 1000]
-            ids = np.array(self.inner.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = (4 * np.flatnonzero(self.closes[ids]) + 4).tolist()
-            if len(ends) == len(some):
-                data = ids.tobytes()
-                self.parts.update(zip(some, (data[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
-            else:
-                self.parts.update(zip(some, self._encode(some), strict=True))
+        """The tokenizer's model takes a part as it is cut already, its bytes spelt as characters."""
+        for part in parts:
+            spelt = part if part.isascii() else part.encode().decode("latin-1").translate(_SPELLING)
+            self.parts[part] = array("I", [token.id for token in self.model.tokenize(spelt)]).tobytes()
 
     def _learn(self, words: list[bytes]) -> None:
         if len(self.words) + len(words) > _CACHE_WORDS:
@@ -127,24 +125,33 @@ PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_toke
 
 
 def _pieces(docs: DataFrame, tokenizer: str, groups: int, capacity: int, with_ids: bool) -> DataFrame:
+    """Every piece with its group: of full ones a negative number, of the rest that of their document."""
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, row = word_tokenizer(tokenizer), TaskContext.get().partitionId() << 40
-        close = np.array([END_ID], np.uint32).tobytes()
+        release()
+        encoder, part = word_tokenizer(tokenizer), TaskContext.get().partitionId() << 40
+        close, whole, row, full = np.array([END_ID], np.uint32).tobytes(), 4 * capacity, part, part
         for batch in slices(batches, "text"):
             texts = [x or b"" for x in batch.column("text").cast(pa.large_binary()).to_pylist()]
-            found: list[tuple] = []
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):
-                ids += close
-                total = len(ids) // 4
-                for start in range(0, total, capacity):
-                    part = ids[4 * start : 4 * (start + capacity)]
-                    found.append((row, doc_id, start, len(part) // 4, zlib.crc32(part), total, part if with_ids else None))
-                    row += 1
-            rows, *columns = zip(*found, strict=True)
-            group = (mix(np.array(rows, np.int64).astype(U)) % U(groups)).astype(np.int64)
-            kinds = [pa.int64()] * 5 + [pa.binary()]
-            arrays = [pa.array(group), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["group", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
+            totals, crcs, kept = [], [], []
+            for ids in encoder.encode(texts):
+                view = memoryview(ids + close)
+                totals.append(len(view) // 4)
+                crcs += [zlib.crc32(view[at : at + whole]) for at in range(0, len(view), whole)]
+                if with_ids:
+                    kept += [bytes(view[at : at + whole]) for at in range(0, len(view), whole)]
+            total = np.array(totals, np.int64)
+            owner = np.repeat(np.arange(len(total)), -(-total // capacity))
+            start = capacity * (np.arange(len(owner)) - np.searchsorted(owner, owner))
+            length = np.minimum(total[owner] - start, capacity)
+            is_full = length == capacity
+            group = (mix((row + owner).astype(U)) % U(groups)).astype(np.int64)
+            group[is_full] = -1 - ((full + np.arange(is_full.sum())) >> _FULL_BITS)
+            row, full = row + len(total), full + int(is_full.sum())
+            doc_id = batch.column("doc_id").cast(pa.int64()).take(pa.array(owner))
+            ids = pa.array(kept, pa.binary()) if with_ids else pa.nulls(len(owner), pa.binary())
+            columns = [pa.array(group), doc_id, pa.array(start), pa.array(length), pa.array(crcs, pa.int64()), pa.array(total[owner]), ids]
+            yield pa.RecordBatch.from_arrays(columns, names=["group", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(cut, f"group bigint, {PIECES}, ids binary")
 
@@ -153,20 +160,26 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, group_docs:
     """Every token of every row of docs (doc_id, text) in one piece, every piece in one sequence.
 
     doc_tokens counts the closing id, which a null or empty text has too. sequence_id is the group times 2**32
-    plus the bin, offset the piece's place in the sequence, gapless from 0. with_ids adds the ids themselves as
+    plus the bin, and negative for a full piece; offset is the piece's place in the sequence, gapless from 0. with_ids adds the ids themselves as
     little-endian unsigned 32-bit binary. Repeated and null ids are packed row by row, ties in length in any
-    order; an empty table gives an empty one; other columns are not read.
+    order; a very long text's ids are held whole by the task that cuts them, and its full pieces need no packing;
+    an empty table gives an empty one; other columns are not read.
     """
+    bound_batches(docs.sparkSession)
     groups = max(1, -(-docs.count() // group_docs))
     pieces = _pieces(docs, tokenizer, groups, capacity, with_ids)
     pieces = pieces if with_ids else pieces.drop("ids")
     more = ", ids binary" if with_ids else ""
 
     def place(table: pa.Table) -> pa.Table:
-        bins, offsets = first_fit_decreasing(table.column("length").to_numpy(), capacity)
-        first = table.column("group")[0].as_py() << 32
+        group = table.column("group")[0].as_py()
+        if group < 0:
+            sequence, offsets = (group << _FULL_BITS) + np.arange(table.num_rows), np.zeros(table.num_rows, np.int64)
+        else:
+            bins, offsets = first_fit_decreasing(table.column("length").to_numpy(), capacity)
+            sequence = (group << 32) + bins
         out = table.drop_columns(["group"])
-        return out.append_column("sequence_id", pa.array(first + bins)).append_column("offset", pa.array(offsets))
+        return out.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offsets))
 
     return pieces.groupBy("group").applyInArrow(place, f"{PIECES}{more}, sequence_id bigint, offset bigint")
 
