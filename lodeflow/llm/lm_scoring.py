@@ -263,7 +263,7 @@ def score(docs: DataFrame, model: Model, max_broadcast_bytes: int = MAX_BROADCAS
 
     A null or empty text is its one end token. Unknown words get the base model's share of an unseen word.
     Repeated rows and ids each get their row; no training text at all leaves the uniform base model; an empty
-    table gives an empty one; other columns are not read.
+    table gives an empty one; other columns are not read. A very long text is scored whole, as a slice of its own.
     """
     if model.n_bytes > max_broadcast_bytes:
         return _score_by_joins(docs, model)

@@ -57,7 +57,7 @@ def store(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media of every row of docs (doc_id, text): its whole text as lossless WebP.
 
     A null text is stored as an empty one. Repeated rows and null ids each get their row; an empty table gives an
-    empty one; other columns are not read.
+    empty one; other columns are not read. A very long text is several files of ROWS rows, made one after the other.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

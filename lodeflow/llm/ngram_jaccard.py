@@ -465,3 +465,23 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: All pairs, so for small tables only.
+OP3_SQL = r"""
+WITH RECURSIVE split AS (
+    SELECT row_number() OVER () AS r, doc_id,
+           list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\r\f\v]+'), lambda w: w <> '') AS w
+    FROM documents
+), sets AS (
+    SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+           ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS s
+    FROM split
+), sized AS (SELECT r, doc_id, CAST(len(s) AS BIGINT) AS n FROM sets), grams AS (SELECT r, unnest(s) AS g FROM sets),
+pairs AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.r < b.r GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN sized x ON x.r = a JOIN sized y ON y.r = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(r, t) AS (SELECT r, r FROM sized UNION SELECT reach.r, sides.b FROM reach JOIN sides ON reach.t = sides.a),
+least AS (SELECT reach.r, min(sized.doc_id) AS component_id FROM reach JOIN sized ON sized.r = reach.t GROUP BY reach.r)
+SELECT doc_id, n AS n_shingles, component_id FROM sized JOIN least USING (r)
+"""

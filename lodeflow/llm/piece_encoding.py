@@ -110,7 +110,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """ids (array of int) of every row's whole text, their score, how many are bytes, and whether they decode to the text.
 
     A null text is an empty one, which has no ids. Repeated rows and null doc_ids each get their row; an empty
-    table gives an empty one; columns other than doc_id and text are not read.
+    table gives an empty one; columns other than doc_id and text are not read. A very long text is coded whole, part by
+    part; a part is what stands between places that no piece spans.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

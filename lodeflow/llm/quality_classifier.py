@@ -152,7 +152,7 @@ def quality_classifier(docs: DataFrame, model: WeakClassifier, keep_at: float =
     """Votes, posterior, the scorer's probability and its verdict for each row of docs (doc_id, text).
 
     A null or empty text gets bad votes only. Ties, repeated rows and null ids each get a row; an empty table
-    gives an empty one; other columns are not read.
+    gives an empty one; other columns are not read. A very long text is voted on and scored whole.
     """
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

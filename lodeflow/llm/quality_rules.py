@@ -49,7 +49,8 @@ def quality_rules(docs: DataFrame, model: HashedLinear, keep_at: float = KEEP_AT
     """One row of counts and verdicts for each row of docs (doc_id, text; other columns are not read).
 
     A null or empty text has no words, so the base rules reject it. Equal texts get equal rows; repeated and
-    null ids stay as they are; an empty table gives an empty one.
+    null ids stay as they are; an empty table gives an empty one. A very long text is counted and scored whole, its words
+    hashed in segments.
     """
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,7 @@ from lodeflow.llm.html_text import op9_html_extraction
 from lodeflow.llm.license_scan import op4_license_scans
 from lodeflow.llm.lm_scoring import op5_lm_scoring
 from lodeflow.llm.media_columns import op2_media_columns
-from lodeflow.llm.ngram_jaccard import op3_ngram_jaccard_join
+from lodeflow.llm.ngram_jaccard import OP3_SQL, op3_ngram_jaccard_join
 from lodeflow.llm.packing import op8_packing
 from lodeflow.llm.piece_encoding import op6_sentencepiece
 from lodeflow.llm.quality_classifier import op7_quality_classifier
@@ -23,4 +23,4 @@ QUERIES = {
     "op9_html_extraction": op9_html_extraction,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": OP1_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op3_ngram_jaccard_join": OP3_SQL}

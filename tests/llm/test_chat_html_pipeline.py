@@ -76,7 +76,8 @@ def test_chat_plan_is_native(spark, sf):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_same_as_sql(name, spark, sf):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet'")
+    for table in ("conversations", "documents"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
     theirs = con.execute(ORACLE_SQL[name]).df()
     ours = QUERIES[name](spark, sf).toPandas()[list(theirs.columns)]
     assert sorted(map(tuple, ours.values.tolist())) == sorted(map(tuple, theirs.values.tolist()))

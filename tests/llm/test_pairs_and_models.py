@@ -167,6 +167,19 @@ def test_packing(spark):
     assert packing.pack(df.limit(0), packing.public_tokenizer()).count() == 0
 
 
+def test_odd_strings_are_tokenised_alike():
+    from tokenizers import Tokenizer
+
+    rng = random.Random(1)
+    bits = ["a", "B", "c", "'s", "'LL", "é", "É", "ß", "ÿ", "÷", "×", "1", "23", "!", "...", "<|", "|>", "<|endoftext|>", " ", "\n", "\t", "\x0b", "\xa0", "ı", "İ", "ſ", "\u212a", "日本", "e\u0301", "\u2028", "\x00", "\x1c", "½", "ª", "µ", "don't", "😀", "_", "-", "'", "''", "\u212b", "A\u030a"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(12))) for _ in range(60_000)]
+    ours, plain = packing.WordTokenizer(packing.public_tokenizer()), Tokenizer.from_file(packing.public_tokenizer())
+    for at in range(0, len(texts), 1000):
+        some = texts[at : at + 1000]
+        want = plain.encode_batch(some, add_special_tokens=False)
+        assert [np.frombuffer(x, "<u4").tolist() for x in ours.encode([t.encode() for t in some])] == [w.ids for w in want]
+
+
 def test_first_fit_decreasing_is_first_fit():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 300):
@@ -244,6 +257,7 @@ WRAPPED = {
 def test_wrapped_licences(spark):
     prose = ["the river runs over stones and", "you may not copy this, any person", "license plates are yellow here under", "permission to walk in the park", "copyright is a word"]
     rows = [(f"plain{i}", "\n".join(prose[(i + k) % 5] for k in range(4))) for i in range(20)]
+    rows += [("plain album", "The new album was released under the MIT label and the license was refused.")]
     rows += [(k, "before it, prose\n" + t + "after it, prose") for k, t in WRAPPED.items() if k not in ("cc", "epl")] + [(k, WRAPPED[k]) for k in ("cc", "epl")]
     df = spark.createDataFrame(rows, "doc_id string, text string")
     found = {r.doc_id: r for r in license_scan.license_scan(df, license_scan.fit(df)).collect()}
