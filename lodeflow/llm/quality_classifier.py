@@ -47,6 +47,7 @@ def votes(texts: Texts) -> np.ndarray:
     distinct = text_stats.distinct_words(words)
     same = np.zeros(len(words.hashes), bool)
     same[1:] = words.hashes[1:] == words.hashes[:-1]
+    same[words.bounds[:-1][words.counts > 0]] = False  # a text's first word repeats none
     long = np.log(np.maximum(words.counts, 2))
     found = [
         _vote(text_stats.symbols(texts) / size, 0.01, 0.05),

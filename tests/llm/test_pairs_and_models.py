@@ -7,11 +7,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodeflow.llm import license_scan, lm_scoring, packing, piece_encoding
+from lodeflow.llm import license_scan, lm_scoring, packing, piece_encoding, quality_classifier, quality_rules
 from lodeflow.llm.ngram_jaccard import jaccard_components
+from lodeflow.llm.words import Texts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -270,3 +272,51 @@ def test_licence_plan_is_native(spark):
     plan = license_scan.license_scan(df, license_scan.LicenseModel(["mit", "unknown"], [0.0, 0.0], [[0.1] * license_scan.BUCKETS, [0.0] * license_scan.BUCKETS], 0.5))
     assert not re.search("Python|Arrow|Pandas|Exchange", plan._jdf.queryExecution().executedPlan().toString())
     assert plan.select(F.col("n_license")).first()[0] == 1
+
+
+def plain_votes(text):
+    """The nine labellers, each from its definition."""
+    words, data = WORD.findall(lower(text)), text.encode()
+    if not words:
+        return [-1] * 9
+    n, distinct = len(words), len(set(words))
+    letters = sum(b >= 128 or chr(b).isalpha() for b in data)
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    windows = [tuple(words[i : i + 5]) for i in range(n - 4)]
+    twice = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(5)}
+    vote = lambda value, good, bad: 1 if value <= good else -1 if value >= bad else 0
+    return [
+        vote(sum(c in "#*$%&|<>" for c in text) / len(data), 0.01, 0.05),
+        vote(sum("A" <= c <= "Z" for c in text) / max(letters, 1), 0.10, 0.35),
+        vote(-distinct / n, -0.45, -0.20),
+        vote(len(twice) / n, 0.10, 0.30),
+        vote(sum(c in "!|" for c in text) / n, 0.05, 0.30),
+        vote(sum(a == b for a, b in zip(words, words[1:], strict=False)) / n, 0.02, 0.20),
+        vote(-letters / len(data), -0.70, -0.55),
+        0 if len(lines) < 3 else vote((len(lines) - len(set(lines))) / len(lines), 0.2, 0.6),
+        vote(-distinct / max(n / math.log(max(n, 2)), 1), -1.2, -0.5),
+    ]
+
+
+def test_votes_and_posterior_by_hand(spark, sf):
+    rng = random.Random(7)
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").limit(60).collect()]
+    texts += [" ".join(rng.choice(["A", "bb", "BB", "é!", "||", "1 2", "x\nx", "\n"]) for _ in range(rng.randrange(40))) for _ in range(80)]
+    texts += ["", " \n", "one", "a b c d e a b c d e"]
+    want = [plain_votes(t) for t in texts]
+    assert quality_classifier.votes(Texts.of(pa.array(texts))).T.tolist() == want
+    df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, kept int")
+    model = quality_classifier.fit(df)
+    for r in quality_classifier.quality_classifier(df, model).collect():
+        good, bad = model.labels.prior, 1 - model.labels.prior
+        for labeller, v in enumerate(want[r.doc_id]):
+            good, bad = good * model.labels.chances[labeller, 1, v + 1], bad * model.labels.chances[labeller, 0, v + 1]
+        assert (r.votes_good, r.votes_bad) == (want[r.doc_id].count(1), want[r.doc_id].count(-1)) and abs(r.posterior - good / (good + bad)) < 1e-9
+
+
+def test_quality_rules_on_rows_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    found = {r.doc_id: r for r in quality_rules.quality_rules(docs, quality_rules.fit(docs, labels.where("doc_id % 2 = 0"))).collect()}
+    out = [(found[r.doc_id], r.quality) for r in labels.where("doc_id % 2 = 1").collect()]
+    assert np.mean([r.kept for r, q in out if q == 1 and not r.base_failed]) > 0.9 and np.mean([r.kept for r, q in out if q == 0]) < 0.2
