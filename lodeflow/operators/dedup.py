@@ -45,22 +45,25 @@ def dup_weight(df: DataFrame, key: str = "file_hash", label: str = "class_idx")
 def simhash(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """id and a 64-bit SimHash h over the distinct lower-cased words of text; null for texts without words.
 
-    A bit is set where more words have it than not. A word's bits are the first 64 of its MD5. The sums of bits
-    are made in Arrow batches, word by distinct word.
+    A bit is set where more words have it than not. A word's bits are the first 64 of its MD5, made once for all
+    texts of a batch; the sums of bits are made in Arrow batches, some texts at a time.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib
 
         for batch in batches:
-            found = []
-            for text in batch["text"]:
-                words = set((text or "").lower().split()) if text is not None else set()
-                if not words:
-                    found.append(None)
-                    continue
-                bits = np.unpackbits(np.frombuffer(b"".join(hashlib.md5(w.encode()).digest()[:8] for w in words), np.uint8).reshape(-1, 8), axis=1)
-                found.append(int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(bits)).view(">i8")[0]))
+            found, known = [], {}
+            for at in range(0, len(batch), 64):
+                told = [set((text or "").lower().split()) if text is not None else set() for text in batch["text"].iloc[at : at + 64]]
+                for word in set().union(*told).difference(known):
+                    known[word] = hashlib.md5(word.encode()).digest()[:8]
+                for words in told:
+                    if not words:
+                        found.append(None)
+                        continue
+                    bits = np.unpackbits(np.frombuffer(b"".join(map(known.__getitem__, words)), np.uint8).reshape(-1, 8), axis=1)
+                    found.append(int(np.packbits(2 * bits.sum(axis=0, dtype=np.int32) > len(bits)).view(">i8")[0]))
             yield pd.DataFrame({"id": batch["id"], "h": pd.array(found, dtype="Int64")})
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id bigint, h bigint")

@@ -96,17 +96,19 @@ def prototype_signal(df: DataFrame, tau: float = 10.0) -> DataFrame:
     return met.select("id", F.round(margin, PLACES).alias("proto"))
 
 
-#: Rows that one block of the neighbour search holds, about.
-BLOCK_ROWS = 2048
+#: Rows that one block of the neighbour search holds, about, and blocks of a stripe.
+BLOCK_ROWS, STRIPE_BLOCKS = 2048, 16
 
 
 def knn(df: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """id, nbr, cos and rank (from 1) of the k nearest rows of every row by cosine, the row itself among them.
 
-    Every row is a query, so all vectors meet all: rows are packed into blocks, blocks are sent to each other by an
-    equi-join, and a task multiplies two of them and keeps k of each row. Ties in cos, rounded to nine places, go to the smaller id.
+    Every row is a query, so all vectors meet all. Rows are packed into blocks and blocks into stripes; each stripe of
+    queries meets each stripe of neighbours in one cell of a grid, so a vector is sent once for each stripe and not for
+    each block, and a cell keeps k of each query. Ties in cos, rounded to nine places, go to the smaller id.
     """
     blocks = max(1, -(-df.count() // block_rows))
+    stripes = -(-blocks // STRIPE_BLOCKS)
     unit = df.select("id", l2_normalize(F.col("z")).alias("z"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
 
     def pack(table: pa.Table) -> pa.Table:
@@ -114,25 +116,31 @@ def knn(df: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
         return pa.table({"block": table.column("block")[:1], "ids": pa.array([table.column("id").to_numpy().tobytes()]), "zs": pa.array([z.tobytes()])})
 
     packed = unit.groupBy("block").applyInArrow(pack, "block int, ids binary, zs binary")
-    sent = packed.select("block", F.col("ids").alias("a_ids"), F.col("zs").alias("a_zs"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
-    met = sent.join(packed.select(F.col("block").alias("other"), "ids", "zs"), "other").select("a_ids", "a_zs", "ids", "zs")
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                a, b = np.frombuffer(row["a_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
-                left, right = np.frombuffer(row["a_zs"]).reshape(len(a), -1), np.frombuffer(row["zs"]).reshape(len(b), -1)
-                for at in range(0, len(a), 256):
-                    cos = np.round(left[at : at + 256] @ right.T, 9)
-                    order = np.lexsort((np.broadcast_to(b, cos.shape), -cos), axis=1)[:, :k]
-                    n = order.shape[1]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(a[at : at + 256], n)), pa.array(b[order].reshape(-1)), pa.array(np.take_along_axis(cos, order, 1).reshape(-1))], names=["id", "nbr", "cos"]
-                    )
-
-    found = met.mapInArrow(near, "id bigint, nbr bigint, cos double")
+    own, every = F.pmod("block", F.lit(stripes)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(stripes - 1)))
+    asked = packed.select(own.alias("row"), every.alias("column"), F.lit(True).alias("query"), "ids", "zs")
+    offered = packed.select(every.alias("row"), own.alias("column"), F.lit(False).alias("query"), "ids", "zs")
+
+    def near(table: pa.Table) -> pa.Table:
+        sides: dict[bool, list] = {True: [], False: []}
+        for query, ids, zs in zip(*(table.column(c).to_pylist() for c in ("query", "ids", "zs")), strict=True):
+            own = np.frombuffer(ids, np.int64)
+            sides[query].append((own, np.frombuffer(zs).reshape(len(own), -1)))
+        found: list[tuple[np.ndarray, ...]] = []
+        for a, left in sides[True]:
+            for at in range(0, len(a), 256):
+                best_cos, best_id = np.zeros((len(a[at : at + 256]), 0)), np.zeros((len(a[at : at + 256]), 0), np.int64)
+                for b, right in sides[False]:
+                    cos = np.concatenate([best_cos, np.round(left[at : at + 256] @ right.T, 9)], axis=1)
+                    ids = np.concatenate([best_id, np.broadcast_to(b, (len(cos), len(b)))], axis=1)
+                    order = np.lexsort((ids, -cos), axis=1)[:, :k]
+                    best_cos, best_id = np.take_along_axis(cos, order, 1), np.take_along_axis(ids, order, 1)
+                found.append((np.repeat(a[at : at + 256], best_id.shape[1]), best_id.reshape(-1), best_cos.reshape(-1)))
+        columns = zip(*found, strict=True) if found else ((np.zeros(0, np.int64),), (np.zeros(0, np.int64),), (np.zeros(0),))
+        return pa.table(dict(zip(("id", "nbr", "cos"), (pa.array(np.concatenate(c)) for c in columns), strict=True)))
+
+    met = asked.unionByName(offered).groupBy("row", "column").applyInArrow(near, "id bigint, nbr bigint, cos double")
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cos"), "nbr"))
-    return found.withColumn("rank", place).where(F.col("rank") <= k)
+    return met.withColumn("rank", place).where(F.col("rank") <= k)
 
 
 def mutual(edges: DataFrame) -> DataFrame:
