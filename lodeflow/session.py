@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -26,10 +27,13 @@ def local_session(cpus: int | str = 8, app: str = "lodeflow", partitions: int =
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which every executor shares.
 
-    Only where the session names no such folder (as in tests) is a folder of this machine taken.
+    A local session that names no such folder (as in tests) takes one of this machine; on a cluster that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         root = "file://" + tempfile.mkdtemp(prefix="lodeflow-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/lodeflow/{uuid.uuid4().hex}"

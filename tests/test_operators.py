@@ -14,6 +14,7 @@ from lodeflow.functions import vectors as V
 from lodeflow.operators import audit, dedup, reliability, report, split
 from lodeflow.operators.components import connected_components
 from lodeflow.plans import curation
+from lodeflow.session import scratch_dir
 from lodeflow.sources import archive, images, sinks
 from lodeflow.streaming.progress import progress_stream
 
@@ -25,6 +26,25 @@ def test_components_of_paths_and_cycles(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("task_links", [3, 40, 10**6])
+def test_components_in_rounds(spark, task_links):
+    rng = random.Random(task_links)
+    links = [(i, i + 1) for i in range(50)] + [(1000, i) for i in range(100, 160)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)] * 2
+    parent = {}
+
+    def find(i):
+        while parent.setdefault(i, i) != i:
+            i = parent[i]
+        return i
+
+    for a, b in links:
+        if a != b:
+            low, high = sorted((find(a), find(b)))
+            parent[high] = low
+    found = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long"), task_links=task_links).collect()}
+    assert found == {i: find(i) for i in parent}
+
+
 @pytest.mark.parametrize("radius", [0, 2, 5, 8])
 def test_hamming_pairs_match_all_pairs(spark, radius):
     rng = random.Random(radius)
@@ -357,6 +377,15 @@ def test_audit_log(spark):
     assert [r.t for r in shown.collect()] == ["00:00", "00:59", "59:59", "1:00:00", "00:00"]
 
 
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            scratch_dir(SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master=master)))
+    assert scratch_dir(SimpleNamespace(conf={"spark.checkpoint.dir": "s3a://b/x/"}, sparkContext=None)).startswith("s3a://b/x/lodeflow/")
+
+
 def test_config(tmp_path):
     (tmp_path / "c.json").write_text('{"data": {"train": "in/train", "far": "s3a://b/x"}, "seed": 3}')
     config = load_config(tmp_path / "c.json")
