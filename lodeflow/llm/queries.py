@@ -7,6 +7,7 @@ from lodeflow.llm.lm_scoring import op5_lm_scoring
 from lodeflow.llm.media_columns import op2_media_columns
 from lodeflow.llm.ngram_jaccard import OP3_SQL, op3_ngram_jaccard_join
 from lodeflow.llm.packing import op8_packing
+from lodeflow.llm.periodic_runs import op13_periodic_runs
 from lodeflow.llm.piece_encoding import op6_sentencepiece
 from lodeflow.llm.quality_classifier import op7_quality_classifier
 from lodeflow.llm.quality_rules import op10_quality_rules
@@ -22,5 +23,6 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_html_extraction": op9_html_extraction,
     "op10_quality_rules": op10_quality_rules,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op3_ngram_jaccard_join": OP3_SQL}
