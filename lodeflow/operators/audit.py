@@ -97,6 +97,11 @@ def assert_counts(df: DataFrame, expected: dict[str, int]) -> None:
 
 
 def sampled_check(df: DataFrame, key: str, order: str, readable: Column, most: int = 5) -> DataFrame:
-    """One row: keys, rows, and the unreadable among each key's first rows in order."""
-    first = df.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(order)))
-    return first.agg(F.count_distinct(key).alias("classes"), F.count("*").alias("images"), F.count_if((F.col("place") <= most) & ~readable).alias("unreadable"))
+    """One row: keys, rows, and the unreadable among each key's first rows in order.
+
+    The limit on the place is known to the planner, so a task keeps the first rows of each key before anything is sent.
+    """
+    seen = df.select(key, order, readable.alias("_readable"))
+    first = seen.withColumn("_place", F.row_number().over(Window.partitionBy(key).orderBy(order))).where(F.col("_place") <= most)
+    counts = df.groupBy(key).agg(F.count("*").alias("_n")).agg(F.count(key).alias("classes"), F.coalesce(F.sum("_n"), F.lit(0)).alias("images"))
+    return counts.join(first.agg(F.count_if(~F.col("_readable")).alias("unreadable")))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeflow.functions.vectors import argmax, dot, l2_normalize, let, softmax, variance
+from lodeflow.operators import ranks
 from lodeflow.session import materialize
 
 PLACES = 6
@@ -161,12 +162,9 @@ def mutual_knn_signal(df: DataFrame, k: int = 20) -> DataFrame:
     return info.join(agreed, "id", "left").select("id", F.round(F.coalesce("knn", F.lit(0.0)), PLACES).alias("knn"))
 
 
-def rank_within_class(df: DataFrame, value: str, key: str = "y", name: str = "r") -> DataFrame:
-    """df with the average rank of value within its class, scaled to 0 .. 1; 0.5 for a class of one row."""
-    by_class = Window.partitionBy(key)
-    rank = F.rank().over(by_class.orderBy(value)) + (F.count("*").over(Window.partitionBy(key, value)) - 1) / F.lit(2.0)
-    n = F.count("*").over(by_class)
-    return df.withColumn(name, F.when(n <= 1, F.lit(0.5)).otherwise((rank - 1) / (n - 1)))
+def rank_within_class(df: DataFrame, value: str, key: str = "y", name: str = "r", frequent: int = ranks.FREQUENT) -> DataFrame:
+    """df with the average rank of value within its class, scaled to 0 .. 1; 0.5 for a class of one row (see ranks.average_rank)."""
+    return ranks.average_rank(df, value, key, name, frequent)
 
 
 def fuse_q0(df: DataFrame, weights: dict[str, float], conflict: float = 0.1, low: float = 0.0, key: str = "y") -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeflow.functions.scalars import seeded_bucket, seeded_uniform
+from lodeflow.operators import ranks
 from lodeflow.operators.dedup import dense_ids
+from lodeflow.session import materialize
 
 
 def class_parts(df: DataFrame, head: float = 0.33, tail: float = 0.33, key: str = "class_idx") -> DataFrame:
@@ -39,24 +41,26 @@ def group_kfold(df: DataFrame, folds: int, seed: int = 42, group: str = "group_i
     return df.withColumn("fold_no", seeded_bucket(F.col(group), seed, folds))
 
 
-def stratified_kfold(df: DataFrame, folds: int, seed: int = 42, key: str = "class_idx", id_col: str = "id") -> DataFrame:
+def stratified_kfold(df: DataFrame, folds: int, seed: int = 42, key: str = "class_idx", id_col: str = "id", frequent: int = ranks.FREQUENT) -> DataFrame:
     """df with fold_no: rows of a class, in an order given by the hash of their id, are dealt to the folds in turn."""
-    order = Window.partitionBy(key).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))), id_col)
-    return df.withColumn("fold_no", F.pmod(F.row_number().over(order) - 1, F.lit(folds)).cast("int"))
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
+    placed = ranks.place_within(df, key, order, F.col(id_col), name="_place", frequent=frequent)
+    return placed.withColumn("fold_no", F.pmod("_place", F.lit(folds)).cast("int")).drop("_place")
 
 
-def split_quota(df: DataFrame, val_ratio: float = 0.1, least: int = 10, folds: int = 3, seed: int = 42) -> DataFrame:
+def split_quota(df: DataFrame, val_ratio: float = 0.1, least: int = 10, folds: int = 3, seed: int = 42, frequent: int = ranks.FREQUENT) -> DataFrame:
     """df (group_id, class_idx) with fold, without any sequential step.
 
     A group's class is its most frequent one (ties: the smallest). Within a class of at least least rows, groups
     in hash order are val while their running size stays within max(1, floor(n * val_ratio)); other groups of
     such a class are train. Groups of smaller classes are dealt to oof_0 ... by their hash. No group spans folds.
     """
-    counts = contingency(df).withColumn("class_n", F.sum("n").over(Window.partitionBy("class_idx")))
+    counts = materialize(contingency(df))
+    sizes = counts.groupBy("class_idx").agg(F.sum("n").alias("class_n"))
     main = counts.groupBy("group_id").agg(F.max_by("class_idx", F.struct("n", -F.col("class_idx"))).alias("class_idx"), F.sum("n").alias("size"))
-    main = main.join(counts.select("class_idx", "class_n").distinct(), "class_idx")
-    order = Window.partitionBy("class_idx").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("group_id").cast("string"))), "group_id")
-    run = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("group_id").cast("string")))
+    main = ranks.running_within(materialize(main), "class_idx", "size", order, F.col("group_id"), name="run", frequent=frequent).join(sizes, "class_idx")
+    run = F.col("run")
     quota = F.greatest(F.lit(1), F.floor(F.col("class_n") * val_ratio))
     small = F.concat(F.lit("oof_"), seeded_bucket(F.col("group_id"), seed, folds).cast("string"))
     fold = F.when(F.col("class_n") < least, small).when(run <= quota, "val").otherwise("train")
@@ -133,8 +137,6 @@ def weighted_sample(df: DataFrame, weight: str, draws: int, seed: int = 42, id_c
     Row i is drawn as often as seeded points fall into its share of the running total of weights. Running totals
     are made within ranges of ids, and ranges' totals added up, so no task holds all rows.
     """
-    from lodeflow.session import materialize
-
     ranged = df.where(F.col(weight) > 0).select(F.col(id_col).alias("id"), F.col(weight).cast("double").alias("w")).repartitionByRange("id").withColumn("part", F.spark_partition_id())
     ranged = materialize(ranged)
     own = F.sum("w").over(Window.partitionBy("part").orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
