@@ -48,14 +48,16 @@ def merkle_tree(text: Column) -> Column:
     def section(s: Column) -> Column:
         return let(F.transform(_parts(s, PARAGRAPH), paragraph), lambda found: F.struct(_node(F.transform(found, lambda p: p["node"])).alias("node"), found.alias("paragraphs")))
 
-    sections = F.transform(_parts(F.coalesce(text, F.lit("")), SECTION), section)
+    whole = F.coalesce(text, F.lit(""))
+    sections = F.transform(F.when(whole.rlike(rf"\n{_BLANK}*\n"), _parts(whole, SECTION)).when(whole == "", F.array().cast("array<string>")).otherwise(F.array(whole)), section)
     return let(sections, lambda found: F.struct(_node(F.transform(found, lambda s: s["node"]), 64).alias("root"), found.alias("sections")))
 
 
 def written(tree: Column) -> Column:
     """A tree as text, see the module."""
     paragraphs = lambda s: F.array_join(F.transform(s["paragraphs"], lambda p: F.concat(p["node"], F.lit(":"), F.array_join(p["leaves"], ""))), ",")
-    return F.concat(tree["root"], F.lit("/"), F.array_join(F.transform(tree["sections"], lambda s: F.concat(s["node"], F.lit("("), paragraphs(s), F.lit(")"))), ""))
+    sections = lambda t: F.array_join(F.transform(t["sections"], lambda s: F.concat(s["node"], F.lit("("), paragraphs(s), F.lit(")"))), "")
+    return let(tree, lambda t: F.concat(t["root"], F.lit("/"), sections(t)))
 
 
 def read_back(fingerprint: Column) -> Column:
@@ -67,9 +69,12 @@ def read_back(fingerprint: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """How alike two fingerprints that are read back are: 1 for equal roots, else twice the distinct pieces of both over those of each, 0 .. 1."""
-    both = F.size(F.array_intersect(a["leaves"], b["leaves"]))
-    total = F.size(a["leaves"]) + F.size(b["leaves"])
-    return F.when(a["root"] == b["root"], 1.0).when(total == 0, 0.0).otherwise(F.lit(2.0) * both / total)
+
+    def met(x: Column, y: Column) -> Column:
+        total = F.size(x["leaves"]) + F.size(y["leaves"])
+        return F.when(x["root"] == y["root"], 1.0).when(total == 0, 0.0).otherwise(F.lit(2.0) * F.size(F.array_intersect(x["leaves"], y["leaves"])) / total)
+
+    return let(a, lambda x: let(b, lambda y: met(x, y)))
 
 
 def edits(a: Column, b: Column) -> Column:
