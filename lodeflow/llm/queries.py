@@ -1,6 +1,7 @@
 """The opN_ queries over the training-data tables, and SQL for those that SQL can express."""
 
 from lodeflow.llm.chat_format import OP1_SQL, op1_chat_formatting
+from lodeflow.llm.divergence import OP11_SQL, op11_source_divergence
 from lodeflow.llm.fingerprints import OP12_SQL, op12_document_fingerprints
 from lodeflow.llm.html_text import op9_html_extraction
 from lodeflow.llm.license_scan import op4_license_scans
@@ -24,7 +25,8 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_html_extraction": op9_html_extraction,
     "op10_quality_rules": op10_quality_rules,
+    "op11_source_divergence": op11_source_divergence,
     "op12_document_fingerprints": op12_document_fingerprints,
     "op13_periodic_runs": op13_periodic_runs,
 }
-ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op3_ngram_jaccard_join": OP3_SQL, "op12_document_fingerprints": OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op3_ngram_jaccard_join": OP3_SQL, "op11_source_divergence": OP11_SQL, "op12_document_fingerprints": OP12_SQL}
