@@ -129,15 +129,18 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     whatever ids and lengths are. An empty table gives an empty one; other columns are not looked at.
     """
     text = F.coalesce(docs["text"], F.lit(""))
-    rows = docs.select(docs["doc_id"].alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    known = materialize(rows.select("doc_id", "h", F.length("text").cast("bigint").alias("n_chars")).distinct())
-    placed = materialize(numbered(known, F.col("doc_id").desc_nulls_last(), F.col("h")))
+    rows = docs.select(F.coalesce(docs["doc_id"].cast("bigint"), F.lit(0)).alias("doc_id"), docs["doc_id"].isNull().alias("nameless"), F.xxhash64(text).alias("h"), text.alias("text"))
+    key, to = ["doc_id", "nameless", "h"], ["to_id", "to_nameless", "to_h"]
+    known = materialize(rows.select(*key, F.length("text").cast("bigint").alias("n_chars")).distinct())
+    placed = materialize(numbered(known, F.col("nameless"), F.desc("doc_id"), F.col("h")))
     n = placed.agg(F.count("*").alias("n"))  # one row
-    after = placed.join(F.broadcast(n)).select(F.pmod(F.col("place") - 1, "n").alias("place"), F.col("doc_id").alias("from_id"), F.col("h").alias("from_h"))
-    sends = materialize(placed.join(after, "place").select("from_id", "from_h", F.col("doc_id").alias("to_id"), F.col("h").alias("to_h"), F.expr("n_chars div 3").cast("int").alias("need")))
-    sent = rows.dropDuplicates(["doc_id", "h"]).join(sends, rows["doc_id"].eqNullSafe(sends["from_id"]) & (rows["h"] == sends["from_h"]))
-    sent = sent.select("to_id", "to_h", F.left("text", "need").alias("first"), written(merkle_tree(F.col("text"))).alias("next_fingerprint"))
-    met = rows.join(sent, rows["doc_id"].eqNullSafe(sent["to_id"]) & (rows["h"] == sent["to_h"]))
+    after = placed.join(F.broadcast(n)).select(F.pmod(F.col("place") - 1, "n").alias("place"), *key)
+    before = placed.select("place", *(F.col(a).alias(b) for a, b in zip(key, to, strict=True)), F.expr("n_chars div 3").cast("int").alias("need"))
+    sends = materialize(after.join(before, "place").drop("place"))
+    # both joins need the same rows by the same keys, so texts are sent once and read twice
+    sent = rows.join(sends, key).select(*to, F.left("text", "need").alias("first"), written(merkle_tree(F.col("text"))).alias("next_fingerprint"))
+    sent = sent.dropDuplicates(to).select(*(F.col(b).alias(a) for a, b in zip(key, to, strict=True)), "first", "next_fingerprint")
+    met = rows.join(sent, key).withColumn("doc_id", F.when(~F.col("nameless"), F.col("doc_id")))
     n_chars = F.length("text")
     cut = met.select("doc_id", n_chars.cast("bigint").alias("n_chars"), "text", F.concat(F.left("text", n_chars - F.expr("length(text) div 3").cast("int")), "first").alias("edited"), "next_fingerprint")
     told = cut.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), written(merkle_tree(F.col("text"))).alias("fingerprint"), written(merkle_tree(F.col("edited"))).alias("edited_fingerprint"), "next_fingerprint")
