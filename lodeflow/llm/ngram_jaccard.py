@@ -80,7 +80,7 @@ def _bits(n_grams: int) -> int:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list[pa.RecordBatch], np.ndarray, np.ndarray, np.ndarray]]:
-    """Batches of about DEAL_BYTES of text with their sets: n-grams, n-grams of each row, signatures."""
+    """Batches of about DEAL_BYTES of text and DEAL_ROWS rows at most, whatever Arrow batches hold, with their sets: n-grams, n-grams of each row, signatures."""
     held: list[tuple] = []
     seen = rows = 0
 
@@ -88,8 +88,8 @@ def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list
         batches, grams, counts, sigs = zip(*held, strict=True)
         return list(batches), np.concatenate(grams), np.concatenate(counts), np.concatenate(sigs)
 
-    for batch in slices(batches, "text"):
-        if held and rows + batch.num_rows > DEAL_ROWS:
+    for batch in (b.slice(at, DEAL_ROWS) for b in slices(batches, "text") for at in range(0, b.num_rows, DEAL_ROWS)):
+        if held and rows + batch.num_rows > DEAL_ROWS:  # a set's place in its chunk is 16 bits wide
             yield whole()
             held, seen, rows = [], 0, 0
         texts = Texts.of(batch.column("text"))
