@@ -99,22 +99,22 @@ def lm_rows(seed=1):
 
 
 def test_no_link_is_lost_in_large_arrow_batches(spark):
-    """More rows in one Arrow batch than a chunk may hold: places within a chunk must not wrap."""
+    """More rows in one Arrow batch than a chunk may hold: places within a chunk must not wrap. Copies lie in different chunks."""
     n, pairs = 160_000, 60
     rows = [(i, f"{i % 997} {i}") for i in range(n)]
     for k in range(pairs):
         long = [f"p{k}q{j}" for j in range(30)]
-        for i, text in ((k * 2600, long), (k * 2600 + 1400, [*long[:-1], "other"])):
+        for i, text in ((k * 1300, long), (k * 1300 + 80_000, [*long[:-1], "other"])):
             rows[i] = (i, " ".join(text))
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
     spark.conf.set(key, "200000")
     try:
-        df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(2, "doc_id")
         found = {r.doc_id: r.component_id for r in jaccard_components(df, 4, 85).where("component_id <> doc_id").collect()}
     finally:
         spark.conf.set(key, before)
-    assert all(found.get(k * 2600 + 1400) == k * 2600 for k in range(pairs))
+    assert all(found.get(k * 1300 + 80_000) == k * 1300 for k in range(pairs))
 
 
 def test_lm_base_and_paths(spark):
