@@ -74,9 +74,10 @@ AUDIT_TOTAL = r"\[(train|test)\]\s+.*?(\d+)\s*个文件"
 AUDIT_PROGRESS = r"\[(train|test)\]\s+(\d+)/(\d+)\s+\(([\d.]+)%\)，可用\s+(\d+)，异常\s+(\d+)，([\d.]+)\s*张/秒"
 
 
-def audit_progress(log: DataFrame) -> DataFrame:
-    """Last state of each stage in an audit's log (line_no, line): stage, first_line, announced, done, total, percent, usable,
-    anomalies and rate. announced is the last total that the log names; a stage with a total only has nulls in what follows it.
+def audit_states(log: DataFrame, order: str) -> DataFrame:
+    """Last state of each stage in an audit's log (order, line), also a streaming one: stage, first (order), announced and state.
+
+    announced is the last total that the log names, state the numbers of its last line of progress; either may be missing.
     """
     part = lambda shape, i: F.regexp_extract("line", shape, i)
     total, state = F.col("line").rlike(AUDIT_TOTAL), F.col("line").rlike(AUDIT_PROGRESS)
@@ -84,13 +85,20 @@ def audit_progress(log: DataFrame) -> DataFrame:
     kinds = ("bigint", "bigint", "double", "bigint", "bigint", "double")
     values = F.struct(*(part(AUDIT_PROGRESS, i + 2).cast(k).alias(n) for i, (n, k) in enumerate(zip(names, kinds, strict=True))))
     found = log.where(total | state).select(
-        "line_no",
+        order,
         F.when(state, part(AUDIT_PROGRESS, 1)).otherwise(part(AUDIT_TOTAL, 1)).alias("stage"),
         F.when(total, part(AUDIT_TOTAL, 2).cast("bigint")).alias("announced"),
         F.when(state, values).alias("state"),
     )
-    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("line_no"))).alias(c)
-    return found.groupBy("stage").agg(F.min("line_no").alias("first_line"), last("announced"), last("state")).select("stage", "first_line", "announced", "state.*")
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c)
+    return found.groupBy("stage").agg(F.min(order).alias("first"), last("announced"), last("state"))
+
+
+def audit_progress(log: DataFrame) -> DataFrame:
+    """Last state of each stage in an audit's log (line_no, line): stage, first_line, announced, done, total, percent, usable,
+    anomalies and rate. A stage with a total only has nulls in what follows it.
+    """
+    return audit_states(log, "line_no").select("stage", F.col("first").alias("first_line"), "announced", "state.*")
 
 
 def audit_share(states: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ from lodeflow.functions import scalars as S
 from lodeflow.functions import vectors as V
 from lodeflow.operators import audit, dedup, reliability, report, split
 from lodeflow.plans import curation
+from lodeflow.session import materialize, scratch_dir
+from lodeflow.sources import archive, store
 from lodeflow.sources.sinks import submission
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -780,3 +782,54 @@ def archive_audit(spark, sf):
     hashed = F.when(p % 2 == 0, F.lit("other")).otherwise(F.sha2("content", 256))
     there = audit.normalized(entries.where(p % 13 == 0)).where("norm_path IS NOT NULL").groupBy(F.col("norm_path").alias("path")).agg(F.min(hashed).alias("file_hash"))
     return curation.audit_archive(entries, there, 2).select("page_id", "file_hash", "label", "class_idx", "error", "outcome", "status")
+
+
+@_query(
+    """SELECT 'pages' || CAST(page_id % 4 AS VARCHAR) || '.zip' AS archive, CAST(row_number() OVER (PARTITION BY page_id % 4 ORDER BY page_id) - 1 AS INTEGER) AS entry_no,
+    'c' || CAST(page_id % 7 AS VARCHAR) || '/' || CAST(page_id AS VARCHAR) || '.png' AS path, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS size, sha256(coalesce(html, '')) AS file_hash FROM pages"""
+)
+def archive_entries(spark, sf):
+    """All pages, written to four zip archives by Spark and read again by ranges of the archives."""
+    p, folder = F.col("page_id"), scratch_dir(spark)
+    path = F.concat(F.lit("c"), (p % 7).cast("string"), F.lit("/"), p.cast("string"), F.lit(".png"))
+    files = _read(spark, sf, "pages").select(F.concat(F.lit("pages"), (p % 4).cast("string")).alias("archive"), path.alias("path"), F.encode("html", "utf-8").alias("content"), "page_id")
+    materialize(archive.write_archives(files, folder, order="page_id"))
+    entries = archive.with_digest(archive.read_archives(spark, folder, 1 << 16))
+    return entries.select(F.element_at(F.split("archive", "/"), -1).alias("archive"), "entry_no", "path", "size", "file_hash")
+
+
+@_query(
+    """WITH files AS (SELECT lang || '/' || CAST(doc_id % 50 AS VARCHAR) AS path, sha256(coalesce(text, '')) AS file_hash, doc_id FROM documents),
+    old AS (SELECT path, min(file_hash) AS h FROM files WHERE doc_id % 2 = 0 GROUP BY path), new AS (SELECT path, min(file_hash) AS h FROM files GROUP BY path),
+    each AS (SELECT path, file_hash, count(*) AS n FROM files GROUP BY ALL)
+    SELECT path, file_hash, n, CASE WHEN old.h IS NOT NULL THEN CASE WHEN old.h = file_hash THEN 'reused' ELSE 'conflict' END WHEN new.h = file_hash THEN 'written' ELSE 'conflict' END AS status
+    FROM each JOIN new USING (path) LEFT JOIN old USING (path)"""
+)
+def store_files(spark, sf):
+    """Two calls of the write-once store: rows with an even id, then all rows. Paths are repeated with like and unlike texts."""
+    docs = _read(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang")
+    path = F.concat("lang", F.lit("/"), (F.col("doc_id") % 50).cast("string"))
+    files = docs.select("doc_id", path.alias("path"), F.col("lang").alias("label"), F.sha2("text", 256).alias("file_hash"), F.encode("text", "utf-8").alias("content"))
+    folder = scratch_dir(spark)
+    store.write_once(files.where("doc_id % 2 = 0").drop("doc_id"), folder)
+    return store.write_once(files.drop("doc_id"), folder)
+
+
+@_query(
+    f"""WITH {MANIFEST}, rows AS (SELECT id, class_idx, min(id) OVER (PARTITION BY file_hash) AS root FROM manifest WHERE id % 11 <> 0),
+    grouped AS (SELECT id, class_idx, CAST(dense_rank() OVER (ORDER BY root) - 1 AS BIGINT) AS group_id FROM (SELECT id, class_idx, min(id) OVER (PARTITION BY root) AS root FROM rows)),
+    counts AS (SELECT group_id, class_idx, count(*) AS n FROM grouped GROUP BY ALL),
+    sized AS (SELECT *, sum(n) OVER (PARTITION BY class_idx) AS class_n FROM counts),
+    main AS (SELECT group_id, arg_max(class_idx, (n, -class_idx)) AS class_idx, sum(n) AS size FROM sized GROUP BY group_id),
+    joined AS (SELECT main.*, class_n FROM main JOIN (SELECT DISTINCT class_idx, class_n FROM sized) USING (class_idx)),
+    run AS (SELECT *, sum(size) OVER (PARTITION BY class_idx ORDER BY md5('42:' || CAST(group_id AS VARCHAR)), group_id ROWS UNBOUNDED PRECEDING) AS upto FROM joined),
+    folded AS (SELECT g.id, g.class_idx, g.group_id, CASE WHEN class_n < 10 THEN 'oof_' || CAST({BUCKET.format(seed=42, key="g.group_id", n=3)} AS VARCHAR)
+        WHEN upto <= greatest(1, floor(class_n * 0.1e0)) THEN 'val' ELSE 'train' END AS fold FROM grouped g JOIN run USING (group_id)),
+    sizes AS (SELECT class_idx, count(*) AS n FROM folded WHERE fold <> 'val' GROUP BY class_idx),
+    placed AS (SELECT class_idx, row_number() OVER (ORDER BY n, class_idx) AS place, count(*) OVER () AS c FROM sizes)
+    SELECT id, group_id, fold, CASE WHEN place > c - floor(c * 0.33e0) THEN 'head' WHEN place <= floor(c * 0.33e0) THEN 'tail' ELSE 'middle' END AS part FROM folded LEFT JOIN placed USING (class_idx)"""
+)
+def audit_to_split(spark, sf):
+    """The whole plan from a manifest to parts: decodable rows, groups of equal hashes, folds by quota, head and tail classes."""
+    rows = _manifest(spark, sf).select("id", "class_idx", "file_hash", F.lit(None).cast("bigint").alias("h"), (F.col("id") % 11 != 0).alias("decodable"))
+    return curation.audit_to_split(rows, rule="quota").select("id", "group_id", "fold", "part")

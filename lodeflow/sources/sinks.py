@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeflow.functions.scalars import class_name
-from lodeflow.operators.audit import write_status
-from lodeflow.session import materialize
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -60,19 +57,3 @@ def remap_by_archive_path(df: DataFrame, root: str) -> DataFrame:
         if name not in df.columns:
             raise KeyError(f"column {name} is missing")
     return df.withColumn("path", F.concat_ws("/", F.lit(root.rstrip("/")), "archive_path"))
-
-
-def write_once(files: DataFrame, path: str) -> DataFrame:
-    """Append the files (path, label, file_hash, content) that path does not hold yet, by label; what is there is never overwritten.
-
-    Returns path, file_hash and status of every file (see audit.write_status); conflicts are not written.
-    """
-    spark = files.sparkSession
-    try:
-        old = spark.read.parquet(path).select("path", "file_hash")
-    except AnalysisException:  # nothing is there yet
-        old = spark.createDataFrame([], "path string, file_hash string")
-    status = materialize(write_status(files.select("path", "file_hash"), old))
-    new = files.join(status.where("status = 'written'").select("path"), "path", "left_semi")
-    new.write.mode("append").partitionBy("label").parquet(path)
-    return status

@@ -1,20 +1,20 @@
-"""Progress of a running job from its growing log files."""
+"""Progress of a running job, followed in its growing logs."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SHAPE = r"^\[(\w+)\]\s+(\d+)/(\d+)"
+from lodeflow.operators import report
+from lodeflow.sources.log_tail import RANGE_BYTES, tail_logs
 
 
-def progress_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """A streaming table of each stage's largest done and total in the text files that arrive in folder.
+def progress_stream(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """A streaming table of each stage's last state in the logs at path, see report.audit_progress.
 
-    State is one row for each stage. Write it in complete or update mode.
+    The last line wins, by file name and then by its place in the file, whatever its numbers are: a total that shrinks is
+    told as it is. State is a row for each stage and is kept in the query's checkpoint, as are the bytes read of each file.
+    Write it in complete or update mode.
     """
-    lines = spark.readStream.text(folder)
-    found = lines.where(F.col("value").rlike(SHAPE)).select(
-        F.regexp_extract("value", SHAPE, 1).alias("stage"), F.regexp_extract("value", SHAPE, 2).cast("bigint").alias("done"), F.regexp_extract("value", SHAPE, 3).cast("bigint").alias("total")
-    )
-    return found.groupBy("stage").agg(F.max("done").alias("done"), F.max("total").alias("total"))
+    lines = tail_logs(spark, path, range_bytes)
+    return report.audit_states(lines.select(F.struct("file", "at").alias("order"), "line"), "order")

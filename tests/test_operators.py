@@ -2,21 +2,19 @@
 
 import inspect
 import random
-import zipfile
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodeflow.config import load_config
+from lodeflow.config import read_settings
 from lodeflow.functions import scalars as S
 from lodeflow.functions import vectors as V
 from lodeflow.operators import audit, dedup, reliability, report, split
 from lodeflow.operators.components import connected_components
 from lodeflow.plans import curation
 from lodeflow.session import scratch_dir
-from lodeflow.sources import archive, images, sinks
-from lodeflow.streaming.progress import progress_stream
+from lodeflow.sources import images, sinks
 
 
 def test_components_of_paths_and_cycles(spark):
@@ -284,16 +282,6 @@ def test_vectors_of_nothing(spark):
     assert (row.z, row.n, row.a) == ([0.0, 0.0], None, 0)
 
 
-def test_archives(spark, tmp_path):
-    with zipfile.ZipFile(tmp_path / "t.zip", "w") as z:
-        z.writestr("0000/a.png", b"one")
-        z.writestr("0001/b.png", b"one")
-    (tmp_path / "broken.zip").write_bytes(b"no archive")
-    found = archive.with_digest(archive.read_archives(spark, str(tmp_path / "*.zip"))).collect()
-    good = {r.path: r.file_hash for r in found if r.error is None}
-    assert set(good) == {"0000/a.png", "0001/b.png"} and len(set(good.values())) == 1 and sum(r.error is not None for r in found) == 1
-
-
 def test_class_folders(spark, tmp_path):
     for name in ("b/1.png", "a/2.JPG", "a/no.txt"):
         (tmp_path / name).parent.mkdir(exist_ok=True)
@@ -358,14 +346,6 @@ def test_sinks(spark, tmp_path):
         sinks.remap_by_archive_path(df, "/data")
 
 
-def test_write_once(spark, tmp_path):
-    schema = "path string, label string, file_hash string, content binary"
-    put = lambda rows: {r.path: r.status for r in sinks.write_once(spark.createDataFrame(rows, schema), f"{tmp_path}/store").collect()}
-    assert put([("a/1", "a", "h1", b"1"), ("b/2", "b", "h2", b"2")]) == {"a/1": "written", "b/2": "written"}
-    assert put([("a/1", "a", "h1", b"1"), ("b/2", "b", "other", b"!"), ("b/3", "b", "h3", b"3")]) == {"a/1": "reused", "b/2": "conflict", "b/3": "written"}
-    assert {(r.path, r.file_hash) for r in spark.read.parquet(f"{tmp_path}/store").collect()} == {("a/1", "h1"), ("b/2", "h2"), ("b/3", "h3")}
-
-
 def test_audit_log(spark):
     lines = ["[train] D:\\x\\train.zip：103218 个文件", "[train] 1000/103218 (1.0%)，可用 990，异常 10，65.8 张/秒", "noise", "[test] 9 个文件", "[train] 2000/103218 (1.9%)，可用 1980，异常 20，70.0 张/秒"]
     log = spark.createDataFrame(list(enumerate(lines)), "line_no int, line string")
@@ -386,24 +366,16 @@ def test_a_cluster_must_name_its_shared_folder():
     assert scratch_dir(SimpleNamespace(conf={"spark.checkpoint.dir": "s3a://b/x/"}, sparkContext=None)).startswith("s3a://b/x/lodeflow/")
 
 
-def test_config(tmp_path):
-    (tmp_path / "c.json").write_text('{"data": {"train": "in/train", "far": "s3a://b/x"}, "seed": 3}')
-    config = load_config(tmp_path / "c.json")
-    assert config.data.train == "in/train" and config["seed"] == 3 and config.get("none", 1) == 1
-    assert config.path(config.data.train) == str(tmp_path / "in/train") and config.path(config.data.far) == "s3a://b/x" and config.path(None) is None
+def test_settings(tmp_path):
+    put = lambda text: (tmp_path / "c.json").write_text(text) and tmp_path / "c.json"
+    found = read_settings(put('{"paths": {"train": "in/train", "far": "s3a://b/x", "here": "/x"}, "splitting": {"seed": 3, "val_ratio": 1}, "weights": {"cls": 2}}'))
+    assert dict(found.paths) == {"train": str(tmp_path / "in/train"), "far": "s3a://b/x", "here": "/x"}
+    assert (found.splitting.seed, found.splitting.val_ratio, found.splitting.folds, found.signals.k, dict(found.weights)) == (3, 1.0, 3, 20, {"cls": 2.0})
+    for wrong in ("[1]", '{"speed": 1}', '{"splitting": {"seeds": 1}}', '{"splitting": {"seed": "1"}}', '{"splitting": {"seed": true}}', '{"signals": 3}', '{"weights": {}}', '{"paths": {"a": 1}}'):
+        with pytest.raises(ValueError):
+            read_settings(put(wrong))
     with pytest.raises(AttributeError):
-        config.data.nothing  # noqa: B018
-    (tmp_path / "l.json").write_text("[1]")
-    with pytest.raises(ValueError):
-        load_config(tmp_path / "l.json")
-
-
-def test_progress_stream(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in/log.txt").write_text("[x] 1/5\nnoise\n[x] 4/5\n[y] 1/2\n")
-    stream = progress_stream(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("progress").outputMode("complete").trigger(availableNow=True).start()
-    stream.awaitTermination(60)
-    assert {(r.stage, r.done, r.total) for r in spark.table("progress").collect()} == {("x", 4, 5), ("y", 1, 2)}
+        found.splitting.seed = 4
 
 
 def test_plans(spark):
