@@ -82,26 +82,35 @@ def running_within(df: DataFrame, key: str, weight: str, *order: Column | str, n
 
 
 def average_rank(df: DataFrame, value: str, key: str, name: str = "r", frequent: int = FREQUENT) -> DataFrame:
-    """df with name: the average rank of value within its class, scaled to 0 .. 1; 0.5 for a class of one row. Nulls rank first.
+    """df with name: the average rank of value within its class, see average_ranks."""
+    return average_ranks(df, {value: name}, key, frequent)
 
-    In a frequent class equal values are counted first, so what is ranged are distinct values, and rows that tie over
-    several ranges cannot occur; the ranks meet the rows by (class, value) again.
+
+def average_ranks(df: DataFrame, names: dict[str, str], key: str, frequent: int = FREQUENT) -> DataFrame:
+    """df with a column for each value of names: its average rank within the class, scaled to 0 .. 1; 0.5 for a class of one row.
+
+    Nulls rank first. In a frequent class equal values are counted first, so what is ranged are distinct values, and rows
+    that tie over several ranges cannot occur; the ranks meet the rows by (class, value) again. df is read more than once.
     """
     scaled = lambda rank0, n: F.when(n <= 1, F.lit(0.5)).otherwise(rank0 / (n - 1))
     by_class = Window.partitionBy(key)
 
     def windowed(rows: DataFrame) -> DataFrame:
-        rank0 = F.rank().over(by_class.orderBy(value)) - 1 + (F.count("*").over(Window.partitionBy(key, value)) - 1) / F.lit(2.0)
-        return rows.withColumn(name, scaled(rank0, F.count("*").over(by_class)))
+        for value, name in names.items():
+            rank0 = F.rank().over(by_class.orderBy(value)) - 1 + (F.count("*").over(Window.partitionBy(key, value)) - 1) / F.lit(2.0)
+            rows = rows.withColumn(name, scaled(rank0, F.count("*").over(by_class)))
+        return rows
 
     heavy = frequent_classes(df, key, frequent)
     if heavy is None:
         return windowed(df)
     light, large = _split(df, key, heavy)
-    counts = large.groupBy(F.col(key).alias("_class"), F.col(value).alias("_value")).agg(F.count("*").alias("_m"))
-    placed = _with_before(_ranged(counts, "_class", "_value"), "_class", F.col("_m"))
-    ahead = F.sum("_m").over(Window.partitionBy("_range", "_class").orderBy("_value").rowsBetween(Window.unboundedPreceding, -1))
-    rank0 = F.col("_before") + F.coalesce(ahead, F.lit(0)) + (F.col("_m") - 1) / F.lit(2.0)
-    ranked = placed.select("_class", "_value", scaled(rank0, F.col("_total")).alias(name))
-    met = large.join(ranked, large[key].eqNullSafe(ranked["_class"]) & large[value].eqNullSafe(ranked["_value"])).drop("_class", "_value")
+    met = large
+    for value, name in names.items():
+        counts = large.groupBy(F.col(key).alias("_class"), F.col(value).alias("_value")).agg(F.count("*").alias("_m"))
+        placed = _with_before(_ranged(counts, "_class", "_value"), "_class", F.col("_m"))
+        ahead = F.sum("_m").over(Window.partitionBy("_range", "_class").orderBy("_value").rowsBetween(Window.unboundedPreceding, -1))
+        rank0 = F.col("_before") + F.coalesce(ahead, F.lit(0)) + (F.col("_m") - 1) / F.lit(2.0)
+        ranked = placed.select("_class", "_value", scaled(rank0, F.col("_total")).alias(name))
+        met = met.join(ranked, met[key].eqNullSafe(ranked["_class"]) & met[value].eqNullSafe(ranked["_value"])).drop("_class", "_value")
     return windowed(light).unionByName(met)

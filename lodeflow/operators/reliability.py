@@ -10,6 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,11 +22,14 @@ from lodeflow.session import materialize
 PLACES = 6
 
 
-def vector_sum(df: DataFrame, keys: list[str], vector: str = "z", name: str = "s") -> DataFrame:
-    """keys, n and the element-wise sum of a vector column; partial sums are made before the shuffle."""
-    flat = df.select(*keys, F.posexplode(vector).alias("pos", "v"))
-    sums = flat.groupBy(*keys, "pos").agg(F.sum("v").alias("v"), F.count("*").alias("n"))
-    return sums.groupBy(*keys).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda p: p["v"]).alias(name))
+def vector_sum(df: DataFrame, keys: list[str], vector: str = "z", name: str = "s", n: str | None = None) -> DataFrame:
+    """keys, n and the element-wise sum of a vector column. Whole vectors are added up in each task before anything is sent.
+
+    n names a column of counts to add up, for sums of sums; without it rows are counted. Vectors of a key have one length.
+    """
+    added = Summarizer.metrics("sum").summary(array_to_vector(F.col(vector)))["sum"]
+    counted = F.count("*") if n is None else F.sum(n)
+    return df.groupBy(*keys).agg(counted.alias("n"), vector_to_array(added).alias(name))
 
 
 def _minus(a: Column, b: Column) -> Column:
@@ -58,9 +63,9 @@ def oof_signal(df: DataFrame, folds: int = 3, fold: str = "fold_no", scale: floa
     The other folds' class sums are total minus fold. A class without rows there has a zero prototype, which is
     decided on the count, and stays in the softmax with logit 0.
     """
-    per = vector_sum(df, [fold, "y"])
-    total = vector_sum(df, ["y"], name="t").withColumnRenamed("n", "tn")
-    grid = total.crossJoin(df.select(fold).distinct())  # classes by folds: small by construction
+    per = materialize(vector_sum(df, [fold, "y"]))  # classes by folds: small by construction, and the totals are made of it
+    total = vector_sum(per, ["y"], "s", "t", "n").withColumnRenamed("n", "tn")
+    grid = total.crossJoin(per.select(fold).distinct())
     rest = grid.join(per, [fold, "y"], "left").select(
         fold,
         "y",
@@ -80,9 +85,9 @@ def prototype_signal(df: DataFrame, tau: float = 10.0) -> DataFrame:
     Prototypes shrink towards the global mean g: norm(r * norm(S) + (1 - r) * g), r = n / (n + tau) with the full
     class size. Without rows left of its class, a row is held against g.
     """
-    total = vector_sum(df, ["y"], name="t").withColumnRenamed("n", "tn")
+    total = materialize(vector_sum(df, ["y"], name="t").withColumnRenamed("n", "tn"))
     grouped = vector_sum(df, ["g", "y"]).withColumnRenamed("n", "gn")
-    mean = vector_sum(df.withColumn("one", F.lit(1)), ["one"]).select(l2_normalize(F.transform("s", lambda x: x / F.col("n"))).alias("g0"))
+    mean = vector_sum(total.withColumn("one", F.lit(1)), ["one"], "t", "s", "tn").select(l2_normalize(F.transform("s", lambda x: x / F.col("n"))).alias("g0"))
     ratio = F.col("tn") / (F.col("tn") + tau)
 
     def shrunk(s: Column) -> Column:
@@ -113,7 +118,8 @@ def knn(df: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     unit = df.select("id", l2_normalize(F.col("z")).alias("z"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
 
     def pack(table: pa.Table) -> pa.Table:
-        z = np.array(table.column("z").to_pylist(), np.float64)
+        vectors = table.column("z").combine_chunks()
+        z = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
         return pa.table({"block": table.column("block")[:1], "ids": pa.array([table.column("id").to_numpy().tobytes()]), "zs": pa.array([z.tobytes()])})
 
     packed = unit.groupBy("block").applyInArrow(pack, "block int, ids binary, zs binary")
@@ -174,12 +180,10 @@ def fuse_q0(df: DataFrame, weights: dict[str, float], conflict: float = 0.1, low
     """
     if not weights:
         raise ValueError("no signal to fuse")
-    ranked = df
-    for name in weights:
-        ranked = rank_within_class(ranked, name, key, f"r_{name}")
-    ranks = [F.col(f"r_{n}") for n in weights]
-    mean = sum((r * w for r, w in zip(ranks, weights.values(), strict=True)), F.lit(0.0)) / sum(weights.values())
-    spread = variance(F.array(*ranks)) if len(ranks) > 1 else F.lit(0.0)
+    ranked = ranks.average_ranks(df, {name: f"r_{name}" for name in weights}, key)
+    each = [F.col(f"r_{n}") for n in weights]
+    mean = sum((r * w for r, w in zip(each, weights.values(), strict=True)), F.lit(0.0)) / sum(weights.values())
+    spread = variance(F.array(*each)) if len(each) > 1 else F.lit(0.0)
     return ranked.withColumn("q0", F.least(F.greatest(mean - conflict * spread, F.lit(low)), F.lit(1.0))).drop(*(f"r_{n}" for n in weights))
 
 
@@ -195,7 +199,7 @@ def compute_q0(df: DataFrame, weights: dict[str, float] | None = None, folds: in
     """id, y, cls, proto, knn, loss and q0 of features with fold_no: all signals, fused, tails protected."""
     weights = weights or {"cls": 1.0, "proto": 1.0, "knn": 1.0}
     wide = df.select("id", "y").join(oof_signal(df, folds), "id").join(prototype_signal(df), "id").join(mutual_knn_signal(df, k), "id")
-    return tail_protection(fuse_q0(wide, weights))
+    return tail_protection(fuse_q0(materialize(wide), weights))
 
 
 def gmm_signal(df: DataFrame, value: str = "loss", least: int = 100, gain: float = 0.05, seed: int = 42, starts: int = 3) -> DataFrame | None:
@@ -205,7 +209,6 @@ def gmm_signal(df: DataFrame, value: str = "loss", least: int = 100, gain: float
     least, or agreement with the split at the median of at most 0.5 + gain.
     """
     from pyspark.ml.clustering import GaussianMixture
-    from pyspark.ml.functions import array_to_vector, vector_to_array
 
     rows = df.where(F.col(value).isNotNull()).select("id", F.col(value).alias("v"), array_to_vector(F.array(F.col(value))).alias("features"))
     n = rows.count()

@@ -27,6 +27,8 @@ def test_same_as_windows(rows, frequent):
     n = F.count("*").over(by)
     assert both(ranks.average_rank(rows, "v", "c", "r", frequent)) == both(rows.withColumn("r", F.when(n <= 1, 0.5).otherwise((rank - 1) / (n - 1))))
     assert both(ranks.place_within(rows, "c", F.desc("v"), F.col("id"), frequent=frequent)) == both(rows.withColumn("place", F.row_number().over(by.orderBy(F.desc("v"), "id")) - 1))
+    twice = ranks.average_ranks(rows, {"v": "r", "w": "s"}, "c", frequent)
+    assert both(twice) == both(ranks.average_rank(ranks.average_rank(rows, "v", "c", "r"), "w", "c", "s"))
     upto = F.sum("w").over(by.orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
     assert both(ranks.running_within(rows, "c", "w", "id", frequent=frequent)) == both(rows.withColumn("upto", upto))
 
@@ -68,3 +70,21 @@ def test_sampled_check(rows):
     assert found.classes == 5 and found.images == 901
     assert found.unreadable == sum(v <= 5 for vs in first.values() for v in vs[:5] if v is not None)
     assert audit.sampled_check(rows.where("false"), "c", "id", F.col("v") > 5).first().asDict() == {"classes": 0, "images": 0, "unreadable": 0}
+
+
+@pytest.mark.parametrize("most", [1, 40, 10**6])
+def test_quantiles_are_exact(spark, most):
+    import numpy as np
+
+    from lodeflow.operators import report
+
+    draw = random.Random(6)
+    rows = [(draw.choice([0.0, 1.0, 1.0, 5.5]), draw.gauss(0, 1) * 10 ** draw.randrange(9), draw.randrange(10**6), None, 7.0 if i else None) for i in range(5003)]
+    df = spark.createDataFrame(rows, "a double, b double, c long, d double, e double").repartition(5)
+    found = {r.name: tuple(r)[1:] for r in report.quantiles(df, list("abcde"), most).collect()}
+    for i, name in enumerate("abce"):
+        values = [r["abcde".index(name)] for r in rows if r["abcde".index(name)] is not None]
+        assert np.allclose(found[name], np.quantile(values, report.QUARTILES), rtol=1e-12)
+    assert found["d"] == (None,) * 5
+    one = report.quantiles(df.where("e IS NULL"), ["b"], most).first()
+    assert one.q0 == one.q50 == one.q100 == rows[0][1]
