@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -42,6 +43,21 @@ def dup_weight(df: DataFrame, key: str = "file_hash", label: str = "class_idx")
     return df.join(groups, key, "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
 
 
+#: The bits of each byte value as eight bytes of 0 or 1, read as one number: eight counters that add up at once.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).reshape(-1)
+_ADD = 255  # numbers that can be added before a counter of one byte is full
+
+
+def _bit_counts(digests: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """For each of the (not empty) groups digests[bounds[i]:bounds[i + 1]] of 8 bytes, how many have each of the 64 bits."""
+    blocks = -(-np.diff(bounds) // _ADD)
+    ends = np.cumsum(blocks)
+    starts = np.arange(ends[-1]) - np.repeat(ends - blocks, blocks)
+    starts = np.repeat(bounds[:-1], blocks) + starts * _ADD
+    added = np.add.reduceat(_SPREAD[digests], starts, axis=0).view(np.uint8).reshape(-1, 64)
+    return np.add.reduceat(added.astype(np.int64), ends - blocks, axis=0)
+
+
 def simhash(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """id and a 64-bit SimHash h over the distinct lower-cased words of text; null for texts without words.
 
@@ -58,45 +74,70 @@ def simhash(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> Data
                 told = [set((text or "").lower().split()) if text is not None else set() for text in batch["text"].iloc[at : at + 64]]
                 for word in set().union(*told).difference(known):
                     known[word] = hashlib.md5(word.encode()).digest()[:8]
-                for words in told:
-                    if not words:
-                        found.append(None)
-                        continue
-                    bits = np.unpackbits(np.frombuffer(b"".join(map(known.__getitem__, words)), np.uint8).reshape(-1, 8), axis=1)
-                    found.append(int(np.packbits(2 * bits.sum(axis=0, dtype=np.int32) > len(bits)).view(">i8")[0]))
+                sizes = np.array([len(words) for words in told])
+                hashes = np.zeros(len(told), np.int64)
+                if sizes.any():
+                    digests = np.frombuffer(b"".join([known[w] for words in told for w in words]), np.uint8).reshape(-1, 8)
+                    counts = _bit_counts(digests, np.append(0, np.cumsum(sizes[sizes > 0])))
+                    hashes[sizes > 0] = np.packbits(2 * counts > sizes[sizes > 0][:, None], axis=1).view(">i8").reshape(-1)
+                found += [int(h) if n else None for h, n in zip(hashes, sizes, strict=True)]
             yield pd.DataFrame({"id": batch["id"], "h": pd.array(found, dtype="Int64")})
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id bigint, h bigint")
 
 
-def _keys(df: DataFrame, flips: int, name: str) -> DataFrame:
+#: Fingerprints under one key above which a second segment tells them apart.
+FULL = 50_000
+
+
+def _flipped(number: int, flips: int) -> F.Column:
+    """Segment number of h with each way to flip up to flips of its bits."""
+    shift, width = SEGMENTS[number]
+    masks = {sum(1 << b for b in some) for n in range(flips + 1) for some in combinations(range(width), n)}
+    key = segment(F.col("h"), shift, width)
+    return F.transform(F.array(*[F.lit(m).cast("bigint") for m in sorted(masks)]), lambda m: F.struct(F.lit(number).alias("seg"), key.bitwiseXOR(m).alias("key")))
+
+
+def _keys(df: DataFrame, flips: int) -> DataFrame:
     """A row for each segment of h and each way to flip up to flips of its bits."""
-    parts = []
-    for number, (shift, width) in enumerate(SEGMENTS):
-        masks = [0]
-        for _ in range(flips):
-            masks = sorted({m ^ (1 << b) for m in masks for b in range(width)} | set(masks))
-        parts.append(_flipped(segment(F.col("h"), shift, width), masks, number))
-    return df.select(F.col("h").alias(name), F.explode(F.concat(*parts)).alias("k")).select(name, "k.seg", "k.key")
+    return df.select("h", F.explode(F.concat(*(_flipped(i, flips) for i in range(len(SEGMENTS))))).alias("k")).select("h", "k.seg", "k.key")
 
 
-def _flipped(key: F.Column, masks: list[int], number: int) -> F.Column:
-    return F.transform(F.array(*[F.lit(m).cast("bigint") for m in masks]), lambda m: F.struct(F.lit(number).alias("seg"), key.bitwiseXOR(m).alias("key")))
+def _second_keys(keyed: DataFrame, flips: int) -> DataFrame:
+    """keyed with a row for each way to flip up to flips bits of another segment: seg2 and key2."""
+    every = [_flipped(i, flips) for i in range(len(SEGMENTS))]
+    other = F.when(F.col("seg") == 0, F.concat(every[1], every[2])).when(F.col("seg") == 1, F.concat(every[0], every[2])).otherwise(F.concat(every[0], every[1]))
+    return keyed.select("h", "seg", "key", F.explode(other).alias("k")).select("h", "seg", "key", F.col("k.seg").alias("seg2"), F.col("k.key").alias("key2"))
 
 
-def hamming_pairs(df: DataFrame, radius: int = 8) -> DataFrame:
+def hamming_pairs(df: DataFrame, radius: int = 8, full: int = FULL) -> DataFrame:
     """Pairs of different 64-bit fingerprints h within radius: a < b and distance; radius is 0 to 8.
 
     Of three segments of two such fingerprints one differs in at most radius // 3 bits. Each side flips half of
-    these bits, rounded up, so the two share a key: an equi-join instead of a comparison of all pairs. Equal
-    fingerprints are one here; join them back by value. Null fingerprints pair with nothing.
+    these bits, rounded up, so the two share a key: an equi-join instead of a comparison of all pairs. Where more than full
+    fingerprints share a key, the other two segments have radius bits to differ in, so one of them differs in at most half
+    of these; the same is done with it, and pairs meet by both keys. So a frequent segment (of very short texts, say) is
+    no key by itself. Equal fingerprints are one here; join them back by value. Null fingerprints pair with nothing.
     """
     if not 0 <= radius <= 8:
         raise ValueError("radius is 0 to 8")
-    distinct = df.where("h IS NOT NULL").select("h").distinct()
-    flips = -(-(radius // 3) // 2)
-    keyed = _keys(distinct, flips, "a").join(_keys(distinct, flips, "b"), ["seg", "key"]).where("a < b")
-    return keyed.select("a", "b").where(hamming(F.col("a"), F.col("b")) <= radius).distinct().withColumn("distance", hamming(F.col("a"), F.col("b")))
+    distinct = materialize(df.where("h IS NOT NULL").select("h").distinct())
+    keyed = _keys(distinct, -(-(radius // 3) // 2))
+
+    def met(rows: DataFrame, on: list[str]) -> DataFrame:
+        pairs = rows.withColumnRenamed("h", "a").join(rows.withColumnRenamed("h", "b"), on)
+        return pairs.where((F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= radius)).select("a", "b")
+
+    crowded = None
+    if distinct.count() > full:
+        crowded = materialize(keyed.groupBy("seg", "key").agg(F.count("*").alias("n")).where(F.col("n") > full).select("seg", "key"))
+    if crowded is None or crowded.isEmpty():
+        pairs = met(keyed, ["seg", "key"])
+    else:
+        pairs = met(keyed.join(crowded, ["seg", "key"], "left_anti"), ["seg", "key"])
+        second = _second_keys(keyed.join(crowded, ["seg", "key"], "left_semi"), -(-(radius // 2) // 2))
+        pairs = pairs.unionByName(met(second, ["seg", "key", "seg2", "key2"]))
+    return pairs.distinct().withColumn("distance", hamming(F.col("a"), F.col("b")))
 
 
 def build_groups(df: DataFrame, radius: int = 8) -> DataFrame:
