@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeflow.functions import scalars as S
+from lodeflow.session import materialize
 
 # What a rejected entry is told, in the order in which the rules apply.
 ERRORS = ("unsafe_path", "duplicate_path", "wrong_depth", "bad_extension", "encrypted", "empty", "length_mismatch", "undecodable", "write_conflict")
@@ -88,6 +89,33 @@ def dataset_fingerprint(df: DataFrame, path: Column, content: Column, digits: in
     return buckets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "h"))), lambda b: F.concat(b["bucket"], b["h"])), ""), 256).alias("fingerprint"))
 
 
+#: Lines that a leaf of the fingerprint tree holds, about.
+LEAF_LINES = 1024
+
+
+def fingerprint_tree(df: DataFrame, path: Column, content: Column, per_leaf: int = LEAF_LINES) -> DataFrame:
+    """One row: n and the SHA-256 root of a hash tree over a dataset's lines, whatever files hold them, however they are packed.
+
+    A line is `path \\0 hash \\n` (nulls count as empty); its own SHA-256 says where it belongs, so the tree's cuts depend on the
+    lines alone. Leaves are the prefixes of as many hexadecimal digits as give per_leaf lines a leaf or fewer on average; a leaf
+    hashes its lines' hashes with how often each line stands, in order; a node hashes its at most 16 children. So a task
+    holds about per_leaf lines at a time, also where one path or line stands for a third of the rows.
+    """
+    line = F.concat(F.coalesce(path, F.lit("")), F.lit("\0"), F.coalesce(content, F.lit("")), F.lit("\n"))
+    lines = materialize(df.select(F.sha2(line, 256).alias("h")).groupBy("h").agg(F.count("*").alias("n")))
+    sizes = lines.agg(F.count("*").alias("distinct"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    depth = 0
+    while sizes.distinct > per_leaf * 16**depth:
+        depth += 1
+    told = F.array_join(F.array_sort(F.collect_list(F.concat("h", F.lit(":"), F.col("n").cast("string")))), "\n")
+    nodes = lines.groupBy(F.substring("h", 1, depth).alias("prefix")).agg(F.sha2(told, 256).alias("h"))
+    for size in range(depth - 1, -1, -1):
+        told = F.array_join(F.array_sort(F.collect_list(F.concat("prefix", F.lit(":"), "h"))), "\n")
+        nodes = nodes.groupBy(F.substring("prefix", 1, size).alias("prefix")).agg(F.sha2(told, 256).alias("h"))
+    root = nodes.agg(F.coalesce(F.max("h"), F.sha2(F.lit(""), 256)).alias("fingerprint"))  # one row, or none of an empty dataset
+    return root.select(F.lit(sizes.n).cast("bigint").alias("n"), "fingerprint")
+
+
 def assert_counts(df: DataFrame, expected: dict[str, int]) -> None:
     """Raise if the one row of df differs from the expected counts."""
     row = df.first().asDict()

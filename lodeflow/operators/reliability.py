@@ -6,6 +6,7 @@ places before they are ranked, so engines that add up in another order agree on
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -202,27 +203,68 @@ def compute_q0(df: DataFrame, weights: dict[str, float] | None = None, folds: in
     return tail_protection(fuse_q0(materialize(wide), weights))
 
 
-def gmm_signal(df: DataFrame, value: str = "loss", least: int = 100, gain: float = 0.05, seed: int = 42, starts: int = 3) -> DataFrame | None:
-    """id and gmm, the posterior of the component of low values of a mixture of two; None where the mixture says little.
+#: Steps of the mixture's fit, and the least variance of a part.
+EM_STEPS, EM_FLOOR = 25, 1e-6
+
+
+def _log_parts(v: Column, fit: tuple[float, float, float, float, float]) -> tuple[Column, Column]:
+    """Log density, but for a constant, of both parts (weight of the first, means, variances) at v."""
+    w, m1, s1, m2, s2 = fit
+    part = lambda weight, mean, var: F.lit(math.log(weight) - 0.5 * math.log(var)) - (v - F.lit(mean)) * (v - F.lit(mean)) / F.lit(2 * var)
+    return part(w, m1, s1), part(1 - w, m2, s2)
+
+
+def _posterior(v: Column, fit: tuple) -> Column:
+    a, b = _log_parts(v, fit)
+    return F.lit(1.0) / (1 + F.exp(F.least(F.greatest(b - a, F.lit(-700.0)), F.lit(700.0))))
 
-    The mixture is the likeliest of starts fits. It says little with fewer than 2 * least rows, a hard cluster below
-    least, or agreement with the split at the median of at most 0.5 + gain.
-    """
-    from pyspark.ml.clustering import GaussianMixture
 
-    rows = df.where(F.col(value).isNotNull()).select("id", F.col(value).alias("v"), array_to_vector(F.array(F.col(value))).alias("features"))
+def fit_mixture(counts: DataFrame, steps: int = EM_STEPS) -> tuple[float, float, float, float, float]:
+    """The likeliest of three fits of two normal parts to counts (v, n): weight of the first part, then mean and variance of each.
+
+    Expectation-maximisation from fixed starts (least and greatest value; one deviation around the mean; mean and greatest);
+    a step is one aggregate of sufficient statistics for all three, of which the driver sees nine sums.
+    """
+    n, low, high, mean, square = counts.agg(F.sum("n"), F.min("v"), F.max("v"), F.sum(F.col("n") * F.col("v")) / F.sum("n"), F.sum(F.col("n") * F.col("v") * F.col("v")) / F.sum("n")).first()
+    var = max(square - mean * mean, EM_FLOOR)
+    fits = [(0.5, m1, var, m2, var) for m1, m2 in ((low, high), (mean - math.sqrt(var), mean + math.sqrt(var)), (mean, high))]
+    total = (float(n), n * mean, n * square)
+    for _ in range(steps):
+        sums = []
+        for i, fit in enumerate(fits):
+            r = F.col("n") * _posterior(F.col("v"), fit)
+            sums += [F.sum(r).alias(f"r{i}"), F.sum(r * F.col("v")).alias(f"x{i}"), F.sum(r * F.col("v") * F.col("v")).alias(f"q{i}")]
+        told = counts.agg(*sums).first()
+        for i in range(len(fits)):
+            parts = []
+            for r, x, q in ((told[3 * i], told[3 * i + 1], told[3 * i + 2]), tuple(t - s for t, s in zip(total, told[3 * i : 3 * i + 3], strict=True))):
+                r = max(r, 1e-9)
+                parts += [x / r, max(q / r - (x / r) ** 2, EM_FLOOR)]
+            fits[i] = (min(max(told[3 * i] / total[0], 1e-9), 1 - 1e-9), *parts)
+    likely = []
+    for fit in fits:
+        a, b = _log_parts(F.col("v"), fit)
+        likely.append(F.sum(F.col("n") * (F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b))))))
+    scores = [round(x, 4) for x in counts.agg(*likely).first()]
+    return fits[scores.index(max(scores))]
+
+
+def gmm_signal(df: DataFrame, value: str = "loss", least: int = 100, gain: float = 0.05, steps: int = EM_STEPS) -> DataFrame | None:
+    """id and gmm, the posterior of the part of low values of a mixture of two; None where the mixture says little.
+
+    It says little with fewer than 2 * least rows, a hard cluster below least, or agreement with the split at the median of
+    at most 0.5 + gain. Equal values are counted once for all steps (signals are rounded, so they are bounded in number).
+    """
+    rows = materialize(df.where(F.col(value).isNotNull()).select("id", F.col(value).cast("double").alias("v")))
     n = rows.count()
     if n < 2 * least:
         return None
-    rows = materialize(rows)
-    fits = [GaussianMixture(k=2, seed=seed + i, maxIter=200).fit(rows) for i in range(starts)]
-    model = max(fits, key=lambda m: m.summary.logLikelihood)
-    means = [r.mean[0] for r in model.gaussiansDF.collect()]
-    low = int(means[1] < means[0])
-    scored = model.transform(rows).select("id", "v", F.get(vector_to_array("probability"), F.lit(low)).alias("gmm"))
-    check = scored.crossJoin(F.broadcast(rows.agg(F.median("v").alias("m")))).agg(F.count_if(F.col("gmm") >= 0.5).alias("a"), F.avg(((F.col("gmm") >= 0.5) == (F.col("v") <= F.col("m"))).cast("int")).alias("same")).first()
+    counts = materialize(rows.groupBy("v").agg(F.count("*").alias("n")))
+    w, m1, s1, m2, s2 = fit_mixture(counts, steps)
+    fit = (1 - w, m2, s2, m1, s1) if m2 < m1 else (w, m1, s1, m2, s2)
+    scored = rows.select("id", "v", _posterior(F.col("v"), fit).alias("gmm"))
+    middle = rows.agg(F.median("v")).first()[0]
+    check = scored.agg(F.count_if(F.col("gmm") >= 0.5).alias("a"), F.avg(((F.col("gmm") >= 0.5) == (F.col("v") <= F.lit(middle))).cast("int")).alias("same")).first()
     if min(check.a, n - check.a) < least or check.same <= 0.5 + gain:
         return None
     return scored.select("id", "gmm")
-
-

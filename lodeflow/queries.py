@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lodeflow.functions import losses as L
 from lodeflow.functions import scalars as S
 from lodeflow.functions import vectors as V
-from lodeflow.operators import audit, dedup, reliability, report, split
+from lodeflow.operators import audit, dedup, mixup, reliability, report, split
 from lodeflow.plans import curation
 from lodeflow.session import materialize, scratch_dir
 from lodeflow.sources import archive, store
@@ -604,10 +604,28 @@ def q0_by_part(spark, sf):
     return found.select("part", _round(F.col("mean")).alias("mean"), _round(F.col("std")).alias("std"), "n")
 
 
-@_query()
+_PART = "ln({w}) - 0.5e0 * ln({s}) - (v - {m}) * (v - {m}) / (2 * {s})"
+_GMM = f"""WITH RECURSIVE {FEATURES}, {_OOF}, counts AS MATERIALIZED (SELECT loss AS v, CAST(count(*) AS DOUBLE) AS n FROM oof GROUP BY loss),
+moments AS (SELECT sum(n) AS n, min(v) AS low, max(v) AS high, sum(n * v) / sum(n) AS mean, greatest(sum(n * v * v) / sum(n) - (sum(n * v) / sum(n)) ** 2, 1e-6) AS var FROM counts),
+em(k, i, w, m1, s1, m2, s2) AS (
+    SELECT 0, i, 0.5e0, CASE i WHEN 0 THEN low WHEN 1 THEN mean - sqrt(var) ELSE mean END, var, CASE i WHEN 1 THEN mean + sqrt(var) ELSE high END, var FROM moments, range(3) t(i)
+    UNION ALL (SELECT k + 1, i, least(greatest(sum(n * r) / sum(n), 1e-9), 1 - 1e-9),
+        sum(n * r * v) / greatest(sum(n * r), 1e-9), greatest(sum(n * r * v * v) / greatest(sum(n * r), 1e-9) - (sum(n * r * v) / greatest(sum(n * r), 1e-9)) ** 2, 1e-6),
+        sum(n * (1 - r) * v) / greatest(sum(n * (1 - r)), 1e-9), greatest(sum(n * (1 - r) * v * v) / greatest(sum(n * (1 - r)), 1e-9) - (sum(n * (1 - r) * v) / greatest(sum(n * (1 - r)), 1e-9)) ** 2, 1e-6)
+    FROM (SELECT k, i, v, n, 1 / (1 + exp(least(greatest(({_PART.format(w="1 - w", m="m2", s="s2")}) - ({_PART.format(w="w", m="m1", s="s1")}), -700), 700))) AS r FROM em, counts WHERE k < {reliability.EM_STEPS}) GROUP BY k, i)),
+done AS (SELECT * FROM em WHERE k = {reliability.EM_STEPS}),
+scores AS (SELECT i, round(sum(n * (greatest(a, b) + ln(1 + exp(-abs(a - b))))), 4) AS score FROM (SELECT i, n, {_PART.format(w="w", m="m1", s="s1")} AS a, {_PART.format(w="1 - w", m="m2", s="s2")} AS b FROM done, counts) GROUP BY i),
+best AS (SELECT CASE WHEN m2 < m1 THEN 1 - w ELSE w END AS w, least(m1, m2) AS m1, CASE WHEN m2 < m1 THEN s2 ELSE s1 END AS s1, greatest(m1, m2) AS m2, CASE WHEN m2 < m1 THEN s1 ELSE s2 END AS s2
+    FROM done WHERE i = (SELECT arg_max(i, (score, -i)) FROM scores)),
+scored AS (SELECT id, v, 1 / (1 + exp(least(greatest(({_PART.format(w="1 - w", m="m2", s="s2")}) - ({_PART.format(w="w", m="m1", s="s1")}), -700), 700))) AS gmm FROM (SELECT id, loss AS v FROM oof), best),
+gate AS (SELECT count(*) AS n, count(*) FILTER (WHERE gmm >= 0.5) AS a, avg(CASE WHEN (gmm >= 0.5) = (v <= (SELECT median(loss) FROM oof)) THEN 1e0 ELSE 0 END) AS same FROM scored)
+SELECT id, round(gmm, 4) AS gmm FROM scored, gate WHERE n >= 100 AND least(a, n - a) >= 50 AND same > 0.55e0"""
+
+
+@_query(_GMM)
 def gmm_gate(spark, sf):
     found = reliability.gmm_signal(reliability.oof_signal(_features(spark, sf)), least=50)
-    return found if found is not None else spark.createDataFrame([], "id bigint, gmm double")
+    return found.select("id", _round(F.col("gmm"), 4).alias("gmm")) if found is not None else spark.createDataFrame([], "id bigint, gmm double")
 
 
 # ---- losses and schedules ------------------------------------------------------------------------------------------
@@ -833,3 +851,46 @@ def audit_to_split(spark, sf):
     """The whole plan from a manifest to parts: decodable rows, groups of equal hashes, folds by quota, head and tail classes."""
     rows = _manifest(spark, sf).select("id", "class_idx", "file_hash", F.lit(None).cast("bigint").alias("h"), (F.col("id") % 11 != 0).alias("decodable"))
     return curation.audit_to_split(rows, rule="quota").select("id", "group_id", "fold", "part")
+
+
+@_query(
+    f"""WITH RECURSIVE {MANIFEST}, lines AS (SELECT sha256(CAST(id AS VARCHAR) || chr(0) || file_hash || chr(10)) AS h, count(*) AS n FROM manifest GROUP BY 1),
+    size AS (SELECT CAST(sum(n) AS BIGINT) AS n, CAST(greatest(0, ceil(round(log2(count(*) / 64e0) / 4, 9))) AS INTEGER) AS depth FROM lines),
+    tree(k, prefix, h) AS (SELECT depth, substr(h, 1, depth), sha256(string_agg(h || ':' || CAST(lines.n AS VARCHAR), chr(10) ORDER BY h)) FROM lines, size GROUP BY depth, substr(h, 1, depth)
+        UNION ALL (SELECT k - 1, substr(prefix, 1, k - 1), sha256(string_agg(prefix || ':' || h, chr(10) ORDER BY prefix)) FROM tree WHERE k > 0 GROUP BY k, substr(prefix, 1, k - 1)))
+    SELECT n, h AS fingerprint FROM tree, size WHERE k = 0"""
+)
+def fingerprint_tree(spark, sf):
+    return audit.fingerprint_tree(_manifest(spark, sf), F.col("id").cast("string"), F.col("file_hash"), 64)
+
+
+_DRAW = "CAST('0x' || substr(md5('42:0:' || CAST(batch AS VARCHAR) || ':{side}:' || CAST(j AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296e0"
+_MIXED = f"""placed AS (SELECT vec_id AS id, CAST(label AS INTEGER) AS y, (row_number() OVER (ORDER BY md5('42:0:' || CAST(vec_id AS VARCHAR)), vec_id) - 1) AS position FROM embeddings),
+dealt AS (SELECT *, position // 128 AS batch, row_number() OVER (PARTITION BY position // 128 ORDER BY position) AS own,
+    row_number() OVER (PARTITION BY position // 128 ORDER BY md5('42:0:partner:' || CAST(id AS VARCHAR)), id) AS other FROM placed),
+draws AS (SELECT batch, j, pow({_DRAW.format(side="u")}, 1 / 0.4e0) AS x, pow({_DRAW.format(side="v")}, 1 / 0.4e0) AS w FROM (SELECT DISTINCT batch FROM dealt), range(32) t(j)),
+lams AS (SELECT b.batch, coalesce(arg_min(x / (x + w), j), 0.5e0) AS lam FROM (SELECT DISTINCT batch FROM dealt) b LEFT JOIN draws d ON d.batch = b.batch AND x + w <= 1 AND x + w > 0 GROUP BY b.batch),
+mixed AS (SELECT a.id, a.y, CAST(a.batch AS BIGINT) AS batch, b.id AS partner, b.y AS py, greatest(lam, 1 - lam) AS lam FROM dealt a JOIN dealt b ON a.batch = b.batch AND a.own = b.other JOIN lams ON lams.batch = a.batch)"""
+
+
+def _mixed(spark: SparkSession, sf: str) -> DataFrame:
+    df = _features(spark, sf).select("id", "y")
+    return mixup.mixed_batches(df, 0.4, 128).join(df.select(F.col("id").alias("partner"), F.col("y").alias("py")), "partner")
+
+
+@_query(f"WITH {_MIXED} SELECT id, y, batch, partner, py, round(lam, 6) AS lam FROM mixed")
+def mixup_batches(spark, sf):
+    return _mixed(spark, sf).select("id", "y", "batch", "partner", "py", _round(F.col("lam")).alias("lam"))
+
+
+@_query(
+    f"""WITH {FEATURES}, {_PROTO}, {_MIXED}, mx AS (SELECT *, max(logit) OVER (PARTITION BY id) AS m FROM cosines),
+    lp AS (SELECT id, y, logit - m - ln(sum(exp(logit - m)) OVER (PARTITION BY id)) AS logp FROM mx)
+    SELECT mixed.id, round(-(lam * a.logp + (1 - lam) * b.logp), 6) AS loss FROM mixed JOIN lp a ON a.id = mixed.id AND a.y = mixed.y JOIN lp b ON b.id = mixed.id AND b.y = mixed.py"""
+)
+def mixup_loss(spark, sf):
+    """Cross-entropy of each row against the mixed labels of its own and its partner's class."""
+    logits = _logits(spark, sf).select("id", "classes", "logits")
+    met = _mixed(spark, sf).join(logits, "id")
+    target = F.transform("classes", lambda c: F.when(c == F.col("y"), F.col("lam")).otherwise(0.0) + F.when(c == F.col("py"), 1 - F.col("lam")).otherwise(0.0))
+    return met.select("id", _round(L.soft_cross_entropy(F.col("logits"), target)).alias("loss"))
