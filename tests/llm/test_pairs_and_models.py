@@ -286,6 +286,47 @@ def test_wrapped_licences(spark):
     assert all(r.n_license == 0 for k, r in found.items() if k.startswith("plain"))
 
 
+WARRANTY = "Unless required by applicable law or agreed to in writing, software distributed under this is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."
+
+
+def test_licences_without_the_gate_are_the_same(spark):
+    """The words that the gate asks for follow from the rule of confirmation: judging every text gives the same answers."""
+    prose = ["the river runs over stones and", "software is distributed as it is", "conditions of any kind, under law", "", "walks are free of charge"]
+    notices = [" ".join(n.split()[k:]) for every in license_scan.NOTICES.values() for n in every for k in (0, len(n.split()) // 4)]
+    titles = [t for every in license_scan.TITLES.values() for t in every]
+    rows = [(i, text) for i, text in enumerate([*prose * 4, *notices, *titles, WARRANTY, WARRANTY.replace(" distributed", "\ndistributed"), "This tale is not licensed under the MIT license, nor is it free."])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = license_scan.fit(df.where("doc_id < 20"))
+    gated, every = (sorted(map(tuple, license_scan.license_paragraphs(df, model, gate).collect()), key=str) for gate in (True, False))
+    assert gated == every
+    found = {r.doc_id: r.families for r in license_scan.license_scan(df, model).collect()}
+    assert "apache" in found[rows[-3][0]] and found[rows[-1][0]] == ""
+    hit = [f for f, ns in license_scan.NOTICES.items() for n in ns for _ in (0, 1)]
+    right = sum(f in found[20 + j].split(",") for j, f in enumerate(hit) if j % 2 == 0)
+    assert right >= 0.9 * len(hit) / 2
+
+
+def test_licence_probabilities_are_the_models(spark):
+    """Each probability is the regression's own, by hand from its weights; also that of wrapped notices and titles."""
+    import math
+    import re
+
+    rows = [(i, "the river runs over stones and walks") for i in range(30)] + [(100, WRAPPED["mit"]), (101, WRAPPED["zlib"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = license_scan.fit(df)
+    told = [p for r in license_scan.license_paragraphs(df, model).collect() for p in r.licenses]
+    grams = {}
+    for p in told:
+        w = [x for x in re.split(r"[^\w.]+|\.(?=\s|$)", p.paragraph.lower()) if x]
+        grams[p.paragraph] = [*w, *(f"{a} {b}" for a, b in zip(w, w[1:]))]
+    flat = sorted({g for gs in grams.values() for g in gs})
+    bucket = {r.g: r.b for r in spark.createDataFrame([(g,) for g in flat], "g string").select("g", F.pmod(F.xxhash64("g"), F.lit(license_scan.BUCKETS)).alias("b")).collect()}
+    assert told
+    for p in told:
+        logits = [b + sum(w[i] for i in {bucket[g] for g in grams[p.paragraph]}) for b, w in zip(model.biases, model.weights)]
+        assert abs(p.probability - math.exp(max(logits[:-1])) / sum(map(math.exp, logits))) < 1e-6 and model.families[logits.index(max(logits[:-1]))] == p.family
+
+
 def test_licence_plan_is_native(spark):
     df = spark.createDataFrame([(1, "Released under the MIT License.")], "doc_id long, text string")
     plan = license_scan.license_scan(df, license_scan.LicenseModel(["mit", "unknown"], [0.0, 0.0], [[0.1] * license_scan.BUCKETS, [0.0] * license_scan.BUCKETS], 0.5))
