@@ -6,8 +6,9 @@ smoothed over neighbouring blocks, fused with the raw one, and held against a th
 show where the text is. Where article and main elements hold half of their weight or more, it is all of these
 elements that hold passing blocks, and what lies between them; otherwise the lowest element that holds every
 passing block. Headings and passing blocks right before it belong to it, too. Every block in there is kept, but
-for menus, headers, footers, sidebars, notices, adverts, forms and readers' comments, which their elements' names
-and classes show where the weights do not speak against them.
+for menus, headers, footers, sidebars, notices, adverts, forms, teasers, hidden elements and readers' comments, which
+their elements' names and classes show where the weights do not speak against them. A single paragraph goes by its
+name only if its path does not pass.
 """
 
 from __future__ import annotations
@@ -26,6 +27,9 @@ from lodeflow.llm.words import slices
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 #: Elements whose content is no markup, up to their end tag.
 _RAW = {tag: re.compile(rf"</{tag}\s*+>", re.I) for tag in "script style noscript template iframe textarea select svg title".split()}
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_BARE_HIDDEN = re.compile(r"(?<![^\s])hidden(?=[\s=/]|$)", re.I)
+_UNSEEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
@@ -47,15 +51,23 @@ _HIDDEN = frozenset("head select script style noscript template iframe textarea
 _LINKS = frozenset("nav footer button menu".split())
 _FURNITURE = frozenset("aside form dialog label".split())
 _FURNITURE_NAMES = frozenset(
-    "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs complementary contentinfo cookie cookies footer "
-    "menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted promotion related search share sharing "
-    "sidebar skyscraper social sponsor sponsored subscribe toolbar widget widgets".split()
+    "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs complementary consent contentinfo cookie cookies footer gdpr "
+    "masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted promotion recommended related search share "
+    "sharing sidebar skyscraper social sponsor sponsored subscribe teaser teasers toolbar trending widget widgets".split()
 )
-_READER_NAMES = frozenset("comment comments disqus replies respond".split())
+#: Names that say so only as a whole.
+_WHOLE_NAMES = frozenset("also-like more-articles more-news more-posts more-stories most-read read-next up-next you-may-like".split())
+_READER_NAMES = frozenset("comment commentlist comments disqus replies respond".split())
+#: Ids and classes of a page's own header, outside its main elements.
+_HEADER_IDS = frozenset("header masthead page-header site-header top-header".split())
+_HEADER_CLASSES = _HEADER_IDS - {"header"}
 #: Last parts of a name that say nothing themselves, so that the part before them counts; names with one of the others name what is elsewhere.
 _CARRIERS = frozenset("area articles bar block body box button buttons container form inner item left links list posts right section signup slot unit wrap wrapper".split())
 _ELSEWHERE = frozenset("has hide is no non show with without".split())
-_OPEN, _NAMED, _READERS, _LINK, _HID = range(5)
+#: What an element is by its tag and names; a form and a paragraph with a name of furniture are weighed by rules of their own.
+_OPEN, _LINE, _FORM, _NAMED, _READERS, _LINK, _HID, _UNSEEN = range(8)
+#: Share of a page's characters that makes a form the page itself.
+_WHOLE_PAGE = 0.9
 _LANDMARK = frozenset(("article", "main"))
 _MAIN_NAMES = frozenset("main main-content maincontent content-main site-main main_content".split())
 _PUNCTUATION = re.compile(r"[,.;:!?…。，、！？]")
@@ -63,7 +75,7 @@ _SMOOTH = (1, 2, 3, 2, 1)
 _THRESHOLD = 0.5
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that are no furniture whatever their names.
-_OWN_TEXT = _HEADINGS | {"html", "body", "p"}
+_OWN_TEXT = _HEADINGS | {"html", "body"}
 #: Elements that hold a text and not only one block of it.
 _CONTAINERS = frozenset("article body center details dialog div dl fieldset form header hgroup html main ol section table ul".split())
 
@@ -72,6 +84,8 @@ _CONTAINERS = frozenset("article body center details dialog div dl fieldset form
 def _kind(name: str) -> int:
     """What a whole name, or its last part that says something, makes of an element."""
     parts = [x for x in re.split(r"[\s_-]+", name) if x]
+    if "-".join(parts) in _WHOLE_NAMES:
+        return _NAMED
     if not _ELSEWHERE.isdisjoint(parts):
         return _OPEN
     while len(parts) > 1 and (parts[-1] in _CARRIERS or parts[-1].isdigit()):
@@ -99,10 +113,15 @@ class _Page:
 
     def _add(self, tag: str, attributes: str, parent: int) -> int:
         names: list[str] = []
+        of_id: list[str] = []
+        unseen = "hidden" in attributes.lower() and bool(_BARE_HIDDEN.search(_QUOTED.sub("", attributes)))
         for key, *values in _ATTRIBUTE.findall(attributes) if attributes else ():
             key, value = key.lower(), "".join(values).lower()
             if key in ("class", "id", "role"):
                 names += value.split()
+                of_id += value.split() if key == "id" else ()
+            elif key == "style":
+                unseen = unseen or bool(_UNSEEN_STYLE.search(value))
             elif key == "aria-label":
                 names.append(value)
         above, kind = self.landmarks[parent], _OPEN
@@ -110,9 +129,15 @@ class _Page:
             kind = _HID
         elif tag in _LINKS:
             kind = _LINK
-        elif tag in _FURNITURE or (tag == "header" and above < 0):
+        elif unseen and tag not in ("html", "body"):
+            kind = _UNSEEN
+        elif tag == "form":
+            kind = _FORM
+        elif tag in _FURNITURE or (above < 0 and (tag == "header" or (tag == "div" and not (_HEADER_IDS.isdisjoint(of_id) and _HEADER_CLASSES.isdisjoint(names))))):
             kind = _NAMED
-        elif names and tag not in _OWN_TEXT and tag not in _LANDMARK:
+        elif tag == "p":
+            kind = _LINE if any(_kind(n) == _NAMED for n in names if n not in of_id) else _OPEN
+        elif names and tag not in _OWN_TEXT and (tag not in _LANDMARK or (tag == "article" and above >= 0)):
             kind = max(map(_kind, names))
         number = len(self.tags)
         own = tag in _LANDMARK or (kind == _OPEN and not _MAIN_NAMES.isdisjoint(names))
@@ -122,7 +147,7 @@ class _Page:
         self.kinds.append(kind)
         self.landmarks.append(above if above >= 0 else number if own else -1)
         self.paths.append(self.known.setdefault(step, len(self.known) + 1))
-        self.apart.append(kind != _OPEN or self.apart[parent])
+        self.apart.append(kind > _LINE or self.apart[parent])
         return number
 
     def _read(self, page: str) -> None:
@@ -251,12 +276,14 @@ def _sums(pairs: Iterable[tuple[int, float]]) -> dict[int, float]:
 def _skipped(page: _Page, fused: list[float]) -> list[bool]:
     """Whether each block is in furniture. An element is none, whatever its tag and names, if it holds a main
     element, most of the landmarks' weight or, but for lists of links and readers' comments, most of the passing
-    weight there; if that leaves no block, names do not count at all.
+    weight there; a form must hold a heading of the first level or nearly all of the page instead. If that leaves no block, names do not
+    count at all. Beside other nested articles, one without a passing block is a teaser.
     """
     blocks, kinds, landmark = page.blocks, page.kinds, page.landmarks
-    if not any(page.apart[e] for e, _ in blocks):
+    nested = [page.tags[e] == "article" and landmark[e] not in (e, -1) for e in range(len(kinds))]
+    if not any(page.apart[e] for e, _ in blocks) and not any(nested):
         return [False] * len(blocks)
-    hidden = page.inherited([k == _HID for k in kinds])
+    hidden = page.inherited([k in (_HID, _UNSEEN) for k in kinds])
     shown = [i for i, (e, _) in enumerate(blocks) if not hidden[e]]
     weight = [f * len(t) for f, (_, t) in zip(fused, blocks, strict=True)]
     rescued = [False] * len(kinds)
@@ -264,8 +291,8 @@ def _skipped(page: _Page, fused: list[float]) -> list[bool]:
     def out(of: tuple[int, ...]) -> list[bool]:
         return page.inherited([k in of and not r for k, r in zip(kinds, rescued, strict=True)])
 
-    def rescue(at: list[tuple[int, float]], of: tuple[int, ...]) -> None:
-        most = 0.5 * sum(w for _, w in at)
+    def rescue(at: list[tuple[int, float]], of: tuple[int, ...], share: float = 0.5) -> None:
+        most = share * sum(w for _, w in at)
         for e, w in enumerate(page.held(_sums(at))):
             if kinds[e] in of and w > most:
                 rescued[e] = True
@@ -273,17 +300,25 @@ def _skipped(page: _Page, fused: list[float]) -> list[bool]:
     marked = [(landmark[blocks[i][0]], i) for i in shown if landmark[blocks[i][0]] >= 0]
     for e, w in enumerate(page.held({m: 1.0 for m, _ in marked if page.tags[m] == "main"})):
         rescued[e] = w > 0
-    rescue([(m, weight[i]) for m, i in marked], (_NAMED, _READERS, _LINK))
-    lost = out((_NAMED, _READERS, _LINK))
+    rescue([(m, weight[i]) for m, i in marked], (_FORM, _NAMED, _READERS, _LINK))
+    rescue([(blocks[i][0], len(blocks[i][1])) for i in shown], (_FORM,), _WHOLE_PAGE)
+    for e, w in enumerate(page.held({e: 1.0 for e, tag in enumerate(page.tags) if tag == "h1"})):
+        rescued[e] = rescued[e] or (kinds[e] == _FORM and w > 0)
+    lost = out((_FORM, _NAMED, _READERS, _LINK))
     inside = [i for m, i in marked if not lost[m]]
-    lost = out((_READERS, _LINK))
+    lost = out((_FORM, _READERS, _LINK))
     some = [i for i in inside or shown if not lost[blocks[i][0]]]
-    if some:
-        least = _least([fused[i] for i in some])
-        rescue([(blocks[i][0], weight[i]) for i in some if fused[i] >= least], (_NAMED,))
-    lost = out((_NAMED, _READERS, _LINK, _HID))
+    least = _least([fused[i] for i in some]) if some else 0.0
+    passing = [i for i in some if fused[i] >= least]
+    rescue([(blocks[i][0], weight[i]) for i in passing], (_NAMED,))
+    lost = out((_FORM, _NAMED, _READERS, _LINK, _HID, _UNSEEN))
     if all(lost[e] for e, _ in blocks):
         lost = out((_LINK, _HID))
+    elif any(nested):
+        held = page.held(_sums((blocks[i][0], 1.0) for i in passing if not lost[blocks[i][0]]))
+        if any(n and h for n, h in zip(nested, held, strict=True)):
+            teaser = page.inherited([n and not h for n, h in zip(nested, held, strict=True)])
+            lost = [a or b for a, b in zip(lost, teaser, strict=True)]
     return [lost[e] for e, _ in blocks]
 
 
@@ -297,6 +332,9 @@ def main_text(html_page: str | None) -> str:
     if not kept:
         return ""
     least = _least(kept)
+    line = page.inherited([k == _LINE for k in page.kinds])
+    if any(f >= least and not s and not line[e] for f, s, (e, _) in zip(fused, skip, blocks, strict=True)):
+        skip = [s or (line[e] and f < least) for s, f, (e, _) in zip(skip, fused, blocks, strict=True)]
     passing = [not s and f >= least for f, s in zip(fused, skip, strict=True)]
     weights = _sums((landmark[e], f * len(t)) for (e, t), f, good in zip(blocks, fused, passing, strict=True) if good)
     marked = {e for e in weights if e >= 0}
@@ -312,7 +350,7 @@ def main_text(html_page: str | None) -> str:
         chosen = [root <= e <= page.last[root] for e, _ in blocks]
     chosen = [c and not s for c, s in zip(chosen, skip, strict=True)]
     heading = page.inherited([t in _HEADINGS for t in page.tags])
-    before = [i for i in range(chosen.index(True)) if not skip[i]]
+    before = [i for i in range(chosen.index(True)) if not skip[i] and not line[blocks[i][0]]]
     while before and (passing[before[-1]] or heading[blocks[before[-1]][0]]):
         chosen[before.pop()] = True
     return "\n".join(text for (_, text), c in zip(blocks, chosen, strict=True) if c)

@@ -140,6 +140,36 @@ def test_names_do_not_outweigh_scores(page, want):
     assert html_text.main_text(page) == "\n".join(x.strip() for x in want)
 
 
+STORY = f"<h1>T</h1><p>{LONG * 4}</p><p>{LONG * 3}</p>"
+TOLD = ["T", LONG * 4, LONG * 3]
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<article>{STORY}<p class=advert>Buy a lamp now!</p><p class='share'>Share this</p></article>", TOLD),
+        (f"<p class='cookie-notice'>{LONG}</p><article>{STORY}</article>", TOLD),
+        (f"<article>{STORY}<p class=notice>{LONG * 3}</p></article>", [*TOLD, LONG * 3]),
+        (f"<div id=header><p>{LONG}</p></div><div class=story>{STORY}</div>", TOLD),
+        (f"<div class=masthead>{LONG}</div><div>{STORY}</div>", TOLD),
+        (f"<div id='gdpr-consent'><p>{LONG * 2}</p></div><div>{STORY}</div>", TOLD),
+        (f"<article>{STORY}<div class=header>Part</div></article>", [*TOLD, "Part"]),
+        (f"<article>{STORY}<ol class=commentlist><li>{LONG}</ol></article>", TOLD),
+        (f"<article>{STORY}<div hidden><p>{LONG}</p></div><p style='color:red; display: none'>no</p><div aria-hidden=false title=' hidden '>yes</div></article>", [*TOLD, "yes"]),
+        (f"<body style='display:none'><div hidden><p>{LONG}</p></div></body>", [LONG]),
+        (f"<div><p>{LONG}</p></div><form class=newsletter><p>{LONG * 3}</p><input></form>", [LONG]),
+        (f"<form id=all><div class=menu>x</div><p>{LONG * 3}</p></form><div>foot</div>", [LONG * 3]),
+        (f"<article>{STORY}<div class='more-stories'><p>{LONG}</p></div></article>", TOLD),
+        (f"<main><article>{STORY}</article><article><h3>Other</h3></article><article class=teaser><p>{LONG}</p></article></main>", TOLD),
+        (f"<main><article>{STORY}</article><article><p>{LONG * 5}</p></article></main>", [*TOLD, LONG * 5]),
+        (f"<article>{STORY}<article class=comment><p>{LONG}</p></article></article>", TOLD),
+        (f"<article>{STORY}</article><aside hidden><p>{LONG * 30}</p></aside>", TOLD),
+    ],
+)
+def test_what_is_not_the_article(page, want):
+    assert html_text.main_text(page) == "\n".join(x.strip() for x in want)
+
+
 @pytest.mark.parametrize("page", ["<script>x" * 20_000, "<b>x" * 40_000, "<div>x, y." * 40_000, '<p a="' * 30_000, "<" * 200_000, "<!--" * 50_000, "<ul><li><p>One, two." * 20_000])
 def test_time_follows_length(page):
     start = time.perf_counter()
