@@ -138,6 +138,80 @@ def image_kind(content: Column) -> Column:
     )
 
 
+#: Segments of a JPEG among which its frame header is looked for.
+JPEG_SEGMENTS = 1024
+
+
+def _number(content: Column, at: Column | int, n: int, big: bool = True) -> Column:
+    """The unsigned number in n bytes from byte at (counted from 0), null where they are not all there."""
+    at = F.lit(at) if isinstance(at, int) else at
+    data = F.hex(F.substring(content, at + 1, F.lit(n)))
+    data = data if big else F.concat(*(F.substring(data, 2 * i + 1, 2) for i in reversed(range(n))))
+    return F.when(F.length(data) == 2 * n, F.conv(data, 16, 10).cast("bigint"))
+
+
+def _jpeg_frame(content: Column) -> Column:
+    """Where a JPEG's frame header begins: segments are followed by their lengths up to it; null if none comes before the scan."""
+
+    def step(state: Column, _: Column) -> Column:
+        at = state["at"]
+        mark = _number(content, at, 2)
+        low = mark.bitwiseAND(0xFF)
+        frame = low.between(0xC0, 0xCF) & ~low.isin(0xC4, 0xC8, 0xCC)
+        after = F.when(low == 0xFF, at + 1).when((low == 0x01) | low.between(0xD0, 0xD7), at + 2).when(low.isin(0xD9, 0xDA), F.lit(-1)).otherwise(at + 2 + _number(content, at + 2, 2))
+        after = F.coalesce(F.when(mark >= 0xFF00, after), F.lit(-1)).cast("bigint")
+        found = (mark >= 0xFF00) & frame
+        moved = F.struct(F.when(found, F.lit(-1)).otherwise(after).cast("bigint").alias("at"), F.when(found, at).cast("bigint").alias("frame"))
+        return F.when(at < 0, state).otherwise(moved)
+
+    start = F.struct(F.lit(2).cast("bigint").alias("at"), F.lit(None).cast("bigint").alias("frame"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(JPEG_SEGMENTS)), start, step, lambda state: state["frame"])
+
+
+def image_header(content: Column) -> Column:
+    """struct(kind, width, height, aspect_ratio, mode) of an image's bytes, as its headers state them; nothing is decoded.
+
+    kind is image_kind; without one all is null, as is each value that the header lacks. mode is 1, L, LA, P, RGB, RGBA, CMYK or I;16.
+    A JPEG whose frame header does not come within JPEG_SEGMENTS segments has no sizes.
+    """
+    kind = image_kind(content)
+    chunk = F.hex(F.substring(content, 13, 4))
+    frame = F.when(kind == "jpeg", _jpeg_frame(content))
+    packed = _number(content, 21, 4, big=False)  # of a lossless WebP: 14 bits a side, less one, and a bit for alpha
+    part = lambda at: _number(content, at, 2, big=False).bitwiseAND(0x3FFF)
+    signed = _number(content, 22, 4, big=False)
+    lossy, lossless, extended = (chunk == x for x in ("56503820", "5650384C", "56503858"))
+
+    def webp(plain: Column, low: Column, canvas: Column) -> Column:
+        return F.when(lossy, plain).when(lossless & (_number(content, 20, 1) == 0x2F), low).when(extended, canvas)
+
+    width = (
+        F.when(kind == "png", _number(content, 16, 4))
+        .when(kind == "gif", _number(content, 6, 2, big=False))
+        .when(kind == "bmp", _number(content, 18, 4, big=False))
+        .when(kind == "jpeg", _number(content, frame + 7, 2))
+        .when(kind == "webp", webp(part(26), packed.bitwiseAND(0x3FFF) + 1, _number(content, 24, 3, big=False) + 1))
+    )
+    height = (
+        F.when(kind == "png", _number(content, 20, 4))
+        .when(kind == "gif", _number(content, 8, 2, big=False))
+        .when(kind == "bmp", F.when(signed >= 1 << 31, F.lit(1 << 32) - signed).otherwise(signed))
+        .when(kind == "jpeg", _number(content, frame + 5, 2))
+        .when(kind == "webp", webp(part(28), F.shiftright(packed, 14).bitwiseAND(0x3FFF) + 1, _number(content, 27, 3, big=False) + 1))
+    )
+    depth, colour, bits, parts = _number(content, 24, 1), _number(content, 25, 1), _number(content, 28, 2, big=False), _number(content, frame + 9, 1)
+    grey = F.when(depth == 1, "1").when(depth == 16, "I;16").otherwise("L")
+    clear = webp(F.lit(False), F.shiftright(packed, 28).bitwiseAND(1) == 1, _number(content, 20, 1).bitwiseAND(0x10) > 0)
+    mode = (
+        F.when(kind == "png", F.when(colour == 0, grey).when(colour == 2, "RGB").when(colour == 3, "P").when(colour == 4, "LA").when(colour == 6, "RGBA"))
+        .when(kind == "gif", "P")
+        .when(kind == "bmp", F.when(bits == 1, "1").when(bits <= 8, "P").when(bits.isin(16, 24, 32), "RGB"))
+        .when(kind == "jpeg", F.when(parts == 1, "L").when(parts == 3, "RGB").when(parts == 4, "CMYK"))
+        .when(kind == "webp", F.when(clear, "RGBA").when(~clear, "RGB"))
+    )
+    return F.struct(kind.alias("kind"), width.alias("width"), height.alias("height"), aspect_ratio(width, height).alias("aspect_ratio"), mode.alias("mode"))
+
+
 def layers(spec: str | int | list[int] | None, count: int) -> list[int]:
     """Layer indices for None (none), 'all', 'last_n', a number of last layers, or a list."""
     if spec is None:

@@ -894,3 +894,24 @@ def mixup_loss(spark, sf):
     met = _mixed(spark, sf).join(logits, "id")
     target = F.transform("classes", lambda c: F.when(c == F.col("y"), F.col("lam")).otherwise(0.0) + F.when(c == F.col("py"), 1 - F.col("lam")).otherwise(0.0))
     return met.select("id", _round(L.soft_cross_entropy(F.col("logits"), target)).alias("loss"))
+
+
+@_query(
+    """SELECT page_id, kind, w AS width, h AS height, CASE WHEN h > 0 THEN round(CAST(w AS DOUBLE) / h, 6) END AS aspect_ratio,
+    CASE kind WHEN 'png' THEN 'RGBA' WHEN 'gif' THEN 'P' ELSE 'RGB' END AS mode FROM (
+    SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'png' WHEN 1 THEN 'gif' WHEN 2 THEN 'bmp' ELSE 'jpeg' END AS kind, length(html) % 60000 AS w, page_id % 3001 AS h FROM pages)"""
+)
+def image_headers(spark, sf):
+    """Files with headers made of the pages, a JPEG with the page's url in a segment before its frame, read back."""
+    hexed = lambda c, n: F.lpad(F.hex(c), n, "0")
+    little = lambda c, n: F.concat(*(F.substring(hexed(c, n), i, 2) for i in range(n - 1, 0, -2)))
+    w, h, url = (F.length("html") % 60000).cast("bigint"), F.col("page_id") % 3001, F.hex(F.encode(F.col("url"), "utf-8"))
+    note = F.concat(F.lit("FFE1"), hexed(F.octet_length("url") + 2, 4), url)
+    content = (
+        F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), hexed(w, 8), hexed(h, 8), F.lit("0806000000000000000000000049454E44AE426082")))
+        .when(F.col("page_id") % 4 == 1, F.concat(F.lit("474946383961"), little(w, 4), little(h, 4), F.lit("0000003B")))
+        .when(F.col("page_id") % 4 == 2, F.concat(F.lit("424D1E0000000000000000000000" + "28000000"), little(w, 8), little(h, 8), F.lit("01001800")))
+        .otherwise(F.concat(F.lit("FFD8FFE000100000000000000000000000000000"), note, F.lit("FFC0001108"), hexed(h, 4), hexed(w, 4), F.lit("03FFD9")))
+    )
+    files = _read(spark, sf, "pages").select("page_id", F.unhex(content).alias("content"))
+    return files.select("page_id", S.image_header(F.col("content")).alias("head")).select("page_id", "head.*")

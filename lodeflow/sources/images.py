@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodeflow.functions.scalars import IMAGE_EXTENSIONS, PREDICT_EXTENSIONS, digest, has_extension, image_kind
+from lodeflow.functions.scalars import IMAGE_EXTENSIONS, PREDICT_EXTENSIONS, digest, has_extension, image_header
 from lodeflow.operators.audit import class_index
 
 MANIFEST = (
@@ -15,16 +15,20 @@ MANIFEST = (
 
 
 def scan_class_folders(spark: SparkSession, root: str, algorithm: str = "sha256") -> DataFrame:
-    """path, label, class_idx, file_size, file_hash and error of the image files in root/<label>/.
+    """path, label, class_idx, width, height, aspect_ratio, mode, file_size, file_hash and error of the image files in root/<label>/.
 
     The label is the folder; its class is the rank among all folders with any file, so a folder without images keeps its
-    number. error says why a file is an anomaly (its bytes are no whole image of a known kind), null where it is none.
+    number. error says why a file is an anomaly (its bytes are no whole image of a known kind, or its header states a side
+    of 0), null where it is none.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     files = class_index(raw.withColumn("label", F.element_at(F.split("path", "/"), -2)))
     files = files.where(has_extension(F.col("path"), IMAGE_EXTENSIONS))
-    error = F.when(F.col("length") == 0, "empty").when(image_kind(F.col("content")).isNull(), "undecodable")
-    return files.select("path", "label", "class_idx", F.col("length").alias("file_size"), digest(F.col("content"), algorithm).alias("file_hash"), error.alias("error"))
+    files = files.withColumn("header", image_header(F.col("content")))
+    empty = (F.col("header.width") == 0) | (F.col("header.height") == 0)
+    error = F.when(F.col("length") == 0, "empty").when(F.col("header.kind").isNull() | empty, "undecodable")
+    stated = [F.col(f"header.{c}") for c in ("width", "height", "aspect_ratio", "mode")]
+    return files.select("path", "label", "class_idx", *stated, F.col("length").alias("file_size"), digest(F.col("content"), algorithm).alias("file_hash"), error.alias("error"))
 
 
 def list_predict_files(spark: SparkSession, root: str) -> DataFrame:

@@ -306,6 +306,29 @@ def test_image_kinds(spark):
     assert found == {**dict(enumerate(files.values())), 99: None}
 
 
+def test_image_headers(spark):
+    end, png = b"IEND\xaeB`\x82", b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR"
+    jpeg = b"\xff\xd8\xff\xff\xe0\0\x04\xff\xc0\xff\xd0"  # a fill byte, a segment that holds a frame's mark, a mark alone
+    riff = lambda rest: b"RIFF" + (4 + len(rest)).to_bytes(4, "little") + b"WEBP" + rest
+    files = {
+        png + b"\0\0\1\0\0\0\0\x40\x08\x02" + end: ("png", 256, 64, 4.0, "RGB"),
+        png + b"\0\0\0\3\0\0\0\0\x01\0" + end: ("png", 3, 0, None, "1"),
+        png + b"\0": None,
+        b"GIF89a\x05\0\x02\0;": ("gif", 5, 2, 2.5, "P"),
+        b"BM\x1e\0\0\0" + bytes(8) + b"\x28\0\0\0\x06\0\0\0\xfd\xff\xff\xff\x01\0\x08\0": ("bmp", 6, 3, 2.0, "P"),
+        jpeg + b"\xff\xc2\0\x0b\x08\0\x02\x01\0\x01\xff\xd9": ("jpeg", 256, 2, 128.0, "L"),
+        jpeg + b"\xff\xda\0\x04\xff\xc2\0\x0b\x08\0\x02\x01\0\x01\xff\xd9": ("jpeg", None, None, None, None),
+        b"\xff\xd8\xff\xe0\0\0\xff\xd9": ("jpeg", None, None, None, None),
+        riff(b"VP8 \0\0\0\0\0\0\0\x9d\x01\x2a\x07\x40\x09\0"): ("webp", 7, 9, 0.777778, "RGB"),
+        riff(b"VP8L\0\0\0\0\x2f" + (9 | 4 << 14 | 1 << 28).to_bytes(4, "little")): ("webp", 10, 5, 2.0, "RGBA"),
+        riff(b"VP8X\x0a\0\0\0\x10\0\0\0\x07\0\0\x01\0\0"): ("webp", 8, 2, 4.0, "RGBA"),
+        b"": None,
+    }
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(files)] + [(99, None)], "i int, content binary")
+    found = {r.i: tuple(r.h) for r in df.select("i", S.image_header(F.col("content")).alias("h")).collect()}
+    assert found == {i: want or (None,) * 5 for i, want in {**dict(enumerate(files.values())), 99: None}.items()}
+
+
 def test_folders_without_images_keep_their_class(spark, tmp_path):
     for name, data in (("a/no.txt", b"x"), ("b/1.png", b"\x89PNG\r\n\x1a\nxIEND\xaeB`\x82"), ("c/2.png", b"no")):
         (tmp_path / name).parent.mkdir(exist_ok=True)
