@@ -35,6 +35,36 @@ def audit_to_split(manifest: DataFrame, radius: int = 8, val_ratio: float = 0.1,
     return split.assign_parts(rules[rule](grouped, val_ratio, folds=folds, seed=seed))
 
 
+def meeting(left: DataFrame, right: DataFrame, key: str = "id") -> DataFrame:
+    """One row: left_rows, right_rows, and the numbers of keys that are matched, left_only, right_only and repeated on a side.
+
+    Both sides are counted by key before they meet, so a frequent key is one row. Null keys are one key. Empty tables give zeros.
+    """
+    side = lambda df, name: df.groupBy(key).agg(F.count("*").alias(name)).withColumnRenamed(key, f"{name}_key")
+    met = side(left, "l").join(side(right, "r"), F.col("l_key").eqNullSafe(F.col("r_key")), "full")
+    l, r = F.coalesce("l", F.lit(0)), F.coalesce("r", F.lit(0))
+    number = lambda rows: F.count(F.when(rows, 1))
+    return met.agg(
+        F.coalesce(F.sum("l"), F.lit(0)).alias("left_rows"),
+        F.coalesce(F.sum("r"), F.lit(0)).alias("right_rows"),
+        number((l > 0) & (r > 0)).alias("matched"),
+        number(r == 0).alias("left_only"),
+        number(l == 0).alias("right_only"),
+        number((l > 1) | (r > 1)).alias("repeated"),
+    )
+
+
+def aligned(left: DataFrame, right: DataFrame, key: str = "id") -> DataFrame:
+    """The rows of both sides by key; an error tells the counts if any key is missing, null or repeated on a side."""
+    found = meeting(left, right, key).first()
+    if found.left_only or found.right_only or found.repeated:
+        raise ValueError(f"rows do not meet one to one by {key}: {found.asDict()}")
+    met = left.join(right, key)
+    if left.where(F.col(key).isNull()).limit(1).count():
+        raise ValueError(f"{key} is null in a row")
+    return met
+
+
 def features_to_q0(features: DataFrame, folds: int = 3, k: int = 20) -> DataFrame:
     """features (id, y, g, z, fold) with q0; null for rows of the fold val, which take no part."""
     train = features.where("fold <> 'val'")

@@ -915,3 +915,14 @@ def image_headers(spark, sf):
     )
     files = _read(spark, sf, "pages").select("page_id", F.unhex(content).alias("content"))
     return files.select("page_id", S.image_header(F.col("content")).alias("head")).select("page_id", "head.*")
+
+
+@_query(
+    """WITH l AS (SELECT o_orderkey AS id, count(*) AS n FROM orders GROUP BY ALL), r AS (SELECT l_orderkey AS id, count(*) AS n FROM lineitem GROUP BY ALL)
+    SELECT CAST(coalesce(sum(l.n), 0) AS BIGINT) AS left_rows, CAST(coalesce(sum(r.n), 0) AS BIGINT) AS right_rows, count(*) FILTER (WHERE l.n > 0 AND r.n > 0) AS matched,
+    count(*) FILTER (WHERE r.n IS NULL) AS left_only, count(*) FILTER (WHERE l.n IS NULL) AS right_only, count(*) FILTER (WHERE l.n > 1 OR r.n > 1) AS repeated
+    FROM l FULL JOIN r ON l.id IS NOT DISTINCT FROM r.id"""
+)
+def row_meeting(spark, sf):
+    orders = _read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
+    return curation.meeting(orders, _read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id")))

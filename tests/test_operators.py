@@ -411,3 +411,13 @@ def test_plans(spark):
     _, df = clusters(spark, 5)
     scored = curation.features_to_q0(df.withColumn("fold", F.when(F.col("id") % 10 == 0, "val").otherwise("train")), k=5)
     assert scored.where("q0 IS NULL").count() == 6
+
+
+def test_rows_meet_one_to_one(spark):
+    make = lambda ids, name: spark.createDataFrame([(i, n) for n, i in enumerate(ids)], f"id int, {name} int")
+    assert sorted(map(tuple, curation.aligned(make([1, 2], "a"), make([2, 1], "b")).collect())) == [(1, 0, 1), (2, 1, 0)]
+    assert tuple(curation.meeting(make([1, 1, None, 3], "a"), make([1, None, 4, 5], "b")).first()) == (4, 4, 2, 1, 2, 1)
+    assert tuple(curation.meeting(make([], "a"), make([], "b")).first()) == (0,) * 6
+    for left, right in (([1, 2], [1]), ([1], [1, 2]), ([1, 1], [1]), ([None, 1], [None, 1])):
+        with pytest.raises(ValueError):
+            curation.aligned(make(left, "a"), make(right, "b"))
