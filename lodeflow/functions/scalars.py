@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodeflow.functions.vectors import let
+
 # File name extensions of images, and those that prediction takes.
 IMAGE_EXTENSIONS = (".bmp", ".gif", ".jpeg", ".jpg", ".png", ".tif", ".tiff", ".webp")
 PREDICT_EXTENSIONS = (".bmp", ".jpeg", ".jpg", ".png", ".webp")
@@ -174,9 +176,15 @@ def image_header(content: Column) -> Column:
     kind is image_kind; without one all is null, as is each value that the header lacks. mode is 1, L, LA, P, RGB, RGBA, CMYK or I;16.
     A JPEG whose frame header does not come within JPEG_SEGMENTS segments has no sizes.
     """
-    kind = image_kind(content)
+    # each part is bound before the next reads it, so that a JPEG's segments are walked once
+    placed = lambda c, k: F.struct(c.alias("content"), k.alias("kind"), F.when(k == "jpeg", _jpeg_frame(c)).alias("frame"))
+    return let(content, lambda c: let(let(image_kind(c), lambda k: placed(c, k)), _sized))
+
+
+def _sized(file: Column) -> Column:
+    """image_header of struct(content, kind, frame)."""
+    content, kind, frame = file["content"], file["kind"], file["frame"]
     chunk = F.hex(F.substring(content, 13, 4))
-    frame = F.when(kind == "jpeg", _jpeg_frame(content))
     packed = _number(content, 21, 4, big=False)  # of a lossless WebP: 14 bits a side, less one, and a bit for alpha
     part = lambda at: _number(content, at, 2, big=False).bitwiseAND(0x3FFF)
     signed = _number(content, 22, 4, big=False)
@@ -209,7 +217,9 @@ def image_header(content: Column) -> Column:
         .when(kind == "jpeg", F.when(parts == 1, "L").when(parts == 3, "RGB").when(parts == 4, "CMYK"))
         .when(kind == "webp", F.when(clear, "RGBA").when(~clear, "RGB"))
     )
-    return F.struct(kind.alias("kind"), width.alias("width"), height.alias("height"), aspect_ratio(width, height).alias("aspect_ratio"), mode.alias("mode"))
+    sides = F.struct(width.alias("w"), height.alias("h"), mode.alias("mode"))
+    stated = lambda x: F.struct(kind.alias("kind"), x["w"].alias("width"), x["h"].alias("height"), aspect_ratio(x["w"], x["h"]).alias("aspect_ratio"), x["mode"].alias("mode"))
+    return let(sides, stated)
 
 
 def layers(spec: str | int | list[int] | None, count: int) -> list[int]:
