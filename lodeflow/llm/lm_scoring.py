@@ -11,7 +11,9 @@ k balances the two so that the mass which the model gives to pairs seen before e
 tokens whose pair occurs again in the training texts.
 
 The filter and the vocabulary are broadcast only if together they stay within max_broadcast_bytes. Beyond that
-the same probes are made by joins on the word of the filter, with the same results.
+the same probes are made by joins on the word of the filter, with the same results. Words and pairs that stand in
+more than one of HEAD asked rows are answered there from a broadcast of fewer than HEAD rows, so that no task of a
+join holds a frequent word's rows.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ BITS_PER_ITEM = 10
 MAX_LEVEL = 64
 MAX_BROADCAST_BYTES = 512 << 20
 COUNT_BYTES = 12 << 20
+HEAD = 1 << 16
 END = U(0x2545F4914F6CDD1D)
 WORD, PAIR = 0, 1
 
@@ -258,7 +261,7 @@ def log_probabilities(model: tuple[int, int, float], c_word: np.ndarray, c_befor
 SCHEMA = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
-def score(docs: DataFrame, model: Model, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+def score(docs: DataFrame, model: Model, max_broadcast_bytes: int = MAX_BROADCAST_BYTES, head: int = HEAD) -> DataFrame:
     """A row for each row of docs (doc_id, text, held_out).
 
     A null or empty text is its one end token. Unknown words get the base model's share of an unseen word.
@@ -266,7 +269,7 @@ def score(docs: DataFrame, model: Model, max_broadcast_bytes: int = MAX_BROADCAS
     table gives an empty one; other columns are not read. A very long text is scored whole, as a slice of its own.
     """
     if model.n_bytes > max_broadcast_bytes:
-        return _score_by_joins(docs, model)
+        return _score_by_joins(docs, model, head)
     bound_batches(docs.sparkSession)
     lookup = docs.sparkSession.sparkContext.broadcast(Lookup.of(model))
     totals, train_tokens = (model.n_tokens, model.n_words, model.k), model.n_tokens
@@ -290,7 +293,21 @@ def score(docs: DataFrame, model: Model, max_broadcast_bytes: int = MAX_BROADCAS
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, SCHEMA)
 
 
-def _score_by_joins(docs: DataFrame, model: Model) -> DataFrame:
+def _answered(asked: DataFrame, answers: DataFrame, key: str, value: str, frequent: DataFrame) -> DataFrame:
+    """asked with value for its key, 0 where answers (a row for each key) has none.
+
+    The frequent keys are answered from a broadcast; their rows pass the shuffled join under a key of their own each,
+    which matches nothing and spreads them.
+    """
+    head = frequent.join(answers, key, "left").select(key, F.col(value).alias("_head"), F.lit(True).alias("_often"))
+    rare = answers.select(F.col(key).alias("_key"), F.col(value).alias("_rare"))
+    marked = asked.join(F.broadcast(head), key, "left")
+    own_key = F.when(F.col("_often"), F.xxhash64("row", "pair")).otherwise(F.col(key))
+    met = marked.withColumn("_own", own_key).join(rare, F.col("_often").isNull() & (F.col("_own") == F.col("_key")), "left")
+    return met.select(*asked.columns, F.coalesce("_head", "_rare", F.lit(0)).alias(value))
+
+
+def _score_by_joins(docs: DataFrame, model: Model, head: int) -> DataFrame:
     """The same scores with the vocabulary and the filter left distributed."""
     bits, k = model.bits, model.k
 
@@ -324,7 +341,7 @@ def _score_by_joins(docs: DataFrame, model: Model) -> DataFrame:
     counts = model.pieces.where(f"kind = {WORD}").select("data", "counts").mapInArrow(vocabulary, "word bigint, c bigint")
     held = model.pieces.where(f"kind = {PAIR}").select("shard", "data").mapInArrow(filter_words, "shard int, place bigint, held bigint")
     widths = model.pieces.where(f"kind = {PAIR}").select("shard", (F.length("data") / 8).cast("bigint").alias("width"))
-    alive = requests.select("pair").distinct().withColumn("shard", F.shiftrightunsigned("pair", 64 - bits).cast("int")).join(F.broadcast(widths), "shard")
+    alive = requests.select("pair").distinct().withColumn("shard", F.shiftrightunsigned("pair", 64 - bits).cast("int")).join(widths, "shard")
     levels = None
     for j in range(1, MAX_LEVEL + 1):
 
@@ -343,12 +360,11 @@ def _score_by_joins(docs: DataFrame, model: Model) -> DataFrame:
     if levels is None:
         levels = requests.select("pair", F.lit(0).alias("level")).limit(0)
     levels = levels.groupBy("pair").agg(F.max("level").alias("level"))
-    met = (
-        requests.join(counts.select("word", F.col("c").alias("c_word")), "word", "left")
-        .join(counts.select(F.col("word").alias("before"), F.col("c").alias("c_before")), "before", "left")
-        .join(levels, "pair", "left")
-        .select("row", "doc_id", "held_out", "times", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("c_word", "c_before", "level")))
-    )
+    asked_rows = requests.count()
+    frequent = {key: materialize(requests.groupBy(key).count().where(F.col("count") * head > asked_rows).select(key)) for key in ("word", "before", "pair")}
+    met = _answered(requests, counts.select("word", F.col("c").alias("c_word")), "word", "c_word", frequent["word"])
+    met = _answered(met, counts.select(F.col("word").alias("before"), F.col("c").alias("c_before")), "before", "c_before", frequent["before"])
+    met = _answered(met, levels, "pair", "level", frequent["pair"])
     base = (F.col("c_word") + 0.5) / F.lit(model.n_tokens + 0.5 * (model.n_words + 1))
     low, high = F.ceil(F.pow(F.lit(QUANTUM), F.col("level") - 1.0) - 1e-6), F.ceil(F.pow(F.lit(QUANTUM), F.col("level")) - 1e-6) - 1
     middle = (low + F.greatest(low, high)) / 2
