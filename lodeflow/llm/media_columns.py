@@ -80,17 +80,10 @@ def pixels(stored: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc_id, media in zip(batch.column("doc_id"), batch.column("media").to_pylist(), strict=True):
-                found = [decode(f) for f in files(media or b"")]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([doc_id.as_py()] * len(found), pa.int64()),
-                        pa.array(range(len(found)), pa.int32()),
-                        pa.array([x.shape[0] for x in found], pa.int32()),
-                        pa.array([x.shape[1] for x in found], pa.int32()),
-                        pa.array([x.tobytes() for x in found], pa.binary()),
-                    ],
-                    names=["doc_id", "file", "height", "width", "argb"],
-                )
+                for file, whole in enumerate(files(media or b"")):
+                    image = decode(whole)
+                    columns = [pa.array([doc_id.as_py()], pa.int64()), *(pa.array([n], pa.int32()) for n in (file, *image.shape[:2])), pa.array([image.tobytes()])]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "file", "height", "width", "argb"])
 
     return stored.select("doc_id", "media").mapInArrow(run, "doc_id bigint, file int, height int, width int, argb binary")
 

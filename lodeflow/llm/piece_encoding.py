@@ -4,6 +4,10 @@ An Aho-Corasick automaton over the pieces reads a text once. At each position it
 that ends there, and each relaxes the best score of a segmentation of the text so far. A character that no piece
 covers falls back to its bytes. Where no piece can cross a place (before a run of spaces, around a new line), the
 best segmentation of the whole is made of the best ones of its parts, so parts are segmented once a worker.
+
+The scores are those that the vocabulary file holds. Where these are merge ranks instead of log-probabilities, as in
+the vocabulary that op6 reads, their sum is still what is maximised, but the pieces then differ from those of the
+vocabulary's own encoder, which merges by rank. Decoding gives every text back either way.
 """
 
 from __future__ import annotations
