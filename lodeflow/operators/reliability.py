@@ -16,11 +16,14 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeflow.functions.scalars import negative_log, shrinkage
 from lodeflow.functions.vectors import argmax, dot, l2_normalize, let, softmax, variance
 from lodeflow.operators import ranks
 from lodeflow.session import materialize
 
 PLACES = 6
+#: Numbers in the prototypes of all classes that each task may hold at most (128 MB).
+MAX_PROTO_NUMBERS = 1 << 24
 
 
 def vector_sum(df: DataFrame, keys: list[str], vector: str = "z", name: str = "s", n: str | None = None) -> DataFrame:
@@ -46,9 +49,16 @@ def class_prototypes(df: DataFrame) -> DataFrame:
     return vector_sum(df, ["y"]).select("y", "n", l2_normalize(F.transform("s", lambda x: x / F.col("n"))).alias("proto"))
 
 
+def packed_protos(proto: str, most: int = MAX_PROTO_NUMBERS) -> Column:
+    """The aggregate protos: structs of y and proto in the order of y, for broadcast; an error if they hold more than most numbers."""
+    numbers = F.coalesce(F.sum(F.size(proto)), F.lit(0))
+    packed = F.array_sort(F.collect_list(F.struct("y", proto)))
+    return F.when(numbers <= most, packed).otherwise(F.raise_error(F.concat(F.lit("prototypes too large to broadcast: "), numbers, F.lit(" numbers")))).alias("protos")
+
+
 def cosine_logits(df: DataFrame, protos: DataFrame, scale: float = 20.0) -> DataFrame:
-    """df with classes and logits, arrays in the order of the class. A row for each class, so the table of prototypes is broadcast as one row."""
-    packed = protos.agg(F.array_sort(F.collect_list(F.struct("y", "proto"))).alias("protos"))
+    """df with classes and logits, arrays in the order of the class. The prototypes are broadcast as one row of bounded size."""
+    packed = protos.agg(packed_protos("proto"))
     logits = let(l2_normalize(F.col("z")), lambda unit: F.transform("protos", lambda p: dot(unit, p["proto"]) * scale))
     return df.join(F.broadcast(packed)).select("*", F.transform("protos", lambda p: p["y"]).alias("classes"), logits.alias("logits")).drop("protos")
 
@@ -72,12 +82,12 @@ def oof_signal(df: DataFrame, folds: int = 3, fold: str = "fold_no", scale: floa
         "y",
         F.when(F.col("tn") - F.coalesce("n", F.lit(0)) > 0, l2_normalize(F.transform(_minus(F.col("t"), F.col("s")), lambda x: x / (F.col("tn") - F.coalesce("n", F.lit(0)))))).otherwise(_zeros(F.col("t"))).alias("proto"),
     )
-    packed = rest.groupBy(fold).agg(F.array_sort(F.collect_list(F.struct("y", "proto"))).alias("protos"))
+    packed = rest.groupBy(fold).agg(packed_protos("proto"))
     logits = let(l2_normalize(F.col("z")), lambda unit: F.transform("protos", lambda p: dot(unit, p["proto"]) * scale))
     place = (F.array_position(F.transform("protos", lambda p: p["y"]), F.col("y")) - 1).cast("int")
     met = df.join(F.broadcast(packed), fold).select("id", F.get(softmax(logits), place).alias("own"))
     own = F.col("own")
-    return met.select("id", F.round(own, PLACES).alias("cls"), F.round(-F.ln(own + 1e-8), PLACES).alias("loss"))
+    return met.select("id", F.round(own, PLACES).alias("cls"), F.round(negative_log(own), PLACES).alias("loss"))
 
 
 def prototype_signal(df: DataFrame, tau: float = 10.0) -> DataFrame:
@@ -89,13 +99,14 @@ def prototype_signal(df: DataFrame, tau: float = 10.0) -> DataFrame:
     total = materialize(vector_sum(df, ["y"], name="t").withColumnRenamed("n", "tn"))
     grouped = vector_sum(df, ["g", "y"]).withColumnRenamed("n", "gn")
     mean = vector_sum(total.withColumn("one", F.lit(1)), ["one"], "t", "s", "tn").select(l2_normalize(F.transform("s", lambda x: x / F.col("n"))).alias("g0"))
-    ratio = F.col("tn") / (F.col("tn") + tau)
+    ratio = shrinkage(F.col("tn"), tau)
 
     def shrunk(s: Column) -> Column:
         return l2_normalize(let(ratio, lambda r: F.zip_with(l2_normalize(s), F.col("g0"), lambda a, b: r * a + (1 - r) * b)))
 
     classes = total.join(F.broadcast(mean)).withColumn("own", shrunk(F.col("t")))
-    packed = classes.agg(F.array_sort(F.collect_list(F.struct("y", "own"))).alias("protos"))
+    packed = classes.agg(packed_protos("own"))
+    # the table of classes is as long as packed, whose size is checked
     met = df.join(F.broadcast(classes.drop("own")), "y").join(grouped, ["g", "y"]).join(F.broadcast(packed))
     left = F.when(F.col("tn") - F.col("gn") > 0, shrunk(_minus(F.col("t"), F.col("s")))).otherwise(F.col("g0"))
     others = F.filter("protos", lambda p: p["y"] != F.col("y"))

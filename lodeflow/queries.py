@@ -668,7 +668,7 @@ _ANCHOR = ", pairs AS (SELECT a.id, (0.1e0 + 0.9e0 * (1 - (a.id % 10) / 10e0)) *
 
 def _anchored(spark: SparkSession, sf: str) -> DataFrame:
     protos = reliability.class_prototypes(_features(spark, sf)).select("y", F.col("proto").alias("z0"))
-    return _losses(spark, sf).join(_features(spark, sf).select("id", "y"), "id").join(F.broadcast(protos), "y")
+    return _losses(spark, sf).join(_features(spark, sf).select("id", "y"), "id").join(protos, "y")
 
 
 @_query(f"{_LOSS}{_ANCHOR} SELECT id, round(anchor, 6) AS anchor FROM pairs")

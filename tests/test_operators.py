@@ -2,6 +2,7 @@
 
 import inspect
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -151,6 +152,20 @@ def test_prototype_signal_against_numpy(spark):
         assert abs(found[i] - want) < 2e-6
 
 
+def test_prototypes_beyond_a_broadcast_are_refused(spark):
+    rows = spark.createDataFrame([(2, [0.0, 1.0]), (1, [1.0, 0.0]), (3, [0.6, 0.8])], "y int, proto array<double>")
+    assert [p.y for p in rows.agg(reliability.packed_protos("proto", 6)).first().protos] == [1, 2, 3]
+    assert rows.limit(0).agg(reliability.packed_protos("proto", 6)).first().protos == []
+    with pytest.raises(Exception, match="too large to broadcast: 6 numbers"):
+        rows.agg(reliability.packed_protos("proto", 5)).collect()
+
+
+def test_crc32_hex(spark):
+    data = [b"", b"a", b"\x00" * 9, "été".encode(), *(random.Random(i).randbytes(i) for i in range(60))]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate([*data, None])], "id int, data binary").select("id", S.crc32_hex(F.col("data")).alias("crc")).orderBy("id").collect()
+    assert [r.crc for r in rows] == [*(f"{zlib.crc32(x):08x}" for x in data), None]
+
+
 def test_class_of_one_group_falls_back(spark):
     df = spark.createDataFrame([(0, 0, 7, [1.0, 0.0]), (1, 0, 7, [1.0, 0.1]), (2, 1, 8, [0.0, 1.0]), (3, 1, 9, [0.1, 1.0])], "id long, y int, g long, z array<double>")
     assert reliability.prototype_signal(df).count() == 4
