@@ -125,7 +125,8 @@ def hamming_pairs(df: DataFrame, radius: int = 8, full: int = FULL) -> DataFrame
     keyed = _keys(distinct, -(-(radius // 3) // 2))
 
     def met(rows: DataFrame, on: list[str]) -> DataFrame:
-        pairs = rows.withColumnRenamed("h", "a").join(rows.withColumnRenamed("h", "b"), on)
+        # by size of file Spark takes the few bytes of the fingerprints for those of all their keys, and would send these to every task
+        pairs = rows.withColumnRenamed("h", "a").join(rows.withColumnRenamed("h", "b").hint("merge"), on)
         return pairs.where((F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= radius)).select("a", "b")
 
     crowded = None

@@ -40,3 +40,10 @@ def test_bit_counts():
     digests, bounds = draw.integers(0, 256, (1500, 8)).astype(np.uint8), np.array([0, 1, 255, 510, 766, 1500])
     want = [np.unpackbits(digests[a:b], axis=1).sum(axis=0) for a, b in zip(bounds, bounds[1:])]
     assert (dedup._bit_counts(digests, bounds) == np.array(want)).all()
+
+
+def test_keys_are_not_broadcast(spark):
+    """Some fingerprints are a small file, their keys are 67 times as many: neither side of the join is sent to every task."""
+    rows = spark.createDataFrame([(h,) for h in range(0, 1 << 40, 1 << 31)], "h long")
+    plan = dedup.hamming_pairs(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
