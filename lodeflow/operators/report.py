@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 from itertools import combinations
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeflow.session import materialize
+
 QUARTILES = (0.0, 0.25, 0.5, 0.75, 1.0)
 
 
@@ -21,33 +22,22 @@ def class_counts(df: DataFrame, classes: DataFrame, key: str = "class_idx") -> D
     return classes.join(value_counts(df, key), key, "left").select(key, F.coalesce("n", F.lit(0)).alias("n"))
 
 
-#: Values that one task sorts to pick ranks among, and steps between the splitters of percentile_approx.
-SELECT_ROWS, SPLITS = 1_000_000, 2000
+#: Values of a column that one aggregate holds.
+SELECT_ROWS = 1_000_000
 
 
 def quantiles(df: DataFrame, columns: list[str], most: int = SELECT_ROWS) -> DataFrame:
     """A row for each column with its exact quartiles, interpolated; nulls are left out, a column without values has nulls.
 
-    A column of at most `most` values is one aggregate. Otherwise ranks are selected, not sorted out: an approximate pass gives two splitters around each wanted rank, a second one counts
-    what lies below them, and of the values between only the wanted ranks go on, until a column's brackets hold at most
-    `most` values. Only counts and splitters pass the driver, and no task holds more than it does for these.
+    A column of at most `most` values is one aggregate. Values of the others are counted, and the distinct ones ranged by
+    (column, value) with their counts: one shuffle of distinct values, however many columns and quartiles there are. The
+    ranges' counts say in which range a wanted rank lies, and only these few values pass the driver.
     """
-    first = df.agg(*(f(F.col(c)).alias(f"{n}_{i}") for i, c in enumerate(columns) for n, f in (("n", F.count), ("low", F.min), ("high", F.max)))).first()
-    found: dict[tuple[int, int], object] = {}  # (column, rank from 0): value
+    first = df.agg(*(F.count(c).alias(f"n_{i}") for i, c in enumerate(columns))).first()
     few = {i: c for i, c in enumerate(columns) if 0 < first[f"n_{i}"] <= most}  # so few that one task may hold them
     plain = df.agg(*(F.percentile(c, F.array(*map(F.lit, QUARTILES))).alias(f"q_{i}") for i, c in few.items())).first() if few else None
     wanted = {i: sorted({r for q in QUARTILES for r in _ranks(q, first[f"n_{i}"])[:2]}) for i in range(len(columns)) if first[f"n_{i}"] > most}
-    brackets = {(i, r): (first[f"low_{i}"], first[f"high_{i}"], 0, first[f"n_{i}"]) for i, rs in wanted.items() for r in rs}  # low, high, values below low, values within
-    while brackets:
-        found |= {k: low for k, (low, high, below, n) in brackets.items() if low == high or k[1] == below == 0}
-        found |= {k: high for k, (low, high, below, n) in brackets.items() if k[1] == below + n - 1 == first[f"n_{k[0]}"] - 1}
-        brackets = {k: b for k, b in brackets.items() if k not in found}
-        small = {k: b for k, b in brackets.items() if b[3] <= most}
-        if small:
-            found |= _picked(df, columns, small)
-        brackets = {k: b for k, b in brackets.items() if k not in small}
-        if brackets:
-            brackets = _narrowed(df, columns, brackets)
+    found = _picked(df, columns, wanted) if wanted else {}  # (column, rank from 0): value
     rows = []
     for i, c in enumerate(columns):
         values = list(plain[f"q_{i}"]) if i in few else []
@@ -56,7 +46,7 @@ def quantiles(df: DataFrame, columns: list[str], most: int = SELECT_ROWS) -> Dat
                 values.append(None)
                 continue
             a, b, part = _ranks(q, first[f"n_{i}"])
-            low, high = float(found[i, a]), float(found[i, b])
+            low, high = found[i, a], found[i, b]
             values.append(low if part == 0 else low * (1 - part) + high * part)
         rows.append((c, *values))
     return df.sparkSession.createDataFrame(rows, "name string, " + ", ".join(f"q{int(q * 100)} double" for q in QUARTILES))
@@ -69,53 +59,18 @@ def _ranks(q: float, n: int) -> tuple[int, int, float]:
     return low, min(low + (at > low), n - 1), at - low
 
 
-def _within(column: str, bracket: tuple) -> Column:
-    return (F.col(column) >= F.lit(bracket[0])) & (F.col(column) <= F.lit(bracket[1]))
-
-
-def _narrowed(df: DataFrame, columns: list[str], brackets: dict) -> dict:
-    """Brackets with few values, by two passes: splitters among the values within, then counts below and between them."""
-    keys = list(brackets)
-
-    def splitters(key: tuple[int, int]) -> Column:
-        low, high, below, n = brackets[key]
-        at = (key[1] - below) / max(n - 1, 1)
-        around = [max(0.0, at - 3 / SPLITS), min(1.0, at + 3 / SPLITS)]
-        return F.percentile_approx(F.when(_within(columns[key[0]], brackets[key]), F.col(columns[key[0]])), around, SPLITS)
-
-    told = df.agg(*(splitters(k).alias(f"s{j}") for j, k in enumerate(keys))).first()
-    counts = df.agg(
-        *(
-            F.count_if(_within(columns[k[0]], brackets[k]) & test).alias(f"{name}{j}")
-            for j, k in enumerate(keys)
-            for name, test in (("below", F.col(columns[k[0]]) < F.lit(told[f"s{j}"][0])), ("upto", F.col(columns[k[0]]) <= F.lit(told[f"s{j}"][1])))
-        ),
-        *(F.max(F.when(_within(columns[k[0]], brackets[k]) & (F.col(columns[k[0]]) < F.lit(told[f"s{j}"][0])), F.col(columns[k[0]]))).alias(f"left{j}") for j, k in enumerate(keys)),
-        *(F.min(F.when(_within(columns[k[0]], brackets[k]) & (F.col(columns[k[0]]) > F.lit(told[f"s{j}"][1])), F.col(columns[k[0]]))).alias(f"right{j}") for j, k in enumerate(keys)),
-    ).first()
-    out = {}
-    for j, k in enumerate(keys):
-        low, high, below, n = brackets[k]
-        under, upto = counts[f"below{j}"], counts[f"upto{j}"]
-        if k[1] < below + under:  # the splitters were off: the rank is to their left
-            out[k] = (low, counts[f"left{j}"], below, under)
-        elif k[1] >= below + upto:
-            out[k] = (counts[f"right{j}"], high, below + upto, n - upto)
-        else:
-            out[k] = (told[f"s{j}"][0], told[f"s{j}"][1], below + under, upto - under)
-    return out
-
-
-def _picked(df: DataFrame, columns: list[str], brackets: dict) -> dict:
-    """The wanted ranks of brackets with few values: equal values are counted, and the running count says which one holds the rank."""
-    keys = list(brackets)
-    tags = F.filter(F.array(*(F.when(_within(columns[k[0]], brackets[k]), F.struct(F.lit(j).alias("j"), F.col(columns[k[0]]).cast("double").alias("v"))) for j, k in enumerate(keys))), lambda x: x.isNotNull())
-    near = [_within(columns[k[0]], b) for k, b in brackets.items()]
-    counted = df.where(reduce(or_, near)).select(F.explode(tags).alias("t")).groupBy("t.j", "t.v").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("j").orderBy("v"))
-    asked = F.create_map(*(F.lit(x) for j, k in enumerate(keys) for x in (j, k[1] - brackets[k][2])))
-    met = counted.withColumn("upto", upto).where((asked[F.col("j")] < F.col("upto")) & (asked[F.col("j")] >= F.col("upto") - F.col("n")))
-    return {keys[r.j]: r.v for r in met.select("j", "v").collect()}
+def _picked(df: DataFrame, columns: list[str], wanted: dict[int, list[int]]) -> dict[tuple[int, int], float]:
+    """The values of the wanted ranks (from 0) of columns: equal values are counted, and the running count says which one holds a rank."""
+    counts = [df.where(F.col(columns[i]).isNotNull()).groupBy(F.col(columns[i]).cast("double").alias("v")).agg(F.count("*").alias("n")).select(F.lit(i).alias("i"), "v", "n") for i in wanted]
+    ranged = materialize(reduce(DataFrame.unionByName, counts).repartitionByRange("i", "v").withColumn("part", F.spark_partition_id()))
+    before = ranged.groupBy("i", "part").agg(F.sum("n").alias("own"))
+    before = before.withColumn("before", F.sum("own").over(Window.partitionBy("i").orderBy("part")) - F.col("own"))
+    asked = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(r).cast("long").alias("rank")) for i, ranks in wanted.items() for r in ranks))
+    near = before.withColumn("asked", F.filter(asked, lambda a: (a["i"] == F.col("i")) & (a["rank"] >= F.col("before")) & (a["rank"] < F.col("before") + F.col("own")))).where(F.size("asked") > 0)
+    upto = F.sum("n").over(Window.partitionBy("i", "part").orderBy("v"))
+    placed = ranged.join(F.broadcast(near), ["i", "part"]).withColumn("upto", F.col("before") + upto)  # a few ranges
+    met = placed.select("i", "v", F.explode(F.filter("asked", lambda a: (a["rank"] < F.col("upto")) & (a["rank"] >= F.col("upto") - F.col("n")))).alias("a"))
+    return {(r.i, r.rank): r.v for r in met.select("i", "v", "a.rank").collect()}
 
 
 def spread_by(df: DataFrame, key: str, value: str) -> DataFrame:

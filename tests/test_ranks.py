@@ -88,3 +88,19 @@ def test_quantiles_are_exact(spark, most):
     assert found["d"] == (None,) * 5
     one = report.quantiles(df.where("e IS NULL"), ["b"], most).first()
     assert one.q0 == one.q50 == one.q100 == rows[0][1]
+
+
+def test_quantiles_read_the_rows_twice(spark):
+    """Rows are counted once and their values once, however many columns, quartiles and rows there are."""
+    from lodeflow.operators import report
+
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(20000).select(F.xxhash64("id").alias("a"), (F.col("id") % 7).alias("b")).mapInArrow(seen, "a long, b long")
+    found = {r.name: tuple(r)[1:] for r in report.quantiles(df, ["a", "b"], 10).collect()}
+    assert found["b"] == (0, 1, 3, 5, 6) and read.value <= 3 * 20000  # all for the counts, then once for each column
