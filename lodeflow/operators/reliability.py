@@ -7,10 +7,10 @@ places before they are ranked, so engines that add up in another order agree on
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -114,8 +114,46 @@ def prototype_signal(df: DataFrame, tau: float = 10.0) -> DataFrame:
     return met.select("id", F.round(margin, PLACES).alias("proto"))
 
 
-#: Rows that one block of the neighbour search holds, about, and blocks of a stripe.
-BLOCK_ROWS, STRIPE_BLOCKS = 2048, 16
+#: Rows that one block of the neighbour search holds, about, and blocks of a stripe of queries and of neighbours.
+BLOCK_ROWS, QUERY_BLOCKS, NEIGHBOUR_BLOCKS = 2048, 16, 32
+#: Queries that are compared at once, and the most neighbours that they meet at once.
+_QUERIES, _TILE = 256, 8192
+
+
+def _nearest(left: np.ndarray, right: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the rows of left: places in left, ids and cos (rounded to nine places) of the k nearest unit vectors of right; ties go to the smaller id.
+
+    Single precision says which pairs can be among the k nearest of those met so far, within its bound of error; these
+    few alone are worked out in double precision and sorted. Tiles grow as the k-th nearest of a query becomes known.
+    """
+    error = 2 * ((left.shape[1] + 4) * 2.0**-23)
+    small_left, small_right = left.astype(np.float32), right.astype(np.float32)
+    parts = []
+    for at in range(0, len(left), _QUERIES):
+        some, few = left[at : at + _QUERIES], small_left[at : at + _QUERIES]
+        row, cos, nbr = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        least, low, size = np.full(len(some), -np.inf), 0, 512
+        while low < len(right):
+            near = few @ small_right[low : low + size].T
+            if not low and near.shape[1] > k:
+                known = np.where(np.isnan(near), np.float32(-np.inf), near)
+                least = np.partition(known, -k, axis=1)[:, -k].astype(np.float64)
+            hit_row, hit = np.nonzero(~(near < (least - error).astype(np.float32)[:, None]))  # values that are no number stay in
+            if 32 * len(hit) > near.size:
+                exact = (some @ right[low : low + size].T)[hit_row, hit]
+            else:
+                exact = np.einsum("ij,ij->i", some[hit_row], right[low + hit])
+            row, cos, nbr = np.concatenate([row, hit_row]), np.concatenate([cos, np.round(exact, 9)]), np.concatenate([nbr, ids[low + hit]])
+            order = np.lexsort((nbr, -cos, row))
+            row, cos, nbr = row[order], cos[order], nbr[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            kth = place == k - 1
+            least[row[kth]] = cos[kth]
+            row, cos, nbr = (x[place < k] for x in (row, cos, nbr))
+            low, size = low + size, min(2 * (low + size), _TILE)
+        parts.append((row + at, nbr, cos))
+    row, nbr, cos = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return row, nbr, cos
 
 
 def knn(df: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -126,7 +164,9 @@ def knn(df: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     each block, and a cell keeps k of each query. Ties in cos, rounded to nine places, go to the smaller id.
     """
     blocks = max(1, -(-df.count() // block_rows))
-    stripes = -(-blocks // STRIPE_BLOCKS)
+    columns = -(-blocks // NEIGHBOUR_BLOCKS)
+    # narrower stripes of queries where the grid has fewer cells than would keep all cores busy
+    rows = max(-(-blocks // QUERY_BLOCKS), min(blocks, -(-2 * df.sparkSession.sparkContext.defaultParallelism // columns)))
     unit = df.select("id", l2_normalize(F.col("z")).alias("z"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
 
     def pack(table: pa.Table) -> pa.Table:
@@ -134,28 +174,24 @@ def knn(df: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
         z = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
         return pa.table({"block": table.column("block")[:1], "ids": pa.array([table.column("id").to_numpy().tobytes()]), "zs": pa.array([z.tobytes()])})
 
-    packed = unit.groupBy("block").applyInArrow(pack, "block int, ids binary, zs binary")
-    own, every = F.pmod("block", F.lit(stripes)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(stripes - 1)))
-    asked = packed.select(own.alias("row"), every.alias("column"), F.lit(True).alias("query"), "ids", "zs")
-    offered = packed.select(every.alias("row"), own.alias("column"), F.lit(False).alias("query"), "ids", "zs")
+    packed = materialize(unit.groupBy("block").applyInArrow(pack, "block int, ids binary, zs binary"))  # both sides are made of it
+    own = lambda n: F.pmod("block", F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = packed.select(own(rows).alias("row"), every(columns).alias("column"), F.lit(True).alias("query"), "ids", "zs")
+    offered = packed.select(every(rows).alias("row"), own(columns).alias("column"), F.lit(False).alias("query"), "ids", "zs")
 
     def near(table: pa.Table) -> pa.Table:
-        sides: dict[bool, list] = {True: [], False: []}
-        for query, ids, zs in zip(*(table.column(c).to_pylist() for c in ("query", "ids", "zs")), strict=True):
-            own = np.frombuffer(ids, np.int64)
-            sides[query].append((own, np.frombuffer(zs).reshape(len(own), -1)))
-        found: list[tuple[np.ndarray, ...]] = []
-        for a, left in sides[True]:
-            for at in range(0, len(a), 256):
-                best_cos, best_id = np.zeros((len(a[at : at + 256]), 0)), np.zeros((len(a[at : at + 256]), 0), np.int64)
-                for b, right in sides[False]:
-                    cos = np.concatenate([best_cos, np.round(left[at : at + 256] @ right.T, 9)], axis=1)
-                    ids = np.concatenate([best_id, np.broadcast_to(b, (len(cos), len(b)))], axis=1)
-                    order = np.lexsort((ids, -cos), axis=1)[:, :k]
-                    best_cos, best_id = np.take_along_axis(cos, order, 1), np.take_along_axis(ids, order, 1)
-                found.append((np.repeat(a[at : at + 256], best_id.shape[1]), best_id.reshape(-1), best_cos.reshape(-1)))
-        columns = zip(*found, strict=True) if found else ((np.zeros(0, np.int64),), (np.zeros(0, np.int64),), (np.zeros(0),))
-        return pa.table(dict(zip(("id", "nbr", "cos"), (pa.array(np.concatenate(c)) for c in columns), strict=True)))
+        def side(query: bool) -> tuple[np.ndarray, np.ndarray]:
+            some = table.filter(pc.equal(table.column("query"), query))
+            ids, zs = ([np.frombuffer(x.as_buffer(), t) for x in some.column(c)] for c, t in (("ids", np.int64), ("zs", np.float64)))
+            ids = np.concatenate([np.zeros(0, np.int64), *ids])
+            return ids, np.concatenate([np.zeros(0), *zs]).reshape(len(ids), -1) if len(ids) else np.zeros((0, 0))
+
+        (asked_ids, left), (ids, right) = side(True), side(False)
+        found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        if len(asked_ids) and len(ids):
+            found = _nearest(left, right, ids, k)
+        return pa.table({"id": pa.array(asked_ids[found[0]]), "nbr": pa.array(found[1]), "cos": pa.array(found[2])})
 
     met = asked.unionByName(offered).groupBy("row", "column").applyInArrow(near, "id bigint, nbr bigint, cos double")
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cos"), "nbr"))

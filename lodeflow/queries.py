@@ -576,7 +576,7 @@ def mutual_knn_signal(spark, sf):
 def fuse_q0(spark, sf):
     df = _features(spark, sf)
     wide = df.select("id", "y").join(reliability.oof_signal(df), "id").join(reliability.prototype_signal(df), "id").join(reliability.mutual_knn_signal(df), "id")
-    return reliability.fuse_q0(wide, {"cls": 1.0, "proto": 1.0, "knn": 1.0}).select("id", "y", _round(F.col("q0")).alias("q0"))
+    return reliability.fuse_q0(materialize(wide), {"cls": 1.0, "proto": 1.0, "knn": 1.0}).select("id", "y", _round(F.col("q0")).alias("q0"))
 
 
 @_query(

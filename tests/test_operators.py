@@ -436,3 +436,21 @@ def test_rows_meet_one_to_one(spark):
     for left, right in (([1, 2], [1]), ([1], [1, 2]), ([1, 1], [1]), ([None, 1], [None, 1])):
         with pytest.raises(ValueError):
             curation.aligned(make(left, "a"), make(right, "b"))
+
+
+def test_nearest_of_copies_and_zeros():
+    """Ties, copies, zero vectors, values that are no number and fewer rows than k, against a full sort; few pairs are worked out in double precision."""
+    draw = np.random.default_rng(3)
+    right = draw.normal(size=(3000, 8))
+    right[500:1500] = right[7]
+    right[1600] += 1e-9 - 0 * right[1600]
+    right[2000:2010] = 0.0
+    right /= np.linalg.norm(right, axis=1, keepdims=True) + 1e-8
+    right[2500] = np.nan
+    ids = draw.permutation(3000).astype(np.int64)
+    for n, k in ((3000, 21), (15, 21), (3000, 1)):
+        row, nbr, cos = reliability._nearest(right[:300], right[:n], ids[:n], k)
+        every = np.round(right[:300] @ right[:n].T, 9)
+        order = np.lexsort((np.broadcast_to(ids[:n], every.shape), -every), axis=1)[:, :k]
+        assert (row == np.repeat(np.arange(300), min(n, k))).all() and (nbr == ids[:n][order].reshape(-1)).all()
+        assert np.allclose(cos, np.take_along_axis(every, order, 1).reshape(-1), atol=2e-9, equal_nan=True)
