@@ -20,6 +20,8 @@ _ARROW = pa.schema(
 )
 #: Bytes of an archive that one task reads, and of content that it hands on at once.
 RANGE_BYTES, BATCH_BYTES = 64 << 20, 8 << 20
+#: Ranges of one archive at most: each reads the whole directory, which grows with the archive, so more of them would be quadratic work.
+MOST_RANGES = 64
 
 
 @dataclass
@@ -77,8 +79,9 @@ class _EntryReader(DataSourceReader):
         """Ranges of bytes: only names and sizes are looked up here, directories are read by the tasks."""
         found = []
         for uri, size in _archives(self.path):
-            cuts = list(range(0, max(size, 1), self.bytes))
-            found += [ArchiveRange(uri, low, size + 1 if low == cuts[-1] else low + self.bytes) for low in cuts]
+            step = max(self.bytes, -(-size // MOST_RANGES))
+            cuts = list(range(0, max(size, 1), step))
+            found += [ArchiveRange(uri, low, size + 1 if low == cuts[-1] else low + step) for low in cuts]
         return found or [ArchiveRange("", 0, 0)]
 
     def read(self, partition: ArchiveRange) -> Iterator[pa.RecordBatch]:
@@ -115,7 +118,7 @@ class ZipEntries(DataSource):
 def read_archives(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Entries of the zip files at path, see ENTRIES: entry_no from 0 in the directory's order, folders left out.
 
-    An archive is dealt to tasks by ranges of range_bytes: each seeks to the directory at its end and then to the entries
+    An archive is dealt to tasks by ranges of range_bytes, or of a MOST_RANGES-th of it if that is more: each seeks to the directory at its end and then to the entries
     that begin in its range, so an archive of any size (also above 2 GB) is read in parallel and no value holds it whole.
     Locked entries have no content; broken ones, and files that are no archive, are rows with error.
     """

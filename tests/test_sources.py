@@ -158,3 +158,12 @@ def test_each_line_once(spark, tmp_path, size):
     with pytest.raises(ValueError):
         reader.partitions({f"{tmp_path}/a.log": 10**6}, end)
     assert tail_logs(spark, f"file://{tmp_path}").isStreaming
+
+
+def test_directories_are_read_a_bounded_number_of_times(spark, tmp_path):
+    """However small the ranges asked for, an archive is cut into MOST_RANGES of them, and no entry is lost."""
+    with zipfile.ZipFile(tmp_path / "t.zip", "w") as z:
+        for i in range(500):
+            z.writestr(f"{i}.png", f"{i}" * 50)
+    assert len(archive._EntryReader({"path": str(tmp_path), "rangeBytes": "64"}).partitions()) <= archive.MOST_RANGES
+    assert sorted(r[1] for r in entries(spark, tmp_path, 64)) == list(range(500))
