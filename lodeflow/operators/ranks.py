@@ -7,10 +7,10 @@ the same places.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from lodeflow.session import materialize
+from lodeflow.session import materialize, shuffle_width
 
 #: Rows of a class that one window ranks in one task.
 FREQUENT = 1_000_000
@@ -35,10 +35,29 @@ def _before(ranges: DataFrame, keys: list[str]) -> DataFrame:
     return ranges.withColumn("_before", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).withColumn("_total", F.sum("_n").over(own))
 
 
+#: Rows that one task sorts, about.
+TASK_ROWS = 1_000_000
+
+
+def _by_class(df: DataFrame, key: str, most: int) -> tuple[DataFrame | None, int]:
+    """The values of key with more than most rows, or None without any, and the number of all rows."""
+    seen = Observation()
+    sizes = df.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n")).observe(seen, F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"))
+    found = materialize(sizes.where(F.col("_n") > most).select("_key"))
+    return (None if found.isEmpty() else found), seen.get["rows"]
+
+
 def frequent_classes(df: DataFrame, key: str, most: int = FREQUENT) -> DataFrame | None:
     """The values of key with more than most rows, or None without any. One in most rows at most, so the table is small."""
-    found = materialize(df.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select("_key"))
-    return None if found.isEmpty() else found
+    return _by_class(df, key, most)[0]
+
+
+def _dealt(df: DataFrame, key: str, rows: int, task_rows: int) -> DataFrame:
+    """df with classes whole, in tasks of about task_rows rows at most: a task's memory does not grow with the table.
+
+    The number is given, so that small partitions, which compressed look smaller than what a sort holds, are not put together.
+    """
+    return df.repartition(max(-(-rows // task_rows), shuffle_width(df.sparkSession)), key) if rows > task_rows else df
 
 
 def _split(df: DataFrame, key: str, heavy: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -57,36 +76,38 @@ def _with_before(ranged: DataFrame, key: str, weight: Column) -> DataFrame:
     return ranged.join(ranges, ranged[key].eqNullSafe(ranges["_key"]) & (ranged["_range"] == ranges["_of"])).drop("_key", "_of")
 
 
-def place_within(df: DataFrame, key: str, *order: Column | str, name: str = "place", frequent: int = FREQUENT) -> DataFrame:
+def place_within(df: DataFrame, key: str, *order: Column | str, name: str = "place", frequent: int = FREQUENT, task_rows: int = TASK_ROWS) -> DataFrame:
     """df with name: each row's place from 0 within its class, in order. Null classes are one class."""
     window = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
-    heavy = frequent_classes(df, key, frequent)
+    heavy, rows = _by_class(df, key, frequent)
     if heavy is None:
-        return df.withColumn(name, window(key))
+        return _dealt(df, key, rows, task_rows).withColumn(name, window(key))
     light, large = _split(df, key, heavy)
+    light = _dealt(light, key, rows, task_rows)
     placed = _with_before(_ranged(large, key, *order), key, F.lit(1))
     placed = placed.withColumn(name, F.col("_before") + window("_range", key)).drop("_range", "_before", "_total")
     return light.withColumn(name, window(key)).unionByName(placed)
 
 
-def running_within(df: DataFrame, key: str, weight: str, *order: Column | str, name: str = "upto", frequent: int = FREQUENT) -> DataFrame:
+def running_within(df: DataFrame, key: str, weight: str, *order: Column | str, name: str = "upto", frequent: int = FREQUENT, task_rows: int = TASK_ROWS) -> DataFrame:
     """df with name: the sum of weight over the rows of its class up to its own, in order; order tells all rows of a class apart."""
     window = lambda *keys: F.sum(weight).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    heavy = frequent_classes(df, key, frequent)
+    heavy, rows = _by_class(df, key, frequent)
     if heavy is None:
-        return df.withColumn(name, window(key))
+        return _dealt(df, key, rows, task_rows).withColumn(name, window(key))
     light, large = _split(df, key, heavy)
+    light = _dealt(light, key, rows, task_rows)
     placed = _with_before(_ranged(large, key, *order), key, F.col(weight))
     placed = placed.withColumn(name, F.col("_before") + window("_range", key)).drop("_range", "_before", "_total")
     return light.withColumn(name, window(key)).unionByName(placed)
 
 
-def average_rank(df: DataFrame, value: str, key: str, name: str = "r", frequent: int = FREQUENT) -> DataFrame:
+def average_rank(df: DataFrame, value: str, key: str, name: str = "r", frequent: int = FREQUENT, task_rows: int = TASK_ROWS) -> DataFrame:
     """df with name: the average rank of value within its class, see average_ranks."""
-    return average_ranks(df, {value: name}, key, frequent)
+    return average_ranks(df, {value: name}, key, frequent, task_rows)
 
 
-def average_ranks(df: DataFrame, names: dict[str, str], key: str, frequent: int = FREQUENT) -> DataFrame:
+def average_ranks(df: DataFrame, names: dict[str, str], key: str, frequent: int = FREQUENT, task_rows: int = TASK_ROWS) -> DataFrame:
     """df with a column for each value of names: its average rank within the class, scaled to 0 .. 1; 0.5 for a class of one row.
 
     Nulls rank first. In a frequent class equal values are counted first, so what is ranged are distinct values, and rows
@@ -101,10 +122,11 @@ def average_ranks(df: DataFrame, names: dict[str, str], key: str, frequent: int
             rows = rows.withColumn(name, scaled(rank0, F.count("*").over(by_class)))
         return rows
 
-    heavy = frequent_classes(df, key, frequent)
+    heavy, n_rows = _by_class(df, key, frequent)
     if heavy is None:
-        return windowed(df)
+        return windowed(_dealt(df, key, n_rows, task_rows))
     light, large = _split(df, key, heavy)
+    light = _dealt(light, key, n_rows, task_rows)
     met = large
     for value, name in names.items():
         counts = large.groupBy(F.col(key).alias("_class"), F.col(value).alias("_value")).agg(F.count("*").alias("_m"))

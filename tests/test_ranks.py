@@ -104,3 +104,11 @@ def test_quantiles_read_the_rows_twice(spark):
     df = spark.range(20000).select(F.xxhash64("id").alias("a"), (F.col("id") % 7).alias("b")).mapInArrow(seen, "a long, b long")
     found = {r.name: tuple(r)[1:] for r in report.quantiles(df, ["a", "b"], 10).collect()}
     assert found["b"] == (0, 1, 3, 5, 6) and read.value <= 3 * 20000  # all for the counts, then once for each column
+
+
+def test_tasks_do_not_grow_with_the_table(spark):
+    """Windows over many small classes: partitions follow from the number of rows, ranks stay the same."""
+    rows = spark.range(20000).select("id", (F.col("id") % 500).alias("c"), F.xxhash64("id").alias("v"), F.lit(1).alias("w"))
+    for found in (ranks.average_rank(rows, "v", "c", task_rows=1000), ranks.place_within(rows, "c", "v", name="r", task_rows=1000), ranks.running_within(rows, "c", "w", "v", name="r", task_rows=1000)):
+        assert found.rdd.getNumPartitions() == 20
+    assert both(ranks.average_rank(rows, "v", "c", task_rows=1000)) == both(ranks.average_rank(rows, "v", "c"))
