@@ -1,9 +1,10 @@
 """Licence scans with DataFrame and ML functions only.
 
-Paragraphs (lines) become hashed word unigrams and bigrams. A logistic regression with an elastic net penalty, trained on
-licence notices and on a bounded sample of the documents' own lines as the class unknown, leaves few features
-with weights; those alone are looked up when a paragraph is scored. The probability that a family must reach is
-calibrated on lines held out from training, and a comparison with the family's notices confirms the prediction.
+Paragraphs (lines) become hashed word unigrams and bigrams, of which the features are those that any notice has, too. A
+logistic regression with an elastic net penalty, trained on licence notices and on the documents' own lines, every
+distinct one, as the class unknown, leaves few features with weights; those alone are looked up when a paragraph is
+scored. The probability that a family must reach is calibrated on the lines held out from training, a quarter of all,
+and a comparison with the family's notices confirms the prediction.
 
 Paragraphs are lines, windows over all words of the text as long as a long notice (for notices that are wrapped
 over several lines), and the words of short notices and titles where they stand word by word. The model judges all
@@ -126,12 +127,14 @@ STEMS = ("licen", "unlicense", "copyright", "permission", "redistribut", "spdx",
 #: Distinct words that a notice has at least to be known by a share of them when it is wrapped.
 LONG_NOTICE = 12
 BUCKETS = 8192
-#: Lines of the documents that the classifier is fitted and calibrated on at most.
-SAMPLE_LINES = 4000
-#: Word pairs of one notice from which a sampled line is taken for a fragment of it.
+#: Weight of a line of the documents in training, where a notice has 1, and of all lines together at most.
+LINE_WEIGHT, LINES_WEIGHT = 0.05, 150.0
+#: Lines that one task of the training holds, about.
+TASK_LINES = 65_536
+#: Word pairs of one notice from which a line is taken for a fragment of it.
 FRAGMENT_PAIRS = 3
-#: Share of held-out unknown lines that may reach the threshold, and its least value.
-FALSE_SHARE, LEAST_PROBABILITY = 0.001, 0.5
+#: Share of held-out unknown lines that may reach the threshold, its least and its greatest value, and its step.
+FALSE_SHARE, LEAST_PROBABILITY, MOST_PROBABILITY, STEP = 0.001, 0.5, 0.95, 0.0001
 #: Held-out lines from which that share says anything; with fewer the least value stands.
 CALIBRATION_LINES = 100
 #: Share of a notice's words that a confirmed paragraph has.
@@ -186,7 +189,11 @@ def _pairs(found: Column) -> Column:
 
 def features(found: Column) -> Column:
     """Buckets of word unigrams and bigrams."""
-    return F.transform(F.concat(found, _pairs(found)), lambda g: F.pmod(F.xxhash64(g), F.lit(BUCKETS)).cast("int"))
+    return _buckets(F.concat(found, _pairs(found)))
+
+
+def _buckets(grams: Column) -> Column:
+    return F.transform(grams, lambda g: F.pmod(F.xxhash64(g), F.lit(BUCKETS)).cast("int"))
 
 
 @dataclass(frozen=True)
@@ -199,10 +206,30 @@ class LicenseModel:
     threshold: float
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE_LINES) -> LicenseModel:
-    """Train on the notices and on at most sample lines of docs, the first by their hash, that resemble no notice.
+def _lines(docs: DataFrame, vocabulary: list[int]) -> DataFrame:
+    """held and buckets (those in vocabulary) of every distinct line of docs that is no part of a wrapped notice, which is no example of the class unknown.
 
-    An empty table leaves the notices against one empty line of the class unknown.
+    Such a line has FRAGMENT_PAIRS word pairs of one notice; with fewer none can be confirmed (see _least_pairs).
+    """
+    orders = [sorted({f"{a} {b}" for a, b in pairwise(own_words(n))}) for every in NOTICES.values() for n in every]
+    told, least = _constant(orders, "array<array<string>>"), min(FRAGMENT_PAIRS, _least_pairs())
+    inside = _constant([i in set(vocabulary) for i in range(BUCKETS)], "array<boolean>")
+    own = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("paragraph"))
+    own = own.select(F.xxhash64("paragraph").alias("rank"), words(F.col("paragraph")).alias("found"))
+    own = own.select("rank", "found", _pairs(F.col("found")).alias("pairs"))
+    hits = F.array_distinct(F.filter("pairs", lambda p: p.isin(sorted({p for order in orders for p in order}))))
+    own = own.select("rank", hits.alias("hits"), F.array_distinct(_buckets(F.concat("found", "pairs"))).alias("buckets"))
+    shared = F.array_max(F.transform(told, lambda order: F.size(F.array_intersect("hits", order))))
+    other = F.when(F.size("hits") < least, True).otherwise(shared < least)
+    own = own.select("rank", F.when(other, F.filter("buckets", lambda i: F.get(inside, i))).alias("buckets")).distinct()
+    return materialize(own.select((F.pmod("rank", F.lit(4)) == 0).alias("held"), "buckets")).where("buckets IS NOT NULL")
+
+
+def fit(docs: DataFrame) -> LicenseModel:
+    """Train on the notices and on every distinct line of docs that resembles no notice; a quarter of these, by hash, is held out and calibrates.
+
+    However many lines there are, together they weigh LINES_WEIGHT at most. An empty table leaves the notices against
+    one empty line of the class unknown.
     """
     spark = docs.sparkSession
     families = [*NOTICES, UNKNOWN]
@@ -211,56 +238,86 @@ def fit(docs: DataFrame, sample: int = SAMPLE_LINES) -> LicenseModel:
         cuts = [(n.split(), len(n.split()) // 4) for n in every if len(set(own_words(n))) >= LONG_NOTICE]
         rows += [(families.index(f), " ".join(own)) for n, k in cuts for own in (n[k:], n[:-k])]
     known = spark.createDataFrame([*rows, (len(families) - 1, "")], "label int, paragraph string")
-    own = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("paragraph")).select("paragraph", F.xxhash64("paragraph").alias("rank"))
-    chosen = own.select("rank").distinct().orderBy("rank").limit(sample)  # hashes alone are shuffled, not the lines
-    own = own.join(F.broadcast(chosen), "rank").groupBy("rank").agg(F.min("paragraph").alias("paragraph"))
-    found = words(F.col("paragraph"))
-    told = F.array(*(F.array_distinct(_pairs(words(F.lit(n)))) for every in NOTICES.values() for n in every))
-    shared = F.array_max(F.transform(F.array(_pairs(found)), lambda pairs: F.array_max(F.transform(told, lambda order: F.size(F.array_intersect(pairs, order))))))
-    # a line with too few word pairs of all notices together has too few of any, and is not compared with each
-    few = F.size(F.array_intersect(_pairs(found), F.array_distinct(F.flatten(told)))) < min(FRAGMENT_PAIRS, _least_pairs())
-    other = F.when(few, True).otherwise((_similarity(found) < CONFIRM_AT) & (shared < FRAGMENT_PAIRS))
-    own = own.where(other)  # a line of a wrapped notice is no example of the class unknown
-    own = materialize(own.select(F.lit(len(families) - 1).alias("label"), "paragraph", (F.pmod("rank", F.lit(4)) == 0).alias("held")))
-    lines = known.withColumn("held", F.lit(False)).unionByName(own)
-    prepared = lines.select("held", F.col("label").cast("double").alias("label"), F.transform(features(found), lambda i: i.cast("string")).alias("buckets"))
-    counts = CountVectorizerModel.from_vocabulary([str(i) for i in range(BUCKETS)], "buckets", "features", minTF=1.0, binary=True)
-    weighted = prepared.where("NOT held").withColumn("weight", F.when(F.col("label") == len(families) - 1, 0.05).otherwise(1.0))
+    known = known.select("label", F.array_distinct(features(words(F.col("paragraph")))).alias("buckets"))
+    vocabulary = sorted({i for r in known.collect() for i in r.buckets})
+    lines = _lines(docs, vocabulary)
+    n = {r.held: r["count"] for r in lines.groupBy("held").count().collect()}
+    weight = min(LINE_WEIGHT, LINES_WEIGHT / max(n.get(False, 0), 1))
+    train = known.unionByName(lines.where("NOT held").select(F.lit(len(families) - 1).alias("label"), "buckets"))
+    prepared = train.select(F.col("label").cast("double").alias("label"), F.transform("buckets", lambda i: i.cast("string")).alias("buckets"), F.when(F.col("label") == len(families) - 1, weight).otherwise(1.0).alias("weight"))
+    counts = CountVectorizerModel.from_vocabulary([str(i) for i in vocabulary], "buckets", "features", minTF=1.0, binary=True)
     trainer = LogisticRegression(family="multinomial", regParam=0.002, elasticNetParam=0.3, maxIter=60, weightCol="weight", standardization=False)
-    fitted = trainer.fit(counts.transform(weighted.coalesce(1)))  # some thousand lines, read at each of the steps
+    fitted = trainer.fit(counts.transform(prepared.coalesce(1 + n.get(False, 0) // TASK_LINES)))  # a task of many lines at each of the steps
     matrix = fitted.coefficientMatrix.toArray()
-    model = LicenseModel(families[: matrix.shape[0]], [float(x) for x in fitted.interceptVector], [[round(float(x), 6) for x in row] for row in matrix], LEAST_PROBABILITY)
-    every = LicenseModel(model.families, model.biases, model.weights, 0.0)
-    held = _judged(lines.where("held").select(F.array(_line(F.lit(0), F.col("paragraph"))).alias("p")), every)
-    n, reached = held.agg(F.count("*"), F.percentile(F.coalesce(F.get("p", F.lit(0))["probability"], F.lit(0.0)), F.lit(1 - FALSE_SHARE))).first()
-    return LicenseModel(model.families, model.biases, model.weights, max(LEAST_PROBABILITY, min(reached, 0.95)) if n >= CALIBRATION_LINES else LEAST_PROBABILITY)
+    weights = [[0.0] * BUCKETS for _ in matrix]
+    for own, row in zip(weights, matrix, strict=True):
+        for i, x in zip(vocabulary, row, strict=True):
+            own[i] = round(float(x), 6)
+    model = LicenseModel(families[: len(weights)], [float(x) for x in fitted.interceptVector], weights, LEAST_PROBABILITY)
+    return LicenseModel(model.families, model.biases, model.weights, _threshold(lines.where("held"), model) if n.get(True, 0) >= CALIBRATION_LINES else LEAST_PROBABILITY)
+
 
+def _threshold(held: DataFrame, model: LicenseModel) -> float:
+    """The least multiple of STEP between the bounds that FALSE_SHARE of the lines held out reach at most."""
+    steps = F.floor(F.greatest(_told(_active("buckets", model), model)["probability"], F.lit(LEAST_PROBABILITY - STEP / 2)) / STEP).cast("int")
+    table = held.groupBy(F.when(F.size(_active("buckets", model)) > 0, steps).otherwise(-1).alias("step")).count().collect()  # one row a step at most
+    room, reached = FALSE_SHARE * sum(r["count"] for r in table), 0
+    for r in sorted(table, key=lambda r: -r.step):
+        reached += r["count"]
+        if reached > room:
+            return min(max(LEAST_PROBABILITY, (r.step + 1) * STEP), MOST_PROBABILITY)
+    return LEAST_PROBABILITY
 
-def _similarity(found: Column, family: Column | None = None) -> Column:
-    """The largest share of a notice's distinct words among found, of the family's notices if one is given.
+
+def _constant(value: list, kind: str) -> Column:
+    """A table written down as one literal, so that plans stay small."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+def _similarity(found: Column, family: Column) -> Column:
+    """The largest share of a notice's distinct words among found, of the family's notices.
 
     A notice counts only if enough of its word pairs stand there, too, so that the words come in its order.
     """
+    table = []
+    for name, notices in NOTICES.items():
+        for own in map(own_words, notices):
+            told, order = list(dict.fromkeys(own)), list(dict.fromkeys(f"{a} {b}" for a, b in pairwise(own)))
+            need = PAIRS_OF_LONG if len(told) >= LONG_NOTICE else PAIRS_OF_SHORT
+            table.append({"family": name, "words": told, "pairs": order, "need": need * len(order)})
+    every = _constant(table, "array<struct<family:string,words:array<string>,pairs:array<string>,need:double>>")
 
     def compare(own: Column, pairs: Column) -> Column:
-        best = F.lit(0.0)
-        for name, notices in NOTICES.items():
-            shares = []
-            for notice in notices:
-                told, order = F.array_distinct(words(F.lit(notice))), F.array_distinct(_pairs(words(F.lit(notice))))
-                need = F.when(F.size(told) >= LONG_NOTICE, PAIRS_OF_LONG).otherwise(PAIRS_OF_SHORT)
-                in_order = F.size(F.array_intersect(pairs, order)) >= need * F.size(order)
-                shares.append(F.when(in_order, F.size(F.array_intersect(own, told)) / F.size(told)).otherwise(0.0))
-            most = F.greatest(*shares)
-            best = F.greatest(best, most) if family is None else F.when(family == name, most).otherwise(best)
-        return best
+        share = lambda n: F.when(F.size(F.array_intersect(pairs, n["pairs"])) >= n["need"], F.size(F.array_intersect(own, n["words"])) / F.size(n["words"])).otherwise(0.0)
+        return F.array_max(F.transform(F.filter(every, lambda n: n["family"] == family), share))
 
     inner = lambda own: F.get(F.transform(F.array(_pairs(own)), lambda pairs: compare(own, pairs)), F.lit(0))
     return F.get(F.transform(F.array(found), inner), F.lit(0))
 
 
-def _dot(active: Column, weights: Column, bias: float) -> Column:
-    return F.lit(bias) + F.aggregate(active, F.lit(0.0), lambda s, i: s + F.get(weights, i))
+def _active(buckets: Column | str, model: LicenseModel) -> Column:
+    """The buckets that have any weight, as places in the table of weights."""
+    used = [i for i in range(BUCKETS) if any(w[i] for w in model.weights)]
+    place = dict(zip(used, range(len(used)), strict=True))
+    places = _constant([place.get(i, -1) for i in range(BUCKETS)], "array<int>")
+    return F.filter(F.transform(buckets, lambda i: F.get(places, i)), lambda i: i >= 0)
+
+
+def _told(active: Column, model: LicenseModel) -> Column:
+    """family: the likeliest one, unknown left out; probability: its own among all."""
+    used = [i for i in range(BUCKETS) if any(w[i] for w in model.weights)]
+    table = _constant([{"bias": b, "weights": [w[i] for i in used]} for b, w in zip(model.biases, model.weights, strict=True)], "array<struct<bias:double,weights:array<double>>>")
+    named = len(model.families) - 1
+    names = _constant(model.families, "array<string>")
+
+    def judge(logits: Column) -> Column:
+        best = F.array_max(F.slice(logits, 1, named))
+        total = F.aggregate(logits, F.lit(0.0), lambda s, x: s + F.exp(x - best))
+        return F.struct(F.element_at(names, F.array_position(logits, best).cast("int")).alias("family"), (1 / total).alias("probability"))
+
+    logits = lambda active: F.transform(table, lambda t: F.aggregate(active, t["bias"], lambda s, i: s + F.get(t["weights"], i)))
+    bound = F.transform(F.array(active), lambda active: F.get(F.transform(F.array(logits(active)), judge), F.lit(0)))
+    return F.get(bound, F.lit(0))
 
 
 def _line(line: Column, paragraph: Column) -> Column:
@@ -274,28 +331,20 @@ def _judged(lines: DataFrame, model: LicenseModel) -> DataFrame:
     family is the likeliest one, unknown left out, and probability its own among all; paragraphs without a single
     weighted feature are left out, as are those below the model's threshold.
     """
-    tables = [F.from_json(F.lit(json.dumps(w)), "array<double>") for w in model.weights]
-    use = F.from_json(F.lit(json.dumps([any(w[i] for w in model.weights) for i in range(BUCKETS)])), "array<boolean>")
-    named = len(model.families) - 1
     kept = lambda p: [p[x].alias(x) for x in ("line", "paragraph", "last", "told", "same")]
 
     def prepare(p: Column) -> Column:
-        active = F.filter(F.array_distinct(features(words(p["paragraph"]))), lambda i: F.get(use, i))
-        return F.struct(*kept(p), active.alias("active"))
-
-    def logits(p: Column) -> Column:
-        sums = [_dot(p["active"], t, b) for b, t in zip(model.biases, tables, strict=True)]
-        return F.struct(*kept(p), F.array(*sums).alias("logits"))
+        return F.struct(*kept(p), _active(F.array_distinct(features(words(p["paragraph"]))), model).alias("active"))
 
     def judge(p: Column) -> Column:
-        best = F.array_max(F.slice(p["logits"], 1, named))
-        total = F.aggregate(p["logits"], F.lit(0.0), lambda s, x: s + F.exp(x - best))
-        family = F.element_at(F.array(*map(F.lit, model.families)), F.array_position(p["logits"], best).cast("int"))
-        return F.struct(*kept(p), family.alias("family"), (1 / total).alias("probability"))
+        return F.struct(*kept(p), _told(p["active"], model).alias("judged"))
+
+    def flat(p: Column) -> Column:
+        return F.struct(*kept(p), p["judged"]["family"].alias("family"), p["judged"]["probability"].alias("probability"))
 
     lines = lines.withColumn("p", F.transform("p", prepare))
-    lines = lines.withColumn("p", F.transform(F.filter("p", lambda p: F.size(p["active"]) > 0), logits))
-    return lines.withColumn("p", F.filter(F.transform("p", judge), lambda p: p["probability"] >= model.threshold))
+    lines = lines.withColumn("p", F.transform(F.filter("p", lambda p: F.size(p["active"]) > 0), judge))
+    return lines.withColumn("p", F.transform(F.filter("p", lambda p: p["judged"]["probability"] >= model.threshold), flat))
 
 
 def license_paragraphs(docs: DataFrame, model: LicenseModel, gate: bool = True) -> DataFrame:

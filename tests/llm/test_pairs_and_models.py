@@ -330,6 +330,27 @@ def test_licence_probabilities_are_the_models(spark):
         assert abs(p.probability - math.exp(max(logits[:-1])) / sum(map(math.exp, logits))) < 1e-6 and model.families[logits.index(max(logits[:-1]))] == p.family
 
 
+def test_licence_model_learns_from_every_line(spark):
+    """Lines beyond the first thousands by hash change the weights, and those held out the threshold; FRAGMENT_PAIRS decides by itself which lines are examples."""
+    assert license_scan._least_pairs() >= license_scan.FRAGMENT_PAIRS
+    line = F.concat(F.lit("the river runs "), F.col("id").cast("string"))
+    pool = spark.range(6000).select(line.alias("text")).withColumn("rank", F.xxhash64("text")).orderBy("rank").collect()
+    cut = pool[4500].rank
+    more = spark.range(4000).select(F.concat(F.lit("license of software "), F.col("id").cast("string")).alias("text")).where(F.xxhash64("text") > cut).collect()
+    near, all_ = ["\n".join(r.text for r in rows) for rows in (pool[:4500], [*pool[:4500], *more])]
+    assert len(more) > 300
+    few, whole = (license_scan.fit(spark.createDataFrame([(1, t)], "doc_id long, text string")) for t in (near, all_))
+    bucket = spark.range(1).select(F.pmod(F.xxhash64(F.lit("software")), F.lit(license_scan.BUCKETS)).alias("b")).first().b
+    assert whole.weights[-1][bucket] > few.weights[-1][bucket]
+
+
+def test_licence_threshold_counts_every_line_held_out(spark):
+    model = license_scan.LicenseModel(["mit", "unknown"], [0.0, 0.0], [[0.0, 1.0, 2.0, *[0.0] * (license_scan.BUCKETS - 3)], [0.0] * license_scan.BUCKETS], 0.5)
+    at = lambda *counts: license_scan._threshold(spark.createDataFrame([([b],) for b, n in enumerate(counts) for _ in range(n)], "buckets array<int>"), model)
+    assert at(5000, 0, 0) == at(5000, 1, 1) == 0.5  # in 5002 lines five may reach it
+    assert abs(at(5000, 20, 3) - 0.7311) < 1e-9 and abs(at(5000, 20, 9) - 0.8808) < 1e-9
+
+
 def test_licence_plan_is_native(spark):
     df = spark.createDataFrame([(1, "Released under the MIT License.")], "doc_id long, text string")
     plan = license_scan.license_scan(df, license_scan.LicenseModel(["mit", "unknown"], [0.0, 0.0], [[0.1] * license_scan.BUCKETS, [0.0] * license_scan.BUCKETS], 0.5))
