@@ -176,9 +176,18 @@ def _least_pairs() -> int:
     return min(least)
 
 
+def _any_of(ends: list[str]) -> str:
+    """A pattern of one of these words, in which words that begin alike share their beginning, so that it is read once."""
+    by: dict[str, list[str]] = {}
+    for end in ends:
+        by.setdefault(end[:1], []).append(end[1:])
+    inner = "|".join(re.escape(c) + _any_of(more) for c, more in sorted(by.items()) if c)
+    return f"(?:{inner})" + "?" * ("" in by) if inner else ""
+
+
 def may_hold(text: Column) -> Column:
     """Whether a text has one of the needed words."""
-    return F.lower(text).rlike(r"(?<![\p{L}\p{N}])(?:" + "|".join(map(re.escape, needed())) + r")(?![\p{L}\p{N}])")
+    return F.lower(text).rlike(rf"(?<![\p{{L}}\p{{N}}]){_any_of(needed())}(?![\p{{L}}\p{{N}}])")
 
 
 def _pairs(found: Column) -> Column:

@@ -351,6 +351,18 @@ def test_licence_threshold_counts_every_line_held_out(spark):
     assert abs(at(5000, 20, 3) - 0.7311) < 1e-9 and abs(at(5000, 20, 9) - 0.8808) < 1e-9
 
 
+def test_licence_gate_and_plan_are_small(spark):
+    """The gate's pattern knows the needed words, whole and no others; the plan's text, which the driver holds in many copies, stays short."""
+    needed = license_scan.needed()
+    words = [*needed, *(w[:-1] for w in needed), *(w + "x" for w in needed), *(f"({w.upper()})" for w in needed)]
+    found = {r.w: r.hit for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", license_scan.may_hold(F.col("w")).alias("hit")).collect()}
+    assert found == {w: w.strip("()").lower() in needed for w in words}
+    df = spark.createDataFrame([(1, "Released under the MIT License.")], "doc_id long, text string")
+    weights = [[0.25 if i % 16 == 0 else 0.0 for i in range(license_scan.BUCKETS)] for _ in range(14)]
+    plan = license_scan.license_scan(df, license_scan.LicenseModel([*license_scan.NOTICES, "unknown"], [0.0] * 14, weights, 0.5))
+    assert len(plan._jdf.queryExecution().toString()) < 1_000_000
+
+
 def test_licence_plan_is_native(spark):
     df = spark.createDataFrame([(1, "Released under the MIT License.")], "doc_id long, text string")
     plan = license_scan.license_scan(df, license_scan.LicenseModel(["mit", "unknown"], [0.0, 0.0], [[0.1] * license_scan.BUCKETS, [0.0] * license_scan.BUCKETS], 0.5))
