@@ -7,6 +7,7 @@ features are averaged over the text, so a score does not depend on length. Every
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,19 +21,20 @@ _SIZE = 1 << BITS
 _SCALE = 12.0
 
 
-def _gram_features(texts: Texts) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each kind: the hashed feature of every n-gram, and the bounds of each text's n-grams."""
+def _gram_features(texts: Texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each kind: the hashed feature of every n-gram, and the bounds of each text's n-grams. One kind is made, and held, after the other."""
     texts = texts.lower()
     words = Words.of(texts)
     mask = U(_SIZE - 1)
-    kinds = [((words.hashes & mask).astype(np.int64), words.bounds)]
+    yield (words.hashes & mask).astype(np.int64), words.bounds
     starts, owner = window_starts(words.bounds, 2)
     pairs = windows(words.hashes, 2)
     same = np.zeros(len(pairs), bool)
     if len(pairs):
         same = words.hashes[1:] == words.hashes[:-1]
     pairs = np.where(same, U(1), pairs & mask).astype(np.int64)
-    kinds.append((pairs[starts], np.searchsorted(owner, np.arange(len(texts) + 1))))
+    yield pairs[starts], np.searchsorted(owner, np.arange(len(texts) + 1))
+    del words, pairs, same, starts, owner
     code, at = _code_points(texts)
     for size in (3, 4):
         grams = np.zeros(max(len(code) - size + 1, 0), np.uint32)
@@ -41,8 +43,11 @@ def _gram_features(texts: Texts) -> list[tuple[np.ndarray, np.ndarray]]:
         grams ^= grams >> np.uint32(15)
         grams = (grams * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - BITS)
         starts, owner = window_starts(at, size)
-        kinds.append((grams[starts].astype(np.int64), np.searchsorted(owner, np.arange(len(texts) + 1))))
-    return kinds
+        bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
+        del owner
+        grams = grams[starts]
+        del starts
+        yield grams.astype(np.int64), bounds
 
 
 def _code_points(texts: Texts) -> tuple[np.ndarray, np.ndarray]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeflow.llm.words import U, mix, release, slices
+from lodeflow.llm.words import U, keep, mix, release, slices
 from lodeflow.session import bound_batches
 
 CAPACITY = 4096
@@ -91,7 +91,8 @@ _tokenizers: dict[str, WordTokenizer] = {}
 
 
 def word_tokenizer(path: str) -> WordTokenizer:
-    """One for each worker."""
+    """One for each worker, until a task of another kind needs the room."""
+    keep("tokenizer", _tokenizers.clear)
     if path not in _tokenizers:
         _tokenizers[path] = WordTokenizer(path)
     return _tokenizers[path]
@@ -128,7 +129,7 @@ def _pieces(docs: DataFrame, tokenizer: str, groups: int, capacity: int, with_id
     """Every piece with its group: of full ones a negative number, of the rest that of their document."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
+        release("tokenizer")
         encoder, part = word_tokenizer(tokenizer), TaskContext.get().partitionId() << 40
         close, whole, row, full = np.array([END_ID], np.uint32).tobytes(), 4 * capacity, part, part
         for batch in slices(batches, "text"):

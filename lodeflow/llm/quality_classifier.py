@@ -20,7 +20,7 @@ from lodeflow.llm import text_stats
 from lodeflow.llm.hashed_linear import HashedLinear
 from lodeflow.llm.labelled import fit_in_task, short_enough
 from lodeflow.llm.quality_rules import keep_rows
-from lodeflow.llm.words import Texts, Words, running, slices
+from lodeflow.llm.words import Texts, Words, release, running, slices
 from lodeflow.session import materialize
 
 #: Documents on either side of an even posterior that the scorer is trained on at most.
@@ -112,6 +112,7 @@ def _patterns(docs: DataFrame) -> DataFrame:
     """The vote pattern of every text, by the text's hash."""
 
     def cast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column("rank"), pa.array(pattern_of(Texts.of(batch.column("text"))).astype(np.int64))], names=["rank", "pattern"])
 
@@ -157,6 +158,7 @@ def quality_classifier(docs: DataFrame, model: WeakClassifier, keep_at: float =
     """
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in slices(batches, "text"):
             texts = Texts.of(batch.column("text"))
             cast = votes(texts)

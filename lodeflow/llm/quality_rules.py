@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from lodeflow.llm import text_stats
 from lodeflow.llm.hashed_linear import HashedLinear
 from lodeflow.llm.labelled import fit_in_task, labelled_sample
-from lodeflow.llm.words import Texts, Words, slices
+from lodeflow.llm.words import Texts, Words, release, slices
+from lodeflow.session import bound_batches
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -54,6 +55,7 @@ def quality_rules(docs: DataFrame, model: HashedLinear, keep_at: float = KEEP_AT
     """
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in slices(batches, "text"):
             found = judge(Texts.of(batch.column("text")), model, keep_at)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *map(pa.array, found.values())], names=["doc_id", *found])
@@ -65,9 +67,12 @@ def keep_rows(docs: DataFrame, keep: Callable[[Texts], np.ndarray]) -> DataFrame
     """The rows of docs, all columns as they are, for whose text keep says True."""
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()  # what earlier tasks of this worker have left
         for batch in slices(batches, "text"):
             yield batch.filter(pa.array(keep(Texts.of(batch.column("text")))))
+        release()
 
+    bound_batches(docs.sparkSession)
     return docs.mapInArrow(pick, docs.schema)
 
 

@@ -7,7 +7,7 @@ ASCII characters space, tab, \\n, \\v, \\f and \\r; UTF-8 never uses their bytes
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import suppress
 from dataclasses import dataclass
 
@@ -38,8 +38,19 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def release() -> None:
-    """Give back to the system what earlier work of this process has left unused."""
+#: What a worker keeps for later tasks, by kind: how it is forgotten.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keep(kind: str, forget: Callable[[], None]) -> None:
+    """Say that this process now keeps something that tasks of other kinds have no use for."""
+    _kept[kind] = forget
+
+
+def release(kind: str = "") -> None:
+    """Give back to the system what earlier work of this process has left unused, and what it keeps for other kinds of tasks."""
+    for other in [k for k in _kept if k != kind]:
+        _kept.pop(other)()
     pa.default_memory_pool().release_unused()
     with suppress(OSError, AttributeError):  # only glibc has it
         ctypes.CDLL(None).malloc_trim(0)

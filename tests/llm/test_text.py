@@ -124,3 +124,27 @@ def test_expectation_maximisation_finds_accuracies():
 def test_training_without_rows():
     model = train([], np.zeros(0), np.zeros(0))
     assert model.probabilities(Texts.of(pa.array(["x", None]))).tolist() == [0.5, 0.5]
+
+
+def test_scores_hold_one_kind_of_grams_at_a_time():
+    """A slice of 2 MB is scored in less than 50 bytes of arrays a byte of text, and tasks of other kinds forget what a worker keeps for packing."""
+    import tracemalloc
+
+    from lodeflow.llm import packing, words
+    from lodeflow.llm.hashed_linear import _SIZE, KINDS, HashedLinear
+
+    rng = np.random.default_rng(1)
+    texts = words.Texts.of(pa.array([" ".join(f"w{i}" for i in rng.integers(0, 5000, 400)) for _ in range(900)]))
+    model = HashedLinear(rng.normal(size=(len(KINDS), _SIZE)).astype(np.float32), 0.1)
+    model.scores(texts)  # the tables of powers stay
+    tracemalloc.start()
+    model.scores(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 50 * len(texts.data)
+    path = packing.public_tokenizer()
+    packing.word_tokenizer(path)
+    words.release("tokenizer")
+    assert packing._tokenizers
+    words.release()
+    assert not packing._tokenizers and packing.word_tokenizer(path).encode([b"a b"])
