@@ -251,6 +251,30 @@ def test_pieces(spark):
     assert back == {i: t or "" for i, t in enumerate(texts)}
 
 
+def test_pieces_of_many_parts_take_their_steps_together(monkeypatch):
+    """Few parts go one by one, whatever their number, and all get the ids that they get alone; so does each text after a cache is forgotten."""
+    model = piece_encoding.PieceModel(piece_encoding.public_pieces())
+    rng = random.Random(4)
+    pieces = [p.replace("▁", " ") for p, _ in model.automaton.items()]
+    odd = ["日本語", "\U0001f600", "é\u0301", "▁", "\x00", "\n", "\t", "    ", " "]
+    parts = {"".join(rng.choice(pieces if rng.random() < 0.6 else odd) for _ in range(rng.randrange(1, 9))) for _ in range(3000)}
+    texts = ["", *sorted(parts), " ".join(sorted(parts)), "x" * 5000, "▁" * 200, ""]
+    alone = model.segment
+    walks = []
+    monkeypatch.setattr(model, "segment", lambda part: walks.append(part) or alone(part))
+    wanted = [[i for part in model.split.findall(" " + t) for i in alone(part)] if t else [] for t in texts]
+    for limit in (10**9, 1000):
+        monkeypatch.setattr(piece_encoding, "_CACHE_POINTS", limit)
+        model.forget()
+        walks.clear()
+        ids, n = model.encode(texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == wanted
+        assert len(walks) <= 64 and len(model.known) > 3000
+        assert model.spell(ids) == b"".join(b" " + t.encode() for t in texts if t)
+    ids, n = model.encode(texts[:9])
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == wanted[:9] and len(model.known) < 100
+
+
 def test_licences(spark):
     plain = ["the river runs over stones", "a free walk in the park under trees", "license plates are yellow here", "", "version 2 of the song"]
     rows = [(i, plain[i % 5] + "\n" + plain[(i + 1) % 5]) for i in range(40)]
