@@ -21,6 +21,7 @@ from __future__ import annotations
 import json
 import math
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import pairwise
 
@@ -186,23 +187,45 @@ def _any_of(ends: list[str]) -> str:
 
 
 def may_hold(text: Column) -> Column:
-    """Whether a text has one of the needed words."""
-    return F.lower(text).rlike(rf"(?<![\p{{L}}\p{{N}}]){_any_of(needed())}(?![\p{{L}}\p{{N}}])")
+    """Whether a text has one of the needed words.
+
+    All that is no letter a-z and no digit becomes a space first. Where no word between spaces is needed, nor the first
+    such part of a needed word, the text has none; the pattern, which takes longer, reads the other texts only.
+    """
+    own, plain = F.lower(text), F.lit(None).cast("string")
+    parts = F.split(F.mask(own, plain, plain, plain, F.lit(" ")), " ")
+    some = F.arrays_overlap(parts, F.array(*(F.lit(w) for w in sorted({re.split("[^a-z0-9]", w)[0] for w in needed()}))))
+    return some & own.rlike(rf"(?<![\p{{L}}\p{{N}}]){_any_of(needed())}(?![\p{{L}}\p{{N}}])")
+
+
+def _neighbours(found: Column, told: Callable[[Column], Column]) -> Column:
+    """What told makes of each two neighbouring words, joined as one."""
+    first = F.slice(found, F.lit(1), F.greatest(F.size(found) - 1, F.lit(0)))
+    return F.zip_with(first, F.slice(found, F.lit(2), F.size(found)), lambda a, b: told(F.concat(a, F.lit(" "), b)))
 
 
 def _pairs(found: Column) -> Column:
     """Neighbouring words as one."""
-    pairs = F.zip_with(found, F.slice(found, F.lit(2), F.size(found)), lambda a, b: F.concat_ws(" ", a, b))
-    return F.slice(pairs, F.lit(1), F.greatest(F.size(found) - 1, F.lit(0)))
+    return _neighbours(found, lambda pair: pair)
+
+
+def _hashes(found: Column) -> Column:
+    """Hashes of word unigrams and bigrams."""
+    return F.concat(F.transform(found, lambda w: F.xxhash64(w)), _neighbours(found, F.xxhash64))
+
+
+def _bucket(hashed: Column) -> Column:
+    return F.pmod(hashed, F.lit(BUCKETS)).cast("int")
 
 
 def features(found: Column) -> Column:
     """Buckets of word unigrams and bigrams."""
-    return _buckets(F.concat(found, _pairs(found)))
+    return _once(found, lambda found: F.transform(_hashes(found), _bucket))
 
 
-def _buckets(grams: Column) -> Column:
-    return F.transform(grams, lambda g: F.pmod(F.xxhash64(g), F.lit(BUCKETS)).cast("int"))
+def _once(value: Column, told: Callable[[Column], Column]) -> Column:
+    """told(value), for which value is worked out once a row, however often told names it."""
+    return F.get(F.transform(F.array(value), told), F.lit(0))
 
 
 @dataclass(frozen=True)
@@ -218,19 +241,21 @@ class LicenseModel:
 def _lines(docs: DataFrame, vocabulary: list[int]) -> DataFrame:
     """held and buckets (those in vocabulary) of every distinct line of docs that is no part of a wrapped notice, which is no example of the class unknown.
 
-    Such a line has FRAGMENT_PAIRS word pairs of one notice; with fewer none can be confirmed (see _least_pairs).
+    Such a line has FRAGMENT_PAIRS word pairs of one notice; with fewer none can be confirmed (see _least_pairs). Pairs
+    are compared as words only in lines that have the hashes of so many; vocabulary has the buckets of all notices.
     """
     orders = [sorted({f"{a} {b}" for a, b in pairwise(own_words(n))}) for every in NOTICES.values() for n in every]
     told, least = _constant(orders, "array<array<string>>"), min(FRAGMENT_PAIRS, _least_pairs())
     inside = _constant([i in set(vocabulary) for i in range(BUCKETS)], "array<boolean>")
     own = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("paragraph"))
     own = own.select(F.xxhash64("paragraph").alias("rank"), words(F.col("paragraph")).alias("found"))
-    own = own.select("rank", "found", _pairs(F.col("found")).alias("pairs"))
-    hits = F.array_distinct(F.filter("pairs", lambda p: p.isin(sorted({p for order in orders for p in order}))))
-    own = own.select("rank", hits.alias("hits"), F.array_distinct(_buckets(F.concat("found", "pairs"))).alias("buckets"))
-    shared = F.array_max(F.transform(told, lambda order: F.size(F.array_intersect("hits", order))))
-    other = F.when(F.size("hits") < least, True).otherwise(shared < least)
-    own = own.select("rank", F.when(other, F.filter("buckets", lambda i: F.get(inside, i))).alias("buckets")).distinct()
+    own = own.select("rank", "found", F.filter(_hashes(F.col("found")), lambda h: F.get(inside, _bucket(h))).alias("kept"))
+    pairs = sorted({p for order in orders for p in order})
+    hashed = docs.sparkSession.createDataFrame([(p,) for p in pairs], "pair string").select(F.xxhash64("pair").alias("h")).collect()
+    hits = F.filter(_pairs(F.col("found")), lambda p: p.isin(pairs))
+    shared = _once(hits, lambda hits: F.array_max(F.transform(told, lambda order: F.size(F.array_intersect(hits, order)))))
+    other = F.when(F.size(F.filter("kept", lambda h: h.isin([r.h for r in hashed]))) < least, True).otherwise(shared < least)
+    own = own.select("rank", F.when(other, F.array_distinct(F.transform("kept", _bucket))).alias("buckets")).distinct()
     return materialize(own.select((F.pmod("rank", F.lit(4)) == 0).alias("held"), "buckets")).where("buckets IS NOT NULL")
 
 

@@ -387,6 +387,32 @@ def test_licence_gate_and_plan_are_small(spark):
     assert len(plan._jdf.queryExecution().toString()) < 1_000_000
 
 
+def test_licence_gate_and_lines_do_no_work_twice(spark):
+    """The gate's pattern reads only texts with the words; a paragraph is split once for its features; both, and the training lines, are as by hand."""
+    odd = ["", "LICENSE", "élicense", "license\u0301", "license\U0001d400", "_license_", "licenſe", "the\nlicense.", "4.0", "v4.0", "(4.0)", "4 0", "4.01", "lice nse", "İunder", "1under", "ünder", "un-der, \u2028under\u00a0", "公under", "公 under", "SPDX:", "re\u00adleased"]
+    some = re.compile(r"(?<![^\W_])(?:" + "|".join(map(re.escape, license_scan.needed())) + r")(?![^\W_])")
+    gate = spark.createDataFrame([(t,) for t in odd], "text string").select("text", license_scan.may_hold(F.col("text")).alias("hit"))
+    assert {r.text: r.hit for r in gate.collect()} == {t: bool(some.search(t.lower())) for t in odd}
+    plan = gate._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.find("arrays_overlap") < plan.find("RLIKE")
+    split = gate.select(license_scan.features(license_scan.words(F.col("text"))).alias("b"))
+    assert split._jdf.queryExecution().analyzed().toString().count("split(lower(") == 1
+
+    notices = [license_scan.own_words(n) for every in license_scan.NOTICES.values() for n in every]
+    lines = ["", "a", "the river runs. The river, it runs", "free of charge", "is free of charge to any person", "Permission is hereby granted", "permission is hereby", "of charge of charge of charge", *odd[1:5], "Released under the MIT License"]
+    grams = {}
+    for line in lines:
+        w = license_scan.own_words(line)
+        if max(len(set(zip(w, w[1:])) & set(zip(n, n[1:]))) for n in notices) < license_scan.FRAGMENT_PAIRS:
+            grams[line] = [*w, *(f"{a} {b}" for a, b in zip(w, w[1:]))]
+    flat = spark.createDataFrame([(g,) for g in {g for gs in grams.values() for g in gs}], "g string")
+    bucket = {r.g: r.b for r in flat.select("g", F.pmod(F.xxhash64("g"), F.lit(license_scan.BUCKETS)).alias("b")).collect()}
+    want = sorted(sorted({bucket[g] for g in gs}) for gs in grams.values())
+    docs = spark.createDataFrame([("\n".join(lines),), (lines[2],), (None,)], "text string")
+    found = license_scan._lines(docs, list(range(license_scan.BUCKETS))).collect()
+    assert sorted(sorted(r.buckets) for r in found) == want and len(want) < len(lines) - 2
+
+
 def test_licence_plan_is_native(spark):
     df = spark.createDataFrame([(1, "Released under the MIT License.")], "doc_id long, text string")
     plan = license_scan.license_scan(df, license_scan.LicenseModel(["mit", "unknown"], [0.0, 0.0], [[0.1] * license_scan.BUCKETS, [0.0] * license_scan.BUCKETS], 0.5))
