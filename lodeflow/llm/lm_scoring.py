@@ -11,18 +11,19 @@ k balances the two so that the mass which the model gives to pairs seen before e
 tokens whose pair occurs again in the training texts.
 
 The filter and the vocabulary are broadcast only if together they stay within max_broadcast_bytes. Beyond that
-the same probes are made by joins on the word of the filter, with the same results. Words and pairs that stand in
-more than one of HEAD asked rows are answered there from a broadcast of fewer than HEAD rows, so that no task of a
-join holds a frequent word's rows.
+chunks of texts ask the shards, each distinct word and pair once a chunk; a shard makes the same probes, and its
+answers go back to the chunk in the order of the asked keys, a byte or little more each. The results are the same.
+A frequent word is asked for once a chunk too, so no shard holds the rows of its tokens.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +38,9 @@ BITS_PER_ITEM = 10
 MAX_LEVEL = 64
 MAX_BROADCAST_BYTES = 512 << 20
 COUNT_BYTES = 12 << 20
-HEAD = 1 << 16
+ASK_BYTES = 8 << 20  # of text in a chunk that asks the shards
+_ASK_SLICE = 1 << 20
+HEAD = 1 << 16  # of no effect any more, see score()
 END = U(0x2545F4914F6CDD1D)
 WORD, PAIR = 0, 1
 
@@ -186,7 +189,7 @@ def fit(train: DataFrame) -> Model:
     bound_batches(train.sparkSession)
     # a token is about six bytes, and each is counted by itself and with the one before it
     bits = _bits((train.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6)
-    pieces = materialize(_counted(train, bits))
+    pieces = materialize(_counted(train, bits), drop_shuffles=True)
     totals = {r.kind: r for r in pieces.groupBy("kind").agg(F.sum("n_keys").alias("keys"), F.sum("n_tokens").alias("tokens"), F.sum("n_again").alias("again"), F.sum(F.length("data") + F.length("counts")).alias("size")).collect()}
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,15 +264,26 @@ def log_probabilities(model: tuple[int, int, float], c_word: np.ndarray, c_befor
 SCHEMA = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
+def _scored(batch: pa.RecordBatch, bounds: np.ndarray, totals: tuple[int, int, float], train_tokens: int, c_word: np.ndarray, n_end: int, level: np.ndarray) -> pa.RecordBatch:
+    """The rows of some texts from their tokens' counts, the count of the end, and their pairs' levels."""
+    c_before = np.append(n_end, c_word[:-1])
+    base, own = log_probabilities(totals, c_word, c_before, level)
+    add = lambda x: np.add.reduceat(x, bounds[:-1])  # noqa: E731  a text has one token at least
+    n = np.diff(bounds).astype(np.int64)
+    columns = [n, add((c_word > 0).astype(np.int64)), np.full(len(n), train_tokens), add(base), add(own)]
+    return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), *map(pa.array, columns)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+
 def score(docs: DataFrame, model: Model, max_broadcast_bytes: int = MAX_BROADCAST_BYTES, head: int = HEAD) -> DataFrame:
     """A row for each row of docs (doc_id, text, held_out).
 
     A null or empty text is its one end token. Unknown words get the base model's share of an unseen word.
     Repeated rows and ids each get their row; no training text at all leaves the uniform base model; an empty
     table gives an empty one; other columns are not read. A very long text is scored whole, as a slice of its own.
+    head says nothing any more: beyond max_broadcast_bytes no key is asked for more than once a chunk.
     """
     if model.n_bytes > max_broadcast_bytes:
-        return _score_by_joins(docs, model, head)
+        return _score_by_shards(docs, model)
     bound_batches(docs.sparkSession)
     lookup = docs.sparkSession.sparkContext.broadcast(Lookup.of(model))
     totals, train_tokens = (model.n_tokens, model.n_words, model.k), model.n_tokens
@@ -283,105 +297,124 @@ def score(docs: DataFrame, model: Model, max_broadcast_bytes: int = MAX_BROADCAS
             c_word = table.count(distinct)[back]
             _, pairs = pairs_of(tokens)
             n_end = int(table.count(np.array([END], U))[0])
-            c_before = np.append(n_end, c_word[:-1])
-            base, own = log_probabilities(totals, c_word, c_before, table.level(pairs))
-            add = lambda x: np.add.reduceat(x, bounds[:-1])  # noqa: E731  a text has one token at least
-            n = np.diff(bounds).astype(np.int64)
-            columns = [n, add((c_word > 0).astype(np.int64)), np.full(len(n), train_tokens), add(base), add(own)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), *map(pa.array, columns)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            yield _scored(batch, bounds, totals, train_tokens, c_word, n_end, table.level(pairs))
 
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, SCHEMA)
 
 
-def _answered(asked: DataFrame, answers: DataFrame, key: str, value: str, frequent: DataFrame) -> DataFrame:
-    """asked with value for its key, 0 where answers (a row for each key) has none.
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers in as many bytes each as the largest needs, after one byte that says how many."""
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    held = np.frombuffer(data, np.uint8, offset=1).reshape(-1, data[0])
+    values = np.zeros((len(held), 8), np.uint8)
+    values[:, : data[0]] = held
+    return values.view("<u8").ravel().astype(U, copy=False)
 
-    The frequent keys are answered from a broadcast; their rows pass the shuffled join under a key of their own each,
-    which matches nothing and spreads them.
-    """
-    head = frequent.join(answers, key, "left").select(key, F.col(value).alias("_head"), F.lit(True).alias("_often"))
-    rare = answers.select(F.col(key).alias("_key"), F.col(value).alias("_rare"))
-    marked = asked.join(F.broadcast(head), key, "left")
-    own_key = F.when(F.col("_often"), F.xxhash64("row", "pair")).otherwise(F.col(key))
-    met = marked.withColumn("_own", own_key).join(rare, F.col("_often").isNull() & (F.col("_own") == F.col("_key")), "left")
-    return met.select(*asked.columns, F.coalesce("_head", "_rare", F.lit(0)).alias(value))
 
+def _distinct(parts: list[np.ndarray]) -> np.ndarray:
+    """Sorted; numpy's own unique builds a hash table here, which is slower and larger."""
+    keys = np.concatenate(parts)
+    keys.sort()
+    return keys[np.append(True, keys[1:] != keys[:-1])]
 
-def _score_by_joins(docs: DataFrame, model: Model, head: int) -> DataFrame:
+
+def _keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words and the pairs of some texts."""
+    tokens, _ = tokens_of(Texts.of(batch.column("text")))
+    return _distinct([tokens]), pairs_of(tokens)[1]
+
+
+def _score_by_shards(docs: DataFrame, model: Model) -> DataFrame:
     """The same scores with the vocabulary and the filter left distributed."""
-    bits, k = model.bits, model.k
+    bits = model.bits
+    shift, n_shards = U(64 - bits), 1 << bits
+    totals, train_tokens = (model.n_tokens, model.n_words, model.k), model.n_tokens
+    bound_batches(docs.sparkSession)
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 40
-        for batch in slices(batches, "text"):
-            tokens, bounds = tokens_of(Texts.of(batch.column("text")))
-            before, pairs = pairs_of(tokens)
-            owner = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
-            order = np.lexsort((pairs, owner))
-            first = np.flatnonzero(np.append(True, (pairs[order][1:] != pairs[order][:-1]) | (owner[order][1:] != owner[order][:-1])))
-            pick = order[first]
-            times = np.diff(np.append(first, len(order))).astype(np.int64)
-            columns = [pa.array(row + owner[pick]), pa.array(owner[pick]), pa.array(signed(tokens[pick])), pa.array(signed(before[pick])), pa.array(signed(pairs[pick])), pa.array(times)]
-            ids, held = batch.column("doc_id").cast(pa.int64()).take(columns[1]), batch.column("held_out").take(columns[1])
-            row += batch.num_rows
-            yield pa.RecordBatch.from_arrays([columns[0], ids, held, *columns[2:]], names=["row", "doc_id", "held_out", "word", "before", "pair", "times"])
-
-    def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x, c in zip(batch.column("data").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64)), pa.array(np.frombuffer(c, np.int64))], names=["word", "c"])
+    def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, place, seen = TaskContext.get().partitionId() << 32, 0, 0
+        for batch in slices(batches, "text", _ASK_SLICE):
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), pa.array(np.arange(place, place + n)), *batch.columns], names=["chunk", "place", *batch.schema.names])
+            place += n
+            seen += 16 * n + (pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0)
+            if seen >= ASK_BYTES:
+                number, place, seen = number + 1, 0, 0
+
+    def dealt(keys: np.ndarray) -> pa.Array:
+        """By shard: the steps from each key to the next."""
+        edge = np.searchsorted(keys >> shift, np.arange(n_shards + 1).astype(U))
+        return pa.array([_packed(np.diff(keys[edge[s] : edge[s + 1]], prepend=U(s) << shift)) for s in range(n_shards)], pa.binary())
 
-    def filter_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for s, x in zip(batch.column("shard").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                held = np.frombuffer(x, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), s, np.int32)), pa.array(np.arange(len(held))), pa.array(held)], names=["shard", "place", "held"])
-
-    requests = materialize(docs.select("doc_id", "held_out", "text").mapInArrow(ask, "row bigint, doc_id bigint, held_out boolean, word bigint, before bigint, pair bigint, times bigint"))
-    counts = model.pieces.where(f"kind = {WORD}").select("data", "counts").mapInArrow(vocabulary, "word bigint, c bigint")
-    held = model.pieces.where(f"kind = {PAIR}").select("shard", "data").mapInArrow(filter_words, "shard int, place bigint, held bigint")
-    widths = model.pieces.where(f"kind = {PAIR}").select("shard", (F.length("data") / 8).cast("bigint").alias("width"))
-    alive = requests.select("pair").distinct().withColumn("shard", F.shiftrightunsigned("pair", 64 - bits).cast("int")).join(widths, "shard")
-    levels = None
-    for j in range(1, MAX_LEVEL + 1):
-
-        def place(batches: Iterator[pa.RecordBatch], j: int = j) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                pair, width = (batch.column(c).to_numpy() for c in ("pair", "width"))
-                word, mask = _place(pair.view(U), j, width.view(U))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(word.astype(np.int64)), pa.array(signed(mask))], names=["pair", "shard", "width", "place", "mask"])
-
-        asked = alive.select("pair", "shard", "width").mapInArrow(place, "pair bigint, shard int, width bigint, place bigint, mask bigint")
-        alive = materialize(asked.join(held, ["shard", "place"]).where(F.col("held").bitwiseAND(F.col("mask")) == F.col("mask")).select("pair", "shard", "width"))
-        if alive.isEmpty():
-            break
-        part = alive.select("pair", F.lit(j).alias("level"))
-        levels = part if levels is None else levels.unionByName(part)
-    if levels is None:
-        levels = requests.select("pair", F.lit(0).alias("level")).limit(0)
-    levels = levels.groupBy("pair").agg(F.max("level").alias("level"))
-    asked_rows = requests.count()
-    frequent = {key: materialize(requests.groupBy(key).count().where(F.col("count") * head > asked_rows).select(key)) for key in ("word", "before", "pair")}
-    met = _answered(requests, counts.select("word", F.col("c").alias("c_word")), "word", "c_word", frequent["word"])
-    met = _answered(met, counts.select(F.col("word").alias("before"), F.col("c").alias("c_before")), "before", "c_before", frequent["before"])
-    met = _answered(met, levels, "pair", "level", frequent["pair"])
-    base = (F.col("c_word") + 0.5) / F.lit(model.n_tokens + 0.5 * (model.n_words + 1))
-    low, high = F.ceil(F.pow(F.lit(QUANTUM), F.col("level") - 1.0) - 1e-6), F.ceil(F.pow(F.lit(QUANTUM), F.col("level")) - 1e-6) - 1
-    middle = (low + F.greatest(low, high)) / 2
-    seen = F.when(F.col("level") > 0, F.least(middle, F.col("c_word").cast("double"), F.col("c_before").cast("double"))).otherwise(0.0)
-    own = (seen + F.lit(k) * base) / (F.col("c_before") + F.lit(k))
-    return (
-        met.groupBy("row")
-        .agg(
-            F.first("doc_id").alias("doc_id"),
-            F.first("held_out").alias("held_out"),
-            F.sum("times").alias("n_tokens"),
-            F.sum(F.when(F.col("c_word") > 0, F.col("times")).otherwise(0)).alias("n_known"),
-            F.sum(F.col("times") * F.log10(base)).alias("base_score"),
-            F.sum(F.col("times") * F.log10(own)).alias("score"),
-        )
-        .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n_tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
-    )
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A chunk's rows may be read in several runs; each run, known by its first place, asks by itself."""
+        release()  # what earlier tasks of this worker have left
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        number = first = following = -1
+
+        def asked() -> Iterator[pa.RecordBatch]:
+            words, pairs = (dealt(_distinct(list(keys))) for keys in zip(*held, strict=True))
+            rows = pa.table([pa.array(np.full(n_shards, number)), pa.array(np.full(n_shards, first)), pa.array(np.arange(n_shards, dtype=np.int32)), words, pairs], ["chunk", "first", "shard", "words", "pairs"])
+            yield from rows.filter(pc.greater(pc.add(pc.binary_length(words), pc.binary_length(pairs)), 2)).to_batches(max_chunksize=256)
+
+        for batch in slices(batches, "text", _ASK_SLICE):
+            chunks, places = (batch.column(c).to_numpy() for c in ("chunk", "place"))
+            edge = [0, *(np.flatnonzero((np.diff(chunks) != 0) | (np.diff(places) != 1)) + 1), len(chunks)]
+            for low, high in zip(edge, edge[1:], strict=False):
+                if (chunks[low], places[low]) != (number, following):
+                    if held:
+                        yield from asked()
+                    held, number, first = [], int(chunks[low]), int(places[low])
+                held.append(_keys(batch.slice(low, high - low)))
+                following = int(places[high - 1]) + 1
+        if held:
+            yield from asked()
+
+    def answer(key: tuple[pa.Scalar, ...], pieces: pa.Table, asks: pa.Table) -> pa.Table:
+        release()
+        shard = key[0].as_py()
+        said = {k: (d, c) for k, d, c in zip(*(pieces.column(x).to_pylist() for x in ("kind", "data", "counts")), strict=True)}
+        (words, counts), (bits_of, _) = (said.get(k, (b"", b"")) for k in (WORD, PAIR))
+        width = np.zeros(n_shards, U)
+        width[shard] = len(bits_of) // 8
+        table = Lookup(np.frombuffer(words, U), np.frombuffer(counts, np.int64), np.frombuffer(bits_of, U), np.zeros(n_shards, U), width, bits)
+
+        def answers(name: str, look: Callable[[np.ndarray], np.ndarray]) -> pa.Array:
+            """Of all rows at once, as each has few keys."""
+            keys = [(U(shard) << shift) + np.cumsum(_unpacked(x), dtype=U) for x in asks.column(name).to_pylist()]
+            edge = running(np.array([len(x) for x in keys], np.int64))
+            found = look(np.concatenate([*keys, np.zeros(0, U)]))
+            return pa.array([_packed(found[low:high]) for low, high in zip(edge, edge[1:], strict=False)], pa.binary())
+
+        return asks.select(["chunk", "first", "shard"]).append_column("counts", answers("words", table.count)).append_column("levels", answers("pairs", table.level))
+
+    def meet(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        release()
+        rows, answers = rows.sort_by("place"), answers.sort_by([("first", "ascending"), ("shard", "ascending")])
+        firsts, begin = np.unique(answers.column("first").to_numpy(), return_index=True)
+        edge, end = np.append(np.searchsorted(rows.column("place").to_numpy(), firsts), len(rows)), np.append(begin, len(answers))
+        found = []
+        for i in range(len(firsts)):
+            told = answers.slice(end[i], end[i + 1] - end[i])
+            counts, levels = (np.concatenate([_unpacked(x).astype(kind) for x in told.column(name).to_pylist()]) for name, kind in (("counts", np.int64), ("levels", np.int8)))
+            parts = list(slices(iter(rows.slice(edge[i], edge[i + 1] - edge[i]).to_batches()), "text", _ASK_SLICE))
+            words, pairs = (_distinct(list(keys)) for keys in zip(*map(_keys, parts), strict=True))
+            n_end = int(counts[np.searchsorted(words, END)])
+            for batch in parts:
+                tokens, bounds = tokens_of(Texts.of(batch.column("text")))
+                c_word, level = counts[np.searchsorted(words, tokens)], levels[np.searchsorted(pairs, pairs_of(tokens)[1])]
+                found.append(_scored(batch, bounds, totals, train_tokens, c_word, n_end, level.astype(np.int64)))
+        return pa.Table.from_batches(found)
+
+    rows = materialize(docs.select(F.col("doc_id").cast("bigint"), "held_out", "text").mapInArrow(chunk, "chunk bigint, place bigint, doc_id bigint, held_out boolean, text string"))
+    asks = rows.mapInArrow(ask, "chunk bigint, first bigint, shard int, words binary, pairs binary")
+    pieces = model.pieces.select("kind", "shard", "data", "counts")
+    answers = materialize(pieces.groupBy("shard").cogroup(asks.groupBy("shard")).applyInArrow(answer, "chunk bigint, first bigint, shard int, counts binary, levels binary"), drop_shuffles=True)
+    return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(meet, SCHEMA)
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

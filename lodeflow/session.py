@@ -39,10 +39,22 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/lodeflow/{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts lineage and survives lost executors."""
+def materialize(df: DataFrame, drop_shuffles: bool = False) -> DataFrame:
+    """Write df once to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    drop_shuffles: the shuffle files of this write go when it ends, not when the driver happens to collect its garbage
+    (a setting of Spark 4.1).
+    """
     spark, path = df.sparkSession, scratch_dir(df.sparkSession)
-    df.write.parquet(path)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    if drop_shuffles:
+        spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if drop_shuffles:
+            spark.conf.unset(key) if before is None else spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
