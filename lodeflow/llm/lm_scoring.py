@@ -10,8 +10,8 @@ fails. A probe touches one 64-bit word. Single words keep exact counts.
 k balances the two so that the mass which the model gives to pairs seen before equals the share of training
 tokens whose pair occurs again in the training texts.
 
-The filter and the vocabulary are broadcast only if together they stay within max_broadcast_bytes. Beyond that
-chunks of texts ask the shards, each distinct word and pair once a chunk; a shard makes the same probes, and its
+The filter and the vocabulary are broadcast only if together they stay within max_broadcast_bytes and a quarter of
+the heap. Beyond that chunks of texts ask the shards, each distinct word and pair once a chunk; a shard makes the same probes, and its
 answers go back to the chunk in the order of the asked keys, a byte or little more each. The results are the same.
 A frequent word is asked for once a chunk too, so no shard holds the rows of its tokens.
 """
@@ -264,6 +264,13 @@ def log_probabilities(model: tuple[int, int, float], c_word: np.ndarray, c_befor
 SCHEMA = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
+def broadcast_room(spark: SparkSession) -> int:
+    """A quarter of the smaller heap of driver and executors: beside it, the driver's Python and each Python worker hold the model once more."""
+    context = spark.sparkContext
+    conf, heaps = context._jsc.sc().conf(), ["driver"] if context.master.split("[")[0] == "local" else ["driver", "executor"]
+    return min(conf.getSizeAsBytes(f"spark.{heap}.memory", "1g") for heap in heaps) // 4
+
+
 def _scored(batch: pa.RecordBatch, bounds: np.ndarray, totals: tuple[int, int, float], train_tokens: int, c_word: np.ndarray, n_end: int, level: np.ndarray) -> pa.RecordBatch:
     """The rows of some texts from their tokens' counts, the count of the end, and their pairs' levels."""
     c_before = np.append(n_end, c_word[:-1])
@@ -280,9 +287,9 @@ def score(docs: DataFrame, model: Model, max_broadcast_bytes: int = MAX_BROADCAS
     A null or empty text is its one end token. Unknown words get the base model's share of an unseen word.
     Repeated rows and ids each get their row; no training text at all leaves the uniform base model; an empty
     table gives an empty one; other columns are not read. A very long text is scored whole, as a slice of its own.
-    head says nothing any more: beyond max_broadcast_bytes no key is asked for more than once a chunk.
+    head says nothing any more: beyond the broadcast no key is asked for more than once a chunk.
     """
-    if model.n_bytes > max_broadcast_bytes:
+    if model.n_bytes > min(max_broadcast_bytes, broadcast_room(docs.sparkSession)):
         return _score_by_shards(docs, model)
     bound_batches(docs.sparkSession)
     lookup = docs.sparkSession.sparkContext.broadcast(Lookup.of(model))

@@ -78,3 +78,15 @@ def test_shuffle_files_go_with_their_write(spark):
     while held() - before and time.time() < until:
         time.sleep(0.2)
     assert not held() - before and counts.count() == 5000
+
+
+def test_no_broadcast_beyond_a_quarter_of_the_heap(spark, monkeypatch):
+    docs = marked(spark)
+    model = lm_scoring.fit(docs.where("NOT held_out"))
+    assert lm_scoring.broadcast_room(spark) == 2 << 30  # local_session: 8g
+    ways = []
+    monkeypatch.setattr(lm_scoring, "_score_by_shards", lambda *_: ways.append("shards"))
+    for room in (model.n_bytes - 1, model.n_bytes):
+        monkeypatch.setattr(lm_scoring, "broadcast_room", lambda _, room=room: room)
+        ways.append(room if lm_scoring.score(docs, model) is not None else None)
+    assert ways == ["shards", None, model.n_bytes]
